@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuegrid.llm import bpe, packing, token_counts
+from cuegrid.llm import bpe, packing, rules, secrets, simhash, token_counts
 from cuegrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,34 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_histogram(token_counts.encoded_lengths(table(spark, sf_dir, "documents")))
+
+
+@query
+def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = rules.judge(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _spelled(spans):
+    """kind:start:end of each span, comma-joined."""
+    names = F.array(*map(F.lit, secrets.KINDS))
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+@query
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return secrets.find(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        n(0).alias("n_assign"),
+        n(1).alias("n_access"),
+        n(2).alias("n_hex"),
+        F.sha2(_spelled(F.filter("spans", lambda s: s["kind"] < 3)), 256).alias("base_sha256"),
+        _spelled(F.col("spans")).alias("spans"),
+    )
+
+
+@query
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
