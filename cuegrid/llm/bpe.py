@@ -16,7 +16,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-from cuegrid.llm.common import texts
+from cuegrid.llm.common import slices, texts
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Texts are cut into pieces of about this many characters.
@@ -57,7 +57,7 @@ def encode(docs: DataFrame, ranks_path: str = MULTI_RANKS, piece_chars: int = PI
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks_path)
-        for b in batches:
+        for b in slices(batches):
             ids = pa.array((encode_text(enc, t.as_py(), piece_chars) for t in b["text"]), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b["doc_id"], ids], names=["doc_id", "ids"])
 
@@ -70,7 +70,7 @@ def decode(encoded: DataFrame, ranks_path: str = MULTI_RANKS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks_path)
-        for b in batches:
+        for b in slices(batches):
             ids = b["ids"]
             out = pa.array((enc.decode_bytes(row.values.to_numpy().tolist()) if row.is_valid else None for row in ids), pa.binary())
             yield pa.RecordBatch.from_arrays([b["doc_id"], ids, out], names=["doc_id", "ids", "bytes"])
