@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuegrid.llm import bpe, packing, rules, secrets, simhash, token_counts
+from cuegrid.llm import bpe, classifier, line_dedup, packing, rules, secrets, simhash, token_counts, topk
 from cuegrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,27 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shortened = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    runs = F.transform(F.array_sort("_runs"), lambda r: F.concat_ws(":", r["start"].cast("string"), r["end"].cast("string")))
+    return shortened.select(
+        "doc_id",
+        F.col("_removed").cast("long").alias("n_removed_lines"),
+        F.coalesce(F.array_join(runs, ","), F.lit("")).alias("removed_runs"),
+        F.col("n_chars").alias("n_chars_left"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
+@query
+def op7_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "evidence", "host_rate", "path_rate", "posterior", "kept")

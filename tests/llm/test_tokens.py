@@ -62,7 +62,7 @@ def test_bpe_query(spark, sf):
 
 def test_chunk_codec_equals_library():
     path = packing.BYTE_BPE
-    whole, chunks = Tokenizer.from_file(path), ChunkCodec(path, memory=3)
+    whole, chunks = Tokenizer.from_file(path), ChunkCodec(path, packing.BYTE_RANKS, memory=3)
     rng = np.random.default_rng(2)
     texts = [t or "" for t in ODD] + ["".join(rng.choice(list("ab1  \n'é.　"), 40)) for _ in range(200)]
     for k in range(0, len(texts), 7):
