@@ -2,20 +2,26 @@
 
 A place between a character that is not blank and a space always ends a match of the
 byte-level split pattern, so a text may be cut before such spaces and the ids of its chunks
-joined. Words repeat, so most chunks have been encoded before.
+joined. Words repeat, so most chunks have been encoded before. A new chunk is encoded from the
+ranks of the same vocabulary, which gives the same ids for ordinary text in half the time;
+chunks that hold a special token go through the tokenizer itself.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
 
+from cuegrid.llm.bpe import encoding
+
 #: Chunks remembered in a Python worker; beyond it the memory starts anew.
-MEMORY = 400_000
+MEMORY = 600_000
 #: Longer chunks are not remembered.
 LONG = 200
 _BLANK_BEFORE_SPACE = re.compile(r"\s ")
@@ -23,13 +29,21 @@ _SAFE_SPACE = re.compile(r"(?<=[!-~À-ɏ]) ")
 
 
 class ChunkCodec:
-    def __init__(self, path: str, memory: int = MEMORY):
+    def __init__(self, path: str, ranks_path: str, memory: int = MEMORY):
         self.tokenizer = Tokenizer.from_file(path)
+        self.ordinary = encoding(ranks_path).encode_ordinary
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
         self.memory = memory
         self.known: dict[str, bytes] = {}
 
-    def _ids(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+    def _ids(self, chunk: str) -> bytes:
+        if self.special.search(chunk):
+            return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = array("I", self.ordinary(chunk))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
@@ -45,17 +59,16 @@ class ChunkCodec:
             parts[0] = None
         fresh.difference_update(known)
         fresh.discard(None)
-        new = list(fresh)
-        known.update(zip(new, self._ids([" " + c for c in new])))
-        heads = self._ids(first)
-        out = [head + b"".join([known[p] for p in parts[1:]]) for head, parts in zip(heads, cut)]
-        for c in new:
+        for c in fresh:
+            known[c] = self._ids(" " + c)
+        out = [self._ids(head) + b"".join([known[p] for p in parts[1:]]) for head, parts in zip(first, cut)]
+        for c in fresh:
             if len(c) > LONG:
                 del known[c]
         return out
 
 
 @lru_cache(maxsize=2)
-def codec(path: str) -> ChunkCodec:
+def codec(path: str, ranks_path: str) -> ChunkCodec:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker on every core
-    return ChunkCodec(path)
+    return ChunkCodec(path, ranks_path)

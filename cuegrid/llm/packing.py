@@ -22,9 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuegrid.llm.chunk_codec import codec
-from cuegrid.llm.common import texts, written
+from cuegrid.llm.common import slices, texts, written
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 CAPACITY = 1024
 END_ID = 2
 #: Pieces of a shard, on average.
@@ -32,12 +33,12 @@ SHARD = 2048
 ROUNDS = 3
 
 
-def pieces(docs: DataFrame, tokenizer_path: str = BYTE_BPE, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str = BYTE_BPE, ranks_path: str = BYTE_RANKS, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = codec(tokenizer_path), np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        enc, end = codec(tokenizer_path, ranks_path), np.array([end_id], "<u4").tobytes()
+        for b in slices(batches):
             rows = []
             ids = b["doc_id"].to_pylist()
             for doc, raw in zip(ids, enc.encode(b["text"].to_pylist())):
@@ -100,16 +101,10 @@ def _ones_and_twos(items: list[int], lengths: list[int]) -> list[tuple[int, tupl
     return sorted(out.items())
 
 
-def _step(donor: list[int], target: list[int], lengths: list[int], space: int, limit: int = 64):
-    """What to move from donor to target and back, so that target fills most; None if nothing does.
-
-    Bins of very many items offer their ``limit`` longest to the pairs.
-    """
-    by_length = lambda items: sorted(items, key=lambda i: -lengths[i])[:limit]
-    give = _ones_and_twos(by_length(donor), lengths)
-    take = [(0, ()), *_ones_and_twos(by_length(target), lengths)]
+def _step(give: list[tuple[int, tuple]], take: list[tuple[int, tuple]], space: int):
+    """What to move from one bin to another and back, so that the other fills most; None if nothing does."""
     best = None
-    for back, theirs in take:
+    for back, theirs in [(0, ()), *take]:
         found = _largest(give, back, back + space)
         if found and not (len(theirs) == 2 and len(found[1]) == 2):
             gain = found[0] - back
@@ -120,17 +115,31 @@ def _step(donor: list[int], target: list[int], lengths: list[int], space: int, l
     return best
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
-    """Empty the least filled bins into the fuller ones; every step raises the squared fill."""
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int, offer: int = 32) -> list[list[int]]:
+    """Empty the least filled bins into the fuller ones; every step raises the squared fill.
+
+    A bin gives only while the other underfull bins have room for all it holds; past that no
+    sequence of steps empties it. Bins of very many items offer their ``offer`` longest.
+    """
     fill = [sum(lengths[i] for i in b) for b in bins]
+    options: dict[int, list] = {}
+
+    def offers(k: int) -> list[tuple[int, tuple]]:
+        if k not in options:
+            options[k] = _ones_and_twos(sorted(bins[k], key=lambda i: -lengths[i])[:offer], lengths)
+        return options[k]
+
     open_ = sorted((k for k in range(len(bins)) if fill[k] < capacity), key=lambda k: fill[k])
     again = True
     while again:
         again = False
+        room = sum(capacity - fill[k] for k in open_)
         for donor in open_:
+            if fill[donor] > room - (capacity - fill[donor]):
+                break
             for target in reversed(open_):
                 while bins[donor] and target != donor and fill[target] >= fill[donor] and fill[target] < capacity:
-                    step = _step(bins[donor], bins[target], lengths, capacity - fill[target])
+                    step = _step(offers(donor), offers(target), capacity - fill[target])
                     if step is None:
                         break
                     gain, out, back = step
@@ -138,7 +147,11 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> li
                     bins[target] = [i for i in bins[target] if i not in back] + list(out)
                     fill[donor] -= gain
                     fill[target] += gain
+                    options.pop(donor, None)
+                    options.pop(target, None)
                     again = True
+            if not bins[donor]:
+                room -= capacity
         open_ = sorted((k for k in open_ if bins[k] and fill[k] < capacity), key=lambda k: fill[k])
     return [b for b in bins if b]
 

@@ -8,24 +8,24 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuegrid.llm.chunk_codec import codec
-from cuegrid.llm.common import texts
+from cuegrid.llm.common import slices, texts, written
+from cuegrid.llm.packing import BYTE_BPE, BYTE_RANKS
 
 #: Lengths are summed within blocks of so many first, then over the blocks.
 BLOCK = 1024
 
 
-def encoded_lengths(docs: DataFrame, tokenizer_path: str = public_tokenizers.path("byte_bpe_50k.json")) -> DataFrame:
+def encoded_lengths(docs: DataFrame, tokenizer_path: str = BYTE_BPE, ranks_path: str = BYTE_RANKS) -> DataFrame:
     """doc_id, n_tokens of each whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = codec(tokenizer_path)
-        for b in batches:
+        enc = codec(tokenizer_path, ranks_path)
+        for b in slices(batches):
             n = pa.array([len(x) // 4 for x in enc.encode(b["text"].to_pylist())], pa.int64())
             yield pa.RecordBatch.from_arrays([b["doc_id"], n], names=["doc_id", "n_tokens"])
 
@@ -42,6 +42,7 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     there are as many as the longest text has thousands of tokens.
     """
     hist = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")).withColumn("_block", F.floor(F.col("n_tokens") / BLOCK))
+    hist = written(hist, "lengths")
     totals = hist.groupBy("_block").agg(F.sum("n_docs").alias("_docs"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("_tokens"))
     over = Window.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
     all_rows = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
