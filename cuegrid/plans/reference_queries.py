@@ -1 +1,691 @@
-"""Registered queries of the reference's own operators."""
+"""Registered queries of the operators over the fixture views, with DuckDB SQL where SQL can say it."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cuegrid.functions.text import bad_target
+from cuegrid.operators import audio, cues, frames, jobs, masks, memo, protocol, segments, selection
+from cuegrid.plans.registry import query
+from cuegrid.plans.views import view as v
+from cuegrid.plans.views import with_views
+from cuegrid.sources import subtitles, tables
+
+PRICES = {"hit": 0.02, "miss": 1.0, "output": 2.0}
+_BLANK = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12) || '　'"
+_BAD = "(tr IS NULL OR tr = '' OR tr = '[[未译]]' OR regexp_matches(tr, 'the request was rejected|\\[\\[.+\\]\\]'))"
+_OK = "(dst IS NOT NULL AND dst <> '' AND dst <> '[[未译]]')"
+
+
+def q(name: str, sql: str | None = None):
+    return query(name, with_views(sql) if sql else None)
+
+
+# ---- cues and segments
+
+
+@q(
+    "a1_merge_cues",
+    f"""
+WITH l AS (SELECT *, trim(text, {_BLANK}) AS b, lag(trim(text, {_BLANK})) OVER w AS a, lag(start_s) OVER w AS ps, lag(end_s) OVER w AS pe FROM v_cues WINDOW w AS (PARTITION BY item_id ORDER BY pos)),
+f AS (SELECT *, CASE WHEN ps IS NULL OR a = '' OR b = '' THEN 0 WHEN (CASE WHEN pe <> 0 AND start_s <> 0 THEN start_s - pe ELSE start_s - ps END) > 3 THEN 0
+  WHEN starts_with(b, a) OR starts_with(a, b) OR ends_with(b, a) OR (length(b) <= 12 AND NOT contains(b, chr(10)) AND ends_with(a, b)) THEN 1 ELSE 0 END AS m,
+  coalesce(a <> '' AND length(a) <= 12 AND NOT contains(a, chr(10)), false) AS named FROM l),
+r AS (SELECT *, CASE WHEN m = 0 THEN 0 WHEN NOT named THEN 1 END AS rs FROM f),
+t AS (SELECT *, sum(CASE WHEN rs IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY pos) AS tg, count(rs) OVER (PARTITION BY item_id ORDER BY pos) AS blk FROM r),
+u AS (SELECT *, (first_value(rs) OVER (PARTITION BY item_id, blk ORDER BY pos) + tg - first_value(tg) OVER (PARTITION BY item_id, blk ORDER BY pos)) % 2 AS merged FROM t),
+g AS (SELECT *, sum(1 - merged) OVER (PARTITION BY item_id ORDER BY pos) AS grp FROM u)
+SELECT item_id, count(*) AS n_groups, sum(n) AS n_cues, sum(e - s) AS seconds FROM (SELECT item_id, grp, count(*) AS n, min_by(start_s, pos) AS s, max_by(end_s, pos) AS e FROM g GROUP BY item_id, grp) GROUP BY item_id""",
+)
+def a1(spark, d):
+    merged = cues.merge_cues(v(spark, d, "v_cues"))
+    return merged.groupBy("item_id").agg(F.count("*").alias("n_groups"), F.sum("n").alias("n_cues"), F.sum(F.col("end_s") - F.col("start_s")).alias("seconds"))
+
+
+@q("a1_merged_texts")
+def a1_texts(spark, d):
+    return cues.merge_cues(v(spark, d, "v_cues"))
+
+
+@q("a2_build_segments")
+def a2(spark, d):
+    return segments.build_segments(v(spark, d, "v_frame_obs"), 0.5)
+
+
+@q(
+    "a2_islands",
+    r"""
+WITH k AS (SELECT item_id, frame_idx, t_s, regexp_replace(text, '\s+', '', 'g') AS text FROM v_frame_obs), n AS (SELECT * FROM k WHERE text <> ''),
+b AS (SELECT *, CASE WHEN coalesce(t_s > (lag(t_s) OVER w + 0.5) + 0.75, true) THEN 1 ELSE 0 END AS broken, lag(text) OVER w AS pt FROM n WINDOW w AS (PARTITION BY item_id ORDER BY frame_idx)),
+i AS (SELECT *, sum(broken) OVER w AS island, sum(CASE WHEN broken = 1 OR pt <> text THEN 1 ELSE 0 END) OVER w AS run FROM b WINDOW w AS (PARTITION BY item_id ORDER BY frame_idx))
+SELECT item_id, island, count(DISTINCT run) AS runs, CAST(min(t_s) AS DOUBLE) AS first_s, CAST(max(t_s) AS DOUBLE) AS last_s FROM i GROUP BY item_id, island""",
+)
+def a2_islands(spark, d):
+    return segments.islands(v(spark, d, "v_frame_obs"), 0.5).groupBy("item_id", "island").agg(F.count("*").alias("runs"), F.min("t_s").alias("first_s"), F.max("last_s").alias("last_s"))
+
+
+@q("a4_merge_quotes", "SELECT item_id, pos AS seg_no, CAST(start_s AS DOUBLE) AS start_s, CAST(end_s AS DOUBLE) AS end_s, text FROM v_cues")
+def a4(spark, d):
+    # The corpus has no corner brackets: every row must come through unchanged.
+    rows = v(spark, d, "v_cues").withColumn("seg_no", F.col("pos"))
+    out = segments.merge_quotes(rows, 0.5)
+    first = rows.groupBy("item_id").agg(F.min("pos").alias("_p"))
+    return out.join(first, "item_id").select("item_id", (F.col("seg_no") + F.col("_p")).cast("int").alias("seg_no"), "start_s", "end_s", "text")
+
+
+@q("a16_sentences")
+def a16(spark, d):
+    return segments.explode_sentences(v(spark, d, "v_texts").select("item_id", "pos", "text"))
+
+
+@q("a17_long_plan")
+def a17_plan(spark, d):
+    return segments.long_plan(v(spark, d, "v_texts"), v(spark, d, "v_memo"))
+
+
+@q("a17_long_assemble")
+def a17(spark, d):
+    return segments.long_assemble(v(spark, d, "v_texts"), v(spark, d, "v_memo"))
+
+
+def _as_segments(spark, d):
+    return v(spark, d, "v_texts").select("item_id", F.col("pos").alias("seg_no"), F.col("pos").cast("double").alias("start_s"), (F.col("pos") + 2.5).cast("double").alias("end_s"), "text", "tr")
+
+
+@q("a18_expand_segments")
+def a18(spark, d):
+    return segments.expand_segments(_as_segments(spark, d), v(spark, d, "v_memo"))
+
+
+@q("a22_collapse_segments")
+def a22(spark, d):
+    return segments.collapse_segments(segments.expand_segments(_as_segments(spark, d), v(spark, d, "v_memo")))
+
+
+# ---- frames
+
+
+@q("a5_seq_diff", "WITH p AS (SELECT *, lag(sig) OVER (PARTITION BY item_id ORDER BY frame_idx) AS ps FROM v_sig) SELECT item_id, frame_idx, CASE WHEN ps IS NULL THEN -1.0 ELSE round(list_sum(list_transform(list_zip(sig, ps), lambda x: abs(CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)))) / len(sig), 6) END AS diff FROM p")
+def a5(spark, d):
+    out = frames.seq_diff(v(spark, d, "v_sig"))
+    return out.withColumn("diff", F.when(F.col("diff") == float("inf"), -1.0).otherwise(F.round("diff", 6)))
+
+
+@q("a6_seq_overlap")
+def a6(spark, d):
+    return frames.seq_overlap(v(spark, d, "v_sig"))
+
+
+@q("a7_spans")
+def a7(spark, d):
+    return frames.spans(frames.seq_diff(v(spark, d, "v_sig")), 0.14)
+
+
+@q("a8_spans_replaced")
+def a8(spark, d):
+    sig = v(spark, d, "v_sig").withColumn("sig", F.transform("sig", lambda x: F.greatest(x * 1000, F.lit(0.0))))
+    return frames.spans(frames.seq_diff(sig), 140.0, replaced=frames.replacements(sig))
+
+
+@q("a9_merge_spans")
+def a9(spark, d):
+    sig = v(spark, d, "v_sig").withColumn("sig", F.transform("sig", lambda x: F.greatest(x * 100, F.lit(0.0))))
+    return frames.merge_spans(frames.spans(frames.seq_diff(sig), 9.0), sig)
+
+
+@q(
+    "a10_strip_static",
+    """
+WITH w AS (SELECT doc_id % 20 AS item_id, doc_id AS pos, unnest(string_split(substring(text, 1, 200), ' ')) AS feature FROM documents),
+n AS (SELECT item_id, count(DISTINCT pos) AS n FROM w GROUP BY item_id), c AS (SELECT item_id, feature, count(DISTINCT pos) AS k FROM w GROUP BY item_id, feature),
+s AS (SELECT c.item_id, c.feature FROM c JOIN n USING (item_id) WHERE n >= 2 AND k > 0.3 * n)
+SELECT item_id, count(*) AS kept FROM w WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.item_id = w.item_id AND s.feature = w.feature) GROUP BY item_id""",
+)
+def a10(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    words = docs.select((F.col("doc_id") % 20).alias("item_id"), F.col("doc_id").alias("pos"), F.explode(F.split(F.substring("text", 1, 200), " ")).alias("feature"))
+    return frames.strip_static(words, 0.3).groupBy("item_id").agg(F.count("*").alias("kept"))
+
+
+_PROFILE = "SELECT CAST(l_suppkey % 20 AS INT) AS item_id, CAST(l_partkey % 400 AS INT) AS y, count(*) AS n FROM lineitem GROUP BY 1, 2"
+
+
+@q("a15_bands", f"WITH p AS ({_PROFILE}), l AS (SELECT *, CASE WHEN coalesce(y - lag(y) OVER (PARTITION BY item_id ORDER BY y) > 2, true) THEN 1 ELSE 0 END AS f FROM p WHERE n >= (SELECT avg(n) FROM p)), b AS (SELECT *, sum(f) OVER (PARTITION BY item_id ORDER BY y) AS k FROM l) SELECT item_id, min(y) AS y0, max(y) + 1 AS y1 FROM b GROUP BY item_id, k HAVING max(y) + 1 - min(y) >= 4")
+def a15(spark, d):
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    profile = li.groupBy((F.col("l_suppkey") % 20).cast("int").alias("item_id"), (F.col("l_partkey") % 400).cast("int").alias("y")).agg(F.count("*").alias("n"))
+    mean = profile.agg(F.avg("n").alias("_mean"))
+    loud = profile.join(F.broadcast(mean)).withColumn("n", (F.col("n") >= F.col("_mean")).cast("int")).drop("_mean")
+    return frames.bands(loud, 1)
+
+
+@q("a20_pack_frames", "SELECT item_id, frame_idx, CAST(floor((row_number() OVER (PARTITION BY item_id ORDER BY frame_idx) - 1) / greatest(1, least(15, floor((3100 - 44) / (300 + 44))))) AS BIGINT) AS batch_no FROM v_sig")
+def a20(spark, d):
+    return frames.pack_frames(v(spark, d, "v_sig").select("item_id", "frame_idx", F.lit(300).alias("h"))).select("item_id", "frame_idx", F.col("batch_no").cast("long").alias("batch_no"))
+
+
+@q("a21_spans_to_frames", "SELECT item_id, frame_idx FROM v_sig")
+def a21(spark, d):
+    # Spans cover their item from the first changed frame on, so every frame comes back.
+    return frames.spans_to_frames(frames.spans(frames.seq_diff(v(spark, d, "v_sig")), 0.14)).select("item_id", F.col("frame_idx").cast("long").alias("frame_idx"))
+
+
+@q("g10_savings")
+def g10(spark, d):
+    sig = v(spark, d, "v_sig").select("item_id", "frame_idx", "sig")
+    return frames.savings(sig, frames.spans(frames.seq_diff(sig), 0.14))
+
+
+# ---- audio
+
+
+_WIN = "win AS (SELECT item_id, floor(t_s / 0.25) AS w, 10 * log10(avg(pow(10.0, CAST(db AS DOUBLE) / 10))) AS db FROM v_loud GROUP BY 1, 2)"
+
+
+@q("a11_loudness_windows", f"WITH {_WIN} SELECT item_id, CAST(w AS BIGINT) AS w, round(db, 6) AS db FROM win")
+def a11(spark, d):
+    return audio.loudness_windows(v(spark, d, "v_loud")).select("item_id", "w", F.round("db", 6).alias("db"))
+
+
+@q("g6_otsu")
+def g6(spark, d):
+    return audio.otsu(audio.loudness_windows(v(spark, d, "v_loud")))
+
+
+@q("a12_speech_segments")
+def a12(spark, d):
+    w = audio.loudness_windows(v(spark, d, "v_loud"))
+    return audio.speech_segments(w, audio.otsu(w))
+
+
+_CUTS = "cuts AS (SELECT item_id, start_s, end_s FROM v_masks WHERE effect = 'cut'), bounds AS (SELECT DISTINCT item_id, 0.0 AS t0, 610.0 AS t1 FROM v_masks)"
+
+
+@q(
+    "u3_complement",
+    f"""WITH {_CUTS}, r AS (SELECT c.item_id, start_s, end_s, greatest(t0, coalesce(max(end_s) OVER (PARTITION BY c.item_id ORDER BY start_s, end_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), t0)) AS reach, t1 FROM cuts c JOIN bounds USING (item_id)),
+o AS (SELECT item_id, reach AS start_s, least(start_s, t1) AS end_s FROM r UNION ALL SELECT b.item_id, greatest(t0, coalesce(m, t0)), t1 FROM bounds b LEFT JOIN (SELECT item_id, max(end_s) AS m FROM cuts GROUP BY item_id) USING (item_id))
+SELECT item_id, CAST(start_s AS DOUBLE) AS start_s, CAST(end_s AS DOUBLE) AS end_s FROM o WHERE start_s < end_s""",
+)
+def u3(spark, d):
+    m = v(spark, d, "v_masks")
+    bounds = m.select("item_id").distinct().select("item_id", F.lit(0.0).alias("t0"), F.lit(610.0).alias("t1"))
+    return audio.complement(m.filter("effect = 'cut'").select("item_id", "start_s", "end_s"), bounds)
+
+
+@q("k4_check_timeline", "WITH l AS (SELECT *, lag(start_s) OVER (PARTITION BY item_id ORDER BY pos) AS p FROM v_cues) SELECT item_id, pos AS seg_no, CASE WHEN p IS NULL AND start_s <> 0 THEN 'first_not_zero' WHEN start_s <= p THEN 'not_increasing' END AS problem FROM l WHERE (p IS NULL AND start_s <> 0) OR start_s <= p")
+def k4(spark, d):
+    return audio.check_timeline(v(spark, d, "v_cues").withColumnRenamed("pos", "seg_no")).drop("start_s")
+
+
+# ---- memo
+
+
+@q("j1_resolve", f"SELECT t.item_id, t.pos, CASE WHEN tr IS NOT NULL AND tr <> '' AND tr <> '[[未译]]' THEN tr ELSE coalesce(m.dst, '') END AS target FROM v_texts t LEFT JOIN (SELECT * FROM v_memo WHERE {_OK}) m ON m.src = t.text")
+def j1(spark, d):
+    return memo.resolve(v(spark, d, "v_texts"), v(spark, d, "v_memo")).select("item_id", "pos", "target")
+
+
+@q("j2_pending", rf"SELECT item_id, text, min(pos) AS pos FROM v_texts WHERE text <> '' AND {_BAD} AND regexp_matches(text, '[\p{{L}}\p{{N}}]') AND text NOT IN (SELECT src FROM v_memo WHERE {_OK}) GROUP BY item_id, text")
+def j2(spark, d):
+    return memo.pending(v(spark, d, "v_texts"), v(spark, d, "v_memo"))
+
+
+@q("j3_backfill", f"SELECT t.item_id, t.pos, CASE WHEN tr IS NULL OR tr = '' OR tr = '[[未译]]' THEN coalesce(m.dst, tr) ELSE tr END AS tr FROM v_texts t LEFT JOIN (SELECT * FROM v_memo WHERE {_OK}) m ON m.src = t.text")
+def j3(spark, d):
+    return memo.backfill(v(spark, d, "v_texts"), v(spark, d, "v_memo")).select("item_id", "pos", "tr")
+
+
+@q("j4_carry_over", "SELECT n.item_id, n.pos, CASE WHEN n.pos % 2 = 0 THEN n.style END AS tr FROM v_cues n")
+def j4(spark, d):
+    c = v(spark, d, "v_cues")
+    old = c.filter("pos % 2 = 0").select("item_id", "pos", (F.col("start_s") + 0.001).alias("start_s"), "end_s", "text", F.col("style").alias("tr"))
+    new = c.select("item_id", "pos", "start_s", "end_s", "text", F.lit(None).cast("string").alias("tr"))
+    return memo.carry_over(new, old).select("item_id", "pos", "tr")
+
+
+@q("j5_todo", "SELECT DISTINCT event_id AS frame_key FROM v_log WHERE NOT (event_id % 3 = 0 AND stage = 'click' AND (event_id % 2 = 0 OR event_id % 5 <> 0))")
+def j5(spark, d):
+    log = v(spark, d, "v_log").select(F.col("event_id").alias("frame_key"), F.col("stage").alias("provider"))
+    known = log.filter("frame_key % 3 = 0").withColumn("v", F.when(F.col("frame_key") % 2 == 0, 1).otherwise(2)).withColumn("text", F.when(F.col("frame_key") % 5 == 0, "").otherwise("x"))
+    return memo.todo(log.select("frame_key").distinct(), known, {"provider": "click"})
+
+
+@q("j6_representatives", "WITH c AS (SELECT doc_id, lang || '-' || (n_chars % 50) AS coarse, substring(text, 1, 20) AS fine FROM documents), k AS (SELECT *, count(*) OVER (PARTITION BY coarse) AS n FROM c) SELECT doc_id, row_number() OVER (PARTITION BY coarse, CASE WHEN n > 1 THEN fine END ORDER BY doc_id) = 1 AS is_first FROM k")
+def j6(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.concat("lang", F.lit("-"), F.col("n_chars") % 50).alias("coarse"), F.substring("text", 1, 20).alias("fine"))
+    return memo.representatives(docs, "coarse", "fine", "doc_id").select("doc_id", "is_first")
+
+
+@q("j7_rule_lookup", "WITH r AS (SELECT DISTINCT term AS key FROM v_glossary), k AS (SELECT key, row_number() OVER (ORDER BY key) AS rank FROM r) SELECT t.pos AS item_id, min_by(k.key, k.rank) AS value FROM v_texts t JOIN k ON contains(t.text, k.key) GROUP BY t.pos")
+def j7(spark, d):
+    rules = v(spark, d, "v_glossary").select(F.col("term").alias("key")).distinct()
+    rules = rules.withColumn("rank", F.row_number().over(memo.Window.orderBy("key"))).withColumn("value", F.col("key"))
+    return memo.rule_lookup(v(spark, d, "v_texts").select(F.col("pos").alias("item_id"), F.col("text").alias("tags")), rules)
+
+
+@q("j8_split_risky", "SELECT pos, EXISTS (SELECT 1 FROM v_glossary g WHERE contains(t.text, g.term)) AS risky FROM v_texts t")
+def j8(spark, d):
+    return memo.split_risky(v(spark, d, "v_texts").select("pos", "text"), v(spark, d, "v_glossary")).select("pos", "risky")
+
+
+@q("j23_forget", "SELECT src, dst FROM v_memo WHERE src NOT IN (SELECT text FROM v_texts WHERE pos % 2 = 0)")
+def j23(spark, d):
+    gone = v(spark, d, "v_texts").filter("pos % 2 = 0").select(F.col("text").alias("src"))
+    return memo.forget(v(spark, d, "v_memo"), gone).select("src", "dst")
+
+
+@q("u1_union_layers", "SELECT layer, term FROM v_glossary UNION ALL SELECT 9 AS layer, word AS term FROM v_words")
+def u1(spark, d):
+    return memo.union_layers(v(spark, d, "v_glossary").select("layer", "term"), v(spark, d, "v_words").select(F.lit(9).cast("long").alias("layer"), F.col("word").alias("term")))
+
+
+@q("u2_except_known", "SELECT DISTINCT text FROM v_texts WHERE text NOT IN (SELECT src FROM v_memo)")
+def u2(spark, d):
+    return memo.except_known(v(spark, d, "v_texts"), v(spark, d, "v_memo"))
+
+
+@q("g1_name_candidates", r"SELECT w AS name, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS w FROM v_texts) WHERE regexp_matches(w, '^[A-Za-rt-z0-9]{1,12}$') AND NOT regexp_matches(w, '[^A-Za-z0-9]') AND NOT starts_with(w, 's') AND NOT ends_with(w, 's') GROUP BY w HAVING count(*) >= 2 ORDER BY n DESC, name LIMIT 30")
+def g1(spark, d):
+    words = v(spark, d, "v_texts").select(F.explode(F.split("text", " ")).alias("text")).filter(F.col("text").rlike("^[A-Za-rt-z0-9]{1,12}$"))
+    return memo.name_candidates(words)
+
+
+@q("g2_echo_ratio", r"SELECT item_id AS batch_id, coalesce(avg(CASE WHEN length(trim(text)) >= 2 AND coalesce(tr, '') <> '' THEN CASE WHEN regexp_replace(text, '\s+', '', 'g') = regexp_replace(tr, '\s+', '', 'g') THEN 1.0 ELSE 0.0 END END), 0.0) AS ratio FROM v_texts GROUP BY item_id")
+def g2(spark, d):
+    return memo.echo_ratio(v(spark, d, "v_texts").select(F.col("item_id").alias("batch_id"), F.col("text").alias("src"), F.col("tr").alias("dst"))).select("batch_id", "ratio")
+
+
+@q("g4_status", rf"WITH p AS (SELECT item_id, count(DISTINCT text) AS missing FROM v_texts WHERE text <> '' AND {_BAD} AND regexp_matches(text, '[\p{{L}}\p{{N}}]') AND text NOT IN (SELECT src FROM v_memo WHERE {_OK}) GROUP BY item_id) SELECT t.item_id, count(*) AS segments, count(DISTINCT CASE WHEN text <> '' THEN text END) AS texts, coalesce(max(missing), 0) AS missing FROM v_texts t LEFT JOIN p USING (item_id) GROUP BY t.item_id")
+def g4(spark, d):
+    return memo.status(v(spark, d, "v_texts"), v(spark, d, "v_memo")).drop("done")
+
+
+@q("g5_inventory", f"SELECT i.item_id, i.item_id % 2 = 0 AS has_video, coalesce(n, 0) > 0 AS has_subtitle, coalesce(u, 0) AS untranslated FROM (SELECT DISTINCT doc_id % 25 AS item_id FROM documents) i LEFT JOIN (SELECT t.item_id, count(*) AS n, count(*) FILTER (WHERE (CASE WHEN tr IS NOT NULL AND tr <> '' AND tr <> '[[未译]]' THEN tr ELSE coalesce(m.dst, '') END) = '') AS u FROM v_texts t LEFT JOIN (SELECT * FROM v_memo WHERE {_OK}) m ON m.src = t.text GROUP BY t.item_id) s USING (item_id)")
+def g5(spark, d):
+    items = spark.read.parquet(f"{d}/documents.parquet").select((F.col("doc_id") % 25).alias("item_id")).distinct().withColumn("has_video", F.col("item_id") % 2 == 0)
+    return memo.inventory(items, v(spark, d, "v_texts"), v(spark, d, "v_memo"))
+
+
+@q("g7_overlay", "SELECT term, max_by(replacement, layer * 1000000 + line_no) AS replacement FROM v_glossary GROUP BY term")
+def g7(spark, d):
+    return memo.overlay(v(spark, d, "v_glossary"))
+
+
+@q("g8_failures", "SELECT text AS src, min(pos) AS pos FROM v_texts WHERE coalesce(tr, '[[未译]]') = '[[未译]]' GROUP BY text")
+def g8(spark, d):
+    return memo.failures(v(spark, d, "v_texts").select(F.col("text").alias("src"), F.col("tr").alias("dst"), "pos"))
+
+
+# ---- masks and boxes
+
+
+_STAB = "FROM v_times t JOIN v_masks m ON m.item_id = t.item_id AND t.t_s BETWEEN m.start_s AND m.end_s"
+
+
+@q("j9_find_words")
+def j9(spark, d):
+    return masks.find_words(v(spark, d, "v_texts"), v(spark, d, "v_words"))
+
+
+@q("j10_active_masks", f"SELECT t.item_id, CAST(t.t_s AS DOUBLE) AS t_s, m.x, m.y, m.effect {_STAB} WHERE effect NOT IN ('mute', 'cut')")
+def j10(spark, d):
+    return masks.active_masks(v(spark, d, "v_times"), v(spark, d, "v_masks")).select("item_id", "t_s", "x", "y", "effect")
+
+
+@q("j11_volume_at", f"SELECT t.item_id, CAST(t.t_s AS DOUBLE) AS t_s, coalesce(p, 1.0) AS volume FROM v_times t LEFT JOIN (SELECT t.item_id, t.t_s, product(CAST(vol AS DOUBLE)) AS p {_STAB} GROUP BY 1, 2) USING (item_id, t_s)")
+def j11(spark, d):
+    return masks.volume_at(v(spark, d, "v_times"), v(spark, d, "v_masks"))
+
+
+@q("j12_cut", f"WITH g AS (SELECT DISTINCT t.item_id, t.t_s {_STAB} WHERE effect = 'cut') SELECT item_id, CAST(t_s AS DOUBLE) AS t_s, (row_number() OVER (PARTITION BY item_id ORDER BY t_s) - 1) / 25.0::DOUBLE AS new_t_s FROM v_times WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.item_id = v_times.item_id AND g.t_s = v_times.t_s)")
+def j12(spark, d):
+    return masks.cut(v(spark, d, "v_times"), v(spark, d, "v_masks"), 25.0)
+
+
+_IOU = "greatest(0, least({a}.x + {a}.w, {b}.x + {b}.w) - greatest({a}.x, {b}.x)) * greatest(0, least({a}.y + {a}.h, {b}.y + {b}.h) - greatest({a}.y, {b}.y))"
+_INTER = _IOU.format(a="p", b="q")
+
+
+def _boxes(spark, d):
+    return v(spark, d, "v_boxes").withColumn("frame_idx", F.expr("frame_idx div 20"))
+
+
+@q("j13_track_edges", f"SELECT item_id, a, b FROM (SELECT p.item_id, p.box_id AS a, q.box_id AS b, {_INTER} AS i, p.w * p.h + q.w * q.h AS s FROM v_boxes p JOIN v_boxes q ON p.item_id = q.item_id AND p.frame_idx = q.frame_idx + 20) WHERE i > 0 AND i >= 0.3 * (s - i)")
+def j13(spark, d):
+    return masks.track_edges(_boxes(spark, d))
+
+
+@q("j14_box_recall")
+def j14(spark, d):
+    m = v(spark, d, "v_masks").filter("effect NOT IN ('mute', 'cut')")
+    return masks.box_recall(m.filter("x % 2 = 0"), m.filter("x % 2 = 1"))
+
+
+@q("j17_lines_to_boxes")
+def j17(spark, d):
+    c = v(spark, d, "v_cues")
+    lines = c.select("item_id", "start_s", F.posexplode(F.split("text", " ")).alias("line_no", "line")).withColumnRenamed("start_s", "t_s")
+    boxes = c.select("item_id", F.col("start_s").alias("t_s"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("box_no")).withColumns({"x": F.lit(0), "y": F.col("box_no") * 30, "w": 60 + F.col("box_no") * 40, "h": F.lit(20)})
+    return masks.lines_to_boxes(lines, boxes)
+
+
+@q("j22_cue_at", "SELECT t.item_id, CAST(t.t_s AS DOUBLE) AS t_s, max(c.pos) AS pos FROM v_times t JOIN v_cues c ON c.item_id = t.item_id AND t.t_s BETWEEN c.start_s AND c.end_s GROUP BY t.item_id, t.t_s")
+def j22(spark, d):
+    return masks.cue_at(v(spark, d, "v_times"), v(spark, d, "v_cues")).select("item_id", "t_s", "pos")
+
+
+@q("j24_word_masks")
+def j24(spark, d):
+    c = v(spark, d, "v_cues").withColumnRenamed("pos", "seg_no")
+    words = v(spark, d, "v_words")
+    at = c.select("item_id", F.explode(masks.sample_times(F.col("start_s"), F.col("end_s"))).alias("t_s"), "text")
+    boxes = at.select("item_id", "t_s", F.lit(0).alias("box_no"), F.lit(100).alias("x"), F.lit(400).alias("y"), (F.char_length("text") * 18).alias("w"), F.lit(20).alias("h"), F.when(F.col("item_id") % 2 == 0, F.col("text")).alias("line"))
+    items = c.groupBy("item_id").agg(F.max("end_s").alias("duration")).withColumns({"width": F.lit(1280), "height": F.lit(720)})
+    return masks.word_masks(c, words, boxes, items)
+
+
+@q("a13_merge_masks")
+def a13(spark, d):
+    return masks.merge_masks(v(spark, d, "v_masks"))
+
+
+@q(
+    "a14_components",
+    f"""WITH e AS (SELECT a, b FROM (SELECT p.box_id AS a, q.box_id AS b, {_INTER} AS i, p.w * p.h + q.w * q.h AS s FROM v_boxes p JOIN v_boxes q ON p.item_id = q.item_id AND p.frame_idx = q.frame_idx + 20) WHERE i > 0 AND i >= 0.3 * (s - i))
+SELECT count(DISTINCT box_id) AS boxes, count(DISTINCT box_id) FILTER (WHERE box_id NOT IN (SELECT a FROM e WHERE a <> b UNION ALL SELECT b FROM e WHERE a <> b)) AS alone FROM v_boxes""",
+)
+def a14_counts(spark, d):
+    b = _boxes(spark, d)
+    tracks = masks.components(masks.track_edges(b), b).groupBy("track").agg(F.count("*").alias("n"))
+    return tracks.agg(F.sum("n").alias("boxes"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("alone"))
+
+
+@q("a14_merge_tracks")
+def a14(spark, d):
+    b = _boxes(spark, d)
+    return masks.merge_tracks(b, masks.track_edges(b), 1.0, 640, 360)
+
+
+# ---- protocol, usage and logs
+
+
+@q(
+    "a19_plan_batches",
+    """WITH r AS (SELECT item_id, pos, row_number() OVER (PARTITION BY item_id ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY item_id) AS n, sum(length(text)) OVER (PARTITION BY item_id) AS c FROM v_texts),
+g AS (SELECT *, CAST(ceil(n / greatest(8, least(32, round_even(16 + (c - 3792) * 8 / 1438.0::DOUBLE, 0)))) AS BIGINT) AS s FROM r)
+SELECT item_id, pos, i // s AS group_no, (i % s) // 20 AS batch_no FROM g""",
+)
+def a19(spark, d):
+    return protocol.plan_batches(v(spark, d, "v_texts").select("item_id", "pos", "text")).select("item_id", "pos", "group_no", "batch_no")
+
+
+def _ocr_rows(spark, d):
+    log = v(spark, d, "v_log")
+    return log.select((F.col("event_id") % 200).alias("batch_id"), F.col("event_id").alias("row_no"), F.when(F.col("event_id") % 7 == 0, (F.col("event_id") % 5).cast("string")).otherwise(F.col("stage")).alias("words"), ((F.col("event_id") * 37) % 900).alias("top"))
+
+
+_OCR = "r AS (SELECT event_id % 200 AS batch_id, event_id AS row_no, CASE WHEN event_id % 7 = 0 THEN CAST(event_id % 5 AS VARCHAR) ELSE stage END AS words, (event_id * 37) % 900 AS top FROM v_log)"
+
+
+@q("j15_attribute_by_marker", f"WITH {_OCR}, m AS (SELECT *, CASE WHEN try_cast(words AS INT) BETWEEN 1 AND 3 THEN CAST(words AS INT) END AS k FROM r), f AS (SELECT *, coalesce(last_value(k IGNORE NULLS) OVER (PARTITION BY batch_id ORDER BY row_no), 0) AS frame_no, count(k) OVER (PARTITION BY batch_id) AS hits FROM m) SELECT batch_id, frame_no, string_agg(words, chr(10) ORDER BY row_no) AS text FROM f WHERE hits > 0 AND k IS NULL GROUP BY batch_id, frame_no")
+def j15(spark, d):
+    rows = _ocr_rows(spark, d)
+    return protocol.attribute_by_marker(rows.drop("top"), rows.select("batch_id").distinct().withColumn("n", F.lit(4)))
+
+
+@q("j16_attribute_by_y", f"WITH {_OCR}, a AS (SELECT *, top - 44 AS y0 FROM r WHERE top >= 44), f AS (SELECT *, y0 % 144 >= 100 AS below, y0 // 144 + CASE WHEN y0 % 144 >= 100 THEN 1 ELSE 0 END AS f FROM a) SELECT batch_id, CAST(least(f, 5) AS BIGINT) AS frame_no, string_agg(words, chr(10) ORDER BY row_no) AS text FROM f WHERE NOT (below AND (regexp_matches(words, '^[0-9]+$') OR f >= 6)) GROUP BY 1, 2")
+def j16(spark, d):
+    rows = _ocr_rows(spark, d)
+    return protocol.attribute_by_y(rows, rows.select("batch_id").distinct().withColumn("n", F.lit(6)), 100)
+
+
+@q("j18_reconcile", "SELECT item_id AS batch_id, idx, text AS src, CASE WHEN item_id % 4 <> 3 THEN 'T' || pos END AS dst FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY pos) AS INT) AS idx FROM v_texts)")
+def j18(spark, d):
+    rows = v(spark, d, "v_texts").withColumn("idx", F.row_number().over(memo.Window.partitionBy("item_id").orderBy("pos"))).withColumn("t", F.concat(F.lit("T"), "pos"))
+    lists = rows.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("idx", "t"))).alias("r"))
+    t = F.transform("r", lambda x: x["t"])
+    numbered = F.array_join(F.transform("r", lambda x: F.concat(x["idx"].cast("string"), F.lit(". "), x["t"])), "\n")
+    kind = F.col("item_id") % 4
+    reply = F.when(kind == 0, numbered).when(kind == 1, F.concat(F.lit("```json\n"), F.to_json(t), F.lit("\n```"))).when(kind == 2, F.array_join(t, "%%")).otherwise(F.concat(F.lit("9999 x\n"), numbered))
+    requests = rows.select(F.col("item_id").alias("batch_id"), "idx", F.col("text").alias("src"))
+    return protocol.reconcile(requests, lists.select(F.col("item_id").alias("batch_id"), reply.alias("reply")))
+
+
+@q("j19_apply_proofread", "SELECT item_id, pos AS seg_no, CASE WHEN pos % 3 = 0 THEN 'new ' || pos ELSE tr END AS tr FROM v_texts")
+def j19(spark, d):
+    s = _as_segments(spark, d)
+    replies = s.filter("seg_no % 3 = 0").select("item_id", "seg_no", F.concat(F.lit("new "), "seg_no").alias("reply"))
+    return protocol.apply_proofread(s, replies)[0].select("item_id", "seg_no", "tr")
+
+
+@q("j20_apply_edits", r"SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY pos) - 1 AS seg_no, CASE WHEN pos % 5 IN (2, 3) THEN regexp_replace(text, '^\s+|\s+$', '', 'g') ELSE text END AS text, CASE WHEN pos % 5 = 2 THEN NULL WHEN pos % 5 = 3 THEN 'edited' ELSE tr END AS tr FROM v_texts WHERE pos % 5 <> 1")
+def j20(spark, d):
+    s = _as_segments(spark, d)
+    tr = F.when(F.col("seg_no") % 5 == 1, "").when(F.col("seg_no") % 5 == 2, "[[未译]]").otherwise("edited")
+    edits = s.filter("seg_no % 5 IN (1, 2, 3)").withColumn("tr", tr)
+    return protocol.apply_edits(s, edits).select("item_id", "seg_no", "text", "tr")
+
+
+@q("j21_unpublished", "SELECT DISTINCT item_id FROM v_texts WHERE item_id % 3 <> 0")
+def j21(spark, d):
+    items = v(spark, d, "v_texts").select("item_id").distinct()
+    return protocol.unpublished(items, items.filter("item_id % 3 = 0"))
+
+
+@q("g3_usage_totals", "SELECT endpoint, count(*) AS calls, CAST(sum(cached_tokens) AS BIGINT) AS hit_tokens, CAST(sum(prompt_tokens - cached_tokens) AS BIGINT) AS miss_tokens, CAST(sum(completion_tokens) AS BIGINT) AS output_tokens, round((sum(cached_tokens) * 0.02 + sum(prompt_tokens - cached_tokens) * 1.0 + sum(completion_tokens) * 2.0) / 1e6, 6) AS cost FROM v_usage GROUP BY endpoint")
+def g3(spark, d):
+    return protocol.usage_totals(v(spark, d, "v_usage"), PRICES, "endpoint")
+
+
+@q("g9_run_summary", "SELECT stage, count(*) FILTER (WHERE event_id % 4 <> 0) AS ok, count(*) FILTER (WHERE event_id % 4 = 0) AS failed FROM v_log GROUP BY stage")
+def g9(spark, d):
+    return protocol.run_summary(v(spark, d, "v_log").withColumn("evt", F.when(F.col("event_id") % 4 == 0, "failed").otherwise("ok")))
+
+
+@q("k5_allocate", "WITH k AS (SELECT call_id, date_trunc('month', ts) AS m, row_number() OVER (PARTITION BY date_trunc('month', ts) ORDER BY ts, call_id) AS k FROM v_usage) SELECT call_id, k, CASE WHEN k <= 100 THEN 'a' WHEN k <= 150 THEN 'b' WHEN k <= 250 THEN 'c' END AS endpoint FROM k")
+def k5(spark, d):
+    quotas = spark.createDataFrame([("a", 1, 100), ("b", 2, 50), ("c", 3, 100)], "endpoint string, priority int, monthly long")
+    return protocol.allocate(v(spark, d, "v_usage"), quotas).select("call_id", "k", "endpoint")
+
+
+# ---- jobs
+
+
+@q("p1_text_variants", r"WITH s AS (SELECT text, count(*) AS n, min(item_id * 100000000 + pos) AS k FROM v_texts GROUP BY text) SELECT regexp_replace(text, '\s+', '', 'g') AS key, CAST(sum(n) AS BIGINT) AS n, count(*) AS spellings, min_by(text, k) AS first_text FROM s GROUP BY 1")
+def p1(spark, d):
+    return jobs.text_variants(v(spark, d, "v_texts"))
+
+
+@q("p2_near_pairs")
+def p2(spark, d):
+    return jobs.near_pairs(v(spark, d, "v_cues"), k=2)
+
+
+@q("p3_quality_audit")
+def p3(spark, d):
+    return jobs.quality_audit(_as_segments(spark, d))
+
+
+@q("p4_clean_targets")
+def p4(spark, d):
+    terms = memo.sorted_terms(memo.overlay(v(spark, d, "v_glossary")).filter("term <> ''"))
+    return jobs.clean_targets(_as_segments(spark, d), terms)[0]
+
+
+@q("p5_clean_pages", "WITH c AS (SELECT page_id, regexp_extract(url, '^([^?#]*)', 1) || CASE WHEN regexp_extract(url, '^[^#]*[?&]v=([^&#]+)', 1) <> '' THEN '?v=' || regexp_extract(url, '^[^#]*[?&]v=([^&#]+)', 1) ELSE '' END || regexp_extract(url, '(#.*)$', 1) AS url FROM v_pages) SELECT min(page_id) AS page_id, url FROM c GROUP BY url")
+def p5(spark, d):
+    return jobs.clean_pages(v(spark, d, "v_pages").select("page_id", "url", "body")).select("page_id", "url")
+
+
+@q("p6_classify_responses", "SELECT code % 3 AS endpoint, CASE WHEN regexp_matches(lower(body), 'access denied|request blocked|waf|captcha') THEN 'blocked' WHEN code >= 500 THEN 'gateway' WHEN code = 403 THEN 'forbidden' WHEN regexp_matches(lower(body), 'insufficient|quota|balance|arrears|exceeded|余额|额度|欠费|充值') THEN 'quota' WHEN code = 429 THEN 'rate_limited' WHEN regexp_matches(lower(body), 'data_inspection_failed|inappropriate content|content_policy|content_filter|content policy|内容审核|内容不合规') THEN 'censored' WHEN regexp_matches(lower(body), '^\\s*(<!doctype|<html)') THEN 'html' ELSE 'other' END AS class, count(*) AS n FROM v_pages GROUP BY 1, 2")
+def p6(spark, d):
+    log = v(spark, d, "v_pages").select(F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ts"), (F.col("code") % 3).alias("endpoint"), "code", "body")
+    return protocol.classify_responses(log).select("endpoint", "class", "n")
+
+
+@q("p7_latest_progress", "SELECT 'u' || item_id AS item, stage, max_by('step ' || (event_id % 100) || '% ' || event_id || '/999', event_id) AS line FROM v_log GROUP BY 1, 2")
+def p7(spark, d):
+    log = v(spark, d, "v_log")
+    line = F.concat(F.lit("\x1b[32mstep: "), F.col("event_id") % 100, F.lit("%|###   | "), F.col("event_id"), F.lit("/999 [00:01]"))
+    return protocol.latest_progress(log.select(F.col("event_id").alias("ts"), F.concat(F.lit("run u"), "item_id").alias("job"), "stage", line.alias("line")))
+
+
+@q("p8_repair_styles", "SELECT item_id, CASE WHEN regexp_matches(color, '^#[0-9A-Fa-f]{6}$') THEN upper(color) ELSE '#FFFFFF' END AS color, greatest(0.0, least(4.0, CAST(outline_width AS DOUBLE))) AS outline_width, CASE WHEN position IN ('top', 'bottom') THEN position ELSE 'bottom' END AS position FROM (SELECT o_orderkey AS item_id, CASE o_orderkey % 3 WHEN 0 THEN '#' || (100000 + o_custkey) WHEN 1 THEN 'red' END AS color, o_custkey % 9 - 2 AS outline_width, CASE o_orderkey % 3 WHEN 0 THEN 'top' WHEN 1 THEN 'left' ELSE 'bottom' END AS position FROM orders)")
+def p8(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    k = F.col("o_orderkey") % 3
+    styles = o.select(F.col("o_orderkey").alias("item_id"), F.when(k == 0, F.concat(F.lit("#"), 100000 + F.col("o_custkey"))).when(k == 1, "red").alias("color"), F.lit("#000000").alias("outline_color"), (F.col("o_custkey") % 9 - 2).cast("double").alias("outline_width"), F.when(k == 0, "top").when(k == 1, "left").otherwise("bottom").alias("position"))
+    return jobs.repair_styles(styles)[0].select("item_id", "color", "outline_width", "position")
+
+
+@q("p9_descriptions", "SELECT pos AS item_id, CASE WHEN pos % 2 = 0 THEN 'even ' || text || ' {other}' || chr(10) ELSE '' END || CASE WHEN coalesce(tr, '') <> '' THEN tr || chr(10) || chr(10) ELSE '' END || 'u' || pos AS text FROM v_texts")
+def p9(spark, d):
+    info = v(spark, d, "v_texts").select(F.col("pos").alias("item_id"), (F.col("pos") % 2).cast("int").alias("kind"), F.col("text").alias("title"), F.lit("").alias("uploader"), F.lit("").alias("date"), F.col("tr").alias("desc"), F.concat(F.lit("u"), "pos").alias("url"))
+    templates = spark.createDataFrame([(0, "even {title} {other}")], "kind int, template string")
+    return jobs.descriptions(info, templates)
+
+
+@q("p10_retime", "SELECT item_id, pos, greatest(round(CAST(start_s AS DOUBLE) - 3.5, 2), 0) AS start_s, greatest(round(CAST(end_s AS DOUBLE) - 3.5, 2), 0) AS end_s FROM v_cues WHERE start_s >= 2 AND item_id % 2 = 0 UNION ALL SELECT item_id, pos, round(CAST(start_s AS DOUBLE), 2), round(CAST(end_s AS DOUBLE), 2) FROM v_cues WHERE item_id % 2 = 1")
+def p10(spark, d):
+    c = v(spark, d, "v_cues")
+    offsets = c.select("item_id").distinct().filter("item_id % 2 = 0").select("item_id", F.lit(-3.5).alias("shift_s"), F.lit(2.0).alias("from_s"), F.lit(None).cast("double").alias("to_s"))
+    return jobs.retime(c, offsets).select("item_id", "pos", "start_s", "end_s")
+
+
+@q("p11_find_replace", "SELECT item_id, CAST(sum((length(text) - length(replace(text, 'the', ''))) // 3 + coalesce((length(tr) - length(replace(tr, 'the', ''))) // 3, 0)) AS BIGINT) AS hits FROM v_texts GROUP BY item_id HAVING hits > 0")
+def p11(spark, d):
+    return jobs.find_replace(v(spark, d, "v_texts"), "the", "THE", in_source=True)[1]
+
+
+# ---- selection
+
+
+@q("k1_pick_formats", "WITH s AS (SELECT *, coalesce(CAST(filesize AS DOUBLE), CAST(tbr AS DOUBLE) * 125 * duration) AS size, CASE WHEN height = 480 AND NOT lowest THEN 1 WHEN height = 480 THEN 2 WHEN height >= 480 AND NOT lowest THEN 3 WHEN height >= 480 THEN 4 ELSE 5 END AS tier FROM v_formats) SELECT video_id, format_no, tier FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY tier, size, format_no) AS k FROM s) WHERE k = 1")
+def k1(spark, d):
+    return selection.pick_formats(v(spark, d, "v_formats"), "480p").select("video_id", "format_no", "tier")
+
+
+@q("k2_pick_file", "WITH f AS (SELECT CAST(item_id AS VARCHAR) AS item_id, CASE pos % 3 WHEN 0 THEN item_id || '.masked.mp4' WHEN 1 THEN item_id || '.mp4' ELSE 'a' || pos || '.mp4' END AS name FROM v_texts WHERE NOT (item_id % 2 = 0 AND pos % 3 = 0)) SELECT item_id, name FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN contains(name, '.masked.') THEN 1 WHEN starts_with(name, item_id || '.') THEN 2 ELSE 3 END, name) AS k FROM f) WHERE k = 1")
+def k2(spark, d):
+    t = v(spark, d, "v_texts").filter("NOT (item_id % 2 = 0 AND pos % 3 = 0)").withColumn("item_id", F.col("item_id").cast("string"))
+    name = F.when(F.col("pos") % 3 == 0, F.concat("item_id", F.lit(".masked.mp4"))).when(F.col("pos") % 3 == 1, F.concat("item_id", F.lit(".mp4"))).otherwise(F.concat(F.lit("a"), "pos", F.lit(".mp4")))
+    return selection.pick_file(t.select("item_id", name.alias("name")))
+
+
+# ---- sources and sinks: rendered files read back
+
+
+def _files(spark, d, fmt):
+    c = v(spark, d, "v_cues").withColumns({"text": F.btrim(F.regexp_replace("text", r"\s+", " ")), "raw_time": F.lit(None).cast("string"), "sep": F.lit(" "), "fields": F.lit(None).cast("array<string>")})
+    out = {"srt": subtitles.to_srt, "txt": subtitles.to_txt, "ass": subtitles.to_ass}[fmt](c.filter("text <> ''"))
+    return out.withColumnRenamed("item_id", "file_id")
+
+
+_ROUND_TRIP = "SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY pos) AS n, CAST(start_s AS DOUBLE) AS start_s, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM v_cues WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''"
+
+
+def _read_back(df):
+    n = F.row_number().over(memo.Window.partitionBy("item_id").orderBy("pos"))
+    return df.select("item_id", n.alias("n"), "start_s", "text")
+
+
+@q("s3_s15_srt_round_trip", _ROUND_TRIP)
+def s3(spark, d):
+    return _read_back(subtitles.read_srt(_files(spark, d, "srt")))
+
+
+@q("s4_s17_ass_round_trip", _ROUND_TRIP)
+def s4(spark, d):
+    return _read_back(subtitles.read_ass(_files(spark, d, "ass")))
+
+
+@q("s5_s16_txt_round_trip", _ROUND_TRIP)
+def s5(spark, d):
+    return _read_back(subtitles.read_txt(_files(spark, d, "txt")))
+
+
+@q("s1_detect_charset", "SELECT doc_id AS file_id, text FROM documents WHERE lang IN ('en', 'de', 'fr', 'es')")
+def s1(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").filter("lang IN ('en', 'de', 'fr', 'es')")
+    # A byte order mark makes European text certain.
+    return subtitles.detect_charset(docs.select(F.col("doc_id").alias("file_id"), F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8")).alias("content"))).select("file_id", "text")
+
+
+@q("s2_detect_format", "SELECT doc_id % 3 AS kind, count(*) AS n FROM documents GROUP BY 1")
+def s2(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    k = F.col("doc_id") % 3
+    made = docs.select(F.when(k == 0, F.concat(F.lit("[Events]\nDialogue: "), F.regexp_replace("text", "-->", ""))).when(k == 1, F.concat("text", F.lit("\n00:00:01,000 --> 00:00:02,000\n"))).otherwise(F.regexp_replace("text", "-->", "")).alias("text"))
+    kind = F.when(F.col("fmt") == "ass", 0).when(F.col("fmt") == "srt", 1).otherwise(2).cast("long")
+    return subtitles.detect_format(made).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+@q("s20_convert", "SELECT conv_id AS item_id, count(*) AS n FROM conversations GROUP BY 1")
+def s20(spark, d):
+    first = v(spark, d, "v_cues").filter("pos % 3 = 2").withColumns({"text": F.concat(F.lit("t"), "pos"), "raw_time": F.lit(None).cast("string"), "sep": F.lit(" "), "fields": F.lit(None).cast("array<string>")})
+    srt = subtitles.to_srt(first).withColumnRenamed("item_id", "file_id")
+    ass = subtitles.convert(srt, "ass").withColumnRenamed("item_id", "file_id")
+    return subtitles.read_cues(ass).groupBy("item_id").agg(F.count("*").alias("n"))
+
+
+@q("s21_import_cues")
+def s21(spark, d):
+    return cues.import_cues(_files(spark, d, "srt"), with_layout=True)
+
+
+@q("s8_segment_files", "SELECT item_id, pos AS seg_no, text FROM v_texts")
+def s8(spark, d):
+    files = tables.to_segment_files(_as_segments(spark, d).withColumn("tr", F.lit(None).cast("string")))
+    first = _as_segments(spark, d).select("item_id", "seg_no", F.row_number().over(memo.Window.partitionBy("item_id").orderBy("seg_no")).alias("_k"))
+    back = tables.read_segments(files).select("item_id", (F.col("seg_no") + 1).alias("_k"), "text")
+    return back.join(first, ["item_id", "_k"]).select("item_id", "seg_no", "text")
+
+
+@q("s9_read_glossary", "SELECT DISTINCT trim(term) AS term, replacement FROM v_glossary WHERE trim(term) <> '' AND NOT starts_with(trim(term), '#') AND NOT contains(term, chr(10))")
+def s9(spark, d):
+    g = v(spark, d, "v_glossary").filter(~F.contains("term", F.lit("\n")))
+    texts = g.select(F.col("line_no").alias("file_id"), F.concat(F.col("term"), F.lit("\t"), F.col("replacement")).alias("text"))
+    return tables.read_glossary(texts).select("term", "replacement").distinct()
+
+
+@q("s10_read_words", "SELECT DISTINCT trim(word) AS word FROM v_words WHERE trim(word) <> '' AND NOT starts_with(trim(word), '#') AND NOT contains(word, chr(10))")
+def s10(spark, d):
+    w = v(spark, d, "v_words").filter(~F.contains("word", F.lit("\n"))).agg(F.array_join(F.array_sort(F.collect_list("word")), "\n").alias("text"))
+    files = w.select(F.lit("b").alias("file_id"), F.lit(2).alias("priority"), "text").unionByName(w.select(F.lit("a").alias("file_id"), F.lit(1).alias("priority"), F.lit("# none\n").alias("text")))
+    return tables.read_words(files)
+
+
+@q("s11_read_info", "SELECT pos AS item_id, 'u' || pos AS url, 'T' || pos AS title, 'line one' || chr(10) || 'line ' || pos AS \"desc\" FROM v_texts")
+def s11(spark, d):
+    t = v(spark, d, "v_texts")
+    text = F.concat(F.lit("u"), "pos", F.lit("\n标题: T"), "pos", F.lit("\n作者: a\n日期: 2024-01-01\n简介: line one\nline "), "pos", F.lit("\n标签: x, y\n"))
+    return tables.read_info(t.select(F.col("pos").alias("file_id"), text.alias("text"))).select("item_id", "url", "title", "desc")
+
+
+@q("s12_mask_files", "SELECT item_id, CAST(start_s AS DOUBLE) AS start_s, x, CAST(vol AS DOUBLE) AS vol FROM v_masks")
+def s12(spark, d):
+    return tables.read_masks(tables.to_mask_files(v(spark, d, "v_masks"))).select("item_id", "start_s", F.col("x").cast("long").alias("x"), "vol")
+
+
+@q("s13_read_run_log", "SELECT stage, count(*) AS n FROM v_log GROUP BY stage")
+def s13(spark, d):
+    line = F.concat(F.lit("["), F.col("ts").cast("string"), F.lit('] {"stage": "'), "stage", F.lit('", "evt": "ok"}'))
+    return tables.read_run_log(v(spark, d, "v_log").select(F.col("event_id").alias("file_id"), line.alias("text"))).groupBy("stage").agg(F.count("*").alias("n"))
+
+
+@q("s14_read_jobs", "SELECT CASE WHEN event_id % 2 = 0 THEN 'run' ELSE 'download' END AS command, count(*) AS n FROM v_log WHERE event_id % 5 <> 0 GROUP BY 1")
+def s14(spark, d):
+    k = F.col("event_id")
+    line = F.when(k % 5 == 0, "# off").when(k % 2 == 0, F.concat(F.lit("run sm"), k)).otherwise(F.concat(F.lit("sm"), k, F.lit(" # later")))
+    return tables.read_jobs(v(spark, d, "v_log").select(k.alias("file_id"), line.alias("text"))).groupBy("command").agg(F.count("*").alias("n"))
+
+
+@q("s18_s19_captions", "SELECT item_id, count(*) AS n FROM v_texts WHERE trim(text) <> '' GROUP BY item_id")
+def s18(spark, d):
+    return tables.captions_to_cues(tables.to_captions(_as_segments(spark, d))).groupBy("item_id").agg(F.count("*").alias("n"))
+
+
+@q("b13_bad_targets", f"SELECT item_id, count(*) FILTER (WHERE {_BAD}) AS bad FROM v_texts GROUP BY item_id")
+def b13(spark, d):
+    return v(spark, d, "v_texts").groupBy("item_id").agg(F.count_if(bad_target(F.col("tr"))).alias("bad"))
