@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuegrid.llm import bpe, classifier, line_dedup, packing, rules, secrets, simhash, token_counts, topk
+from cuegrid.llm import bpe, classifier, katz, line_dedup, packing, rules, secrets, simhash, token_counts, topk
 from cuegrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,9 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "evidence", "host_rate", "path_rate", "posterior", "kept")
+
+
+@query
+def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return katz.score(katz.fit(docs), docs)
