@@ -65,7 +65,7 @@ def layout(c: Column, space: bool = True, newline: bool = True) -> Column:
     """Blanks and newlines to \\N outside {} tags; none at the ends."""
     blanks = r"[ \t\r\n]+" if space and newline else r"[ \t]+" if space else r"\r?\n+"
     tokens = F.regexp_extract_all(c, F.lit(r"(?s)(\{[^}]*\}|[^{]+|\{)"), F.lit(1))
-    out = F.array_join(F.transform(tokens, lambda t: F.when(t.rlike(r"^\{[^}]*\}$"), t).otherwise(F.regexp_replace(t, blanks, r"\\\\N"))), "")
+    out = F.array_join(F.transform(tokens, lambda t: F.when(t.rlike(r"^\{[^}]*\}$"), t).otherwise(F.regexp_replace(t, blanks, r"\\N"))), "")
     return F.regexp_replace(out, r"^(?:\\N)+|(?:\\N)+$", "")
 
 
