@@ -41,7 +41,7 @@ TOP = 1_000_000
 #: Histories, and pairs, broadcast at most.
 MOST_HOT = 4_000_000
 #: Tokens of the documents that a task takes together.
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 START = -1
 NO_ID = -(1 << 63)
 _END = b"\n"  # no word holds it
