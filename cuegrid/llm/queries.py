@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuegrid.llm import bpe, classifier, katz, line_dedup, packing, rules, secrets, simhash, token_counts, topk
+from cuegrid.llm import bpe, classifier, katz, line_dedup, oracles, packing, rules, secrets, simhash, token_counts, topk
 from cuegrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_topk": oracles.TOP_K, "op8_rules": oracles.RULES}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):

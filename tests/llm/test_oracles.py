@@ -1,0 +1,24 @@
+"""Queries against their DuckDB SQL."""
+
+import duckdb
+import pytest
+
+from cuegrid.llm.queries import ORACLES, QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_oracle(spark, name):
+    c = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    found = c.execute(ORACLES[name])
+    columns = [x[0] for x in found.description]
+    df = QUERIES[name](spark, SF)
+    assert sorted(columns) == sorted(df.columns)
+    assert sorted(found.fetchall()) == sorted(tuple(r[k] for k in columns) for r in df.collect())
+
+
+def test_a_query_for_each_operator():
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
