@@ -2,8 +2,9 @@
 
 Evidence of a document: the log likelihood ratios (rejected against accepted) of the features
 present in its whole text put together, learned from a bounded sample of labelled documents
-(``sample``, those of the least hash of the id) and shrunk by two standard errors, so that
-chance features weigh nothing. Against the global prior it gives the document's own
+(``sample``, those of the least hash of the id; of copies, exact or near, one is learned from).
+A feature's rate of rejection counts by the bound of its Wilson interval that is nearer to the
+prior, three standard errors wide, so that chance features weigh nothing. Against the global prior it gives the document's own
 probability; summed by host, these shrink towards the prior, and by path towards the host, as
 strongly as the spread between hosts warrants (method of moments). The posterior joins the
 evidence to the rate of the document's path, without its own share.
@@ -19,8 +20,10 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuegrid.llm.common import slices
@@ -29,6 +32,8 @@ from cuegrid.llm.common import slices
 SAMPLE = 20_000
 #: A feature is learned if it occurs in so many of them.
 MIN_DOCS = 5
+#: Standard errors of the interval of a feature's rate.
+ERRORS = 3
 #: Features kept, those of the largest weight first.
 MAX_FEATURES = 50_000
 REJECT = 0.5
@@ -48,9 +53,11 @@ def features(text: str) -> set[str]:
     found |= {w[:5] + "~" for w in found if len(w) > 5}
     upper = sum(k for w, k in tally.items() if len(w) > 1 and w.isupper())
     lines = [x for x in text.split("\n") if x]
+    top = 20 * max(tally.values(), default=0) // max(n, 40)
     shape = {
-        "repeats": 10 * (n - len(tally)) // n,
-        "top": 20 * max(tally.values(), default=0) // n,
+        # Within 100 words each time, since long texts come to repeat most of their words.
+        "repeats": 10 * (n - sum(len(set(raw[k : k + 100])) for k in range(0, n, 100))) // n,
+        "top": top if top > 3 else 0,  # common words reach a tenth or more of a short text
         "symbols": min(20, 20 * len(_SYMBOL.findall(text)) // n),
         "upper": 5 * upper // n,
         "marks": min(10, 5 * text.count("!") // n),
@@ -60,12 +67,29 @@ def features(text: str) -> set[str]:
     return found | {f" {k} {v}" for k, v in shape.items()}
 
 
+def _least_hashes(text: str) -> list[int]:
+    """Three min-hashes of the text's windows of three words; near copies share most of them."""
+    w = text.lower().split()
+    h = np.fromiter((xxhash.xxh64_intdigest(" ".join(w[k : k + 3])) for k in range(max(1, len(w) - 2))), np.uint64)
+    return [int((h * np.uint64(odd) + np.uint64(odd >> 3)).min() >> np.uint64(1)) for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """text, bad of the sample; the ids and labels broadcast are ``size`` rows at most."""
+    """text, bad of the sample, one of each set of copies; the ids and labels broadcast are ``size`` rows at most."""
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
     known = known.groupBy("doc_id").agg(F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("bad"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id").select("text", "bad")
+    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield b.append_column("hashes", pa.array([_least_hashes(t.as_py()) for t in b["text"]], pa.list_(pa.int64())))
+
+    rows = sample.mapInArrow(run, sample.withColumn("hashes", F.array().cast("array<long>")).schema)
+    for k in range(3):
+        first = F.row_number().over(Window.partitionBy(F.get("hashes", F.lit(k))).orderBy("doc_id", F.xxhash64("text")))
+        rows = rows.withColumn("_first", first).filter("_first = 1").drop("_first")
+    return rows.select("text", "bad")
 
 
 def learn(sample: DataFrame, min_docs: int = MIN_DOCS, max_features: int = MAX_FEATURES) -> tuple[dict[str, float], float]:
@@ -86,9 +110,13 @@ def learn(sample: DataFrame, min_docs: int = MIN_DOCS, max_features: int = MAX_F
         total = counts.filter("feature = ' all'").first()
         if total is None or not total.good or not total.bad:
             return {}, 0.0
-        ratio = F.log((F.col("bad") + 0.5) / (total.bad + 1)) - F.log((F.col("good") + 0.5) / (total.good + 1))
-        error = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-        weight = F.signum(ratio) * F.greatest(F.abs(ratio) - 2 * error, F.lit(0.0))
+        prior = total.bad / (total.good + total.bad)
+        n, k = F.col("good") + F.col("bad"), F.col("bad")
+        z2 = float(ERRORS**2)
+        half = ERRORS * F.sqrt(k * (n - k) / n + z2 / 4)
+        low, high = (k + z2 / 2 - half) / (n + z2), (k + z2 / 2 + half) / (n + z2)
+        rate = F.when(low > prior, low).when(high < prior, high).otherwise(prior)
+        weight = _odds(rate) - _odds(F.lit(prior))
         kept = counts.filter("feature <> ' all'").select("feature", weight.alias("weight")).filter(F.abs("weight") > 0.1).orderBy(F.desc(F.abs("weight")), "feature").limit(max_features)
         return {r.feature: r.weight for r in kept.collect()}, float(sample.sparkSession.range(1).select(F.log(F.lit(total.bad / total.good))).first()[0])
     finally:
@@ -97,9 +125,9 @@ def learn(sample: DataFrame, min_docs: int = MIN_DOCS, max_features: int = MAX_F
 
 def evidence(found: list[float]) -> float:
     """The weights of a document put together. Features overlap and copies share them, so each
-    further one against the document counts half as much as the one before."""
+    further one against the document counts six tenths of the one before."""
     against = sorted((w for w in found if w > 0), reverse=True)
-    return sum(w * 0.5**k for k, w in enumerate(against)) + max(MOST_GOOD, sum(w for w in found if w < 0))
+    return sum(w * 0.6**k for k, w in enumerate(against)) + max(MOST_GOOD, sum(w for w in found if w < 0))
 
 
 def with_evidence(docs: DataFrame, weights: dict[str, float]) -> DataFrame:

@@ -181,7 +181,7 @@ def test_classifier_on_held_out_labels(spark):
 
 
 def test_classifier_odd_rows(spark):
-    rows = [(i, f"good words here {i}", "en", "a") for i in range(40)] + [(100 + i, f"bad junk here {i}", "en", "b") for i in range(40)]
+    rows = [(i, f"good p{i} words q{i} here", "en", "a") for i in range(40)] + [(100 + i, f"bad r{i} junk s{i} here", "en", "b") for i in range(40)]
     rows += [(None, None, None, None), (500, "", None, "a"), (1, "good words", "en", "a"), (501, "bad junk", None, None)]
     docs = spark.createDataFrame([(*r, 0.5, True) for r in rows], "doc_id long, text string, lang string, source string, evidence double, kept boolean")
     labels = spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(100 + i, 0, i % 2) for i in range(40)] + [(None, 1, 1), (3, None, 0)], "doc_id long, quality int, toxic int")
@@ -193,6 +193,14 @@ def test_classifier_odd_rows(spark):
     assert classifier.classify(docs.limit(0), labels).count() == 0
 
 
+def test_classifier_learns_from_one_of_each_set_of_copies(spark):
+    long = " ".join(f"w{k}" for k in range(200))
+    rows = [(i, long + (f" tail{i}" if i % 2 else "")) for i in range(30)] + [(100 + i, f"a{i} b{i} c{i} d{i} e{i}") for i in range(10)]
+    labels = spark.createDataFrame([(i, 1, 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    sample = classifier.labelled_sample(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert 10 < sample.count() <= 13
+
+
 def test_site_rates_shrink_sparse_hosts_more(spark):
     rows = [("big", "p", 3.0)] * 200 + [("small", "p", 3.0)] * 2 + [(f"h{i}", "p", -3.0) for i in range(100) for _ in range(5)]
     df = spark.createDataFrame(rows, "source string, lang string, evidence double")
