@@ -35,11 +35,11 @@ r AS (SELECT *, CASE WHEN m = 0 THEN 0 WHEN NOT named THEN 1 END AS rs FROM f),
 t AS (SELECT *, sum(CASE WHEN rs IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY pos) AS tg, count(rs) OVER (PARTITION BY item_id ORDER BY pos) AS blk FROM r),
 u AS (SELECT *, (first_value(rs) OVER (PARTITION BY item_id, blk ORDER BY pos) + tg - first_value(tg) OVER (PARTITION BY item_id, blk ORDER BY pos)) % 2 AS merged FROM t),
 g AS (SELECT *, sum(1 - merged) OVER (PARTITION BY item_id ORDER BY pos) AS grp FROM u)
-SELECT item_id, count(*) AS n_groups, sum(n) AS n_cues, sum(e - s) AS seconds FROM (SELECT item_id, grp, count(*) AS n, min_by(start_s, pos) AS s, max_by(end_s, pos) AS e FROM g GROUP BY item_id, grp) GROUP BY item_id""",
+SELECT item_id, count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS n_cues, round(sum(e - s), 3) AS seconds FROM (SELECT item_id, grp, count(*) AS n, min_by(start_s, pos) AS s, max_by(end_s, pos) AS e FROM g GROUP BY item_id, grp) GROUP BY item_id""",
 )
 def a1(spark, d):
     merged = cues.merge_cues(v(spark, d, "v_cues"))
-    return merged.groupBy("item_id").agg(F.count("*").alias("n_groups"), F.sum("n").alias("n_cues"), F.sum(F.col("end_s") - F.col("start_s")).alias("seconds"))
+    return merged.groupBy("item_id").agg(F.count("*").alias("n_groups"), F.sum("n").alias("n_cues"), F.round(F.sum(F.col("end_s") - F.col("start_s")), 3).alias("seconds"))
 
 
 @q("a1_merged_texts")
@@ -58,7 +58,7 @@ def a2(spark, d):
 WITH k AS (SELECT item_id, frame_idx, t_s, regexp_replace(text, '\s+', '', 'g') AS text FROM v_frame_obs), n AS (SELECT * FROM k WHERE text <> ''),
 b AS (SELECT *, CASE WHEN coalesce(t_s > (lag(t_s) OVER w + 0.5) + 0.75, true) THEN 1 ELSE 0 END AS broken, lag(text) OVER w AS pt FROM n WINDOW w AS (PARTITION BY item_id ORDER BY frame_idx)),
 i AS (SELECT *, sum(broken) OVER w AS island, sum(CASE WHEN broken = 1 OR pt <> text THEN 1 ELSE 0 END) OVER w AS run FROM b WINDOW w AS (PARTITION BY item_id ORDER BY frame_idx))
-SELECT item_id, island, count(DISTINCT run) AS runs, CAST(min(t_s) AS DOUBLE) AS first_s, CAST(max(t_s) AS DOUBLE) AS last_s FROM i GROUP BY item_id, island""",
+SELECT item_id, CAST(island AS BIGINT) AS island, count(DISTINCT run) AS runs, CAST(min(t_s) AS DOUBLE) AS first_s, CAST(max(t_s) AS DOUBLE) AS last_s FROM i GROUP BY item_id, island""",
 )
 def a2_islands(spark, d):
     return segments.islands(v(spark, d, "v_frame_obs"), 0.5).groupBy("item_id", "island").agg(F.count("*").alias("runs"), F.min("t_s").alias("first_s"), F.max("last_s").alias("last_s"))
@@ -473,7 +473,7 @@ def j21(spark, d):
     return protocol.unpublished(items, items.filter("item_id % 3 = 0"))
 
 
-@q("g3_usage_totals", "SELECT endpoint, count(*) AS calls, CAST(sum(cached_tokens) AS BIGINT) AS hit_tokens, CAST(sum(prompt_tokens - cached_tokens) AS BIGINT) AS miss_tokens, CAST(sum(completion_tokens) AS BIGINT) AS output_tokens, round((sum(cached_tokens) * 0.02 + sum(prompt_tokens - cached_tokens) * 1.0 + sum(completion_tokens) * 2.0) / 1e6, 6) AS cost FROM v_usage GROUP BY endpoint")
+@q("g3_usage_totals", "SELECT endpoint, count(*) AS calls, CAST(sum(cached_tokens) AS BIGINT) AS hit_tokens, CAST(sum(prompt_tokens - cached_tokens) AS BIGINT) AS miss_tokens, CAST(sum(completion_tokens) AS BIGINT) AS output_tokens, round((sum(cached_tokens) * 0.02::DOUBLE + sum(prompt_tokens - cached_tokens) * 1.0::DOUBLE + sum(completion_tokens) * 2.0::DOUBLE) / 1e6::DOUBLE, 6) AS cost FROM v_usage GROUP BY endpoint")
 def g3(spark, d):
     return protocol.usage_totals(v(spark, d, "v_usage"), PRICES, "endpoint")
 

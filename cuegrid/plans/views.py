@@ -45,10 +45,17 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: df[c].cast("double") for c in DOUBLES if c in df.columns})
 
 
+def _doubled(sql: str) -> str:
+    """The view with its decimals as doubles, as the operators get them."""
+    found = [c for c in DOUBLES if re.search(rf"\bAS {c}\b", sql)]
+    casts = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in found)
+    return f"SELECT * REPLACE ({casts}) FROM ({sql})" if found else sql
+
+
 def with_views(sql: str) -> str:
     """The SQL behind definitions of the views that it names."""
     names = [v for v in VIEWS if re.search(rf"\b{v}\b", sql)]
-    head = ", ".join(f"{v} AS ({VIEWS[v]})" for v in names)
+    head = ", ".join(f"{v} AS ({_doubled(VIEWS[v])})" for v in names)
     own = sql.strip()
     if not names:
         return own
