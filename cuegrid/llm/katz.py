@@ -199,15 +199,37 @@ class Tokens:
         return (np.where(self.is_hot(h), pair_key(h, w), mix(h)) % np.uint64(self.buckets)).astype(np.int64)
 
 
+def _before(c: Chunk) -> np.ndarray:
+    """Place among words of the token before each token, plus one; 0 at the start of a document."""
+    before = np.concatenate([[0], c.token[:-1] + 1])
+    before[np.concatenate([[True], c.at[1:] != c.at[:-1]])] = 0
+    return before
+
+
+def _occurrences(c: Chunk, keys: np.ndarray, where: np.ndarray, by_document: bool) -> tuple[np.ndarray, ...]:
+    """Distinct (history, token) pairs of the chosen tokens, or (history, token, document's place), and
+    how often each stands. One number stands for a row, so that one plain sort finds them."""
+    words, documents = max(1, len(keys)), max(1, len(c.doc))
+    code = _before(c)[where] * words + c.token[where]
+    if by_document:
+        code = code * documents + c.at[where]
+    code, n = np.unique(code, return_counts=True)
+    code, place = np.divmod(code, documents) if by_document else (code, None)
+    before, token = np.divmod(code, words)
+    h = np.where(before == 0, START, keys[before - 1])
+    return (h, keys[token], place, n) if by_document else (h, keys[token], n)
+
+
 def _histories(c: Chunk, keys: np.ndarray) -> np.ndarray:
-    first = np.concatenate([[True], c.at[1:] != c.at[:-1]])
-    return np.where(first, START, np.concatenate([[START], keys[c.token[:-1]]]))
+    before = _before(c)
+    return np.where(before == 0, START, keys[before - 1])
 
 
 def _by_bucket(tokens: Tokens, h: np.ndarray, w: np.ndarray, *more: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """Rows cut by bucket, each in the order of history and follower, packed."""
+    """Rows cut by bucket, each bucket's in the order given, packed."""
     bucket = tokens.bucket(h, w)
-    order = np.lexsort((w, h, bucket))
+    # Small whole numbers are sorted by radix.
+    order = np.argsort(bucket.astype(np.uint16) if tokens.buckets < 1 << 16 else bucket, kind="stable")
     columns = [x[order] for x in (h, w, *more)]
     edges = np.flatnonzero(np.diff(bucket[order])) + 1
     starts = np.concatenate([[0], edges]).astype(int)
@@ -215,16 +237,14 @@ def _by_bucket(tokens: Tokens, h: np.ndarray, w: np.ndarray, *more: np.ndarray)
     return bucket[order][starts].tolist(), [pack(*(x[s:e] for x in columns)) for s, e in zip(starts, ends)]
 
 
-def _distinct(columns: list[np.ndarray], weights: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows in order, and how often each stands (or its weights added up)."""
+def _distinct(columns: list[np.ndarray], weights: np.ndarray, same: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Distinct rows in order, their weights added up, and ``same``, which equal rows have in common."""
     order = np.lexsort(columns[::-1])
     columns = [x[order] for x in columns]
-    weights = np.ones(len(order), np.int64) if weights is None else weights[order]
     if not len(order):
-        return columns, weights
-    fresh = np.concatenate([[True], np.any([x[1:] != x[:-1] for x in columns], axis=0)])
-    starts = np.flatnonzero(fresh)
-    return [x[starts] for x in columns], np.add.reduceat(weights, starts)
+        return columns, weights, same
+    starts = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in columns], axis=0)]))
+    return [x[starts] for x in columns], np.add.reduceat(weights[order], starts), same[order][starts]
 
 
 _BLOBS = "bucket long, blob binary"
@@ -296,9 +316,7 @@ def _rare(docs: DataFrame, words: DataFrame, shared) -> DataFrame:
         t = shared.value
         for c in chunks(batches):
             keys, known = t.keys(c.words)
-            h = _histories(c, keys)
-            at = np.flatnonzero(~known[c.token])
-            (doc, h, w), n = _distinct([c.at[at], h[at], keys[c.token[at]]])
+            h, w, doc, n = _occurrences(c, keys, ~known[c.token], True)
             for k in range(0, max(1, len(n)), 50_000):
                 s = slice(k, k + 50_000)
                 yield pa.RecordBatch.from_arrays([pa.array(w[s]), pa.array(h[s]), pa.array(c.doc[doc[s]]), pa.array(n[s].astype(np.int32)), pa.array(c.train[doc[s]])], names=["w", "h", "doc", "n", "train"])
@@ -336,15 +354,13 @@ def _pairs(docs: DataFrame, rare: DataFrame, shared) -> DataFrame:
         t = shared.value
         for c in chunks(batches, True):
             keys, known = t.keys(c.words)
-            h = _histories(c, keys)
-            at = known[c.token]
-            (h, w), n = _distinct([h[at], keys[c.token[at]]])
+            h, w, n = _occurrences(c, keys, known[c.token], False)
             if len(n):
                 yield _blob_batch(*_by_bucket(t, h, w, n, np.zeros(len(n), np.int64)))
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
         h, w, n, c = unpack_all(table["blob"], 4)
-        (h, w, c), r = _distinct([h, w, c], n)
+        (h, w), r, c = _distinct([h, w], n, c)
         spread = np.bincount(np.minimum(r, CUTOFF + 2), minlength=CUTOFF + 3)[: CUTOFF + 2]
         return pa.table({"bucket": [key[0].as_py()], "blob": pa.array([pack(h, w, r, c)], pa.binary()), "spread": pa.array([spread.tolist()], pa.list_(pa.int64()))})
 
@@ -436,12 +452,12 @@ def score(model: Model, docs: DataFrame) -> DataFrame:
         t = shared.value
         for c in chunks(batches):
             keys, known = t.keys(c.words)
-            h, w = _histories(c, keys), keys[c.token]
-            _, hot = _found(hot_pairs.value[0], pair_key(h, w))
-            at = known[c.token] & ~hot
-            (h, w, doc), n = _distinct([h[at], w[at], c.doc[c.at[at]]])
+            h, w, place, n = _occurrences(c, keys, known[c.token], True)
+            if len(hot_pairs.value[0]):
+                rest = ~_found(hot_pairs.value[0], pair_key(h, w))[1]
+                h, w, place, n = h[rest], w[rest], place[rest], n[rest]
             if len(n):
-                yield _blob_batch(*_by_bucket(t, h, w, n, np.zeros(len(n), np.int64), doc))
+                yield _blob_batch(*_by_bucket(t, h, w, n, np.zeros(len(n), np.int64), c.doc[place]))
 
     def answer(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
         t = shared.value
@@ -488,10 +504,11 @@ def score(model: Model, docs: DataFrame) -> DataFrame:
             count = t.count(keys, np.zeros(len(keys), np.int64))
             at = known[c.token]
             add = lambda x: np.bincount(c.at, x, len(c.doc))
-            h = _histories(c, keys)
-            place, hot = _found(keys_hot, pair_key(h, keys[c.token]))
             share = np.zeros(len(at))
-            share[hot] = np.log10(r_hot[place[hot]] / t.followed(h[hot]))
+            if len(keys_hot):
+                h = _histories(c, keys)
+                place, hot = _found(keys_hot, pair_key(h, keys[c.token]))
+                share[hot] = np.log10(r_hot[place[hot]] / t.followed(h[hot]))
             lower = np.log10((count[c.token] + 1) / (t.total + t.distinct + 1))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x) for x in (c.doc, ~c.train, add(np.ones(len(at))).astype(np.int64), add(at).astype(np.int64), add(np.where(at, lower, 0.0)), add(share))],
