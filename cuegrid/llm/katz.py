@@ -522,7 +522,7 @@ def score(model: Model, docs: DataFrame) -> DataFrame:
     t = shared.value
     one = F.log10((F.col("c") + 1) / float(t.total + t.distinct + 1))
     rare = model.rare.groupBy("doc").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("_known"), F.sum(F.col("n") * one).alias("_base"))
-    rows = texts(docs).mapInArrow(base, "doc long, held_out boolean, n_tokens long, n_known long, base double, hot double")
+    rows = written(texts(docs).mapInArrow(base, "doc long, held_out boolean, n_tokens long, n_known long, base double, hot double"), "bases")
     # Sums of an id cover all its rows.
     per_id = rows.groupBy("doc").agg(F.count("*").alias("_rows"))
     merged = rows.join(per_id, "doc").join(rare, "doc", "left").join(sums, "doc", "left")
