@@ -3,11 +3,13 @@
 Lines with words are hashed, stripped of blanks at both ends; lines without words never match
 and stay. From every window of consecutive lines that just reaches ``min_words`` words, the
 line of least hash (the last of equals) is a fingerprint, so any run of that many words shared
-by two places shares a fingerprint at the same offset. Each occurrence of a fingerprint is
-joined to its first one, in the order of doc_id and line; matches of the same two documents at
-the same distance are extended line by line both ways, and runs of ``min_words`` words or more
-are deleted from the later place. Every deleted line equals an earlier one, so the first copy
-of a line always stays.
+by two places shares a fingerprint at the same offset. Windows whose fingerprint has a hash that
+comes again are keyed by the hash of all their lines, both those that just reach ``min_words``
+words from their first line on and those that do so from their last line back: together they
+cover every line of a repeated run. A window is joined to the first one of its key, in the order
+of doc_id and line, and all but the first are deleted. So a line goes exactly if a run of
+``min_words`` words that holds it came before, in whichever context; the first copy of a line
+always stays.
 
 Null text stays null and has no lines; empty text stays. Null ids come before all others. Rows
 that repeat both id and text count as one document and lose the same lines; rows that repeat
@@ -85,42 +87,70 @@ def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return keyed.mapInArrow(run, "_doc long, _text long, hashes array<long>, words array<int>, picks array<int>").dropDuplicates(["_doc", "_text"])
 
 
-def matches(lined: DataFrame) -> DataFrame:
-    """_doc, _text, first (document), distance and places: fingerprints that came before, per pair of documents and distance."""
-    picked = lined.select("_doc", "_text", F.posexplode("picks").alias("_k", "_line"), "hashes").select("_doc", "_text", "_line", F.get("hashes", F.col("_line")).alias("_hash"))
-    place = F.struct("_doc", "_text", "_line")
-    first = picked.groupBy("_hash").agg(F.min(place).alias("first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    later = picked.join(first, "_hash").filter(place != F.col("first"))
-    return later.groupBy("_doc", "_text", F.col("first._doc").alias("_first_doc"), F.col("first._text").alias("_first_text"), (F.col("_line") - F.col("first._line")).alias("distance")).agg(F.collect_set("_line").alias("places"))
+def windows(words: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """start, end of the shortest windows of min_words words from every line on, and of those back from every line."""
+    total = np.concatenate([[0], np.cumsum(words)])
+    ends = np.searchsorted(total, total[:-1] + min_words)
+    starts = np.searchsorted(total, total[1:] - min_words, side="right") - 1
+    on, back = np.flatnonzero(ends < len(total)), np.flatnonzero(starts >= 0)
+    back = back[ends[starts[back]] != back + 1]  # the others are windows from their first line on
+    return np.concatenate([on, starts[back]]), np.concatenate([ends[on], back + 1])
 
 
-def extend(old: np.ndarray, new: np.ndarray, words: np.ndarray, distance: int, places: list[int], min_words: int) -> list[tuple[int, int]]:
-    """Runs [start, end) of new equal to old ``distance`` before, that hold a place and min_words words."""
-    low, high = max(0, distance), min(len(new), len(old) + distance)
-    equal = np.concatenate([[False], old[low - distance : high - distance] == new[low:high], [False]])
-    edges = np.flatnonzero(equal[1:] != equal[:-1]) + low
-    total = np.concatenate([[0], np.cumsum(words)])
-    here = sorted(places)
-    return [(s, e) for s, e in zip(edges[::2].tolist(), edges[1::2].tolist()) if total[e] - total[s] >= min_words and np.searchsorted(here, s) < np.searchsorted(here, e)]
+def candidates(lined: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """_doc, _text, start, end, least, key: windows whose fingerprint's hash ``least`` comes again, keyed by all their lines."""
+    picked = lined.select("_doc", "_text", "hashes", F.explode("picks").alias("_line")).select("_doc", "_text", F.get("hashes", F.col("_line")).alias("_hash"))
+    again = picked.groupBy("_hash").agg(F.count("*").alias("_n")).filter("_n > 1").select("_hash")
+    held = picked.join(again, "_hash").groupBy("_doc", "_text").agg(F.collect_set("_hash").alias("again"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 64):
+            docs, spans = [], []
+            for i, (hashes, words, known) in enumerate(zip(b["hashes"], b["words"], b["again"])):
+                h, known = hashes.values.to_numpy(), set(known.as_py())
+                least = {}  # by the first line: each window holds the one from its first line on
+                for s, e in zip(*(x.tolist() for x in windows(words.values.to_numpy(), min_words))):
+                    if s not in least:
+                        least[s] = int(h[s:e].min())
+                    if least[s] in known:
+                        docs.append(i)
+                        spans.append((s, e, least[s], xxhash.xxh64_intdigest(h[s:e].tobytes())))
+            start, end, low, key = zip(*spans) if spans else [[]] * 4
+            at = pa.array(docs, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b["_doc"].take(at), b["_text"].take(at), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(low, pa.int64()), pa.array(np.array(key, np.uint64).view(np.int64))],
+                names=["_doc", "_text", "start", "end", "least", "key"],
+            )
+
+    asked = lined.select("_doc", "_text", "hashes", "words").join(held, ["_doc", "_text"])
+    return asked.mapInArrow(run, "_doc long, _text long, start int, `end` int, least long, key long")
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """_doc, _text, runs: array of (start, end) over the lines with words, all to be deleted."""
-    lined = written(lines(docs, min_words), "lines")
-    old = lined.select(F.col("_doc").alias("_first_doc"), F.col("_text").alias("_first_text"), F.col("hashes").alias("old"))
-    pairs = matches(lined).join(old, ["_first_doc", "_first_text"]).join(lined.select("_doc", "_text", "hashes", "words"), ["_doc", "_text"])
+    """_doc, _text, runs: array of (start, end) over the lines with words, all to be deleted; runs do not touch."""
+    keyed = written(candidates(written(lines(docs, min_words), "lines"), min_words), "windows")
+    place = F.struct("_doc", "_text", "start")
+    first = keyed.groupBy("least", "key").agg(F.min(place).alias("first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    later = keyed.join(first, ["least", "key"]).filter(place != F.col("first"))
+    found = later.groupBy("_doc", "_text").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            rows = []
-            for doc, text, distance, places, a, c, w in zip(*(b[x] for x in ("_doc", "_text", "distance", "places", "old", "hashes", "words"))):
-                for s, e in extend(a.values.to_numpy(), c.values.to_numpy(), w.values.to_numpy(), distance.as_py(), places.as_py(), min_words):
-                    rows.append((doc.as_py(), text.as_py(), s, e))
-            cols = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["_doc", "_text", "start", "end"])
-
-    found = pairs.select("_doc", "_text", "distance", "places", "old", "hashes", "words").mapInArrow(run, "_doc long, _text long, start int, `end` int")
-    return found.groupBy("_doc", "_text").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
+            runs = pa.array([joined_runs(r) for r in b["runs"].to_pylist()], b.schema.field("runs").type)
+            yield b.set_column(2, b.schema.field("runs"), runs)
+
+    return found.mapInArrow(run, found.schema)
+
+
+def joined_runs(runs: list[dict]) -> list[dict]:
+    """The runs with those that overlap or touch as one."""
+    out: list[dict] = []
+    for r in sorted(runs, key=lambda r: r["start"]):
+        if out and r["start"] <= out[-1]["end"]:
+            out[-1]["end"] = max(out[-1]["end"], r["end"])
+        else:
+            out.append(dict(r))
+    return out
 
 
 def without_runs(text: str, runs: list[dict]) -> tuple[str, int]:

@@ -70,6 +70,25 @@ def test_line_dedup_against_brute_force(spark):
     assert set(left) == {x for _, t in docs for x in full_lines(t)}
 
 
+def test_line_dedup_misses_nothing(spark):
+    for seed in (1, 7):
+        docs = made_docs(random.Random(seed), 60)
+        df = spark.createDataFrame(docs, "doc_id long, text string")
+        runs = {r._doc: {k for x in r.runs for k in range(x.start, x.end)} for r in line_dedup.repeated_runs(df, 20).collect()}
+        assert {k: runs.get(k, set()) for k, _ in docs} == brute_removed(docs, 20)
+
+
+def test_line_dedup_finds_a_run_whose_lines_came_first_elsewhere(spark):
+    words = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    passage = [words("a", 20), words("b", 20), words("c", 20)]
+    docs = [(i, f"{x}\n{words(f'd{i}', 5)}") for i, x in enumerate(passage)]  # each line alone, before another text
+    docs += [(5, "\n".join(passage)), (9, "\n".join([*passage, words("e", 5)]))]
+    # A window of 50 words in an earlier place, and a shorter line that follows it later only.
+    docs += [(20, words("f", 60)), (21, words("f", 60) + "\nend of it"), (22, words("f", 60) + "\nend of it")]
+    got = {r.doc_id: r._removed for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {k: v for k, v in got.items() if v} == {9: 3, 21: 1, 22: 2}
+
+
 def test_line_dedup_finds_every_passage_with_one_earlier_copy(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
