@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuegrid.llm import classifier, line_dedup, packing, secrets, simhash
+from cuegrid.llm import classifier, jaccard, line_dedup, packing, secrets
 from cuegrid.llm.common import table, written
 
 
@@ -26,8 +26,8 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of the least id stays."""
-    return simhash.representatives(docs)
+    """Of each group of near copies (Jaccard 0.8 over five words) the one of the least id stays."""
+    return jaccard.representatives(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
