@@ -4,9 +4,12 @@ The patterns give the base spans. Further candidates are runs of 20 characters o
 usual encodings outside them. Each is tested in the alphabet of its inferred encoding for
 uniform use of its characters (chi-squared), for runs about the alphabet's middle, and for
 serial correlation; the sum of the three log p-values is its score, 0 at most. Each candidate
-brings a decoy: as many letters and digits of the text around it. Per encoding and class of
-lengths, the threshold is the lowest score at which the decoys that reach it are no more than
-the accepted share of the candidates that do; so short runs, whose tests are weak, need more.
+brings a decoy: as many letters and digits of the text around it, without the base spans and
+candidates there; where the text has too few (a list of keys), it brings none. Per encoding and
+class of lengths each distinct candidate and decoy counts once. The share of decoys that reach a
+score, with one added, gives how many candidates would by chance; the threshold is the lowest
+score at which these are no more than the accepted share of the candidates that reach it. So
+short runs, whose tests are weak, need more, and a class of few candidates or decoys accepts none.
 
 Null text counts as empty: no spans. Repeated rows are scanned each; an empty table gives none.
 """
@@ -18,6 +21,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +50,7 @@ FALSE_SHARE = 0.02
 #: Scores are kept to a tenth of a nat, down to this.
 LOWEST = -600
 SPAN = "struct<start:int, kind:int, `end`:int>"
-CANDIDATES = "array<struct<start:int, `end`:int, encoding:int, size:int, score:int, decoy:int>>"
+CANDIDATES = "array<struct<start:int, `end`:int, encoding:int, size:int, score:int, decoy:int, key:bigint, draw:bigint>>"
 
 
 def assigned(text: str) -> Iterator[tuple[int, int]]:
@@ -116,7 +120,8 @@ def size_class(n: int) -> int:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
-    out, at = [], 0
+    """Runs outside the base spans; decoy (null where the text has none) and draw are the score and hash of the decoy."""
+    found, at = [], 0
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
         while at < len(base) and base[at][2] <= s:
@@ -124,23 +129,42 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
         if any(b[0] < e and b[2] > s for b in base[at:]):
             continue
         k = infer(m[0])
-        if k is None:
-            continue
+        if k is not None:
+            found.append((s, e, k))
+    if not found:
+        return []
+    # The letters and digits of the text beside all spans, and how many come before each candidate.
+    kept, before, at, n = [], {}, 0, 0
+    for s, e in sorted([(s, e) for s, _, e in base] + [(s, e) for s, e, _ in found]):
+        if s > at:
+            kept.append(NOT_ALNUM.sub("", text[at:s]))
+            n += len(kept[-1])
+        before[s] = n
+        at = max(at, e)
+    rest = "".join(kept) + NOT_ALNUM.sub("", text[at:])
+    out = []
+    for s, e, k in found:
         n, alphabet = e - s, ENCODINGS[k][1]
-        near = NOT_ALNUM.sub("", text[max(0, s - 4 * n) : s])[-n:]
-        if len(near) < n:
-            near += NOT_ALNUM.sub("", text[e : e + 4 * n])[: n - len(near)]
-        # A decoy in lower case reads as the encoding does where that has no lower case.
-        near = near if any(c in alphabet for c in _LOW[6:]) or k == 0 else near.upper()
-        out.append({"start": s, "end": e, "encoding": k, "size": size_class(n), "score": score(m[0], alphabet), "decoy": score(near, alphabet)})
+        decoy = draw = None
+        if len(rest) >= n:
+            first = max(0, min(before[s] - n, len(rest) - n))
+            near = rest[first : first + n]
+            # A decoy in lower case reads as the encoding does where that has no lower case.
+            near = near if any(c in alphabet for c in _LOW[6:]) or k == 0 else near.upper()
+            decoy, draw = score(near, alphabet), _key(near)
+        out.append({"start": s, "end": e, "encoding": k, "size": size_class(n), "score": score(text[s:e], alphabet), "decoy": decoy, "key": _key(text[s:e]), "draw": draw})
     return out
 
 
+def _key(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode()) - (1 << 63)
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, base spans and further candidates of each whole text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-    cand = pa.list_(pa.struct([(c, pa.int32()) for c in ("start", "end", "encoding", "size", "score", "decoy")]))
+    cand = pa.list_(pa.struct([*((c, pa.int32()) for c in ("start", "end", "encoding", "size", "score", "decoy")), *((c, pa.int64()) for c in ("key", "draw"))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -155,11 +179,14 @@ def scan(docs: DataFrame) -> DataFrame:
 def thresholds(scanned: DataFrame, false_share: float = FALSE_SHARE) -> dict[tuple[int, int], int]:
     """(encoding, size class): lowest score accepted. At most 8 encodings by some 60 classes."""
     c = scanned.select(F.explode("candidates").alias("c"))
-    scores = c.select("c.encoding", "c.size", F.explode(F.array(F.struct(F.col("c.score").alias("score"), F.lit(0).alias("decoy")), F.struct(F.col("c.decoy").alias("score"), F.lit(1).alias("decoy")))).alias("s"))
-    hist = scores.groupBy("encoding", "size", F.col("s.score").alias("score")).agg(F.sum(1 - F.col("s.decoy")).alias("real"), F.sum("s.decoy").alias("decoy"))
-    down = Window.partitionBy("encoding", "size").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    reached = hist.select("encoding", "size", "score", F.sum("real").over(down).alias("real"), F.sum("decoy").over(down).alias("decoy"))
-    ok = reached.filter((F.col("decoy") <= false_share * F.col("real")) & (F.col("score") > LOWEST))
+    each = F.array(F.struct(F.col("c.score").alias("score"), F.col("c.key").alias("key"), F.lit(0).alias("decoy")), F.struct(F.col("c.decoy").alias("score"), F.col("c.draw").alias("key"), F.lit(1).alias("decoy")))
+    scores = c.select("c.encoding", "c.size", F.explode(each).alias("s")).filter("s.key IS NOT NULL").select("encoding", "size", "s.score", "s.key", "s.decoy").distinct()
+    hist = scores.groupBy("encoding", "size", "score").agg(F.sum(1 - F.col("decoy")).alias("real"), F.sum("decoy").alias("decoy"))
+    whole = Window.partitionBy("encoding", "size")
+    down = whole.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    reached = hist.select("encoding", "size", "score", *[F.sum(c).over(w).alias(n) for c, w, n in (("real", down, "real"), ("decoy", down, "decoy"), ("real", whole, "all_real"), ("decoy", whole, "all_decoy"))])
+    by_chance = (F.col("decoy") + 1) / (F.col("all_decoy") + 1) * F.col("all_real")
+    ok = reached.filter((by_chance <= false_share * F.col("real")) & (F.col("score") > LOWEST))
     return {(r.encoding, r.size): r.score for r in ok.groupBy("encoding", "size").agg(F.min("score").alias("score")).collect()}
 
 

@@ -142,6 +142,28 @@ def test_secrets_battery_separates_random_runs_from_words(spark, odd):
     assert secrets.find(odd.limit(0)).count() == 0
 
 
+def test_secrets_of_prose_are_found_beside_key_lists_and_copied_documents(spark):
+    rng = random.Random(8)
+    run = lambda: random_run(rng, 40, secrets.ENCODINGS[5][1])
+    words = lambda n: " ".join(rng.choice(["order", "client", "alpha", "release", "name", "field", "data"]) for _ in range(n))
+    rows, wanted = [], {}
+    for i in range(120):
+        before = words(40) + " "
+        rows.append((i, before + run() + " " + words(20)))
+        wanted[i] = [(len(before), 3, len(before) + 40)]
+    keys = "\n".join(run() for _ in range(300))
+    noise = " ".join(random_run(rng, 8, secrets.ENCODINGS[5][1]) for _ in range(12))  # a decoy of high score
+    rows += [(1000, keys)] + [(2000 + i, f"{noise} {'xy' * 19}z1 {noise}") for i in range(300)]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i] == spans for i, spans in wanted.items()) >= 0.9 * len(wanted)
+    assert len(got[1000]) >= 270
+
+
+def test_secrets_few_candidates_accept_none(spark):
+    text = "plain words beside it, and more of them, so that there is a decoy " + random_run(random.Random(9), 40, secrets.ENCODINGS[5][1])
+    assert [r.spans for r in secrets.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()] == [[]]
+
+
 def test_secrets_redaction(spark):
     rows = [(1, "a token=abcdefgh b", 18), (2, None, None), (3, "clean", 5), (4, "password=AKIA" + "A" * 16, 29)]
     got = {r.doc_id: (r.text, r.n_chars) for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()}
