@@ -29,12 +29,14 @@ def lower_ascii(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one for tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where all runs in one JVM."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="cuegrid-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -43,7 +45,7 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     This cuts lineage so that later jobs neither repeat the work nor depend on the
-    executors that did it. The table goes when the application ends.
+    executors that did it. The table goes with ``discard``, or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -55,6 +57,16 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the written tables that ``df`` reads; nothing may read them any more."""
+    shared = shared_dir(df.sparkSession)
+    jvm = df.sparkSession._jvm
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        place = jvm.org.apache.hadoop.fs.Path(folder)
+        if place.toUri().getPath().startswith(jvm.org.apache.hadoop.fs.Path(shared).toUri().getPath() + "/"):
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -97,5 +97,4 @@ def op7_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return katz.score(katz.fit(docs), docs)
+    return katz.katz_scores(table(spark, sf_dir, "documents"))
