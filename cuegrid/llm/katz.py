@@ -47,7 +47,7 @@ BUCKET = 1_000_000
 CHUNK = 600_000
 #: Pairs, and triples, broadcast at most.
 MOST_HOT = 2_000_000
-#: Occurrences are dealt out in so many goes, which bounds the disk that one shuffle takes.
+#: Occurrences, and then histories, are dealt out in so many goes, which bounds the disk that one shuffle takes.
 GOES = 2
 START, UNKNOWN, FIRST = 0, 1, 2
 _END = b"\n"  # no word holds it
@@ -511,16 +511,21 @@ def _sums(chunk: np.ndarray, place: np.ndarray, value: np.ndarray) -> tuple[list
     return chunk[starts].tolist(), [pack(place[s:e], total[s:e]) for s, e in zip(starts.tolist(), ends.tolist())]
 
 
-def _histories(a, v, n, left, lower, buckets: int) -> tuple[list[int], list[bytes]]:
+def _bucket(a: np.ndarray, v: np.ndarray, buckets: int) -> np.ndarray:
+    return (key_of(a, v) % np.uint64(buckets)).astype(np.int64)
+
+
+def _histories(a, v, n, left, lower, buckets: int, go: int, goes: int) -> tuple[list[int], list[bytes]]:
     """Histories with what was met after them, what discounts left of it and the followers' lower-order shares, added up; a: the farther token plus one, or 0."""
-    order = _sorted_places(v, a)
+    mine = np.flatnonzero(_bucket(a, v, buckets) % goes == go)
+    order = mine[_sorted_places(v[mine], a[mine])]
     a, v, n, left, lower = (x[order] for x in (a, v, n, left, lower))
     at = _runs(v, a)
     if not len(at):
         return [], []
     n, left, lower = (np.add.reduceat(x, at) for x in (n, left, lower))
     a, v = a[at], v[at]
-    return _dealt((key_of(a, v) % np.uint64(buckets)).astype(np.int64), v, a, n, left, lower)
+    return _dealt(_bucket(a, v, buckets), v, a, n, left, lower)
 
 
 def _backed(t: Tokens, v, w, c2, d2) -> np.ndarray:
@@ -528,7 +533,8 @@ def _backed(t: Tokens, v, w, c2, d2) -> np.ndarray:
     return (c2 - taken_off(c2, d2)) / np.maximum(1, t.count(v))
 
 
-def _evaluate(model: Model, tokens):
+def _evaluate(model: Model, tokens, go: int, goes: int):
+    """Rows for the histories of every goes-th bucket from ``go`` on; the first go has the sums of documents as well."""
     frequent, buckets, d2, d3 = model.frequent, model.buckets, model.d2, model.d3
 
     def run(batches):
@@ -540,26 +546,28 @@ def _evaluate(model: Model, tokens):
             v3, w3, u3, pair2 = v[triples], w[triples], u[triples], c2[of_pair]
             v2, w2 = v[pairs], w[pairs]
             p2 = _backed(t, v2, w2, c2, d2)
-            # What a triple adds to its texts: its own term, or the pair's, or the token's; and the
-            # number of times that the history (v, w) of the next token was met, as its denominator.
-            log = np.zeros(len(triples))
             seen, pair = c3 > 0, pair2 > 0
-            log[seen] = np.log10(c3[seen] - taken_off(c3[seen], d3))
-            log[~seen & pair] = np.log10(p2[of_pair[~seen & pair]])
-            log[~pair] = np.log10(t.single(w3[~pair]))
-            again = pair & (w3 != t.end)
-            log[again] -= np.log10(pair2[again])
-            if t.train_docs:
-                log[v3 == START] -= np.log10(t.train_docs)
             size = np.diff(np.concatenate([triples, [len(v)]]))
-            yield _row_batch(_SUMS, *_sums(chunk, place >> 1, np.repeat(log, size)))
+            if go == 0:
+                # What a triple adds to its texts: its own term, or the pair's, or the token's; and the
+                # number of times that the history (v, w) of the next token was met, as its denominator.
+                log = np.zeros(len(triples))
+                log[seen] = np.log10(c3[seen] - taken_off(c3[seen], d3))
+                log[~seen & pair] = np.log10(p2[of_pair[~seen & pair]])
+                log[~pair] = np.log10(t.single(w3[~pair]))
+                again = pair & (w3 != t.end)
+                log[again] -= np.log10(pair2[again])
+                if t.train_docs:
+                    log[v3 == START] -= np.log10(t.train_docs)
+                yield _row_batch(_SUMS, *_sums(chunk, place >> 1, np.repeat(log, size)))
             # Tokens that back off ask for the weights of the histories they pass.
             asks3, asks2 = np.repeat(~seen, size), np.repeat(~pair, size)
             a = np.concatenate([u[asks3] + 1, np.zeros(int(asks2.sum()), np.int64)])
             asked = np.concatenate([v[asks3], v[asks2]])
             at = np.concatenate([chunk[asks3], chunk[asks2]]), np.concatenate([place[asks3], place[asks2]]) >> 1
-            order = _sorted_places(asked, a)
-            yield _row_batch(_ASKED, *_dealt((key_of(a, asked) % np.uint64(buckets)).astype(np.int64)[order], asked[order], a[order], at[0][order], at[1][order]))
+            mine = np.flatnonzero(_bucket(a, asked, buckets) % goes == go)
+            order = mine[_sorted_places(asked[mine], a[mine])]
+            yield _row_batch(_ASKED, *_dealt(_bucket(a[order], asked[order], buckets), asked[order], a[order], at[0][order], at[1][order]))
             own3, own2 = seen, c2 > 0
             if len(f.pairs[0]):  # frequent ones are added once, by the driver
                 own3 = seen & (f.counts(f.triples, key_of(u3, v3, w3)) == 0)
@@ -573,13 +581,15 @@ def _evaluate(model: Model, tokens):
                     np.concatenate([taken_off(c3[own3], d3), taken_off(c2[own2], d2)]),
                     np.concatenate([p2[of_pair[own3]], t.single(w2[own2])]),
                     buckets,
+                    go,
+                    goes,
                 ),
             )
 
     return run
 
 
-def _frequent_histories(model: Model, pairs: list[np.ndarray], triples: list[np.ndarray]) -> list[tuple[int, int, bytes]]:
+def _frequent_histories(model: Model, pairs: list[np.ndarray], triples: list[np.ndarray], go: int, goes: int) -> list[tuple[int, int, bytes]]:
     """What the frequent pairs and triples add to their histories; bounded as they are."""
     t, f = model.tokens, model.frequent.value
     _, v2, w2, c2 = pairs
@@ -587,7 +597,7 @@ def _frequent_histories(model: Model, pairs: list[np.ndarray], triples: list[np.
     p3 = _backed(t, v3, w3, f.counts(f.pairs, key_of(v3, w3)), model.d2)
     keys, blobs = _histories(
         np.concatenate([u3 + 1, np.zeros(len(v2), np.int64)]), np.concatenate([v3, v2]), np.concatenate([c3, c2]),
-        np.concatenate([taken_off(c3, model.d3), taken_off(c2, model.d2)]), np.concatenate([p3, t.single(w2)]), model.buckets,
+        np.concatenate([taken_off(c3, model.d3), taken_off(c2, model.d2)]), np.concatenate([p3, t.single(w2)]), model.buckets, go, goes,
     )
     return [(_HISTORY, k, bytearray(b)) for k, b in zip(keys, blobs)]
 
@@ -639,13 +649,16 @@ def score(model: Model, frequent_rows: list) -> DataFrame:
         flat = lambda name: about[name].combine_chunks().flatten()
         return pa.table({"doc_id": flat("ids"), "held_out": pa.compute.invert(flat("train")), "n_tokens": flat("n_tokens"), "n_known": flat("n_known"), "base_score": flat("base"), "score": score})
 
+    goes, found = min(GOES, model.buckets), None
     with _shuffles_end(spark):
-        rows = model.occurrences.mapInArrow(_evaluate(model, shared), _ROWS)
-        if extra := _frequent_histories(model, *frequent_rows):
-            rows = rows.unionByName(spark.createDataFrame(extra, _ROWS))
-        # Histories and those that ask for them meet; sums of documents stay apart.
-        rows = rows.select(F.when(F.col("kind") == _SUMS, _SUMS).otherwise(_HISTORY).alias("kind"), "key", F.col("kind").alias("what"), "blob")
-        found = written(_by_key(rows, model.buckets, "kind", "key").applyInArrow(gathered, _ROWS), "weights")
+        for go in range(goes):
+            rows = model.occurrences.mapInArrow(_evaluate(model, shared, go, goes), _ROWS)
+            if extra := _frequent_histories(model, *frequent_rows, go, goes):
+                rows = rows.unionByName(spark.createDataFrame(extra, _ROWS))
+            # Histories and those that ask for them meet; sums of documents stay apart.
+            rows = rows.select(F.when(F.col("kind") == _SUMS, _SUMS).otherwise(_HISTORY).alias("kind"), "key", F.col("kind").alias("what"), "blob")
+            part = written(_by_key(rows, model.buckets, "kind", "key").applyInArrow(gathered, _ROWS), "weights")
+            found = found.unionByName(part) if found is not None else part
     discard(model.occurrences)
     sums = found.filter(F.col("kind") == _SUMS).select(F.col("key").alias("chunk"), "blob")
     fields: StructType = model.about.schema
