@@ -8,7 +8,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType
+from pyspark.sql.types import BooleanType, StringType
 
 from cuegrid.functions.text import BIG_KANA, SMALL_KANA
 
@@ -21,6 +21,12 @@ def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
+def alike(a: str, b: str, least: float) -> bool:
+    """Is the ratio ``least`` or more; its cheap upper bounds come first."""
+    m = SequenceMatcher(None, a, b)
+    return m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least
+
+
 def compare_key(t: str) -> str:
     return re.sub(r"\.{2,}", "...", unicodedata.normalize("NFKC", t)).translate(_KANA)
 
@@ -65,12 +71,13 @@ def typing_partial(short: str, long: str) -> bool:
         return False
     if len(short) <= 2:
         return long.startswith(short) or short[0] == long[0]
-    return long.startswith(short) or ratio(short, long[: len(short)]) >= 0.7
+    return long.startswith(short) or alike(short, long[: len(short)], 0.7)
 
 
-@F.pandas_udf(DoubleType())
-def ratio_of(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+@F.pandas_udf(StringType())
+def likeness(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """By which of the costly tests a and b are alike: ratio or related; else null."""
+    return pd.Series(["ratio" if alike(x, y, t) else "related" if related(x, y) else None for x, y, t in zip(a, b, least)], dtype="object")
 
 
 @F.pandas_udf(BooleanType())

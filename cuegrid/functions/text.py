@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -104,7 +105,7 @@ def unify_quotes(c: Column) -> Column:
         mark = F.when(double, F.when(opens, "「").otherwise("」")).when(single, F.when(opens, "『").otherwise("』")).otherwise(x["c"])
         return F.struct(F.concat(a["out"], mark).alias("out"), F.when(double, ~opens).otherwise(a["d"]).alias("d"), F.when(single, ~opens).otherwise(a["s"]).alias("s"))
 
-    return F.when(c.isNotNull(), F.aggregate(seen, start, step, lambda a: a["out"]))
+    return F.when(c.rlike("[\"']"), F.aggregate(seen, start, step, lambda a: a["out"])).otherwise(F.translate(c, "“”‘’", "「」『』"))
 
 
 def substitute(c: Column, terms: Column, wrap: bool = True) -> Column:
@@ -158,20 +159,31 @@ def clean_style(color: Column, outline_color: Column, outline_width: Column, pos
     )
 
 
+# What a block page holds, and what an answer says of a spent quota or of censorship.
+BLOCK_MARKERS = ("cloudflare", "cf-ray", "attention required", "just a moment", "checking your browser", "<title>access denied")
+QUOTA_WORDS = ("insufficient", "quota", "balance", "arrears", "exceeded", "余额", "额度", "欠费", "充值")
+CENSOR_WORDS = ("data_inspection_failed", "inappropriate content", "content_policy", "content_filter", "content policy", "内容审核", "内容不合规")
+
+
 def classify_response(code: Column, body: Column) -> Column:
-    """The class of a failed response: a block page first, then by code, then by body."""
-    low = F.lower(F.coalesce(body, F.lit("")))
-    any_of = lambda *words: low.rlike("|".join(words))
+    """The class of a failed response: a block page first, then by code, then by what the body shows:
+    200 characters of a page without its tags, 300 of another text."""
+    text = F.regexp_replace(F.coalesce(body, F.lit("")), r"^\s+|\s+$", "")
+    page = F.lower(F.substring(text, 1, 200)).rlike(r"^(<html|<!doctype|<head)")
+    squeezed = lambda c: F.regexp_replace(c, r"\s+", " ")
+    tagless = F.substring(F.btrim(squeezed(F.regexp_replace(text, "<[^>]+>", " "))), 1, 200)
+    shown = F.lower(F.when(page, tagless).otherwise(F.substring(squeezed(text), 1, 300)))
+    holds = lambda c, words: reduce(Column.__or__, [c.contains(w) for w in words])
     return (
-        F.when(any_of("access denied", "request blocked", "waf", "captcha"), "blocked")
-        .when(code >= 500, "gateway")
+        F.when(holds(F.lower(F.substring(text, 1, 2000)), BLOCK_MARKERS), "blocked")
+        .when(code.isin(502, 503, 504), "gateway")
         .when(code == 401, "unauthorised")
         .when(code == 403, "forbidden")
         .when(code == 404, "not_found")
-        .when(any_of("insufficient", "quota", "balance", "arrears", "exceeded", "余额", "额度", "欠费", "充值"), "quota")
         .when(code == 429, "rate_limited")
-        .when(any_of("data_inspection_failed", "inappropriate content", "content_policy", "content_filter", "content policy", "内容审核", "内容不合规"), "censored")
-        .when(low.rlike(r"^\s*(<!doctype|<html)"), "html")
+        .when(holds(shown, QUOTA_WORDS), "quota")
+        .when(holds(shown, CENSOR_WORDS), "censored")
+        .when(page, "html")
         .otherwise("other")
     )
 
@@ -184,13 +196,30 @@ def clean_log_line(c: Column) -> Column:
 
 
 def item_label(c: Column) -> Column:
-    """The first argument of a job line: a video id, else the last part of a path without a trailing id."""
-    arg = F.regexp_extract(c, r"^\s*\S+\s+(\S+)", 1)
-    arg = F.when(arg == "", F.btrim(c)).otherwise(arg)
-    watch = F.regexp_extract(arg, WATCH_ID, 1)
-    vid = F.when(watch != "", watch).otherwise(F.regexp_extract(arg, VIDEO_ID, 1))
-    stem = F.regexp_replace(F.regexp_extract(arg, r"([^/]*)/*$", 1), r"\s*\[[A-Za-z0-9_-]{11}\]$", "")
-    return F.when(vid != "", vid).otherwise(stem)
+    """The label of a job line: a video id in it, else a bare number among its arguments, else the name
+    of a local file there, else its first word; names are cut to 40 characters."""
+    words = F.filter(F.split(c, r"\s+"), lambda x: x != "")
+    arguments = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
+    video = F.regexp_extract(c, r"\b(?:sm|so|nm)(\d{5,})", 1)
+    bare = F.get(F.filter(arguments, lambda x: x.rlike(r"^\d{5,}$")), F.lit(0))
+    name = lambda x: F.regexp_extract(x, r"([^/]*)/*$", 1)
+    local = F.get(F.filter(arguments, lambda x: x.contains("/") | name(x).rlike(r"^.*[^.].*\.[^.]+$")), F.lit(0))
+    cut = lambda x: F.when(F.char_length(x) <= 40, x).otherwise(F.concat(F.substring(x, 1, 37), F.lit("...")))
+    first = F.coalesce(F.get(words, F.lit(0)), c)
+    return F.when(video != "", F.concat(F.lit("sm"), video)).when(bare.isNotNull(), F.concat(F.lit("sm"), bare)).when(local.isNotNull(), cut(name(local))).otherwise(cut(first))
+
+
+def item_stem(c: Column) -> Column:
+    """A name without a video id at its end."""
+    return F.regexp_replace(c, r"_[a-z]{2}\d+$", "")
+
+
+def describe(title: Column, uploader: Column, date: Column, url: Column, desc: Column) -> Column:
+    """A description: labelled lines of what is known, a blank line, the text; empty parts are skipped."""
+    # The labels of the head.
+    parts = (("原标题:", title), ("原作者:", uploader), ("投稿时间:", date), ("原视频:", url))
+    head = F.concat_ws("\n", *[F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(label), c)) for label, c in parts])
+    return F.concat_ws("\n\n", F.nullif(head, F.lit("")), F.nullif(desc, F.lit("")))
 
 
 def fill_template(template: Column, values: dict[str, Column]) -> Column:

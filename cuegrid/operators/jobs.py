@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuegrid.functions import text as T
-from cuegrid.functions.similarity import ratio_of, related_to
+from cuegrid.functions.similarity import likeness
 from cuegrid.functions.times import in_window, shift_time
 
 # Hosts of file shares.
@@ -33,11 +33,9 @@ def near_pairs(cues: DataFrame, k: int = 1, threshold: float = 0.85) -> DataFram
     met = rows.withColumnsRenamed({"pos": "a", "text": "_x"}).join(later, ["item_id", "_i"]).filter("_x <> '' AND _y <> ''")
     starts = F.startswith("_x", F.col("_y")) | F.startswith("_y", F.col("_x"))
     sure = met.filter(starts).withColumn("by", F.lit("prefix"))
-    bound = 2 * F.least(F.char_length("_x"), F.char_length("_y")) / (F.char_length("_x") + F.char_length("_y"))
-    rest = met.filter(~starts).withColumn("_r", F.when(bound >= threshold, ratio_of("_x", "_y")).otherwise(0.0)).withColumn("by", F.when(F.col("_r") >= threshold, "ratio"))
-    ratio = rest.filter("by IS NOT NULL").drop("_r")
-    last = rest.filter("by IS NULL").filter(related_to("_x", "_y")).drop("_r").withColumn("by", F.lit("related"))
-    return sure.unionByName(ratio).unionByName(last).select("item_id", "a", "b", "by")
+    # One Arrow function for the rest: a pair costs no more than the tests that it needs.
+    rest = met.filter(~starts).withColumn("by", likeness("_x", "_y", F.lit(threshold))).filter("by IS NOT NULL")
+    return sure.unionByName(rest).select("item_id", "a", "b", "by")
 
 
 def quality_audit(segments: DataFrame) -> DataFrame:
@@ -94,8 +92,9 @@ def repair_styles(styles: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def descriptions(info: DataFrame, templates: DataFrame) -> DataFrame:
-    """item_id, text: the template of the item's kind filled; parts without a value are left out."""
-    parts = F.concat_ws("\n\n", F.when(F.col("desc") != "", F.col("desc")), F.when(F.col("uploader") != "", F.concat(F.lit("作者: "), F.col("uploader"))), F.when(F.col("url") != "", F.col("url")))
+    """item_id, text: the template of the item's kind filled, then the description of its info;
+    parts without a value are left out. Templates are a small list, one a kind."""
+    parts = T.describe(*[F.col(k) for k in ("title", "uploader", "date", "url", "desc")])
     met = info.join(F.broadcast(templates), "kind", "left")
     filled = T.fill_template(F.col("template"), {k: F.col(k) for k in ("title", "uploader", "date", "url")})
     return met.select("item_id", F.concat_ws("\n", filled, F.nullif(parts, F.lit(""))).alias("text"))

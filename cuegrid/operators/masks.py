@@ -5,11 +5,14 @@ Range joins cut every interval into the buckets of time it covers and join on it
 
 from __future__ import annotations
 
+import tempfile
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuegrid.functions.boxes import box, iou, overlap, span_box
+from cuegrid.functions.matching import Words, longest_hits
 from cuegrid.functions.times import sample_times
 
 BUCKET_S = 10.0
@@ -104,24 +107,44 @@ def merge_masks(masks: DataFrame) -> DataFrame:
     return alone.unionByName(folded)
 
 
-def components(edges: DataFrame, nodes: DataFrame, rounds: int = 60) -> DataFrame:
-    """box_id, track: the least box id of each connected component; labels spread over edges and
-    then jump to the label of their label, so chains close in the logarithm of their length."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = nodes.select("box_id").distinct().withColumn("track", F.col("box_id"))
-    sc = nodes.sparkSession.sparkContext
-    durable = sc.getCheckpointDir() is not None
-    for _ in range(rounds):
-        near = both.join(labels, both["b"] == labels["box_id"]).groupBy("a").agg(F.min("track").alias("_m"))
-        hooked = labels.join(near, labels["box_id"] == near["a"], "left").select("box_id", F.least("track", F.coalesce("_m", "track")).alias("track"))
-        up = hooked.select(F.col("box_id").alias("_id"), F.col("track").alias("_up"))
-        jumped = hooked.join(up, hooked["track"] == up["_id"]).select("box_id", F.least("track", "_up").alias("track"))
-        jumped = jumped.checkpoint() if durable else jumped.persist()
-        moved = jumped.join(labels.withColumnRenamed("track", "_old"), "box_id").filter("track <> _old").limit(1).count()
-        labels = jumped
-        if not moved:
+def _durable(df: DataFrame) -> DataFrame:
+    """A checkpoint in the folder that driver and executors share; only a local session gets one of its own."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="cuegrid-"))
+    return df.checkpoint()
+
+
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """box_id, track: the least box id of each connected component.
+
+    Stars are contracted until no edge changes: every box tells its greater neighbours of the
+    least one it knows, then its smaller ones; both rounds keep components and shrink their depth,
+    and the edges left are those of each box to the least of its component.
+    """
+    pairs = edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi <> lo").distinct()
+    pairs = _durable(pairs)
+    digest = None
+    while True:
+        both = pairs.union(pairs.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
+        least = both.groupBy("hi").agg(F.least(F.min("lo"), F.col("hi")).alias("_m"))
+        # The large star: greater neighbours go to the least of the neighbourhood.
+        large = both.join(least, "hi").filter("lo > hi").select(F.col("lo").alias("hi"), F.col("_m").alias("lo")).filter("hi <> lo").distinct()
+        # The small star: the others, and the box itself, go to the least smaller neighbour.
+        low = large.groupBy("hi").agg(F.min("lo").alias("_m"))
+        small = large.join(low, "hi").select(F.explode(F.array("hi", "lo")).alias("hi"), F.col("_m").alias("lo")).filter("hi <> lo").distinct()
+        pairs = _durable(small)
+        now = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("s")).first()
+        if now == digest:
             break
-    return labels
+        digest = now
+    found = pairs.groupBy("hi").agg(F.min("lo").alias("track"))
+    ids = nodes.select("box_id").distinct()
+    return ids.join(found, ids["box_id"] == found["hi"], "left").select("box_id", F.coalesce("track", "box_id").alias("track"))
 
 
 def merge_tracks(boxes: DataFrame, edges: DataFrame, step_s: float, width: int, height: int, effect: str = "blur:20") -> DataFrame:
@@ -150,7 +173,16 @@ def merge_tracks(boxes: DataFrame, edges: DataFrame, step_s: float, width: int,
 
 
 def find_words(texts: DataFrame, words: DataFrame) -> DataFrame:
-    """item_id, pos, start, word: exact hits, the longest at a place, none inside an earlier one.
+    """item_id, pos, start, word: exact hits, the longest at a place, none inside an earlier one."""
+    listed = Words(words, "word")
+    if listed.fits:
+        found = listed.udf(longest_hits, "array<struct<start:int,word:string>>")("text")
+        return texts.select("item_id", "pos", F.explode(found).alias("k")).select("item_id", "pos", "k.start", "k.word")
+    return _find_by_substrings(texts, words)
+
+
+def _find_by_substrings(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """The same for lists too long to broadcast.
 
     Every text is cut into the substrings of the lengths that words have, which meet the word
     list by equality; what an earlier hit covers goes in one pass over the hits of a text.

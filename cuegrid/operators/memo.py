@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuegrid.functions.matching import Words, any_hit, best_hit
 from cuegrid.functions.text import UNTRANSLATED, bad_target, key_nfkc, symbol_only, untranslated
 
 
@@ -74,17 +75,32 @@ def expand(keyed: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def rule_lookup(items: DataFrame, rules: DataFrame) -> DataFrame:
-    """item_id, value: of the first rule (by rank) whose key occurs in the item's tags. Rules are a small list."""
-    met = items.join(rules, F.contains(items["tags"], rules["key"]))
+    """item_id, value: of the first rule (by rank) whose key occurs in the item's tags."""
+    keys = Words(rules, "key", "rank")
+    if keys.fits:
+        hit = items.withColumn("_key", keys.udf(best_hit, "string")("tags")).filter("_key IS NOT NULL")
+    else:
+        hit = _substrings(items.withColumnRenamed("tags", "_text"), "_text", rules, "key").withColumnRenamed("key", "_key")
+    met = hit.join(rules, hit["_key"] == rules["key"])
     return met.groupBy("item_id").agg(F.min_by("value", "rank").alias("value"))
 
 
 def split_risky(items: DataFrame, glossary: DataFrame) -> DataFrame:
-    """items with risky: does the text hold a glossary term."""
-    terms = glossary.select("term").distinct()
-    risky = items.join(terms, F.contains(items["text"], terms["term"]), "left_semi").withColumn("risky", F.lit(True))
-    safe = items.join(terms, F.contains(items["text"], terms["term"]), "left_anti").withColumn("risky", F.lit(False))
-    return risky.unionByName(safe)
+    """items with risky: does the text hold a glossary term. One pass over the items."""
+    terms = Words(glossary, "term")
+    if terms.fits:
+        return items.withColumn("risky", F.coalesce(terms.udf(any_hit, "boolean")("text"), F.lit(False)))
+    held = _substrings(items.select("text").distinct(), "text", glossary, "term").select("text").distinct()
+    return items.join(held.withColumn("risky", F.lit(True)), "text", "left").withColumn("risky", F.coalesce("risky", F.lit(False))).select(*items.columns, "risky")
+
+
+def _substrings(rows: DataFrame, text: str, words: DataFrame, word: str) -> DataFrame:
+    """The rows with each word that their text holds, by equality of substrings: for lists too long to broadcast."""
+    known = words.select(word).filter(F.col(word) != "").distinct()
+    lengths = known.agg(F.collect_set(F.char_length(word)).alias("_lens"))
+    cut = rows.join(F.broadcast(lengths)).withColumn("_len", F.explode("_lens")).filter(F.char_length(text) >= F.col("_len"))
+    parts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(text) - F.col("_len") + 1), lambda i: F.substring(F.col(text), i, F.col("_len"))))
+    return cut.withColumn(word, F.explode(parts)).drop("_lens", "_len").join(known, word)
 
 
 def forget(memo: DataFrame, sources: DataFrame) -> DataFrame:

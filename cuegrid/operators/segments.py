@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from cuegrid.functions.similarity import ratio, typing_partial
+from cuegrid.functions.similarity import alike, typing_partial
 from cuegrid.functions.text import bad_target, key_nfkc
 
 # Sentence ends, quotes, and the particles that continue a sentence after a quote.
@@ -22,7 +22,7 @@ def fold_segments(rows: list[tuple[float, float, str]], frame_dur: float, thresh
     near = frame_dur * 1.5
     for t, last, text in rows:
         cur = first[-1] if first else None
-        if cur and t <= cur[1] + near and (text.startswith(cur[2]) or ratio(cur[2], text) >= threshold):
+        if cur and t <= cur[1] + near and (text.startswith(cur[2]) or alike(cur[2], text, threshold)):
             cur[1] = last + frame_dur
             cur[2] = max(cur[2], text, key=len)
         else:

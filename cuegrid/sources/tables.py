@@ -14,7 +14,7 @@ SEGMENT_FILE = "segments array<struct<start:double, `end`:double, text:string, t
 MASK_FILE = "array<struct<start:double, `end`:double, x:int, y:int, w:int, h:int, effect:string, vol:double>>"
 CAPTION_FILE = "struct<body:array<struct<`from`:double, `to`:double, content:string, is_comment:boolean>>>"
 # The labels of an info file and the fields they open.
-INFO_LABELS = {"标题": "title", "作者": "uploader", "日期": "date", "简介": "desc", "标签": "tags"}
+INFO_LABELS = {"原标题": "title", "原作者": "uploader", "投稿时间": "date", "原简介": "desc", "标签": "tags"}
 JOB_COMMANDS = ("download", "run", "ocr", "translate", "render", "mask", "upload")
 
 
@@ -59,17 +59,21 @@ def read_words(texts: DataFrame) -> DataFrame:
 
 
 def read_info(texts: DataFrame) -> DataFrame:
-    """item_id, url, title, uploader, date, desc, tags: the first line, then labelled lines; texts run on to the next label."""
-    rule = rf"^({'|'.join(INFO_LABELS)})\s*[:：]\s*(.*)$"
+    """item_id, url, title, uploader, date, desc, tags: the first line, then labelled lines, the last of
+    each label; after its label the description takes every line without one, until the tags."""
+    rule = rf"^({'|'.join(INFO_LABELS)}):(.*)$"
     w = Window.partitionBy("file_id").orderBy("line_no")
     label = F.nullif(F.regexp_extract("line", rule, 1), F.lit(""))
-    rows = lines(texts).withColumn("_label", F.last(label, ignorenulls=True).over(w)).withColumn("_value", F.when(label.isNotNull(), F.regexp_extract("line", rule, 2)).otherwise(F.col("line")))
-    body = rows.filter(F.col("_label").isNotNull()).groupBy("file_id", "_label").agg(F.array_sort(F.collect_list(F.struct("line_no", "_value"))).alias("_rows"))
-    joined = body.withColumn("_text", F.regexp_replace(F.array_join(F.transform("_rows", lambda r: r["_value"]), "\n"), r"^\s+|\s+$", ""))
-    wide = joined.groupBy("file_id").agg(*[F.max(F.when(F.col("_label") == k, F.col("_text"))).alias(v) for k, v in INFO_LABELS.items()])
-    url = lines(texts).filter("line_no = 0").select("file_id", F.btrim("line").alias("url"))
-    out = url.join(wide, "file_id", "left")
-    return out.select(F.col("file_id").alias("item_id"), "url", "title", "uploader", "date", "desc", F.filter(F.transform(F.split(F.coalesce("tags", F.lit("")), "[,，]"), lambda x: F.btrim(x)), lambda x: x != "").alias("tags"))
+    opened = F.last(F.when(label.isin("原简介", "标签"), label), ignorenulls=True).over(w)
+    rows = lines(texts).withColumns({"_label": label, "_open": opened, "_value": F.regexp_replace(F.regexp_extract("line", rule, 2), r"^\s+|\s+$", "")})
+    said = F.when(F.col("_label") == "原简介", F.col("_value")).when(F.col("_label").isNull() & (F.col("_open") == "原简介"), F.col("line"))
+    described = F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("line_no") > 0) & said.isNotNull(), F.struct("line_no", said.alias("x"))))), lambda r: r["x"]), "\n")
+    last = lambda k: F.coalesce(F.max_by(F.when(F.col("_label") == k, F.col("_value")), F.when((F.col("_label") == k) & (F.col("line_no") > 0), F.col("line_no"))), F.lit(""))
+    fields = {v: F.regexp_replace(described, r"^\s+|\s+$", "") if v == "desc" else last(k) for k, v in INFO_LABELS.items()}
+    url = F.regexp_replace(F.max(F.when(F.col("line_no") == 0, F.col("line"))), r"^\s+|\s+$", "")
+    wide = rows.groupBy("file_id").agg(url.alias("url"), *[c.alias(k) for k, c in fields.items()])
+    tags = F.filter(F.transform(F.split("tags", ","), lambda x: F.btrim(x)), lambda x: x != "")
+    return wide.select(F.col("file_id").alias("item_id"), "url", "title", "uploader", "date", "desc", tags.alias("tags"))
 
 
 def read_masks(texts: DataFrame) -> DataFrame:

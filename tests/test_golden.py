@@ -111,8 +111,25 @@ def test_usage(spark):
 
 
 def test_responses(spark):
-    df = rows(spark, [(502, "<html>bad gateway</html>"), (403, "<html>Access Denied</html>"), (429, ""), (200, "<!doctype html>"), (400, "insufficient balance")], "code int, body string")
-    assert [r.c for r in df.select(T.classify_response(F.col("code"), F.col("body")).alias("c")).collect()] == ["gateway", "blocked", "rate_limited", "html", "quota"]
+    gateway = "<html><head><title>502 Bad Gateway</title></head><body><h1>502 Bad Gateway</h1></body></html>"
+    block = "<!DOCTYPE html><html><head><title>Attention Required! | Cloudflare</title></head><body>cf-ray: abc123 Just a moment...</body></html>"
+    cases = [(502, gateway, "gateway"), (403, block, "blocked"), (403, "<html>Denied</html>", "forbidden"), (429, "quota", "rate_limited"), (500, "oops", "other"), (200, "a wafer biscuit", "other")]
+    cases += [(200, " <!doctype html><p>hello", "html"), (400, "insufficient balance", "quota"), (400, "content_policy", "censored"), (200, "x" * 400 + "quota", "other"), (401, None, "unauthorised"), (404, "", "not_found")]
+    df = rows(spark, cases, "code int, body string, want string")
+    assert [r.c for r in df.select(T.classify_response(F.col("code"), F.col("body")).alias("c")).collect()] == [c[2] for c in cases]
+
+
+def test_job_labels(spark):
+    cases = [("run --fast sm1234567", "sm1234567"), ("run so1234567", "sm1234567"), ("run --fast 1234567", "sm1234567"), ("ocr --x dir/a.mp4 -y", "a.mp4"), ("ocr b.srt", "b.srt"), ("web", "web")]
+    cases += [("ocr " + "n" * 50 + ".mp4", "n" * 37 + "..."), ("", ""), ("run sm123", "run")]
+    assert [one(spark, T.item_label, c) for c, _ in cases] == [w for _, w in cases]
+    assert one(spark, T.item_stem, "title_sm29889006") == "title"
+
+
+def test_descriptions(spark):
+    info = rows(spark, [("i", 0, "T", "", "2026-01-01", "d1\nd2", "u"), ("j", 1, "", "", "", "d", "")], "item_id string, kind int, title string, uploader string, date string, desc string, url string")
+    got = {r.item_id: r.text for r in jobs.descriptions(info, rows(spark, [(0, "{title} {no}")], "kind int, template string")).collect()}
+    assert got == {"i": "T {no}\n原标题:T\n投稿时间:2026-01-01\n原视频:u\n\nd1\nd2", "j": "d"}
 
 
 def test_names(spark):
@@ -136,9 +153,13 @@ def test_timeline(spark):
 
 
 def test_info_masks_segments_style(spark):
-    info = "https://x/sm1\n标题: T\n作者: A\n日期: 2024-01-01\n简介: one\ntwo\n标签: 测试,搬运"
-    r = tables.read_info(rows(spark, [("f", info)], "file_id string, text string")).first()
-    assert (r.url, r.title, r.uploader, r.date, r.desc, r.tags) == ("https://x/sm1", "T", "A", "2024-01-01", "one\ntwo", ["测试", "搬运"])
+    info = "https://www.nicovideo.jp/watch/sm9\n原标题:测试标题\n原作者:某人\n投稿时间:2026-01-01\n原简介:简介第一行\n标签:测试,搬运\n"
+    more = "u\n原简介: one\n\n作者: x\n原标题:T\ntwo \n标签:\nafter"
+    got = {r.item_id: r for r in tables.read_info(rows(spark, [("f", info), ("g", more)], "file_id string, text string")).collect()}
+    r = got["f"]
+    assert (r.url, r.title, r.uploader, r.date, r.desc, r.tags) == ("https://www.nicovideo.jp/watch/sm9", "测试标题", "某人", "2026-01-01", "简介第一行", ["测试", "搬运"])
+    r = got["g"]
+    assert (r.url, r.title, r.uploader, r.desc, r.tags) == ("u", "T", "", "one\n\n作者: x\ntwo", [])
     m = '[{"start":1,"end":2,"x":1,"y":2,"w":3,"h":4,"effect":"blur:20"},{"start":0,"end":2,"x":1,"y":2,"w":3,"h":4,"effect":"color:000000"}]'
     assert [x.vol for x in tables.read_masks(rows(spark, [("f", m)], "file_id string, text string")).collect()] == [1.0, 1.0]
     s = '{"segments":[{"start":0,"end":1,"text":"a","tr":"b"},{"start":1,"end":2,"text":"c"}]}'
