@@ -5,8 +5,6 @@ Range joins cut every interval into the buckets of time it covers and join on it
 
 from __future__ import annotations
 
-import tempfile
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +12,7 @@ from pyspark.sql import functions as F
 from cuegrid.functions.boxes import box, iou, overlap, span_box
 from cuegrid.functions.matching import Words, longest_hits
 from cuegrid.functions.times import sample_times
+from cuegrid.sources.storage import shared_folder
 
 BUCKET_S = 10.0
 MERGE_GAP_S = 1.0
@@ -108,14 +107,10 @@ def merge_masks(masks: DataFrame) -> DataFrame:
 
 
 def _durable(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that driver and executors share; only a local session gets one of its own."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """A checkpoint in the folder that driver and executors share."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and sc.master != "local" and not sc.master.startswith("local["):
-            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="cuegrid-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
     return df.checkpoint()
 
 

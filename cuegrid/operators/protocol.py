@@ -117,8 +117,12 @@ def allocate(calls: DataFrame, quotas: DataFrame) -> DataFrame:
     priority, whose cumulative monthly limit reaches k; null beyond all. quotas is a small list."""
     before = F.coalesce(F.sum("monthly").over(Window.orderBy("priority").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranges = quotas.select("endpoint", before.alias("_after"), (before + F.col("monthly")).alias("_to"))
-    k = F.row_number().over(Window.partitionBy("month").orderBy("ts", "call_id"))
-    numbered = calls.select("call_id", "ts", F.trunc("ts", "month").alias("month")).withColumn("k", k)
+    # Counted within each hour, and on from the hours before it: a month is never one task's.
+    rows = calls.select("call_id", "ts", F.trunc("ts", "month").alias("month"), F.date_trunc("hour", "ts").alias("_hour"))
+    hours = rows.groupBy("month", "_hour").agg(F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy("month").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1))
+    k = F.row_number().over(Window.partitionBy("month", "_hour").orderBy("ts", "call_id")) + F.col("_earlier")
+    numbered = rows.join(hours.select("month", "_hour", F.coalesce(earlier, F.lit(0)).alias("_earlier")), ["month", "_hour"]).withColumn("k", k)
     return numbered.join(F.broadcast(ranges), (F.col("k") > F.col("_after")) & (F.col("k") <= F.col("_to")), "left").select("call_id", "month", "k", "endpoint")
 
 

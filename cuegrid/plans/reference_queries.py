@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cuegrid.functions import text, times
 from cuegrid.functions.text import bad_target
 from cuegrid.operators import audio, cues, frames, jobs, masks, memo, protocol, segments, selection
 from cuegrid.plans.registry import query
 from cuegrid.plans.views import view as v
 from cuegrid.plans.views import with_views
 from cuegrid.sources import subtitles, tables
+from cuegrid.sources.storage import shared_folder
+from cuegrid.streaming import jobs as streams
 
 PRICES = {"hit": 0.02, "miss": 1.0, "output": 2.0}
 _BLANK = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12) || '　'"
@@ -64,13 +67,15 @@ def a2_islands(spark, d):
     return segments.islands(v(spark, d, "v_frame_obs"), 0.5).groupBy("item_id", "island").agg(F.count("*").alias("runs"), F.min("t_s").alias("first_s"), F.max("last_s").alias("last_s"))
 
 
-@q("a4_merge_quotes", "SELECT item_id, pos AS seg_no, CAST(start_s AS DOUBLE) AS start_s, CAST(end_s AS DOUBLE) AS end_s, text FROM v_cues")
+@q(
+    "a4_merge_quotes",
+    """WITH g AS (SELECT *, CASE WHEN pos % 2 = 1 AND text = 'user」' THEN pos - 1 ELSE pos END AS grp FROM v_quoted),
+m AS (SELECT item_id, grp, min(start_s) AS s, max(end_s) AS e, string_agg(text, '' ORDER BY pos) AS text FROM g GROUP BY item_id, grp)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY grp) - 1 AS INT) AS seg_no, s AS start_s, e AS end_s, text FROM m""",
+)
 def a4(spark, d):
-    # The corpus has no corner brackets: every row must come through unchanged.
-    rows = v(spark, d, "v_cues").withColumn("seg_no", F.col("pos"))
-    out = segments.merge_quotes(rows, 0.5)
-    first = rows.groupBy("item_id").agg(F.min("pos").alias("_p"))
-    return out.join(first, "item_id").select("item_id", (F.col("seg_no") + F.col("_p")).cast("int").alias("seg_no"), "start_s", "end_s", "text")
+    # A user's quotation closes in the next row; the others' rows end a sentence and stay apart.
+    return segments.merge_quotes(v(spark, d, "v_quoted").withColumnRenamed("pos", "seg_no"), 0.5)
 
 
 @q("a16_sentences")
@@ -111,12 +116,43 @@ def a5(spark, d):
     return out.withColumn("diff", F.when(F.col("diff") == float("inf"), -1.0).otherwise(F.round("diff", 6)))
 
 
-@q("a6_seq_overlap")
+def _overlap_sql(prev: str) -> str:
+    """Share and amount removed, overlap and pixels before, between the lists ``prev`` and ``sig``."""
+    pair = f"list_zip({prev}, sig)"
+    return f"""list_sum(list_transform({prev}, lambda x: CAST(x AS DOUBLE))) / len({prev}) AS base,
+  list_sum(list_transform({pair}, lambda x: greatest(CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE), 0.0))) / len({prev}) AS gone,
+  len(list_filter({pair}, lambda x: least(x[1], x[2]) > 0)) AS common, len(list_filter({prev}, lambda x: x > 0)) AS pixels, len(list_filter(sig, lambda x: x > 0)) AS now"""
+
+
+_BEFORE = "p AS (SELECT *, coalesce(lag(sig) OVER (PARTITION BY item_id ORDER BY frame_idx), list_transform(sig, lambda x: x * 0)) AS prev FROM {})"
+_OVERLAPS = "o AS (SELECT *, CASE WHEN base < 0.5 THEN 0.0 ELSE gone / base END AS removed, CASE WHEN base < 0.5 THEN 0.0 ELSE gone END AS removed_abs, CASE WHEN greatest(pixels, now) > 0 THEN common / greatest(pixels, now) ELSE 0.0 END AS overlap FROM (SELECT item_id, frame_idx, {} FROM p))"
+#: Signatures of 0 and more, as strokes are; the tables' are embeddings.
+_STROKES = "strokes AS (SELECT item_id, frame_idx, list_transform(sig, lambda x: greatest(x * {}, 0.0)) AS sig FROM v_sig)"
+
+
+@q("a6_seq_overlap", f"WITH {_STROKES.format(100)}, {_BEFORE.format('strokes')}, {_OVERLAPS.format(_overlap_sql('prev'))} SELECT item_id, frame_idx, round(removed, 3) AS removed, round(removed_abs, 2) AS removed_abs, round(overlap, 3) AS overlap, pixels AS prev_pixels FROM o")
 def a6(spark, d):
-    return frames.seq_overlap(v(spark, d, "v_sig"))
+    out = frames.seq_overlap(_strokes(spark, d, 100))
+    return out.select("item_id", "frame_idx", F.round("removed", 3).alias("removed"), F.round("removed_abs", 2).alias("removed_abs"), F.round("overlap", 3).alias("overlap"), F.col("prev_pixels").cast("long").alias("prev_pixels"))
 
 
-@q("a7_spans")
+def _strokes(spark, d, times):
+    return v(spark, d, "v_sig").withColumn("sig", F.transform("sig", lambda x: F.greatest(x * times, F.lit(0.0))))
+
+
+def _spans_sql(sig: str, least: float) -> str:
+    """The key-frame spans of ``sig`` by runs of changed frames, ten to a span."""
+    return f"""df AS (SELECT item_id, frame_idx, CASE WHEN before IS NULL THEN true ELSE list_sum(list_transform(list_zip(sig, before), lambda x: abs(CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)))) / len(sig) >= {least} END AS changed
+  FROM (SELECT *, lag(sig) OVER (PARTITION BY item_id ORDER BY frame_idx) AS before FROM {sig})),
+runs AS (SELECT *, sum(CASE WHEN changed IS DISTINCT FROM was THEN 1 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY frame_idx) AS run FROM (SELECT *, lag(changed) OVER (PARTITION BY item_id ORDER BY frame_idx) AS was FROM df)),
+parts AS (SELECT *, (row_number() OVER (PARTITION BY item_id, run ORDER BY frame_idx) - 1) // 10 AS part FROM runs WHERE changed),
+chunk AS (SELECT item_id, run, part, min(frame_idx) AS a, max(frame_idx) AS z, count(*) AS n, max(part) = max(max(part)) OVER (PARTITION BY item_id, run) AS final FROM parts GROUP BY item_id, run, part),
+still AS (SELECT item_id, run - 1 AS run, max(frame_idx) AS last FROM runs WHERE NOT changed GROUP BY item_id, run),
+spans AS (SELECT c.item_id, CAST(row_number() OVER (PARTITION BY c.item_id ORDER BY a) - 1 AS INT) AS span_no, a AS start_idx, coalesce(lead(a) OVER (PARTITION BY c.item_id ORDER BY a), (SELECT max(frame_idx) + 1 FROM df WHERE df.item_id = c.item_id)) - 1 AS end_idx,
+  CASE WHEN final AND n < 10 THEN coalesce(last, z) ELSE z END AS key_idx FROM chunk c LEFT JOIN still s ON s.item_id = c.item_id AND s.run = c.run)"""
+
+
+@q("a7_spans", f"WITH {_spans_sql('v_sig', 0.14)} SELECT * FROM spans")
 def a7(spark, d):
     return frames.spans(frames.seq_diff(v(spark, d, "v_sig")), 0.14)
 
@@ -127,23 +163,29 @@ def a8(spark, d):
     return frames.spans(frames.seq_diff(sig), 140.0, replaced=frames.replacements(sig))
 
 
-@q("a9_merge_spans")
+@q(
+    "a9_merge_spans",
+    f"""WITH {_STROKES.format(100)}, {_spans_sql('strokes', 9.0)},
+k AS (SELECT s.*, sig, lag(sig) OVER (PARTITION BY s.item_id ORDER BY span_no) AS prev FROM spans s LEFT JOIN strokes f ON f.item_id = s.item_id AND f.frame_idx = s.key_idx),
+o AS (SELECT *, coalesce(base >= 0.5 AND (gone / base < 0.2 OR (CASE WHEN greatest(pixels, now) > 0 THEN common / greatest(pixels, now) ELSE 0.0 END) >= 0.5), false) AS same FROM (SELECT *, {_overlap_sql('prev')} FROM k)),
+g AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY item_id ORDER BY span_no) AS grp FROM o)
+SELECT item_id, CAST(grp - 1 AS BIGINT) AS span_no, min(start_idx) AS start_idx, max(end_idx) AS end_idx, max_by(key_idx, span_no) AS key_idx FROM g GROUP BY item_id, grp""",
+)
 def a9(spark, d):
-    sig = v(spark, d, "v_sig").withColumn("sig", F.transform("sig", lambda x: F.greatest(x * 100, F.lit(0.0))))
-    return frames.merge_spans(frames.spans(frames.seq_diff(sig), 9.0), sig)
+    sig = _strokes(spark, d, 100)
+    return frames.merge_spans(frames.spans(frames.seq_diff(sig), 9.0), sig).withColumn("span_no", F.col("span_no").cast("long"))
 
 
 @q(
     "a10_strip_static",
     """
-WITH w AS (SELECT doc_id % 20 AS item_id, doc_id AS pos, unnest(string_split(substring(text, 1, 200), ' ')) AS feature FROM documents),
+WITH w AS (SELECT CAST(floor(doc_id / 50) AS BIGINT) AS item_id, doc_id AS pos, word AS feature FROM v_tokens),
 n AS (SELECT item_id, count(DISTINCT pos) AS n FROM w GROUP BY item_id), c AS (SELECT item_id, feature, count(DISTINCT pos) AS k FROM w GROUP BY item_id, feature),
 s AS (SELECT c.item_id, c.feature FROM c JOIN n USING (item_id) WHERE n >= 2 AND k > 0.3 * n)
 SELECT item_id, count(*) AS kept FROM w WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.item_id = w.item_id AND s.feature = w.feature) GROUP BY item_id""",
 )
 def a10(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    words = docs.select((F.col("doc_id") % 20).alias("item_id"), F.col("doc_id").alias("pos"), F.explode(F.split(F.substring("text", 1, 200), " ")).alias("feature"))
+    words = v(spark, d, "v_tokens").select(F.floor(F.col("doc_id") / 50).alias("item_id"), F.col("doc_id").alias("pos"), F.col("word").alias("feature"))
     return frames.strip_static(words, 0.3).groupBy("item_id").agg(F.count("*").alias("kept"))
 
 
@@ -164,16 +206,21 @@ def a20(spark, d):
     return frames.pack_frames(v(spark, d, "v_sig").select("item_id", "frame_idx", F.lit(300).alias("h"))).select("item_id", "frame_idx", F.col("batch_no").cast("long").alias("batch_no"))
 
 
-@q("a21_spans_to_frames", "SELECT item_id, frame_idx FROM v_sig")
+@q(
+    "a21_spans_to_frames",
+    f"WITH {_spans_sql('v_sig', 0.14)} SELECT s.item_id, span_no, key_idx, f.frame_idx, CAST(f.frame_idx / 2.0 + 1 AS DOUBLE) AS t_s FROM spans s JOIN v_sig f ON f.item_id = s.item_id AND f.frame_idx BETWEEN start_idx AND end_idx",
+)
 def a21(spark, d):
-    # Spans cover their item from the first changed frame on, so every frame comes back.
-    return frames.spans_to_frames(frames.spans(frames.seq_diff(v(spark, d, "v_sig")), 0.14)).select("item_id", F.col("frame_idx").cast("long").alias("frame_idx"))
+    return frames.spans_to_frames(frames.spans(frames.seq_diff(v(spark, d, "v_sig")), 0.14), 2.0, 1.0)
 
 
-@q("g10_savings")
+@q(
+    "g10_savings",
+    f"WITH {_spans_sql('v_sig', 0.14)}, n AS (SELECT item_id, count(*) AS kept FROM spans GROUP BY 1) SELECT item_id, count(*) AS frames, coalesce(max(kept), 0) AS kept, round(1 - coalesce(max(kept), 0) / count(*), 6) AS saved FROM v_sig LEFT JOIN n USING (item_id) GROUP BY 1",
+)
 def g10(spark, d):
     sig = v(spark, d, "v_sig").select("item_id", "frame_idx", "sig")
-    return frames.savings(sig, frames.spans(frames.seq_diff(sig), 0.14))
+    return frames.savings(sig, frames.spans(frames.seq_diff(sig), 0.14)).withColumn("saved", F.round("saved", 6))
 
 
 # ---- audio
@@ -187,18 +234,39 @@ def a11(spark, d):
     return audio.loudness_windows(v(spark, d, "v_loud")).select("item_id", "w", F.round("db", 6).alias("db"))
 
 
-@q("g6_otsu")
+_OTSU = """r AS (SELECT item_id, db, row_number() OVER (PARTITION BY item_id ORDER BY db) - 1 AS i, count(*) OVER (PARTITION BY item_id) AS n, min(db) OVER (PARTITION BY item_id) AS lo, max(db) OVER (PARTITION BY item_id) AS hi FROM win),
+lv AS (SELECT item_id, max(db) FILTER (WHERE i = least(n - 1, floor(n * 0.05::DOUBLE))) AS p05, max(db) FILTER (WHERE i = least(n - 1, floor(n * 0.5::DOUBLE))) AS p50, max(db) FILTER (WHERE i = least(n - 1, floor(n * 0.95::DOUBLE))) AS p95 FROM r GROUP BY 1),
+bn AS (SELECT item_id, lo, CASE WHEN hi > lo THEN (hi - lo) / 64 ELSE 1.0 END AS width, least(63, floor((db - lo) / (CASE WHEN hi > lo THEN (hi - lo) / 64 ELSE 1.0 END))) AS bin, count(*) AS c FROM r GROUP BY ALL),
+cu AS (SELECT *, sum(c) OVER (PARTITION BY item_id ORDER BY bin) AS wb, sum(c * (lo + (bin + 0.5) * width)) OVER (PARTITION BY item_id ORDER BY bin) AS sb, sum(c) OVER (PARTITION BY item_id) AS al, sum(c * (lo + (bin + 0.5) * width)) OVER (PARTITION BY item_id) AS st FROM bn),
+be AS (SELECT item_id, lo + (bin + 1) * width AS best FROM cu WHERE al > wb QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(wb * (al - wb) * pow(sb / wb - (st - sb) / (al - wb), 2), 6) DESC, bin) = 1),
+th AS (SELECT item_id, CASE WHEN p05 + 2 < p95 - 2 THEN CASE WHEN p95 - p50 > 4 THEN greatest(t, p95 - 10) ELSE t END END AS th FROM (SELECT *, least(greatest(coalesce(best, (p05 + p95) / 2), p05 + 2), p95 - 2) AS t FROM lv LEFT JOIN be USING (item_id)))"""
+
+
+@q("g6_otsu", f"WITH {_WIN}, {_OTSU} SELECT item_id, round(th, 6) AS th FROM th")
 def g6(spark, d):
-    return audio.otsu(audio.loudness_windows(v(spark, d, "v_loud")))
+    return audio.otsu(audio.loudness_windows(v(spark, d, "v_loud"))).withColumn("th", F.round("th", 6))
 
 
-@q("a12_speech_segments")
+@q(
+    "a12_speech_segments",
+    f"""WITH {_WIN}, {_OTSU},
+l AS (SELECT w.item_id, w * 0.25 AS t_s, db, th, sum(CASE WHEN db >= th THEN 1 ELSE 0 END) OVER (PARTITION BY w.item_id ORDER BY w) AS island FROM win w JOIN th USING (item_id) WHERE th IS NOT NULL),
+i AS (SELECT item_id, island, min(t_s) FILTER (WHERE db < th - 10) AS s, min(t_s) AS f FROM l GROUP BY 1, 2),
+cuts AS (SELECT * FROM (SELECT item_id, s, lead(f) OVER (PARTITION BY item_id ORDER BY island) AS e FROM i) WHERE s IS NOT NULL AND (e IS NULL OR e - s >= 0.6)),
+b AS (SELECT item_id, min(t_s) AS t0, max(t_s) + 0.25 AS t1 FROM l GROUP BY 1),
+sp AS (SELECT b.item_id, t0, t1, coalesce(lag(coalesce(e, t1)) OVER (PARTITION BY b.item_id ORDER BY s), t0) AS a, s AS z FROM b JOIN cuts USING (item_id)
+  UNION ALL SELECT b.item_id, t0, t1, coalesce((SELECT max(coalesce(e, t1)) FROM cuts c WHERE c.item_id = b.item_id), t0), t1 FROM b),
+pd AS (SELECT item_id, t0, t1, a - 0.2 AS s, z + 0.2 AS e FROM sp WHERE a < z AND (z + 0.2) - (a - 0.2) >= 0.3),
+g AS (SELECT *, sum(CASE WHEN coalesce(s > least(pe, t1), true) THEN 1 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY s) AS grp FROM (SELECT *, lag(e) OVER (PARTITION BY item_id ORDER BY s) AS pe FROM pd))
+SELECT item_id, round(greatest(min(s), min(t0)), 3) AS start_s, round(CASE WHEN count(*) = 1 THEN least(max(e), min(t1)) ELSE max(e) END, 3) AS end_s FROM g GROUP BY item_id, grp""",
+)
 def a12(spark, d):
     w = audio.loudness_windows(v(spark, d, "v_loud"))
-    return audio.speech_segments(w, audio.otsu(w))
+    out = audio.speech_segments(w, audio.otsu(w))
+    return out.select("item_id", F.round("start_s", 3).alias("start_s"), F.round("end_s", 3).alias("end_s"))
 
 
-_CUTS = "cuts AS (SELECT item_id, start_s, end_s FROM v_masks WHERE effect = 'cut'), bounds AS (SELECT DISTINCT item_id, 0.0 AS t0, 610.0 AS t1 FROM v_masks)"
+_CUTS = "cuts AS (SELECT item_id, start_s, end_s FROM v_masks WHERE effect = 'cut'), bounds AS (SELECT DISTINCT item_id, 0.0 AS t0, 70.0 AS t1 FROM v_masks)"
 
 
 @q(
@@ -209,7 +277,7 @@ SELECT item_id, CAST(start_s AS DOUBLE) AS start_s, CAST(end_s AS DOUBLE) AS end
 )
 def u3(spark, d):
     m = v(spark, d, "v_masks")
-    bounds = m.select("item_id").distinct().select("item_id", F.lit(0.0).alias("t0"), F.lit(610.0).alias("t1"))
+    bounds = m.select("item_id").distinct().select("item_id", F.lit(0.0).alias("t0"), F.lit(70.0).alias("t1"))
     return audio.complement(m.filter("effect = 'cut'").select("item_id", "start_s", "end_s"), bounds)
 
 
@@ -236,10 +304,10 @@ def j3(spark, d):
     return memo.backfill(v(spark, d, "v_texts"), v(spark, d, "v_memo")).select("item_id", "pos", "tr")
 
 
-@q("j4_carry_over", "SELECT n.item_id, n.pos, CASE WHEN n.pos % 2 = 0 THEN n.style END AS tr FROM v_cues n")
+@q("j4_carry_over", "SELECT n.item_id, n.pos, CASE WHEN n.style = 'user' THEN n.style END AS tr FROM v_cues n")
 def j4(spark, d):
     c = v(spark, d, "v_cues")
-    old = c.filter("pos % 2 = 0").select("item_id", "pos", (F.col("start_s") + 0.001).alias("start_s"), "end_s", "text", F.col("style").alias("tr"))
+    old = c.filter("style = 'user'").select("item_id", "pos", (F.col("start_s") + 0.001).alias("start_s"), "end_s", "text", F.col("style").alias("tr"))
     new = c.select("item_id", "pos", "start_s", "end_s", "text", F.lit(None).cast("string").alias("tr"))
     return memo.carry_over(new, old).select("item_id", "pos", "tr")
 
@@ -251,9 +319,9 @@ def j5(spark, d):
     return memo.todo(log.select("frame_key").distinct(), known, {"provider": "click"})
 
 
-@q("j6_representatives", "WITH c AS (SELECT doc_id, lang || '-' || (n_chars % 50) AS coarse, substring(text, 1, 20) AS fine FROM documents), k AS (SELECT *, count(*) OVER (PARTITION BY coarse) AS n FROM c) SELECT doc_id, row_number() OVER (PARTITION BY coarse, CASE WHEN n > 1 THEN fine END ORDER BY doc_id) = 1 AS is_first FROM k")
+@q("j6_representatives", "WITH c AS (SELECT doc_id, lang || '-' || (n_chars % 50) AS coarse, text AS fine FROM documents), k AS (SELECT *, count(*) OVER (PARTITION BY coarse) AS n FROM c) SELECT doc_id, row_number() OVER (PARTITION BY coarse, CASE WHEN n > 1 THEN fine END ORDER BY doc_id) = 1 AS is_first FROM k")
 def j6(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.concat("lang", F.lit("-"), F.col("n_chars") % 50).alias("coarse"), F.substring("text", 1, 20).alias("fine"))
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.concat("lang", F.lit("-"), F.col("n_chars") % 50).alias("coarse"), F.col("text").alias("fine"))
     return memo.representatives(docs, "coarse", "fine", "doc_id").select("doc_id", "is_first")
 
 
@@ -301,9 +369,9 @@ def g4(spark, d):
     return memo.status(v(spark, d, "v_texts"), v(spark, d, "v_memo")).drop("done")
 
 
-@q("g5_inventory", f"SELECT i.item_id, i.item_id % 2 = 0 AS has_video, coalesce(n, 0) > 0 AS has_subtitle, coalesce(u, 0) AS untranslated FROM (SELECT DISTINCT doc_id % 25 AS item_id FROM documents) i LEFT JOIN (SELECT t.item_id, count(*) AS n, count(*) FILTER (WHERE (CASE WHEN tr IS NOT NULL AND tr <> '' AND tr <> '[[未译]]' THEN tr ELSE coalesce(m.dst, '') END) = '') AS u FROM v_texts t LEFT JOIN (SELECT * FROM v_memo WHERE {_OK}) m ON m.src = t.text GROUP BY t.item_id) s USING (item_id)")
+@q("g5_inventory", f"SELECT i.item_id, i.item_id % 2 = 0 AS has_video, coalesce(n, 0) > 0 AS has_subtitle, coalesce(u, 0) AS untranslated FROM (SELECT DISTINCT CAST(floor(doc_id / 40) AS BIGINT) AS item_id FROM documents) i LEFT JOIN (SELECT t.item_id, count(*) AS n, count(*) FILTER (WHERE (CASE WHEN tr IS NOT NULL AND tr <> '' AND tr <> '[[未译]]' THEN tr ELSE coalesce(m.dst, '') END) = '') AS u FROM v_texts t LEFT JOIN (SELECT * FROM v_memo WHERE {_OK}) m ON m.src = t.text GROUP BY t.item_id) s USING (item_id)")
 def g5(spark, d):
-    items = spark.read.parquet(f"{d}/documents.parquet").select((F.col("doc_id") % 25).alias("item_id")).distinct().withColumn("has_video", F.col("item_id") % 2 == 0)
+    items = spark.read.parquet(f"{d}/documents.parquet").select(F.floor(F.col("doc_id") / 40).alias("item_id")).distinct().withColumn("has_video", F.col("item_id") % 2 == 0)
     return memo.inventory(items, v(spark, d, "v_texts"), v(spark, d, "v_memo"))
 
 
@@ -348,18 +416,26 @@ _INTER = _IOU.format(a="p", b="q")
 
 
 def _boxes(spark, d):
-    return v(spark, d, "v_boxes").withColumn("frame_idx", F.expr("frame_idx div 20"))
+    return v(spark, d, "v_boxes")
 
 
-@q("j13_track_edges", f"SELECT item_id, a, b FROM (SELECT p.item_id, p.box_id AS a, q.box_id AS b, {_INTER} AS i, p.w * p.h + q.w * q.h AS s FROM v_boxes p JOIN v_boxes q ON p.item_id = q.item_id AND p.frame_idx = q.frame_idx + 20) WHERE i > 0 AND i >= 0.3 * (s - i)")
+@q("j13_track_edges", f"SELECT item_id, a, b FROM (SELECT p.item_id, p.box_id AS a, q.box_id AS b, {_INTER} AS i, p.w * p.h + q.w * q.h AS s FROM v_boxes p JOIN v_boxes q ON p.item_id = q.item_id AND p.frame_idx = q.frame_idx + 1) WHERE i > 0 AND i >= 0.3 * (s - i)")
 def j13(spark, d):
     return masks.track_edges(_boxes(spark, d))
 
 
-@q("j14_box_recall")
+@q(
+    "j14_box_recall",
+    """WITH m AS (SELECT * FROM v_masks WHERE effect NOT IN ('mute', 'cut')), tr AS (SELECT *, row_number() OVER (ORDER BY item_id, start_s, x) AS id FROM m WHERE effect LIKE 'color%'),
+sec AS (SELECT *, CAST(unnest(generate_series(CAST(ceil(start_s) AS BIGINT), CAST(ceil(end_s) - 1 AS BIGINT))) AS DOUBLE) AS t FROM tr),
+hit AS (SELECT s.id, s.t, sum(greatest(0, least(p.x + p.w, s.x + s.w) - greatest(p.x, s.x)) * greatest(0, least(p.y + p.h, s.y + s.h) - greatest(p.y, s.y))) AS area FROM sec s JOIN m p ON p.item_id = s.item_id AND p.effect LIKE 'blur%' AND s.t >= p.start_s AND s.t < p.end_s GROUP BY 1, 2),
+best AS (SELECT s.item_id, s.t, max(coalesce(area, 0) / (s.w * s.h)) AS share FROM sec s LEFT JOIN hit USING (id, t) GROUP BY 1, 2)
+SELECT item_id, count(*) AS seconds, round(avg(CASE WHEN share > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_share, round(avg(CASE WHEN share >= 0.5 THEN 1.0 ELSE 0.0 END), 6) AS half_share FROM best GROUP BY 1""",
+)
 def j14(spark, d):
-    m = v(spark, d, "v_masks").filter("effect NOT IN ('mute', 'cut')")
-    return masks.box_recall(m.filter("x % 2 = 0"), m.filter("x % 2 = 1"))
+    m = v(spark, d, "v_masks")
+    out = masks.box_recall(m.filter("effect LIKE 'blur%'"), m.filter("effect LIKE 'color%'"))
+    return out.withColumns({"hit_share": F.round("hit_share", 6), "half_share": F.round("half_share", 6)})
 
 
 @q("j17_lines_to_boxes")
@@ -392,7 +468,7 @@ def a13(spark, d):
 
 @q(
     "a14_components",
-    f"""WITH e AS (SELECT a, b FROM (SELECT p.box_id AS a, q.box_id AS b, {_INTER} AS i, p.w * p.h + q.w * q.h AS s FROM v_boxes p JOIN v_boxes q ON p.item_id = q.item_id AND p.frame_idx = q.frame_idx + 20) WHERE i > 0 AND i >= 0.3 * (s - i))
+    f"""WITH e AS (SELECT a, b FROM (SELECT p.box_id AS a, q.box_id AS b, {_INTER} AS i, p.w * p.h + q.w * q.h AS s FROM v_boxes p JOIN v_boxes q ON p.item_id = q.item_id AND p.frame_idx = q.frame_idx + 1) WHERE i > 0 AND i >= 0.3 * (s - i))
 SELECT count(DISTINCT box_id) AS boxes, count(DISTINCT box_id) FILTER (WHERE box_id NOT IN (SELECT a FROM e WHERE a <> b UNION ALL SELECT b FROM e WHERE a <> b)) AS alone FROM v_boxes""",
 )
 def a14_counts(spark, d):
@@ -492,7 +568,7 @@ def k5(spark, d):
 # ---- jobs
 
 
-@q("p1_text_variants", r"WITH s AS (SELECT text, count(*) AS n, min(item_id * 100000000 + pos) AS k FROM v_texts GROUP BY text) SELECT regexp_replace(text, '\s+', '', 'g') AS key, CAST(sum(n) AS BIGINT) AS n, count(*) AS spellings, min_by(text, k) AS first_text FROM s GROUP BY 1")
+@q("p1_text_variants", r"WITH s AS (SELECT text, count(*) AS n, min(item_id * 1000000000000 + pos) AS k FROM v_texts GROUP BY text) SELECT regexp_replace(text, '\s+', '', 'g') AS key, CAST(sum(n) AS BIGINT) AS n, count(*) AS spellings, min_by(text, k) AS first_text FROM s GROUP BY 1")
 def p1(spark, d):
     return jobs.text_variants(v(spark, d, "v_texts"))
 
@@ -502,7 +578,18 @@ def p2(spark, d):
     return jobs.near_pairs(v(spark, d, "v_cues"), k=2)
 
 
-@q("p3_quality_audit")
+_COUNT = "length(t) - length(replace(t, '{}', ''))"
+
+
+@q(
+    "p3_quality_audit",
+    rf"""WITH s AS (SELECT item_id, coalesce(tr, '') AS t FROM v_texts),
+c AS (SELECT item_id, count(*) FILTER (WHERE t = '') AS empty, count(*) FILTER (WHERE trim(t) = '[[未译]]') AS marker,
+  count(*) FILTER (WHERE contains(lower(t), 'the request was rejected')) AS refusal, count(*) FILTER (WHERE t <> '' AND NOT regexp_matches(t, '[\p{{L}}\p{{N}}]')) AS symbols,
+  count(*) FILTER (WHERE 0.5 * (length(t) + length(regexp_replace(t, '[^\x{{2E80}}-\x{{9FFF}}\x{{AC00}}-\x{{D7A3}}\x{{FF01}}-\x{{FF60}}]', '', 'g'))) > 20) AS wide,
+  count(*) FILTER (WHERE {_COUNT.format("「")} <> {_COUNT.format("」")} OR {_COUNT.format("『")} <> {_COUNT.format("』")}) AS quotes FROM s GROUP BY 1)
+SELECT item_id, rule, n FROM (UNPIVOT c ON empty, marker, refusal, symbols, wide, quotes INTO NAME rule VALUE n) WHERE n > 0""",
+)
 def p3(spark, d):
     return jobs.quality_audit(_as_segments(spark, d))
 
@@ -513,22 +600,38 @@ def p4(spark, d):
     return jobs.clean_targets(_as_segments(spark, d), terms)[0]
 
 
-@q("p5_clean_pages", "WITH c AS (SELECT page_id, regexp_extract(url, '^([^?#]*)', 1) || CASE WHEN regexp_extract(url, '^[^#]*[?&]v=([^&#]+)', 1) <> '' THEN '?v=' || regexp_extract(url, '^[^#]*[?&]v=([^&#]+)', 1) ELSE '' END || regexp_extract(url, '(#.*)$', 1) AS url FROM v_pages) SELECT min(page_id) AS page_id, url FROM c GROUP BY url")
+@q(
+    "p5_clean_pages",
+    r"""WITH c AS (SELECT page_id, regexp_extract(url, '^([^?#]*)', 1) || CASE WHEN regexp_extract(url, '^[^#]*[?&]v=([^&#]+)', 1) <> '' THEN '?v=' || regexp_extract(url, '^[^#]*[?&]v=([^&#]+)', 1) ELSE '' END || regexp_extract(url, '(#.*)$', 1) AS url,
+  regexp_replace(regexp_replace(trim(regexp_extract(page, '(?is)<title[^>]*>(.*?)</title>', 1)), '[\\/:*?"<>|\x00-\x1f]', '_', 'g'), '[. ]+$', '') AS title FROM v_pages)
+SELECT min(page_id) AS page_id, url, min_by(CASE WHEN title = '' THEN CAST(page_id AS VARCHAR) ELSE substring(title, 1, 100) END, page_id) AS title FROM c GROUP BY url""",
+)
 def p5(spark, d):
-    return jobs.clean_pages(v(spark, d, "v_pages").select("page_id", "url", "body")).select("page_id", "url")
+    return jobs.clean_pages(v(spark, d, "v_pages").select("page_id", "url", F.col("page").alias("body"))).select("page_id", "url", "title")
 
 
-@q("p6_classify_responses", "SELECT code % 3 AS endpoint, CASE WHEN regexp_matches(lower(body), 'access denied|request blocked|waf|captcha') THEN 'blocked' WHEN code >= 500 THEN 'gateway' WHEN code = 403 THEN 'forbidden' WHEN regexp_matches(lower(body), 'insufficient|quota|balance|arrears|exceeded|余额|额度|欠费|充值') THEN 'quota' WHEN code = 429 THEN 'rate_limited' WHEN regexp_matches(lower(body), 'data_inspection_failed|inappropriate content|content_policy|content_filter|content policy|内容审核|内容不合规') THEN 'censored' WHEN regexp_matches(lower(body), '^\\s*(<!doctype|<html)') THEN 'html' ELSE 'other' END AS class, count(*) AS n FROM v_pages GROUP BY 1, 2")
+@q(
+    "p6_classify_responses",
+    r"""WITH t AS (SELECT code, regexp_replace(coalesce(body, ''), '^\s+|\s+$', '', 'g') AS t FROM v_pages),
+h AS (SELECT *, regexp_matches(lower(substring(t, 1, 200)), '^(<html|<!doctype|<head)') AS page, lower(substring(t, 1, 2000)) AS head FROM t),
+w AS (SELECT *, lower(CASE WHEN page THEN substring(trim(regexp_replace(regexp_replace(t, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), 1, 200) ELSE substring(regexp_replace(t, '\s+', ' ', 'g'), 1, 300) END) AS shown FROM h)
+SELECT code % 3 AS endpoint, CASE WHEN regexp_matches(head, 'cloudflare|cf-ray|attention required|just a moment|checking your browser|<title>access denied') THEN 'blocked' WHEN code IN (502, 503, 504) THEN 'gateway'
+  WHEN code = 401 THEN 'unauthorised' WHEN code = 403 THEN 'forbidden' WHEN code = 404 THEN 'not_found' WHEN code = 429 THEN 'rate_limited'
+  WHEN regexp_matches(shown, 'insufficient|quota|balance|arrears|exceeded|余额|额度|欠费|充值') THEN 'quota'
+  WHEN regexp_matches(shown, 'data_inspection_failed|inappropriate content|content_policy|content_filter|content policy|内容审核|内容不合规') THEN 'censored'
+  WHEN page THEN 'html' ELSE 'other' END AS class, count(*) AS n FROM w GROUP BY 1, 2""",
+)
 def p6(spark, d):
     log = v(spark, d, "v_pages").select(F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ts"), (F.col("code") % 3).alias("endpoint"), "code", "body")
     return protocol.classify_responses(log).select("endpoint", "class", "n")
 
 
-@q("p7_latest_progress", "SELECT 'u' || item_id AS item, stage, max_by('step ' || (event_id % 100) || '% ' || event_id || '/999', event_id) AS line FROM v_log GROUP BY 1, 2")
+@q("p7_latest_progress", "SELECT 'sm' || (100000 + item_id) AS item, stage, max_by('step ' || (event_id % 100) || '% ' || event_id || '/999', event_id) AS line FROM v_log GROUP BY 1, 2")
 def p7(spark, d):
     log = v(spark, d, "v_log")
     line = F.concat(F.lit("\x1b[32mstep: "), F.col("event_id") % 100, F.lit("%|###   | "), F.col("event_id"), F.lit("/999 [00:01]"))
-    return protocol.latest_progress(log.select(F.col("event_id").alias("ts"), F.concat(F.lit("run u"), "item_id").alias("job"), "stage", line.alias("line")))
+    job = F.concat(F.lit("run --fast so"), F.col("item_id") + 100000)
+    return protocol.latest_progress(log.select(F.col("event_id").alias("ts"), job.alias("job"), "stage", line.alias("line")))
 
 
 @q("p8_repair_styles", "SELECT item_id, CASE WHEN regexp_matches(color, '^#[0-9A-Fa-f]{6}$') THEN upper(color) ELSE '#FFFFFF' END AS color, greatest(0.0, least(4.0, CAST(outline_width AS DOUBLE))) AS outline_width, CASE WHEN position IN ('top', 'bottom') THEN position ELSE 'bottom' END AS position FROM (SELECT o_orderkey AS item_id, CASE o_orderkey % 3 WHEN 0 THEN '#' || (100000 + o_custkey) WHEN 1 THEN 'red' END AS color, o_custkey % 9 - 2 AS outline_width, CASE o_orderkey % 3 WHEN 0 THEN 'top' WHEN 1 THEN 'left' ELSE 'bottom' END AS position FROM orders)")
@@ -539,9 +642,13 @@ def p8(spark, d):
     return jobs.repair_styles(styles)[0].select("item_id", "color", "outline_width", "position")
 
 
-@q("p9_descriptions", "SELECT pos AS item_id, CASE WHEN pos % 2 = 0 THEN 'even ' || text || ' {other}' || chr(10) ELSE '' END || CASE WHEN coalesce(tr, '') <> '' THEN tr || chr(10) || chr(10) ELSE '' END || 'u' || pos AS text FROM v_texts")
+@q(
+    "p9_descriptions",
+    """SELECT pos AS item_id, CASE WHEN pos % 2 = 0 THEN 'even ' || text || ' {other}' || chr(10) ELSE '' END || CASE WHEN text <> '' THEN '原标题:' || text || chr(10) ELSE '' END
+  || '投稿时间:2024' || chr(10) || '原视频:u' || pos || CASE WHEN coalesce(tr, '') <> '' THEN chr(10) || chr(10) || tr ELSE '' END AS text FROM v_texts""",
+)
 def p9(spark, d):
-    info = v(spark, d, "v_texts").select(F.col("pos").alias("item_id"), (F.col("pos") % 2).cast("int").alias("kind"), F.col("text").alias("title"), F.lit("").alias("uploader"), F.lit("").alias("date"), F.col("tr").alias("desc"), F.concat(F.lit("u"), "pos").alias("url"))
+    info = v(spark, d, "v_texts").select(F.col("pos").alias("item_id"), (F.col("pos") % 2).cast("int").alias("kind"), F.col("text").alias("title"), F.lit("").alias("uploader"), F.lit("2024").alias("date"), F.col("tr").alias("desc"), F.concat(F.lit("u"), "pos").alias("url"))
     templates = spark.createDataFrame([(0, "even {title} {other}")], "kind int, template string")
     return jobs.descriptions(info, templates)
 
@@ -566,11 +673,16 @@ def k1(spark, d):
     return selection.pick_formats(v(spark, d, "v_formats"), "480p").select("video_id", "format_no", "tier")
 
 
-@q("k2_pick_file", "WITH f AS (SELECT CAST(item_id AS VARCHAR) AS item_id, CASE pos % 3 WHEN 0 THEN item_id || '.masked.mp4' WHEN 1 THEN item_id || '.mp4' ELSE 'a' || pos || '.mp4' END AS name FROM v_texts WHERE NOT (item_id % 2 = 0 AND pos % 3 = 0)) SELECT item_id, name FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN contains(name, '.masked.') THEN 1 WHEN starts_with(name, item_id || '.') THEN 2 ELSE 3 END, name) AS k FROM f) WHERE k = 1")
+@q(
+    "k2_pick_file",
+    """WITH f AS (SELECT CAST(item_id AS VARCHAR) AS item_id, CASE WHEN pos % 3 = 0 AND item_id % 2 = 1 THEN item_id || '.masked.mp4' WHEN pos % 3 = 1 AND item_id % 3 > 0 THEN item_id || '.mp4' ELSE 'a' || pos || '.mp4' END AS name FROM v_texts)
+SELECT item_id, name FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN contains(name, '.masked.') THEN 1 WHEN starts_with(name, item_id || '.') THEN 2 ELSE 3 END, name) AS k FROM f) WHERE k = 1""",
+)
 def k2(spark, d):
-    t = v(spark, d, "v_texts").filter("NOT (item_id % 2 = 0 AND pos % 3 = 0)").withColumn("item_id", F.col("item_id").cast("string"))
-    name = F.when(F.col("pos") % 3 == 0, F.concat("item_id", F.lit(".masked.mp4"))).when(F.col("pos") % 3 == 1, F.concat("item_id", F.lit(".mp4"))).otherwise(F.concat(F.lit("a"), "pos", F.lit(".mp4")))
-    return selection.pick_file(t.select("item_id", name.alias("name")))
+    t = v(spark, d, "v_texts").withColumn("item", F.col("item_id").cast("string"))
+    masked, plain = (F.col("pos") % 3 == 0) & (F.col("item_id") % 2 == 1), (F.col("pos") % 3 == 1) & (F.col("item_id") % 3 > 0)
+    name = F.when(masked, F.concat("item", F.lit(".masked.mp4"))).when(plain, F.concat("item", F.lit(".mp4"))).otherwise(F.concat(F.lit("a"), "pos", F.lit(".mp4")))
+    return selection.pick_file(t.select(F.col("item").alias("item_id"), name.alias("name")))
 
 
 # ---- sources and sinks: rendered files read back
@@ -605,11 +717,17 @@ def s5(spark, d):
     return _read_back(subtitles.read_txt(_files(spark, d, "txt")))
 
 
-@q("s1_detect_charset", "SELECT doc_id AS file_id, text FROM documents WHERE lang IN ('en', 'de', 'fr', 'es')")
+@q(
+    "s1_detect_charset",
+    """SELECT doc_id AS file_id, CASE doc_id % 3 WHEN 0 THEN text ELSE 'こんにちは世界' || doc_id END AS text, CASE doc_id % 3 WHEN 1 THEN 'shift_jis' ELSE 'utf-8' END AS label FROM documents""",
+)
 def s1(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").filter("lang IN ('en', 'de', 'fr', 'es')")
-    # A byte order mark makes European text certain.
-    return subtitles.detect_charset(docs.select(F.col("doc_id").alias("file_id"), F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8")).alias("content"))).select("file_id", "text")
+    # Texts with a byte order mark, in Shift JIS without one, and in UTF-8 without one.
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    marked = F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"))
+    number = F.encode(F.col("doc_id").cast("string"), "UTF-8")
+    content = F.when(F.col("doc_id") % 3 == 0, marked).when(F.col("doc_id") % 3 == 1, F.concat(F.unhex(F.lit("82B182F182C982BF82CD90A28A45")), number)).otherwise(F.concat(F.encode(F.lit("こんにちは世界"), "UTF-8"), number))
+    return subtitles.detect_charset(docs.select(F.col("doc_id").alias("file_id"), content.alias("content")))
 
 
 @q("s2_detect_format", "SELECT doc_id % 3 AS kind, count(*) AS n FROM documents GROUP BY 1")
@@ -621,9 +739,9 @@ def s2(spark, d):
     return subtitles.detect_format(made).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-@q("s20_convert", "SELECT conv_id AS item_id, count(*) AS n FROM conversations GROUP BY 1")
+@q("s20_convert", "SELECT conv_id AS item_id, count(*) * 3 AS n FROM conversations GROUP BY 1")
 def s20(spark, d):
-    first = v(spark, d, "v_cues").filter("pos % 3 = 2").withColumns({"text": F.concat(F.lit("t"), "pos"), "raw_time": F.lit(None).cast("string"), "sep": F.lit(" "), "fields": F.lit(None).cast("array<string>")})
+    first = v(spark, d, "v_cues").withColumns({"text": F.concat(F.lit("t"), "pos"), "raw_time": F.lit(None).cast("string"), "sep": F.lit(" "), "fields": F.lit(None).cast("array<string>")})
     srt = subtitles.to_srt(first).withColumnRenamed("item_id", "file_id")
     ass = subtitles.convert(srt, "ass").withColumnRenamed("item_id", "file_id")
     return subtitles.read_cues(ass).groupBy("item_id").agg(F.count("*").alias("n"))
@@ -634,12 +752,14 @@ def s21(spark, d):
     return cues.import_cues(_files(spark, d, "srt"), with_layout=True)
 
 
-@q("s8_segment_files", "SELECT item_id, pos AS seg_no, text FROM v_texts")
+@q("s8_segment_files", f"""SELECT item_id, pos AS seg_no, text, CASE WHEN pos % 5 = 1 OR pos % 5 = 2 THEN tr END AS tr FROM v_texts""")
 def s8(spark, d):
-    files = tables.to_segment_files(_as_segments(spark, d).withColumn("tr", F.lit(None).cast("string")))
-    first = _as_segments(spark, d).select("item_id", "seg_no", F.row_number().over(memo.Window.partitionBy("item_id").orderBy("seg_no")).alias("_k"))
-    back = tables.read_segments(files).select("item_id", (F.col("seg_no") + 1).alias("_k"), "text")
-    return back.join(first, ["item_id", "_k"]).select("item_id", "seg_no", "text")
+    # An empty target is left out of the file; quotes in the others would be unified, so these have none.
+    given = _as_segments(spark, d).withColumn("tr", F.when((F.col("seg_no") % 5).isin(1, 2), F.col("tr")).when(F.col("seg_no") % 5 == 3, F.lit("")))
+    files = tables.to_segment_files(given)
+    first = given.select("item_id", "seg_no", F.row_number().over(memo.Window.partitionBy("item_id").orderBy("seg_no")).alias("_k"))
+    back = tables.read_segments(files).select("item_id", (F.col("seg_no") + 1).alias("_k"), "text", "tr")
+    return back.join(first, ["item_id", "_k"]).select("item_id", "seg_no", "text", "tr")
 
 
 @q("s9_read_glossary", "SELECT DISTINCT trim(term) AS term, replacement FROM v_glossary WHERE trim(term) <> '' AND NOT starts_with(trim(term), '#') AND NOT contains(term, chr(10))")
@@ -651,16 +771,19 @@ def s9(spark, d):
 
 @q("s10_read_words", "SELECT DISTINCT trim(word) AS word FROM v_words WHERE trim(word) <> '' AND NOT starts_with(trim(word), '#') AND NOT contains(word, chr(10))")
 def s10(spark, d):
-    w = v(spark, d, "v_words").filter(~F.contains("word", F.lit("\n"))).agg(F.array_join(F.array_sort(F.collect_list("word")), "\n").alias("text"))
-    files = w.select(F.lit("b").alias("file_id"), F.lit(2).alias("priority"), "text").unionByName(w.select(F.lit("a").alias("file_id"), F.lit(1).alias("priority"), F.lit("# none\n").alias("text")))
-    return tables.read_words(files)
+    w = v(spark, d, "v_words").filter(~F.contains("word", F.lit("\n"))).select(F.col("word").alias("file_id"), F.lit(2).alias("priority"), F.col("word").alias("text"))
+    none = w.select(F.concat(F.lit("none of "), "file_id").alias("file_id"), F.lit(1).alias("priority"), F.lit("# none\n").alias("text"))
+    return tables.read_words(w.unionByName(none))
 
 
-@q("s11_read_info", "SELECT pos AS item_id, 'u' || pos AS url, 'T' || pos AS title, 'line one' || chr(10) || 'line ' || pos AS \"desc\" FROM v_texts")
+@q(
+    "s11_read_info",
+    """SELECT pos AS item_id, 'u' || pos AS url, 'T' || pos AS title, 'a' AS uploader, '2024-01-01' AS date, 'line one' || chr(10) || '作者: nobody' || chr(10) || 'line ' || pos AS "desc", ['x', 't' || pos] AS tags FROM v_texts""",
+)
 def s11(spark, d):
     t = v(spark, d, "v_texts")
-    text = F.concat(F.lit("u"), "pos", F.lit("\n标题: T"), "pos", F.lit("\n作者: a\n日期: 2024-01-01\n简介: line one\nline "), "pos", F.lit("\n标签: x, y\n"))
-    return tables.read_info(t.select(F.col("pos").alias("file_id"), text.alias("text"))).select("item_id", "url", "title", "desc")
+    text = F.concat(F.lit("u"), "pos", F.lit("\n原标题:T"), "pos", F.lit("\n原作者: a\n投稿时间:2024-01-01\n原简介: line one\n作者: nobody\nline "), "pos", F.lit("\n标签: x,, t"), "pos", F.lit("\n"))
+    return tables.read_info(t.select(F.col("pos").alias("file_id"), text.alias("text")))
 
 
 @q("s12_mask_files", "SELECT item_id, CAST(start_s AS DOUBLE) AS start_s, x, CAST(vol AS DOUBLE) AS vol FROM v_masks")
@@ -689,3 +812,136 @@ def s18(spark, d):
 @q("b13_bad_targets", f"SELECT item_id, count(*) FILTER (WHERE {_BAD}) AS bad FROM v_texts GROUP BY item_id")
 def b13(spark, d):
     return v(spark, d, "v_texts").groupBy("item_id").agg(F.count_if(bad_target(F.col("tr"))).alias("bad"))
+
+
+# ---- snapshots, and the functions that no query above shows
+
+
+@q("k3_snapshots", "SELECT item_id, pos, start_s, text FROM v_cues WHERE style = 'user'")
+def k3(spark, d):
+    # Two snapshots; the older is taken by its place in the list and written anew.
+    path = shared_folder(spark, "snapshots")
+    c = v(spark, d, "v_cues").select("item_id", "pos", "start_s", "text", "style")
+    selection.write_snapshot(c.filter("style = 'user'"), path, "2024-01-01")
+    selection.write_snapshot(c, path, "2024-01-02")
+    oldest = [r.snapshot for r in selection.snapshots(spark, path).collect()][-1]
+    return selection.restore(spark, path, oldest, "2024-01-03").select("item_id", "pos", "start_s", "text")
+
+
+@q(
+    "b_texts",
+    r"""SELECT doc_id, regexp_replace(text, '\.{2,}', '...', 'g') AS compared, regexp_replace(replace(text, ' ', '........'), '\.{6,}', '......', 'g') AS dots, text AS stripped, 0.5 * length(text) AS width,
+  array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT contains(x, 'e')), chr(10)) AS lines,
+  regexp_replace(regexp_replace(text, '[ \t\r\n]+', '\\N', 'g'), '^(\\N)+|(\\N)+$', '', 'g') AS laid_out, [lang, source] AS tags FROM documents""",
+)
+def b_texts(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return docs.select(
+        "doc_id",
+        text.key_compare(F.col("text")).alias("compared"),
+        text.shorten_dots(F.replace("text", F.lit(" "), F.lit("........"))).alias("dots"),
+        text.strip_marks(F.concat(F.lit("⟦"), "text", F.lit("⟧"))).alias("stripped"),
+        text.display_width(F.col("text")).alias("width"),
+        text.drop_lines(F.col("text"), "e").alias("lines"),
+        text.layout(F.col("text")).alias("laid_out"),
+        text.parse_tags(F.concat_ws(", ,", "lang", "source"), []).alias("tags"),
+    )
+
+
+@q(
+    "b_times",
+    """SELECT event_id, value_s AS clock, value_s AS clock_ms, value_s AS spoken, n FROM (SELECT event_id, CAST(event_id % 86400 AS DOUBLE) AS value_s, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 3 END AS n FROM events)""",
+)
+def b_times(spark, d):
+    t = F.col("event_id") % 86400
+    h, m, s = F.floor(t / 3600), F.floor(t / 60) % 60, t % 60
+    joined = F.concat_ws(":", *[x.cast("string") for x in (h, m, s)])
+    spoken = F.concat(h.cast("string"), F.lit("时"), m.cast("string"), F.lit("分"), s.cast("string"), F.lit("秒"))
+    length = F.when(F.col("event_id") % 3 == 0, 0.3).otherwise(2.0)
+    at = times.sample_times(t.cast("double"), t + length)
+    return spark.read.parquet(f"{d}/events.parquet").select(
+        "event_id", times.parse_clock(joined).alias("clock"), times.parse_clock(times.srt_clock(t.cast("double"))).alias("clock_ms"), times.parse_time(spoken).alias("spoken"), F.size(at).alias("n")
+    )
+
+
+# ---- streams over the files of a table, each run until what is there has been read
+
+
+def _event_stream(spark, d):
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    # By a pattern, so that a table of one file will do; times without a zone count as UTC.
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    return spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]").withColumn("ts", F.timestamp_micros(micros))
+
+
+def _streamed(spark, d, build, mode: str = "append"):
+    """The rows that a streaming query over the events has given; of complete results the last."""
+    rows = build(_event_stream(spark, d))
+    path = shared_folder(spark, "stream")
+    put = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    put.foreachBatch(lambda b, k: b.withColumn("_batch", F.lit(k)).write.mode("overwrite").parquet(f"{path}/out/part={k}")).start().awaitTermination()
+    out = spark.read.parquet(f"{path}/out")
+    if mode == "complete":
+        out = out.join(F.broadcast(out.agg(F.max("_batch").alias("_batch"))), "_batch", "left_semi")
+    return out.drop("part", "_batch")
+
+
+_SEEN = "w AS (SELECT max(epoch_ms(ts)) AS top FROM events)"
+
+
+@q("t1_stream_memo", "SELECT DISTINCT event_type || props AS src, 'T' || event_type || props AS dst FROM events")
+def t1(spark, d):
+    path = shared_folder(spark, "memo")
+    texts = _event_stream(spark, d).select(F.concat("event_type", "props").alias("text"))
+    ask = lambda fresh: fresh.select(F.col("text").alias("src"), F.concat(F.lit("T"), "text").alias("dst"))
+    streams.stream_memo(texts, f"{path}/memo", ask, f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return streams.read_memo(spark, f"{path}/memo")
+
+
+@q(
+    "t2_stream_loudness",
+    f"WITH {_SEEN}, g AS (SELECT user_id AS item_id, epoch_ms(ts) // 60000 * 60000 AS s, 10 * log10(avg(pow(10.0, value / 10))) AS db FROM events GROUP BY 1, 2) SELECT item_id, CAST(s // 1000 AS BIGINT) AS start_s, round(db, 6) AS db FROM g, w WHERE s + 60000 <= top - 1000",
+)
+def t2(spark, d):
+    rows = _streamed(spark, d, lambda e: streams.stream_loudness(e.select(F.col("user_id").alias("item_id"), "ts", F.col("value").alias("db")), size="1 minute"))
+    return rows.select("item_id", F.col("window.start").cast("long").alias("start_s"), F.round("db", 6).alias("db"))
+
+
+@q(
+    "t3_stream_islands",
+    f"""WITH {_SEEN}, r AS (SELECT user_id AS item_id, epoch_us(ts) AS t, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events),
+i AS (SELECT item_id, t, sum(CASE WHEN b IS NULL OR t > b + 10800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY t) AS k FROM r)
+SELECT item_id, min(t) AS start_us, max(t) AS end_us, count(*) AS n FROM i GROUP BY item_id, k HAVING max(t) + 10800000001 <= (SELECT top - 1000 FROM w) * 1000""",
+)
+def t3(spark, d):
+    rows = _streamed(spark, d, lambda e: streams.stream_islands(e.select(F.col("user_id").alias("item_id"), "ts"), 4320.0))
+    return rows.select("item_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
+@q("t4_stream_segments")
+def t4(spark, d):
+    rows = lambda e: e.select(F.col("user_id").alias("item_id"), "ts", F.unix_millis("ts").cast("double").alias("ms"), F.concat("event_type", F.lit("text")).alias("text")).select("item_id", "ts", (F.col("ms") / 1000).alias("t_s"), "text")
+    return _streamed(spark, d, lambda e: streams.stream_segments(rows(e), 1800.0))
+
+
+@q("t5_stream_first_seen", "SELECT DISTINCT user_id AS item_id, event_type FROM events")
+def t5(spark, d):
+    rows = lambda e: e.select(F.col("user_id").alias("item_id"), "ts", "event_type")
+    return _streamed(spark, d, lambda e: streams.stream_first_seen(rows(e), "event_type", "3650 days")).select("item_id", "event_type")
+
+
+@q("t6_stream_usage", "SELECT event_type AS endpoint, count(*) AS calls, CAST(sum(event_id % 10) AS BIGINT) AS hit_tokens, CAST(sum(90) AS BIGINT) AS miss_tokens, CAST(sum(event_id % 7) AS BIGINT) AS output_tokens FROM events GROUP BY 1")
+def t6(spark, d):
+    k = F.col("event_id")
+    rows = lambda e: e.select(F.col("event_type").alias("endpoint"), (k % 10 + 90).alias("prompt_tokens"), (k % 10).alias("cached_tokens"), (k % 7).alias("completion_tokens"))
+    return _streamed(spark, d, lambda e: streams.stream_usage(rows(e), PRICES), "complete").drop("cost")
+
+
+@q(
+    "t7_stream_log_counts",
+    f"WITH {_SEEN} SELECT strftime(ts, '%Y-%m-%d %H:%M') AS minute, event_type AS stage, 'ok' AS evt, count(*) AS n FROM events, w GROUP BY 1, 2, epoch_ms(ts) // 60000, top HAVING (epoch_ms(ts) // 60000 + 1) * 60000 <= top // 1000 * 1000 - 60000",
+)
+def t7(spark, d):
+    line = F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit('] {"stage": "'), "event_type", F.lit('", "evt": "ok"}'))
+    rows = _streamed(spark, d, lambda e: streams.stream_log_counts(e.select(line.alias("value"))))
+    return rows.select(F.date_format("minute.start", "yyyy-MM-dd HH:mm").alias("minute"), "stage", "evt", "n")
