@@ -4,8 +4,11 @@ Every document is measured; per language and source, each measure is counted in
 quantile sketch (whole numbers below 128 exactly, beyond that 7 leading bits, so within 1 %).
 Sketches merge by adding counts: those of a language are the sums of its sources, used where a
 source has few documents, and those of all documents where the language has few too.
-A document passes if each measure lies within the fences of its group: the quartiles, and
-``reach`` times their distance (or a least distance) beyond.
+A document passes if each measure lies within the fences of its group. These come from the
+sketch alone: the eighth decile of the group (up to a fifth of it may be noise), ``reach`` times its distance from the median, and
+what ``events`` single things weigh in a document of the group's median size, so that where most
+documents have none one or two are no offence. Word length has a low fence as well, by the second
+decile. The table of fences is broadcast if it is small, and joined with salted keys if not.
 
 Null text has no words and fails the base rules; null language or source form a group of
 their own. Repeated rows count as often as they occur; an empty table gives no rows.
@@ -22,15 +25,17 @@ MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
 #: Groups of fewer documents use the sketch of their language, and then that of all.
 MIN_DOCS = 100
-REACH = 3
-#: Measure: least distance between the quartiles, and whether low values fail as well.
-MEASURES = {
-    "symbols": (100, False),
-    "dup_lines": (160, False),
-    "repeats": (120, False),
-    "capitals": (60, False),
-    "word_length": (60, True),
-}
+REACH = 8
+#: Things more than its group's in a document of median size.
+EVENTS = 6
+#: Measure: the size that its rate is of, sketched as well (none: it is no rate of single things).
+MEASURES = {"symbols": "n_words", "dup_lines": "n_lines", "repeats": "n_words", "capitals": "word_chars", "word_length": None}
+#: What one thing counts where it is more than one: a window met twice has six words under it.
+WEIGHTS = {"repeats": 6}
+#: Measures with a low fence.
+LOW = ("word_length",)
+#: Groups whose fences are broadcast at most, and the parts that keys are salted into beyond it.
+MOST_GROUPS, SALTS = 200_000, 32
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Windows of three words by hash; those met twice, in the order of the text; words under them.
@@ -101,9 +106,9 @@ def _rates() -> dict[str, Column]:
 
 
 def sketch(measured: DataFrame) -> DataFrame:
-    """lang, source, measure, cell, n: the mergeable counts of each measure."""
-    rates = _rates()
-    long = measured.select("lang", "source", F.explode(F.map_from_arrays(F.array(*map(F.lit, rates)), F.array(*rates.values()))).alias("measure", "value"))
+    """lang, source, measure, cell, n: the mergeable counts of each measure, and of the sizes."""
+    values = _rates() | {size: F.col(size) for size in MEASURES.values() if size}
+    long = measured.select("lang", "source", F.explode(F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*values.values()))).alias("measure", "value"))
     cell = F.expr("CASE WHEN value < 128 THEN value ELSE shiftleft(shiftright(value, length(bin(value)) - 7), length(bin(value)) - 7) END")
     return long.groupBy("lang", "source", "measure", cell.alias("cell")).agg(F.count("*").alias("n"))
 
@@ -113,40 +118,48 @@ def merge(sketches: DataFrame, *keys: str) -> DataFrame:
     return sketches.groupBy(*keys, "measure", "cell").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketches: DataFrame, *keys: str) -> DataFrame:
-    """keys, measure, n_docs, q1, q3: the cells that a quarter and three quarters reach."""
+def deciles(sketches: DataFrame, *keys: str) -> DataFrame:
+    """keys, measure, n_docs, low, mid, high: the cells that two, five and eight tenths reach."""
     group = Window.partitionBy(*keys, "measure")
     up_to = F.sum("n").over(group.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
     ranked = sketches.select(*keys, "measure", "cell", up_to.alias("_to"), F.sum("n").over(group).alias("_all"))
-    at = lambda k: F.min(F.when(4 * F.col("_to") >= k * F.col("_all"), F.col("cell")))
-    return ranked.groupBy(*keys, "measure").agg(F.max("_all").alias("n_docs"), at(1).alias("q1"), at(3).alias("q3"))
+    at = lambda k: F.min(F.when(10 * F.col("_to") >= k * F.col("_all"), F.col("cell")))
+    return ranked.groupBy(*keys, "measure").agg(F.max("_all").alias("n_docs"), at(2).alias("low"), at(5).alias("mid"), at(8).alias("high"))
 
 
-def thresholds(sketches: DataFrame, min_docs: int = MIN_DOCS, reach: int = REACH) -> DataFrame:
-    """lang, source, and for each measure its low_ and high_ fence."""
-    own = quartiles(sketches, "lang", "source")
-    of_lang = quartiles(merge(sketches, "lang"), "lang").select("lang", "measure", F.struct("q1", "q3", "n_docs").alias("_lang"))
-    of_all = quartiles(merge(sketches)).select("measure", F.struct("q1", "q3").alias("_all"))
-    joined = own.join(of_lang, ["lang", "measure"]).join(of_all, "measure")
+def thresholds(sketches: DataFrame, min_docs: int = MIN_DOCS, reach: int = REACH, events: int = EVENTS) -> DataFrame:
+    """lang, source, and for each measure its high_ (and low_) fence."""
+    own = deciles(sketches, "lang", "source")
+    of_lang = deciles(merge(sketches, "lang"), "lang").select("lang", "measure", F.struct("low", "mid", "high", "n_docs").alias("_lang"))
+    of_all = deciles(merge(sketches)).select("measure", F.struct("low", "mid", "high").alias("_all"))
+    joined = own.join(of_lang, ["lang", "measure"]).join(F.broadcast(of_all), "measure")
     q = lambda k: F.when(F.col("n_docs") >= min_docs, F.col(k)).when(F.col("_lang.n_docs") >= min_docs, F.col(f"_lang.{k}")).otherwise(F.col(f"_all.{k}"))
-    least = F.lit(0)
-    for name, (distance, _) in MEASURES.items():
-        least = F.when(F.col("measure") == name, distance).otherwise(least)
-    fences = joined.select("lang", "source", "measure", q("q1").alias("q1"), q("q3").alias("q3")).withColumn("_far", reach * F.greatest(F.col("q3") - F.col("q1"), least))
-    one = lambda name, c: F.max(F.when(F.col("measure") == name, c))
-    columns = [one(name, F.col("q3") + F.col("_far")).alias(f"high_{name}") for name in MEASURES]
-    columns += [one(name, F.col("q1") - F.col("_far")).alias(f"low_{name}") for name, (_, low) in MEASURES.items() if low]
-    return fences.groupBy("lang", "source").agg(*columns)
-
-
-def judge(docs: DataFrame, min_words: int = MIN_WORDS, min_docs: int = MIN_DOCS, reach: int = REACH) -> DataFrame:
+    level = joined.select("lang", "source", "measure", *[q(k).alias(k) for k in ("low", "mid", "high")])
+    # A group has a row for each measure and size: a dozen.
+    wide = level.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, F.struct("low", "mid", "high"))).alias(f"_{m}") for m in (*MEASURES, *sorted({s for s in MEASURES.values() if s}))])
+    columns = []
+    for name, size in MEASURES.items():
+        low, mid, high = (F.col(f"_{name}.{k}") for k in ("low", "mid", "high"))
+        extra = F.expr(f"{events * WEIGHTS.get(name, 1)} * 1000 div greatest(_{size}.mid, 1)") if size else F.lit(0)
+        columns.append((high + reach * (high - mid) + extra).alias(f"high_{name}"))
+        if name in LOW:
+            columns.append((low - reach * (mid - low)).alias(f"low_{name}"))
+    return wide.select("lang", "source", *columns)
+
+
+def judge(docs: DataFrame, min_words: int = MIN_WORDS, min_docs: int = MIN_DOCS, reach: int = REACH, events: int = EVENTS) -> DataFrame:
     """The measures of every document, the fences of its group, base_failed and kept."""
     measured = written(measure(docs), "measured")
+    fences = written(thresholds(written(sketch(measured), "sketch"), min_docs, reach, events), "fences")
     rates = _rates()
     within = ~base_failed(min_words)
-    for name, (_, low) in MEASURES.items():
+    for name in MEASURES:
         within &= rates[name] <= F.col(f"high_{name}")
-        if low:
+        if name in LOW:
             within &= rates[name] >= F.col(f"low_{name}")
-    joined = measured.join(thresholds(sketch(measured), min_docs, reach), ["lang", "source"])
+    if fences.count() <= MOST_GROUPS:
+        joined = measured.join(F.broadcast(fences), ["lang", "source"])
+    else:
+        salted = measured.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)))
+        joined = salted.join(fences.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["lang", "source", "_salt"]).drop("_salt")
     return joined.withColumn("base_failed", base_failed(min_words)).withColumn("kept", F.coalesce(within, F.lit(False)))

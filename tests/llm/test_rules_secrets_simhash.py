@@ -69,12 +69,34 @@ def test_rules_plan_has_no_python(spark, sf):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_rules_thresholds_are_those_of_the_group(spark):
+    """The same documents pass in a source where their rates are usual, and fail in one where they are not."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    text = lambda marks: " ".join(word() + ("#" if k < marks else "") for k in range(100))
+    rows = [(i, text(0), "en", "plain") for i in range(200)] + [(1000 + i, text(rng.randint(0, 30)), "en", "marked") for i in range(200)]
+    same = text(25)
+    rows += [(5000, same, "en", "plain"), (5001, same, "en", "marked")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in rules.judge(docs).collect()}
+    assert got[5000].high_symbols != got[5001].high_symbols
+    assert not got[5000].kept and got[5001].kept
+    assert all(got[i].kept for i in range(200)) and all(got[1000 + i].kept for i in range(200))
+
+
+def test_rules_join_with_salted_keys_is_the_same(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = sorted((r.doc_id, r.kept) for r in rules.judge(docs).collect())
+    monkeypatch.setattr(rules, "MOST_GROUPS", 0)
+    assert sorted((r.doc_id, r.kept) for r in rules.judge(docs).collect()) == want
+
+
 def test_quartiles_of_merged_sketches(spark):
     rows = [("en", "ab"[i % 2], i % 200) for i in range(1000)]
     df = spark.createDataFrame(rows, "lang string, source string, cell long").selectExpr("*", "'m' AS measure")
     parts = df.groupBy("lang", "source", "measure", "cell").count().withColumnRenamed("count", "n")
-    (r,) = rules.quartiles(rules.merge(parts, "lang"), "lang").collect()
-    assert (r.n_docs, r.q1, r.q3) == (1000, 49, 149)
+    (r,) = rules.deciles(rules.merge(parts, "lang"), "lang").collect()
+    assert (r.n_docs, r.low, r.mid, r.high) == (1000, 39, 99, 159)
 
 
 def brute_base(t):
