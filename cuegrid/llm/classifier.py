@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuegrid.llm.common import slices
+from cuegrid.llm.common import rest_of, slices, written
 
 #: Labelled documents learned from, at most.
 SAMPLE = 20_000
@@ -34,8 +34,6 @@ SAMPLE = 20_000
 MIN_DOCS = 5
 #: Standard errors of the interval of a feature's rate.
 ERRORS = 3
-#: Features kept, those of the largest weight first.
-MAX_FEATURES = 50_000
 REJECT = 0.5
 #: The good evidence of many features together counts no more than this.
 MOST_GOOD = -1.0
@@ -87,13 +85,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> D
 
     rows = sample.mapInArrow(run, sample.withColumn("hashes", F.array().cast("array<long>")).schema)
     for k in range(3):
-        first = F.row_number().over(Window.partitionBy(F.get("hashes", F.lit(k))).orderBy("doc_id", F.xxhash64("text")))
+        first = F.row_number().over(Window.partitionBy("bad", F.get("hashes", F.lit(k))).orderBy("doc_id", F.xxhash64("text")))
         rows = rows.withColumn("_first", first).filter("_first = 1").drop("_first")
     return rows.select("text", "bad")
 
 
-def learn(sample: DataFrame, min_docs: int = MIN_DOCS, max_features: int = MAX_FEATURES) -> tuple[dict[str, float], float]:
-    """The weight of each feature, and the log odds of rejection among the labelled."""
+def learn(sample: DataFrame, min_docs: int = MIN_DOCS) -> tuple[dict[str, float], float]:
+    """The weight of each feature, and the log odds of rejection among the labelled. The sample bounds the features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -105,22 +103,20 @@ def learn(sample: DataFrame, min_docs: int = MIN_DOCS, max_features: int = MAX_F
             names = list(seen[0].keys() | seen[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([s[x] for x in names], pa.int64()) for s in seen)], names=["feature", "good", "bad"])
 
-    counts = sample.mapInArrow(run, "feature string, good long, bad long").groupBy("feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).filter(F.col("good") + F.col("bad") >= min_docs).cache()
-    try:
-        total = counts.filter("feature = ' all'").first()
-        if total is None or not total.good or not total.bad:
-            return {}, 0.0
-        prior = total.bad / (total.good + total.bad)
-        n, k = F.col("good") + F.col("bad"), F.col("bad")
-        z2 = float(ERRORS**2)
-        half = ERRORS * F.sqrt(k * (n - k) / n + z2 / 4)
-        low, high = (k + z2 / 2 - half) / (n + z2), (k + z2 / 2 + half) / (n + z2)
-        rate = F.when(low > prior, low).when(high < prior, high).otherwise(prior)
-        weight = _odds(rate) - _odds(F.lit(prior))
-        kept = counts.filter("feature <> ' all'").select("feature", weight.alias("weight")).filter(F.abs("weight") > 0.1).orderBy(F.desc(F.abs("weight")), "feature").limit(max_features)
-        return {r.feature: r.weight for r in kept.collect()}, float(sample.sparkSession.range(1).select(F.log(F.lit(total.bad / total.good))).first()[0])
-    finally:
-        counts.unpersist()
+    counts = sample.mapInArrow(run, "feature string, good long, bad long").groupBy("feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    counts = written(counts.filter(F.col("good") + F.col("bad") >= min_docs), "features")
+    total = counts.filter("feature = ' all'").first()
+    if total is None or not total.good or not total.bad:
+        return {}, 0.0
+    prior = total.bad / (total.good + total.bad)
+    n, k = F.col("good") + F.col("bad"), F.col("bad")
+    z2 = float(ERRORS**2)
+    half = ERRORS * F.sqrt(k * (n - k) / n + z2 / 4)
+    low, high = (k + z2 / 2 - half) / (n + z2), (k + z2 / 2 + half) / (n + z2)
+    rate = F.when(low > prior, low).when(high < prior, high).otherwise(prior)
+    weight = _odds(rate) - _odds(F.lit(prior))
+    kept = counts.filter("feature <> ' all'").select("feature", weight.alias("weight")).filter(F.abs("weight") > 0.1)
+    return {r.feature: r.weight for r in kept.collect()}, float(sample.sparkSession.range(1).select(F.log(F.lit(total.bad / total.good))).first()[0])
 
 
 def evidence(found: list[float]) -> float:
@@ -130,10 +126,11 @@ def evidence(found: list[float]) -> float:
     return sum(w * 0.6**k for k, w in enumerate(against)) + max(MOST_GOOD, sum(w for w in found if w < 0))
 
 
-def with_evidence(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """docs with evidence: log likelihood ratio of rejection by its text."""
+def with_evidence(docs: DataFrame, shared) -> DataFrame:
+    """docs with evidence: log likelihood ratio of rejection by its text. shared: broadcast of weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = shared.value
         for b in slices(batches):
             out = []
             for t in b["text"]:
@@ -152,10 +149,10 @@ def _odds(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def site_rates(scored: DataFrame, prior: float, host: str = "source", path: str = "lang") -> DataFrame:
-    """host, path, n, total (of the documents' probabilities), rate of the host and strength of shrinking."""
+def site_rates(scored: DataFrame, prior: float) -> DataFrame:
+    """_host, _path, n, total (of the documents' probabilities), rate of the host and strength of shrinking."""
     own = _logistic(F.col("evidence") + F.lit(prior))
-    paths = scored.groupBy(F.col(host).alias("_host"), F.col(path).alias("_path")).agg(F.count("*").alias("_n"), F.sum(own).alias("_total"))
+    paths = scored.groupBy("_host", "_path").agg(F.count("*").alias("_n"), F.sum(own).alias("_total"))
     hosts = paths.groupBy("_host").agg(F.sum("_n").alias("_host_n"), F.sum("_total").alias("_host_total"))
     mean = F.sum("_host_total") / F.sum("_host_n")
     # Between hosts: the mean squared distance from the global rate, less what chance alone gives.
@@ -169,15 +166,21 @@ def site_rates(scored: DataFrame, prior: float, host: str = "source", path: str
     return paths.join(shrunk, paths["_host"].eqNullSafe(shrunk["_h"])).drop("_h", "_host_n", "_host_total")
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE, reject: float = REJECT) -> DataFrame:
-    """docs with evidence, host_rate, path_rate (without the document itself), posterior and kept."""
-    weights, prior = learn(labelled_sample(docs, labels, sample))
-    scored = with_evidence(docs.drop("evidence", "host_rate", "path_rate", "posterior", "kept"), weights)
-    rates = site_rates(scored.select(host, path, "evidence"), prior, host, path)
-    joined = scored.join(rates, scored[host].eqNullSafe(rates["_host"]) & scored[path].eqNullSafe(rates["_path"]))
+def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE, reject: float = REJECT, with_text: bool = True) -> DataFrame:
+    """row (the document's other columns), text, evidence, host_rate, path_rate (without the
+    document itself), posterior and kept. host and path name columns of docs: where documents have
+    addresses, their host and path; ``documents`` has neither, so source and language stand for them."""
+    weights, prior = learn(labelled_sample(docs.select("doc_id", "text"), labels, sample))
+    # The user's columns travel in a struct; texts are read once, and kept with their evidence if asked for.
+    given = docs.select(rest_of(docs), F.col("text").alias("text"), F.col(f"`{host}`").alias("_host"), F.col(f"`{path}`").alias("_path"))
+    scored = with_evidence(given, docs.sparkSession.sparkContext.broadcast(weights))
+    scored = written(scored if with_text else scored.drop("text"), "evidence")
+    rates = site_rates(scored, prior)
+    rates = rates.select(F.struct("_host", "_path").alias("_site"), F.struct("_n", "_total", "_host_rate", "_strength").alias("_r"))
+    # Sites are few beside documents; where they are not small Spark joins by the site, and splits hot ones.
+    joined = scored.join(rates, F.struct("_host", "_path").eqNullSafe(rates["_site"]))
     own = _logistic(F.col("evidence") + F.lit(prior))
-    rate = (F.col("_total") - own + F.col("_strength") * F.col("_host_rate")) / (F.col("_n") - 1 + F.col("_strength"))
-    posterior = _logistic(F.col("evidence") + _odds(F.col("path_rate")))
-    out = joined.withColumn("host_rate", F.col("_host_rate")).withColumn("path_rate", rate).withColumn("posterior", posterior)
-    out = out.withColumn("kept", (F.col("posterior") < reject) if weights else F.lit(True))
-    return out.drop("_host", "_path", "_n", "_total", "_host_rate", "_strength")
+    path_rate = (F.col("_r._total") - own + F.col("_r._strength") * F.col("_r._host_rate")) / (F.col("_r._n") - 1 + F.col("_r._strength"))
+    out = joined.select("row", *(["text"] if with_text else []), "evidence", F.col("_r._host_rate").alias("host_rate"), path_rate.alias("path_rate"))
+    out = out.withColumn("posterior", _logistic(F.col("evidence") + _odds(F.col("path_rate"))))
+    return out.withColumn("kept", (F.col("posterior") < reject) if weights else F.lit(True))

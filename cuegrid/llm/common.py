@@ -24,6 +24,19 @@ def texts(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def rest_of(docs: DataFrame) -> Column:
+    """A struct of the columns but the text, beside which no name can clash."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
+
+
+def restored(df: DataFrame, docs: DataFrame) -> list[Column]:
+    """The columns of ``docs`` from row and text; n_chars follows the text."""
+    now = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        now["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return [now.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -145,4 +145,4 @@ def representatives(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """
     groups = near_duplicates(docs, least)
     gone = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuegrid.llm.common import slices, written
+from cuegrid.llm.common import rest_of, restored, slices, written
 
 MIN_WORDS = 50
 _BLANKS = b" \t\n\x0b\x0c\r"
@@ -66,7 +66,11 @@ def winnow(hashes: np.ndarray, words: np.ndarray, min_words: int = MIN_WORDS) ->
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("_text", F.xxhash64("text"))
+    """row (the document's other columns), text, and what its lines are ordered by: whole-number
+    ids by themselves, others by a hash."""
+    whole = docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    number = F.col("doc_id").cast("long") if whole else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
+    return docs.select(rest_of(docs), F.col("text").alias("text"), F.coalesce(number, F.lit(-(1 << 63))).alias("_doc"), F.xxhash64("text").alias("_text"))
 
 
 def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -166,20 +170,23 @@ def without_runs(text: str, runs: list[dict]) -> tuple[str, int]:
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with shortened texts, and _runs (null where none) and _removed (lines); n_chars follows."""
-    runs = repeated_runs(docs, min_words)
-    joined = _keyed(docs).join(runs.withColumnRenamed("runs", "_runs"), ["_doc", "_text"], "left").select(*[docs[c] for c in docs.columns], "_runs")
-    schema = joined.withColumn("_removed", F.lit(0)).schema
+    """row (the document's other columns), text (shortened), runs (null where none) and removed (lines) of every document."""
+    joined = _keyed(docs).join(repeated_runs(docs, min_words), ["_doc", "_text"], "left").select("row", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            texts, runs = b["text"].to_pylist(), b["_runs"].to_pylist()
+            texts, runs = b["text"].to_pylist(), b["runs"].to_pylist()
             removed = [0] * len(texts)
             for i, r in enumerate(runs):
                 if r:
                     texts[i], removed[i] = without_runs(texts[i], r)
             b = b.set_column(b.schema.get_field_index("text"), b.schema.field("text"), pa.array(texts, pa.string()))
-            yield b.append_column("_removed", pa.array(removed, pa.int32()))
+            yield b.append_column("removed", pa.array(removed, pa.int32()))
 
-    out = joined.mapInArrow(run, schema)
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    return joined.mapInArrow(run, joined.withColumn("removed", F.lit(0)).schema)
+
+
+def shortened(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """docs with shortened texts; n_chars follows."""
+    out = dedup_lines(docs, min_words)
+    return out.select(*restored(out, docs))

@@ -31,6 +31,8 @@ END_ID = 2
 #: Pieces of a shard, on average.
 SHARD = 2048
 ROUNDS = 3
+#: Tasks that a round of packing is dealt over, at most.
+MOST_TASKS = 20_000
 
 
 def pieces(docs: DataFrame, tokenizer_path: str = BYTE_BPE, ranks_path: str = BYTE_RANKS, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -158,7 +160,7 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int, offer
 
 def pack_shard(rows: pa.Table, capacity: int, number: int) -> pa.Table:
     """The pieces of one shard with sequence_id (from number on), offset and whether the bin is full."""
-    rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+    rows = rows.sort_by([("length", "descending"), ("_row", "ascending")])
     lengths = rows["length"].to_pylist()
     sequence, offset, full = (np.zeros(len(lengths), np.int64) for _ in range(3))
     for k, items in enumerate(local_search(best_fit(lengths, capacity), lengths, capacity)):
@@ -181,7 +183,8 @@ def _packer(capacity: int, r: int):
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, rounds: int = ROUNDS) -> DataFrame:
     """The rows of pieces with sequence_id and offset. pieces: doc_id, piece, start, length and more."""
-    pieces = written(pieces, "pieces")
+    columns = pieces.columns
+    pieces = written(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     whole = pieces.filter(F.col("length") >= capacity)
     done = [whole.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))]
     pool = pieces.filter(F.col("length") < capacity)
@@ -191,7 +194,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, rounds
         if not n:
             break
         shards = max(1, round(n / shard))
-        dealt = pool.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece", F.lit(r)), F.lit(shards)).cast("long"))
+        # Salted by the row, so that repeated and null ids spread; the work is Python's, so tasks go by shards, not bytes.
+        dealt = pool.withColumn("_shard", F.pmod(F.xxhash64("_row", F.lit(r)), F.lit(shards)).cast("long")).repartition(min(shards, MOST_TASKS), "_shard")
         packed = written(dealt.groupBy("_shard").applyInArrow(_packer(capacity, r), f"{fields}, sequence_id long, offset long, _full boolean"), "packed")
         last = r == rounds - 1 or shards == 1
         done.append((packed if last else packed.filter("_full")).drop("_full"))
@@ -201,4 +205,4 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, rounds
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out
+    return out.select(*columns, "sequence_id", "offset")

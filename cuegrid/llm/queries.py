@@ -78,21 +78,21 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shortened = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
-    runs = F.transform(F.array_sort("_runs"), lambda r: F.concat_ws(":", r["start"].cast("string"), r["end"].cast("string")))
-    return shortened.select(
-        "doc_id",
-        F.col("_removed").cast("long").alias("n_removed_lines"),
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    runs = F.transform(F.array_sort("runs"), lambda r: F.concat_ws(":", r["start"].cast("string"), r["end"].cast("string")))
+    return found.select(
+        "row.doc_id",
+        F.col("removed").cast("long").alias("n_removed_lines"),
         F.coalesce(F.array_join(runs, ","), F.lit("")).alias("removed_runs"),
-        F.col("n_chars").alias("n_chars_left"),
+        F.char_length("text").cast("long").alias("n_chars_left"),
         F.sha2("text", 256).alias("text_sha256"),
     )
 
 
 @query
 def op7_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return judged.select("doc_id", "evidence", "host_rate", "path_rate", "posterior", "kept")
+    judged = classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), with_text=False)
+    return judged.select("row.doc_id", "evidence", "host_rate", "path_rate", "posterior", "kept")
 
 
 @query
