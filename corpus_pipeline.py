@@ -1,7 +1,8 @@
 """From raw documents to packed sequences: classifier, line dedup, near-dedup, secrets, packing.
 
 Each stage works on all its predecessor kept; all but the last return the columns of
-documents. Null texts pass every stage as they are, and are packed as empty documents.
+documents. Null and empty texts pass the line dedup, the near-dedup and the secret scan as they
+are, the classifier if it does not reject them, and are packed as empty documents.
 """
 
 from __future__ import annotations
@@ -11,18 +12,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cuegrid.llm import classifier, jaccard, line_dedup, packing, secrets
-from cuegrid.llm.common import table, written
+from cuegrid.llm.common import discard, restored, table, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects, toxic ones among them, go."""
-    judged = classifier.classify(docs, table(spark, sf_dir, "labels"))
-    return judged.filter("kept").select(*docs.columns)
+    judged = classifier.classify(docs, table(spark, sf_dir, "labels")).filter("kept")
+    return judged.select(*restored(judged, docs))
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Runs of lines of 50 words or more that came before go; the documents stay."""
-    return line_dedup.dedup_lines(docs).select(*docs.columns)
+    return line_dedup.shortened(docs)
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +55,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

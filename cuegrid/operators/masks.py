@@ -77,9 +77,9 @@ def _rect_iou(a: tuple, b: tuple) -> float:
     return inter / union if inter and union else 0.0
 
 
-def _merge_island(pdf: pd.DataFrame) -> pd.DataFrame:
+def _merge_island(masks: list[dict]) -> list[dict]:
     kept: list[dict] = []
-    for m in pdf.sort_values(["start_s", "end_s", "x", "y", "w", "h"]).to_dict("records"):
+    for m in sorted(masks, key=lambda m: [m[k] for k in ("start_s", "end_s", *"xywh")]):
         place = tuple(m[k] for k in "xywh")
         for o in kept:
             apart = max(m["start_s"] - o["end_s"], o["start_s"] - m["end_s"])
@@ -87,8 +87,8 @@ def _merge_island(pdf: pd.DataFrame) -> pd.DataFrame:
                 o["start_s"], o["end_s"] = min(o["start_s"], m["start_s"]), max(o["end_s"], m["end_s"])
                 break
         else:
-            kept.append(m)
-    return pd.DataFrame(kept)[["item_id", "start_s", "end_s", "x", "y", "w", "h", "effect", "vol"]]
+            kept.append(dict(m))
+    return kept
 
 
 def merge_masks(masks: DataFrame) -> DataFrame:
@@ -102,7 +102,14 @@ def merge_masks(masks: DataFrame) -> DataFrame:
     rows = masks.select(*columns, F.coalesce(F.col("start_s") > reach + MERGE_GAP_S, F.lit(True)).cast("int").alias("_new")).withColumn("_island", F.sum("_new").over(w))
     rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy("item_id", "_island")))
     alone = rows.filter("_n = 1").select(*columns)
-    folded = rows.filter("_n > 1").drop("_new", "_n").groupBy("item_id", "_island").applyInPandas(_merge_island, masks.select(*columns).schema)
+    listed = rows.filter("_n > 1").groupBy("item_id", "_island").agg(F.collect_list(F.struct(*columns[1:])).alias("_rows"))
+
+    # Many islands to an Arrow batch: most hold a few masks.
+    @F.pandas_udf(listed.schema["_rows"].dataType)
+    def merged(islands: pd.Series) -> pd.Series:
+        return islands.map(_merge_island)
+
+    folded = listed.select("item_id", F.explode(merged("_rows")).alias("m")).select("item_id", "m.*")
     return alone.unionByName(folded)
 
 
