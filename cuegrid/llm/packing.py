@@ -195,7 +195,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, rounds
             break
         shards = max(1, round(n / shard))
         # Salted by the row, so that repeated and null ids spread; the work is Python's, so tasks go by shards, not bytes.
-        dealt = pool.withColumn("_shard", F.pmod(F.xxhash64("_row", F.lit(r)), F.lit(shards)).cast("long")).repartition(min(shards, MOST_TASKS), "_shard")
+        dealt = pool.withColumn("_shard", F.pmod(F.xxhash64("_row", F.lit(r)), F.lit(shards)).cast("long")).repartition(max(1, min(shards // 4, MOST_TASKS)), "_shard")
         packed = written(dealt.groupBy("_shard").applyInArrow(_packer(capacity, r), f"{fields}, sequence_id long, offset long, _full boolean"), "packed")
         last = r == rounds - 1 or shards == 1
         done.append((packed if last else packed.filter("_full")).drop("_full"))
