@@ -11,7 +11,7 @@ from functools import lru_cache
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
@@ -52,6 +52,37 @@ class Words:
         return run
 
 
+def substitution(spark: SparkSession, terms: list[tuple[str, str]]):
+    """An Arrow function that replaces the terms one after the other, wrapped in brackets.
+
+    Only the terms that a text holds are tried. Brackets part what was replaced from the rest, so
+    no others can match later but those that hold a bracket or stand in a replacement.
+    """
+    shared = spark.sparkContext.broadcast((tuple(t for t, _ in terms), tuple(r or "" for _, r in terms)))
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        words, new = shared.value
+        found = _automaton(words)
+        later = _later(words, new)
+
+        def one(text: str | None) -> str | None:
+            if text and words:
+                for k in sorted({k for _, k in found.iter(text)} | later):
+                    text = text.replace(words[k], f"⟦{new[k]}⟧")
+            return text
+
+        return texts.map(one)
+
+    return run
+
+
+@lru_cache(maxsize=4)
+def _later(words: tuple[str, ...], new: tuple[str, ...]) -> frozenset[int]:
+    found = _automaton(words)
+    return frozenset(k for k, w in enumerate(words) if "⟦" in w or "⟧" in w) | frozenset(k for r in set(new) if words for _, k in found.iter(r))
+
+
 def any_hit(hits: Iterator[tuple[int, int, str]]) -> bool:
     return next(hits, None) is not None
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuegrid.functions import text as T
+from cuegrid.functions.matching import substitution
 from cuegrid.functions.similarity import likeness
 from cuegrid.functions.times import in_window, shift_time
 
@@ -59,8 +60,10 @@ STEPS = ("terms", "marks", "punct", "quotes", "dots", "layout")
 
 def clean_targets(segments: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Segments with cleaned tr, and step, changed. terms: one row, see memo.sorted_terms."""
-    rows = segments.join(F.broadcast(terms)).withColumn("_0", F.coalesce("tr", F.lit("")))
-    todo = (lambda c: T.substitute(c, F.col("terms")), T.strip_marks, T.full_width_punct, T.unify_quotes, T.shorten_dots, T.layout)
+    listed = [(t.term, t.replacement) for row in terms.collect() for t in row.terms if t.term]
+    terms_in = substitution(segments.sparkSession, listed)
+    rows = segments.withColumn("_0", F.coalesce("tr", F.lit("")))
+    todo = (terms_in, T.strip_marks, T.full_width_punct, T.unify_quotes, T.shorten_dots, T.layout)
     for k, step in enumerate(todo):
         rows = rows.withColumn(f"_{k + 1}", step(F.col(f"_{k}")))
     changed = rows.agg(*[F.count_if(F.col(f"_{k}") != F.col(f"_{k + 1}")).alias(s) for k, s in enumerate(STEPS)])

@@ -119,6 +119,18 @@ def test_responses(spark):
     assert [r.c for r in df.select(T.classify_response(F.col("code"), F.col("body")).alias("c")).collect()] == [c[2] for c in cases]
 
 
+def test_terms_one_after_the_other(spark):
+    """The Arrow function gives what the expression gives, replacements that hold terms included."""
+    from cuegrid.functions.matching import substitution
+
+    terms = [("abcd", "bc"), ("bc", "x"), ("cd", "⟦"), ("x", "y"), ("⟧d", "z")]
+    texts = ["abcd bcd", "cdx", "", "nothing", "xabcdabcd bc", None]
+    df = rows(spark, [(t,) for t in texts], "t string")
+    listed = F.array(*[F.struct(F.lit(a).alias("term"), F.lit(b).alias("replacement")) for a, b in terms])
+    got = df.select(substitution(spark, terms)("t").alias("a"), T.substitute(F.col("t"), listed).alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got]
+
+
 def test_job_labels(spark):
     cases = [("run --fast sm1234567", "sm1234567"), ("run so1234567", "sm1234567"), ("run --fast 1234567", "sm1234567"), ("ocr --x dir/a.mp4 -y", "a.mp4"), ("ocr b.srt", "b.srt"), ("web", "web")]
     cases += [("ocr " + "n" * 50 + ".mp4", "n" * 37 + "..."), ("", ""), ("run sm123", "run")]
