@@ -1,9 +1,11 @@
 """Near copies by the Jaccard similarity of five-word shingles, as the pipeline links documents.
 
-At a similarity of 0.8 SimHash fingerprints of 64 bits differ by about 10 bits and by up to 20,
-where pivots discard next to nothing; so candidates come from min-hashes: 24 bands of four, which a
-pair of similarity 0.8 shares with a chance of 1 - 3e-6, a closer one with more. Every candidate
-pair is verified on the whole shingle sets. Texts of the same set of shingles are one node.
+Operator 10 comes first: SimHash fingerprints of the five-word shingles, linked at 3 bits by its
+tables of pivot distances, name candidates among close copies. At a similarity of 0.8 fingerprints
+of 64 bits differ by about 10 bits and by up to 20, where pivots discard next to nothing; so the
+candidates for what is not connected then come from min-hashes: 24 bands of four, which a pair of
+similarity 0.8 shares with a chance of 1 - 3e-6, a closer one with more. Every candidate pair, of
+either kind, is verified on the whole shingle sets. Texts of the same set of shingles are one node.
 First each node of a band is held against one leader, another in each band; then all pairs of a
 band that are not connected yet. So a large group of near copies costs about a comparison a band
 and member, and no link that could join two groups is left out.
@@ -23,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuegrid.llm import simhash
 from cuegrid.llm.common import slices, texts, written
 from cuegrid.llm.components import components
 
@@ -37,11 +40,7 @@ _ODD = _rng.integers(0, 1 << 63, BANDS * ROWS).astype(np.uint64) * np.uint64(2)
 
 def shingles(text: str, shingle: int = SHINGLE) -> np.ndarray:
     """The distinct hashes of the text's windows of ``shingle`` words, in order."""
-    w = text.encode().lower().split()
-    if not w:
-        return np.zeros(0, np.uint64)
-    s = [b" ".join(w)] if len(w) < shingle else map(b" ".join, zip(*(w[k:] for k in range(shingle))))
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, s), np.uint64))
+    return np.unique(simhash.hashes(text, shingle))
 
 
 def bands(h: np.ndarray) -> list[int]:
@@ -58,18 +57,20 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """doc_id, text, node (the set of shingles, null without words), size of the set, bands."""
+    """doc_id, text, node (the set of shingles, null without words), size of the set, fp (SimHash), bands."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            sets = [shingles(t.as_py()) for t in b["text"]]
+            found = [simhash.hashes(t.as_py(), SHINGLE) for t in b["text"]]
+            fp = np.array([simhash.majority(h) for h in found], np.uint64).view(np.int64)
+            sets = [np.unique(h) for h in found]
             node = [np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64).item() if len(h) else None for h in sets]
             keys = [np.array(bands(h), np.uint64).view(np.int64) if len(h) else [] for h in sets]
-            columns = [b["doc_id"], b["text"], pa.array(node, pa.int64()), pa.array(list(map(len, sets)), pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "node", "size", "bands"])
+            columns = [b["doc_id"], b["text"], pa.array(node, pa.int64()), pa.array(list(map(len, sets)), pa.int32()), pa.array(fp), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "node", "size", "fp", "bands"])
 
-    return texts(docs).mapInArrow(run, f"doc_id {kind}, text string, node long, size int, bands array<long>")
+    return texts(docs).mapInArrow(run, f"doc_id {kind}, text string, node long, size int, fp long, bands array<long>")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -98,14 +99,28 @@ def _comparable(x: str, y: str, least: float):
     return F.least(x, y) >= F.lit(least) * F.greatest(x, y)
 
 
+def close_pairs(one: DataFrame, least: float) -> DataFrame:
+    """a, b: nodes whose fingerprints operator 10 links, by a leader of each fingerprint; to be verified."""
+    prints = written(one.groupBy("fp").agg(F.min("node").alias("leader"), F.min_by("size", "node").alias("leader_size"), F.count("*").alias("_n")), "prints")
+    same = one.join(prints.filter("_n > 1"), "fp").filter("node <> leader").select("node", "size", "leader", "leader_size")
+    side = lambda x: prints.select(F.col("fp").alias(x), "leader", "leader_size")
+    linked = simhash.links(prints.select("fp")).join(side("a"), "a").select("b", F.col("leader").alias("node"), F.col("leader_size").alias("size"))
+    pairs = same.unionByName(linked.join(side("b"), "b").select("node", "size", "leader", "leader_size"))
+    return pairs.filter(_comparable("size", "leader_size", least)).select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
+
+
 def links(nodes: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """a, b: verified links that join all nodes which links join, directly or not."""
-    one = nodes.filter("node IS NOT NULL").select("node", "size", "bands").dropDuplicates(["node"])
+    one = written(nodes.filter("node IS NOT NULL").select("node", "size", "fp", "bands").dropDuplicates(["node"]), "one")
+    close = written(verified(close_pairs(one.select("node", "size", "fp"), least), nodes, least), "close")
+    known = written(components(close).distinct(), "known")
     in_band = written(one.select("node", "size", F.explode("bands").alias("band")), "bands")
     leader = in_band.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", "band").alias("h"), "node", "size")).alias("l"), F.count("*").alias("_n")).filter("_n > 1")
     led = in_band.join(leader, "band").filter(F.col("node") != F.col("l.node"))
     first = led.filter(_comparable("size", "l.size", least)).select(F.greatest("node", "l.node").alias("a"), F.least("node", "l.node").alias("b")).distinct()
-    near = written(verified(first, nodes, least), "links")
+    root = lambda x: known.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    first = written(first.join(root("a"), "a", "left").join(root("b"), "b", "left").filter("NOT coalesce(root_a, a) <=> coalesce(root_b, b)").select("a", "b"), "first")
+    near = written(close.unionByName(verified(first, nodes, least)), "links")
     # Pairs of a band that the leaders left apart.
     rooted = in_band.join(leader.select("band"), "band").join(components(near).distinct(), "node", "left").select("band", "node", "size", F.coalesce("root", "node").alias("root"))
     apart = rooted.groupBy("band").agg(F.countDistinct("root").alias("_roots")).filter("_roots > 1").select("band")

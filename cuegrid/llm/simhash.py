@@ -39,16 +39,25 @@ PIVOTS_PER_RANGE = 6
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+def hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """The hash of every window of ``shingle`` words, repeats included; of the whole text if shorter, none without words."""
     w = text.encode().lower().split()
     if not w:
-        return 0
-    s = [b" ".join(w)] if len(w) < shingle else list(map(b" ".join, zip(*(w[k:] for k in range(shingle)))))
+        return np.zeros(0, np.uint64)
+    s = [b" ".join(w)] if len(w) < shingle else map(b" ".join, zip(*(w[k:] for k in range(shingle))))
+    return np.fromiter(map(_hash, s), np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """The number whose bits are set in over half of the hashes; zero for none."""
     ones = np.zeros(64, np.int64)
-    for k in range(0, len(s), 65536):
-        h = np.fromiter(map(_hash, s[k : k + 65536]), np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return int.from_bytes(np.packbits(2 * ones > len(s), bitorder="little").tobytes(), "little")
+    for k in range(0, len(h), 65536):
+        ones += np.unpackbits(h[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
+
+
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    return majority(hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
