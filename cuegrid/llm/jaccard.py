@@ -6,10 +6,13 @@ of 64 bits differ by about 10 bits and by up to 20, where pivots discard next to
 candidates for what is not connected then come from min-hashes: 24 bands of four, which a pair of
 similarity 0.8 shares with a chance of 1 - 3e-6, a closer one with more. Every candidate pair, of
 either kind, is verified on the whole shingle sets. Texts of the same set of shingles are one node.
-First each node of a band is held against one leader, another in each band; then all pairs of a
-band that are not connected yet. So a large group of near copies costs about a comparison a band
-and member. Of the pairs left, those whose 96 min-hashes agree in under 0.6 are passed over (a pair of
-similarity 0.8 is so with a chance below 1e-5), as are documents that share a frequent passage alone.
+First each node of a band is held against one leader, another in each band, so that a large group
+of near copies costs about a comparison a band and member. Nodes of bands that this leaves apart
+meet by prefixes: with the shingles of a set in the order of how many such nodes hold them, rarest
+first, two sets of that similarity share one of the first fifth of each, and where the first shared
+one stands bounds what they can share in all. Only pairs within the bound are verified. It is exact,
+and what many texts hold (a frequent passage, the common part of loose copies) stands last and makes
+no pairs. Lists of a shingle are cut into blocks, whose pairs are searched by as many tasks.
 
 Null and empty texts, and those without words, have no shingles and are linked to nothing. Texts
 under five words are one shingle. Repeated rows are one node. Null ids never name a group. An
@@ -34,8 +37,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 24
 ROWS = 4
-#: Of the min-hashes, a pair of a similarity agrees in this much less than that at worst (five standard deviations at 0.8).
-SLACK = 0.2
+#: Nodes of a shingle's list that a task holds against as many others.
+BLOCK = 2048
 _rng = np.random.default_rng(11)
 _MIX = _rng.integers(0, 1 << 63, BANDS * ROWS).astype(np.uint64)
 _ODD = _rng.integers(0, 1 << 63, BANDS * ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -46,13 +49,12 @@ def shingles(text: str, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(simhash.hashes(text, shingle))
 
 
-def bands(h: np.ndarray) -> tuple[list[int], bytes]:
-    """A hash of the four min-hashes of every band, and a byte of each min-hash."""
+def bands(h: np.ndarray) -> list[int]:
+    """A hash of the four min-hashes of every band."""
     least = np.full(BANDS * ROWS, ~np.uint64(0))
     for k in range(0, len(h), 4096):
         least = np.minimum(least, ((h[k : k + 4096, None] ^ _MIX) * _ODD).min(axis=0))
-    keys = [xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, ROWS))]
-    return keys, (least >> np.uint64(32)).astype(np.uint8).tobytes()
+    return [xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, ROWS))]
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -61,7 +63,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """doc_id, text, node (the set of shingles, null without words), size of the set, fp (SimHash), bands, sketch."""
+    """doc_id, text, node (the set of shingles, null without words), size of the set, fp (SimHash), bands."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,19 +72,22 @@ def marked(docs: DataFrame) -> DataFrame:
             fp = np.array([simhash.majority(h) for h in found], np.uint64).view(np.int64)
             sets = [np.unique(h) for h in found]
             node = [np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64).item() if len(h) else None for h in sets]
-            hashed = [bands(h) if len(h) else ([], b"") for h in sets]
-            keys = [np.array(k, np.uint64).view(np.int64) for k, _ in hashed]
-            sketch = pa.array([x for _, x in hashed], pa.binary())
-            columns = [b["doc_id"], b["text"], pa.array(node, pa.int64()), pa.array(list(map(len, sets)), pa.int32()), pa.array(fp), pa.array(keys, pa.list_(pa.int64())), sketch]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "node", "size", "fp", "bands", "sketch"])
+            keys = [np.array(bands(h) if len(h) else [], np.uint64).view(np.int64) for h in sets]
+            columns = [b["doc_id"], b["text"], pa.array(node, pa.int64()), pa.array(list(map(len, sets)), pa.int32()), pa.array(fp), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "node", "size", "fp", "bands"])
 
-    return texts(docs).mapInArrow(run, f"doc_id {kind}, text string, node long, size int, fp long, bands array<long>, sketch binary")
+    return texts(docs).mapInArrow(run, f"doc_id {kind}, text string, node long, size int, fp long, bands array<long>")
+
+
+def text_of(asked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, text: one text of each node asked for."""
+    return nodes.select("node", "text").join(asked.select("node"), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) of nodes whose shingle sets have a similarity of ``least`` or more."""
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    text = nodes.select("node", "text").join(asked, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    text = text_of(asked, nodes)
     both = pairs.join(text.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(text.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,9 +120,57 @@ def close_pairs(one: DataFrame, least: float) -> DataFrame:
     return pairs.filter(_comparable("size", "leader_size", least)).select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
 
 
+def prefixes(apart: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """shingle, node, root, size, place: the shared ones among the first shingles of each set, rarest first, and their places in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            held = [shingles(t.as_py()).view(np.int64) for t in b["text"]]
+            yield pa.RecordBatch.from_arrays([b["node"], pa.array(held, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    sets = written(text_of(apart, nodes).mapInArrow(run, "node long, shingles array<long>"), "sets")
+    held = sets.select("node", F.explode("shingles").alias("shingle"))
+    shared = held.join(held.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1"), "shingle")
+    rare = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("shared")).join(apart, "node")
+    # Shingles of one node alone come first and take up places; a place past the prefix can begin no such pair.
+    alone = F.col("size") - F.size("shared")
+    length = F.floor(F.lit(1 - least + 1e-9) * F.col("size")).cast("int") + 1 - alone
+    placed = rare.filter(length > 0).select("node", "root", "size", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), length)).alias("k", "s"))
+    return placed.select("s.shingle", "node", "root", "size", (F.col("alone") + F.col("k")).alias("place"))
+
+
+def prefix_pairs(listed: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """a, b: nodes of different roots that share a shingle at places which leave room for that similarity."""
+    counts = listed.groupBy("shingle").agg(F.count("*").alias("_n"), F.min("root").alias("_r"), F.max("root").alias("_s")).filter("_r <> _s").select("shingle", F.ceil(F.col("_n") / block).alias("_blocks"))
+    placed = listed.join(counts, "shingle").withColumn("_block", F.pmod(F.xxhash64("node", "shingle"), "_blocks"))
+    both = placed.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    lists = both.groupBy("shingle", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j")).agg(F.collect_list(F.struct("node", "root", "size", "place")).alias("members"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = b["members"]
+            flat = column.flatten()
+            node, root, size, place = (flat.field(c).to_numpy() for c in ("node", "root", "size", "place"))
+            ends = np.asarray(column.offsets) - column.offsets[0].as_py()
+            two = ends[:-1][np.diff(ends) == 2]
+            candidates = [(two, two + 1)]
+            for k in np.flatnonzero(np.diff(ends) > 2):
+                for i in range(ends[k], ends[k + 1] - 1, 512):
+                    x, y = np.meshgrid(np.arange(i, min(i + 512, ends[k + 1])), np.arange(i + 1, ends[k + 1]), indexing="ij")
+                    later = y > x
+                    candidates.append((x[later], y[later]))
+            for x, y in candidates:
+                room = np.minimum(size[x] - place[x], size[y] - place[y]) >= least / (1 + least) * (size[x] + size[y]) - 1e-6
+                room &= root[x] != root[y]
+                p, q = node[x[room]], node[y[room]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q))], names=["a", "b"])
+
+    return lists.select("members").mapInArrow(run, "a long, b long").distinct()
+
+
 def links(nodes: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """a, b: verified links that join all nodes which links join, directly or not."""
-    one = written(nodes.filter("node IS NOT NULL").select("node", "size", "fp", "bands", "sketch").dropDuplicates(["node"]), "one")
+    one = written(nodes.filter("node IS NOT NULL").select("node", "size", "fp", "bands").dropDuplicates(["node"]), "one")
     close = written(verified(close_pairs(one.select("node", "size", "fp"), least), nodes, least), "close")
     known = written(components(close).distinct(), "known")
     in_band = written(one.select("node", "size", F.explode("bands").alias("band")), "bands")
@@ -127,27 +180,12 @@ def links(nodes: DataFrame, least: float = SIMILARITY) -> DataFrame:
     root = lambda x: known.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
     first = written(first.join(root("a"), "a", "left").join(root("b"), "b", "left").filter("NOT coalesce(root_a, a) <=> coalesce(root_b, b)").select("a", "b"), "first")
     near = written(close.unionByName(verified(first, nodes, least)), "links")
-    # Pairs of a band that the leaders left apart.
+    # Nodes of a band that the leaders left apart.
     rooted = in_band.join(leader.select("band"), "band").join(components(near).distinct(), "node", "left").select("band", "node", "size", F.coalesce("root", "node").alias("root"))
-    apart = rooted.groupBy("band").agg(F.countDistinct("root").alias("_roots")).filter("_roots > 1").select("band")
-    held = rooted.join(apart, "band").join(one.select("node", "sketch"), "node").groupBy("band").agg(F.collect_list(F.struct("root", "node", "size", "sketch")).alias("members"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            for members in b["members"]:
-                flat = members.values
-                roots, node, size = (flat.field(c).to_numpy() for c in ("root", "node", "size"))
-                order = np.argsort(roots, kind="stable")
-                roots, node, size = roots[order], node[order], size[order]
-                sketch = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint8).reshape(len(node), -1)[order]
-                for k in range(len(node) - 1):
-                    later = np.flatnonzero((roots[k + 1 :] != roots[k]) & (np.minimum(size[k + 1 :], size[k]) >= least * np.maximum(size[k + 1 :], size[k]))) + k + 1
-                    later = later[(sketch[later] == sketch[k]).mean(axis=1) >= least - SLACK]
-                    if len(later):
-                        a, c = np.full(len(later), node[k]), node[later]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, c)), pa.array(np.minimum(a, c))], names=["a", "b"])
-
-    rest = written(held.select("members").mapInArrow(run, "a long, b long").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    bands_apart = rooted.groupBy("band").agg(F.min("root").alias("_r"), F.max("root").alias("_s")).filter("_r <> _s").select("band")
+    apart = written(rooted.join(bands_apart, "band").select("node", "size", "root").distinct(), "apart")
+    listed = written(prefixes(apart, nodes, least), "prefixes")
+    rest = written(prefix_pairs(listed, least).join(first, ["a", "b"], "left_anti"), "pairs")
     return near.unionByName(verified(rest, nodes, least))
 
 

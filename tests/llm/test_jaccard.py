@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from cuegrid.llm import jaccard
 
 
 def sets(t):
@@ -46,3 +47,36 @@ def test_stage_drops_near_copies_at_four_fifths(spark, sf):
     kept = corpus_pipeline.near_deduplication(spark, df, sf)
     assert sorted(r.doc_id for r in kept.collect()) == brute_kept(docs)
     assert corpus_pipeline.near_deduplication(spark, df.limit(0), sf).count() == 0
+
+
+def loose_copies(n, seed):
+    """Copies of one text that keep between half and nearly all of its words, about the threshold of each other."""
+    rng = random.Random(seed)
+    base = [f"w{k}" for k in range(150)]
+    docs = []
+    for d in range(n):
+        w = list(base)
+        for k in rng.sample(range(150), rng.choice([0, 1, 1, 2, 2, 3, 4, 6, 10])):
+            w[k] = f"x{d}_{k}"
+        docs.append(" ".join(w))
+    return list(enumerate(docs))
+
+
+def test_loose_copies_and_frequent_passages_against_brute_force(spark):
+    docs = loose_copies(120, 8)
+    passage = " ".join(f"p{k}" for k in range(60))
+    docs += [(1000 + d, passage + " " + " ".join(f"y{d}_{k}" for k in range(5 + d))) for d in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(r.doc_id for r in jaccard.representatives(df).collect()) == brute_kept(docs)
+
+
+def test_prefix_pairs_lose_no_pair_and_blocks_change_nothing(spark):
+    docs = loose_copies(60, 9)
+    nodes = jaccard.marked(spark.createDataFrame(docs, "doc_id long, text string")).cache()
+    apart = nodes.selectExpr("node", "size", "node AS root").distinct()
+    listed = jaccard.prefixes(apart, nodes, 0.8)
+    pairs = {tuple(r) for r in jaccard.prefix_pairs(listed, 0.8).collect()}
+    assert pairs == {tuple(r) for r in jaccard.prefix_pairs(listed, 0.8, block=7).collect()}
+    held = {r.node: sets(r.text) for r in nodes.collect()}
+    true = {(a, b) for a, x in held.items() for b, y in held.items() if a > b and len(x & y) / len(x | y) >= 0.8}
+    assert true and true <= pairs and len(pairs) < len(held) * (len(held) - 1) / 2
