@@ -10,7 +10,7 @@ First each node of a band is held against one leader, another in each band, so t
 of near copies costs about a comparison a band and member. Nodes of bands that this leaves apart
 meet by prefixes: with the shingles of a set in the order of how many such nodes hold them, rarest
 first, two sets of that similarity share one of the first fifth of each, and where the first shared
-one stands bounds what they can share in all. Only pairs within the bound are verified. It is exact,
+one stands bounds what they can share in all. Pairs within the bound are verified in the task that finds them. It is exact,
 and what many texts hold (a frequent passage, the common part of loose copies) stands last and makes
 no pairs. Lists of a shingle are cut into blocks, whose pairs are searched by as many tasks.
 
@@ -38,7 +38,7 @@ SIMILARITY = 0.8
 BANDS = 24
 ROWS = 4
 #: Nodes of a shingle's list that a task holds against as many others.
-BLOCK = 2048
+BLOCK = 256
 _rng = np.random.default_rng(11)
 _MIX = _rng.integers(0, 1 << 63, BANDS * ROWS).astype(np.uint64)
 _ODD = _rng.integers(0, 1 << 63, BANDS * ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -120,15 +120,19 @@ def close_pairs(one: DataFrame, least: float) -> DataFrame:
     return pairs.filter(_comparable("size", "leader_size", least)).select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
 
 
-def prefixes(apart: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """shingle, node, root, size, place: the shared ones among the first shingles of each set, rarest first, and their places in it."""
+def shingle_sets(apart: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, shingles: the set of each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             held = [shingles(t.as_py()).view(np.int64) for t in b["text"]]
             yield pa.RecordBatch.from_arrays([b["node"], pa.array(held, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    sets = written(text_of(apart, nodes).mapInArrow(run, "node long, shingles array<long>"), "sets")
+    return text_of(apart, nodes).mapInArrow(run, "node long, shingles array<long>")
+
+
+def prefixes(apart: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """shingle, node, root, size, place: the shared ones among the first shingles of each set, rarest first, and their places in it."""
     held = sets.select("node", F.explode("shingles").alias("shingle"))
     shared = held.join(held.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1"), "shingle")
     rare = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("shared")).join(apart, "node")
@@ -139,17 +143,28 @@ def prefixes(apart: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return placed.select("s.shingle", "node", "root", "size", (F.col("alone") + F.col("k")).alias("place"))
 
 
-def prefix_pairs(listed: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """a, b: nodes of different roots that share a shingle at places which leave room for that similarity."""
+def _top(top: dict[int, int], root: int) -> int:
+    """The root that a root has been joined to."""
+    while root in top:
+        root = top[root]
+    return root
+
+
+def prefix_links(listed: DataFrame, sets: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """a, b: links of nodes of different roots that join all which are linked, directly or not.
+
+    Pairs share a shingle at places which leave room for that similarity; a task reports those that join its nodes.
+    """
     counts = listed.groupBy("shingle").agg(F.count("*").alias("_n"), F.min("root").alias("_r"), F.max("root").alias("_s")).filter("_r <> _s").select("shingle", F.ceil(F.col("_n") / block).alias("_blocks"))
-    placed = listed.join(counts, "shingle").withColumn("_block", F.pmod(F.xxhash64("node", "shingle"), "_blocks"))
+    placed = listed.join(counts, "shingle").join(sets, "node").withColumn("_block", F.pmod(F.xxhash64("node", "shingle"), "_blocks"))
     both = placed.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-    lists = both.groupBy("shingle", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j")).agg(F.collect_list(F.struct("node", "root", "size", "place")).alias("members"))
+    lists = both.groupBy("shingle", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j")).agg(F.collect_list(F.struct("node", "root", "size", "place", "shingles")).alias("members"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             column = b["members"]
             flat = column.flatten()
+            held = flat.field("shingles")
             node, root, size, place = (flat.field(c).to_numpy() for c in ("node", "root", "size", "place"))
             ends = np.asarray(column.offsets) - column.offsets[0].as_py()
             two = ends[:-1][np.diff(ends) == 2]
@@ -162,8 +177,15 @@ def prefix_pairs(listed: DataFrame, least: float, block: int = BLOCK) -> DataFra
             for x, y in candidates:
                 room = np.minimum(size[x] - place[x], size[y] - place[y]) >= least / (1 + least) * (size[x] + size[y]) - 1e-6
                 room &= root[x] != root[y]
-                p, q = node[x[room]], node[y[room]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q))], names=["a", "b"])
+                top: dict[int, int] = {}
+                found = []
+                for i, j in zip(x[room].tolist(), y[room].tolist()):
+                    p, q = _top(top, root[i].item()), _top(top, root[j].item())
+                    if p != q and similarity(held[i].values.to_numpy(), held[j].values.to_numpy()) >= least:
+                        top[max(p, q)] = min(p, q)
+                        found.append((max(node[i], node[j]), min(node[i], node[j])))
+                a, c = zip(*found) if found else ([], [])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
 
     return lists.select("members").mapInArrow(run, "a long, b long").distinct()
 
@@ -184,9 +206,9 @@ def links(nodes: DataFrame, least: float = SIMILARITY) -> DataFrame:
     rooted = in_band.join(leader.select("band"), "band").join(components(near).distinct(), "node", "left").select("band", "node", "size", F.coalesce("root", "node").alias("root"))
     bands_apart = rooted.groupBy("band").agg(F.min("root").alias("_r"), F.max("root").alias("_s")).filter("_r <> _s").select("band")
     apart = written(rooted.join(bands_apart, "band").select("node", "size", "root").distinct(), "apart")
-    listed = written(prefixes(apart, nodes, least), "prefixes")
-    rest = written(prefix_pairs(listed, least).join(first, ["a", "b"], "left_anti"), "pairs")
-    return near.unionByName(verified(rest, nodes, least))
+    sets = written(shingle_sets(apart, nodes), "sets")
+    listed = written(prefixes(apart, sets, least), "prefixes")
+    return near.unionByName(prefix_links(listed, sets, least))
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

@@ -70,13 +70,21 @@ def test_loose_copies_and_frequent_passages_against_brute_force(spark):
     assert sorted(r.doc_id for r in jaccard.representatives(df).collect()) == brute_kept(docs)
 
 
-def test_prefix_pairs_lose_no_pair_and_blocks_change_nothing(spark):
+def test_prefix_links_join_all_that_is_linked_in_blocks_too(spark):
     docs = loose_copies(60, 9)
     nodes = jaccard.marked(spark.createDataFrame(docs, "doc_id long, text string")).cache()
     apart = nodes.selectExpr("node", "size", "node AS root").distinct()
-    listed = jaccard.prefixes(apart, nodes, 0.8)
-    pairs = {tuple(r) for r in jaccard.prefix_pairs(listed, 0.8).collect()}
-    assert pairs == {tuple(r) for r in jaccard.prefix_pairs(listed, 0.8, block=7).collect()}
-    held = {r.node: sets(r.text) for r in nodes.collect()}
-    true = {(a, b) for a, x in held.items() for b, y in held.items() if a > b and len(x & y) / len(x | y) >= 0.8}
-    assert true and true <= pairs and len(pairs) < len(held) * (len(held) - 1) / 2
+    held = jaccard.shingle_sets(apart, nodes).cache()
+    listed = jaccard.prefixes(apart, held, 0.8).cache()
+    text = {r.node: sets(r.text) for r in nodes.collect()}
+    first = {}
+    for r in nodes.collect():
+        first[r.node] = min(r.doc_id, first.get(r.node, r.doc_id))
+    for block in (7, 256):
+        found = jaccard.prefix_links(listed, held, 0.8, block).collect()
+        assert found and all(len(text[a] & text[b]) / len(text[a] | text[b]) >= 0.8 for a, b in found)
+        root = {n: n for n in text}
+        for _ in root:
+            for a, b in found:
+                root[a] = root[b] = min(root[a], root[b])
+        assert sorted({min(first[m] for m in root if root[m] == root[n]) for n in root}) == brute_kept(docs)
