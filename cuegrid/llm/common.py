@@ -89,3 +89,11 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
     for b in batches:
         for k in range(0, b.num_rows, rows):
             yield b.slice(k, rows)
+
+
+def keyed(rows: DataFrame, small: DataFrame, on: list[str], spread: Column, most: int, salts: int = 32) -> DataFrame:
+    """rows with the columns of a written table of one row a key: broadcast if it has ``most`` rows at most, else by keys salted with ``spread``."""
+    if small.count() <= most:
+        return rows.join(F.broadcast(small), on)
+    salted = rows.withColumn("_salt", F.pmod(spread, F.lit(salts)))
+    return salted.join(small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), [*on, "_salt"]).drop("_salt")

@@ -43,3 +43,32 @@ fences AS (SELECT c.lang, c.source, c.measure, c.low - {REACH} * (c.mid - c.low)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AND {_WITHIN} AS kept FROM m
 """
+
+_ODD = "'</s>[INST] ok [/INST]'"
+#: The control strings around the text of each role, counted; other roles are spelled out, escaped.
+_ESCAPED = r"regexp_replace({}, '([<\[])(\\*)(s>|/s>|<SYS>>|</SYS>>|INST\]|/INST\]|ROLE\]|/ROLE\])', '\1\2\\\3', 'g')"
+CHAT = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', {_ODD} UNION ALL SELECT -7, 1, 'assistant', {_ODD}),
+e AS (SELECT *, length({_ESCAPED.format("text")}) + length('<s></s>') + 1 + CASE role WHEN 'system' THEN length('<<SYS>>  <</SYS>>') WHEN 'user' THEN length('[INST]  [/INST]') WHEN 'assistant' THEN 0
+  ELSE length('[ROLE][/ROLE] ') + length({_ESCAPED.format("role")}) END AS n FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id
+"""
+
+_P = "1 + CAST(1000000000 AS HUGEINT) * ({n} + 2) // ({all} + 2 * v)"
+_F = "(p - q) * (p - q) // (p + q)"
+DIVERGENCE = f"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+t AS MATERIALIZED (SELECT lang, source, term, count(*) AS n, count(DISTINCT id) AS docs FROM w GROUP BY ALL),
+k AS MATERIALIZED (SELECT lang, term, sum(n) AS total FROM t GROUP BY ALL HAVING sum(docs) >= 10),
+z AS (SELECT lang, count(*) AS v, sum(total) AS all_n FROM k GROUP BY lang),
+g AS (SELECT o.lang, o.source, coalesce(s.n, 0) AS n, z.v, z.all_n FROM (SELECT DISTINCT lang, source FROM d) o LEFT JOIN (SELECT lang, source, sum(n) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL) s USING (lang, source) LEFT JOIN z USING (lang)),
+p AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(t.n, 0) AS n, {_P.format(n="coalesce(t.n, 0)", all="g.n")} AS p, {_P.format(n="k.total", all="g.all_n")} AS q FROM g JOIN k USING (lang) LEFT JOIN t USING (lang, source, term)),
+pr AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT lang, a AS source, b AS item, sum({_F}) AS value FROM (SELECT x.lang, x.source AS a, y.source AS b, x.p AS p, y.p AS q FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source) GROUP BY ALL) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+r AS (SELECT lang, source, 'pair' AS part, item, value FROM pr UNION ALL SELECT lang, source, 'term', term, {_F} FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM r) WHERE part = 'pair' OR rank <= 10
+"""

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuegrid.llm import bpe, classifier, katz, line_dedup, oracles, packing, rules, secrets, simhash, token_counts, topk
+from cuegrid.llm import bpe, chat, classifier, divergence, katz, line_dedup, oracles, packing, rules, secrets, simhash, token_counts, topk
 from cuegrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op5_topk": oracles.TOP_K, "op8_rules": oracles.RULES}
+ORACLES: dict[str, str] = {"op5_topk": oracles.TOP_K, "op8_rules": oracles.RULES, "op12_chat": oracles.CHAT, "op13_divergence": oracles.DIVERGENCE}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
@@ -98,3 +98,16 @@ def op7_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.katz_scores(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    odd = spark.range(2).selectExpr("-7L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role").withColumn("text", F.lit(said))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.format_conversations(rows.unionByName(odd)))
+
+
+@query
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
