@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuegrid.llm import bpe, chat, classifier, divergence, katz, line_dedup, oracles, packing, rules, secrets, simhash, token_counts, topk
+from cuegrid.llm import bpe, chat, classifier, divergence, katz, line_dedup, negatives, oracles, packing, rules, secrets, simhash, token_counts, topk
 from cuegrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op5_topk": oracles.TOP_K, "op8_rules": oracles.RULES, "op12_chat": oracles.CHAT, "op13_divergence": oracles.DIVERGENCE}
+ORACLES: dict[str, str] = {"op5_topk": oracles.TOP_K, "op8_rules": oracles.RULES, "op11_negatives": oracles.NEGATIVES, "op12_chat": oracles.CHAT, "op13_divergence": oracles.DIVERGENCE}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
@@ -111,3 +111,8 @@ def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(negatives.relabelled(table(spark, sf_dir, "embeddings")))
