@@ -34,6 +34,9 @@ SHARE = 1_000_000_000
 MOST_TERMS = 10
 #: Columns to a block, sources to a tile, and the terms that a task counts before it hands them on.
 BLOCK, TILE, HELD = 8192, 256, 200_000
+#: A term's occurrences and documents in one whole number, its documents in the low bits.
+DOCS = 40
+MASK = (1 << DOCS) - 1
 #: The bytes of ``[^\x00-\x40\x5B-\x60\x7B-\x7F]+`` in UTF-8, lower-cased.
 _TERM = re.compile(rb"[a-z\x80-\xff]+")
 
@@ -42,25 +45,23 @@ def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences) and docs, of parts of the table: to be added up. A group also gives a row of null term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, tuple[Counter, Counter]] = {}
+        held: dict[tuple, dict[bytes | None, int]] = {}
         size = 0
 
         def rows() -> pa.RecordBatch:
-            keys = [(*g, t) for g, (n, _) in held.items() for t in (None, *n)]
-            langs, sources, terms = zip(*keys)
-            n = [x for c, _ in held.values() for x in (0, *c.values())]
-            d = [x for c, in_docs in held.values() for x in (0, *(in_docs[t] for t in c))]
+            langs, sources = zip(*(g for g, terms in held.items() for _ in terms))
+            terms = [t if t is None else t.decode() for own in held.values() for t in own]
+            both = [x for own in held.values() for x in own.values()]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(langs), pa.array(sources), pa.array([t and t.decode() for t in terms], pa.string()), pa.array(n, pa.int64()), pa.array(d, pa.int64())], names=["lang", "source", "term", "n", "docs"])
+            return pa.RecordBatch.from_arrays([pa.array(langs), pa.array(sources), pa.array(terms, pa.string()), pa.array([x >> DOCS for x in both], pa.int64()), pa.array([x & MASK for x in both], pa.int64())], names=["lang", "source", "term", "n", "docs"])
 
         for b in slices(batches):
             for lang, source, text in zip(b["lang"].to_pylist(), b["source"].to_pylist(), b["text"]):
-                n, in_docs = held.setdefault((lang, source), (Counter(), Counter()))
-                before = len(n)
-                own = Counter(_TERM.findall(text.as_py().encode().lower()))
-                n.update(own)
-                in_docs.update(own.keys())
-                size += len(n) - before
+                own = held.setdefault((lang, source), {None: 0})
+                before, known = len(own), own.get
+                for t, n in Counter(_TERM.findall(text.as_py().encode().lower())).items():
+                    own[t] = known(t, 0) + (n << DOCS) + 1
+                size += len(own) - before
                 if size >= HELD:
                     yield rows()
                     size = 0
