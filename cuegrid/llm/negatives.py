@@ -3,11 +3,11 @@
 Vectors are packed sort-tile-recursive: Spark ranges them into slabs by the coordinate of most
 spread, sorts each slab by the next ones and cuts it into pages; a page is packed the same way into
 an R-tree of leaves. A node's box gives an interval of inner products with an anchor, coordinate by
-coordinate. The search of an anchor takes nodes from a queue, the greatest reachable score first,
-and passes over boxes whose interval lies outside the score window or strictly below the k-th
-score found. The page that holds an anchor is searched first and gives its thresholds for all
-others. Then every page meets every block of anchors once, in groups of pages and blocks of
-bounded size.
+coordinate. Boxes whose interval lies outside the score window are passed over from the root down;
+the leaves left wait in a queue for each window, the greatest reachable score first, and the search
+ends where the next is strictly below the k-th score found. The page that holds an anchor is
+searched first and gives its thresholds for all others. Then every page meets every block of anchors
+once, in groups of pages and blocks of bounded size.
 
 The first search of each anchor is for its best rows of the same label, the positives; their scores
 give the windows of the second, for rows of another label. Rows with a null id or label, a null
@@ -20,7 +20,6 @@ Other columns are not read; an empty table gives no rows.
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -137,60 +136,72 @@ def tiled(vectors: np.ndarray, leaf: int, dims: list[int]) -> np.ndarray:
 
 
 class Tree:
-    """An R-tree of the rows of a page: leaves of rows, nodes of ``fan`` children, the root last."""
+    """An R-tree of the rows of a page: levels of boxes from the leaves up to the root, ``fan`` children a node."""
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray, leaf: int = LEAF, fan: int = FAN):
         dims = np.argsort(-vectors.astype(float).var(axis=0), kind="stable")[:SORTED_BY].tolist()
         order = tiled(vectors, leaf, dims)
-        self.ids, self.labels, self.vectors = ids[order], labels[order], vectors[order]
+        self.ids, self.labels, self.vectors, self.fan = ids[order], labels[order], vectors[order], fan
         starts = np.arange(0, len(order), leaf)
-        low, high = np.minimum.reduceat(self.vectors, starts, axis=0), np.maximum.reduceat(self.vectors, starts, axis=0)
         self.rows = [slice(s, min(s + leaf, len(order))) for s in starts]
-        self.children: list[range | None] = [None] * len(starts)
-        lows, highs, first = [low], [high], 0
-        while len(low) > 1:
+        self.levels = [(np.minimum.reduceat(self.vectors, starts, axis=0), np.maximum.reduceat(self.vectors, starts, axis=0))]
+        while len(self.levels[-1][0]) > 1:
+            low, high = self.levels[-1]
             starts = np.arange(0, len(low), fan)
-            self.children += [range(first + s, first + min(s + fan, len(low))) for s in starts]
-            first += len(low)
-            low, high = np.minimum.reduceat(low, starts, axis=0), np.maximum.reduceat(high, starts, axis=0)
-            lows.append(low)
-            highs.append(high)
-        self.low, self.high = np.concatenate(lows), np.concatenate(highs)
-
-    def intervals(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The least and the greatest inner product that each query can have in each node."""
+            self.levels.append((np.minimum.reduceat(low, starts, axis=0), np.maximum.reduceat(high, starts, axis=0)))
+
+    @staticmethod
+    def intervals(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The least and the greatest inner product that each query can have in each box, coordinate by coordinate."""
         up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-        return up @ self.low.T + down @ self.high.T, up @ self.high.T + down @ self.low.T
-
-    def search(self, query: np.ndarray, least: np.ndarray, most: np.ndarray, fits, windows: list[tuple], k: int) -> Iterator[tuple[object, int, int]]:
-        """(key, id, score): in each window (key, low, high) the k best rows that fit, not below low."""
-        scored: dict[int, tuple] = {}
-        root = len(self.children) - 1
-        for key, low, high in windows:
-            floor, ceiling = -math.inf if low is None else low, math.inf if high is None else high
-            queue = [(-min(most[root], ceiling), root)] if least[root] <= ceiling else []
-            found: list[tuple[int, int]] = []
-            while queue:
-                bound, node = heapq.heappop(queue)
-                if -bound < floor:
-                    break
-                if self.children[node] is not None:
-                    for c in self.children[node]:
-                        if least[c] <= ceiling and most[c] >= floor:
-                            heapq.heappush(queue, (-min(most[c], ceiling), c))
-                    continue
-                if node not in scored:
-                    rows = self.rows[node]
-                    at = np.flatnonzero(fits(self.ids[rows], self.labels[rows])) + rows.start
-                    scored[node] = self.ids[at], self.vectors[at] @ query
-                ids, scores = scored[node]
-                for i in np.flatnonzero((scores >= floor) & (scores <= ceiling)):
-                    found.append((-int(scores[i]), int(ids[i])))
-                if len(found) >= k:
-                    found = sorted(found)[:k]
-                    floor = max(floor, -found[-1][0])
-            for score, id_ in sorted(found)[:k]:
-                yield key, id_, -score
+        return up @ low.T + down @ high.T, up @ high.T + down @ low.T
+
+    def reachable(self, queries: np.ndarray, of: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """For each window (the query it is of, its bounds) and leaf the greatest score there that the window
+        allows; minus infinity if the leaf, or a node above it, lies outside the window."""
+        alive = np.ones((len(of), 1), bool)
+        for boxes in reversed(self.levels):
+            n = len(boxes[0])
+            alive = np.repeat(alive, self.fan, axis=1)[:, :n] if n > 1 else alive
+            least, most = self.intervals(queries, *boxes)
+            alive &= (least[of] <= high[:, None]) & (most[of] >= low[:, None])
+        return np.where(alive, np.minimum(most[of], high[:, None]), -np.inf)
+
+    def search(self, queries: np.ndarray, own_ids: np.ndarray, own_labels: np.ndarray, of: np.ndarray, low: np.ndarray, high: np.ndarray, ties: np.ndarray, same: bool, k: int) -> list[list[tuple[int, int]]]:
+        """For each window the (-score, id) of the k best rows of the same (or another) label.
+
+        Every window has a queue of leaves, the greatest reachable score first. All windows take their
+        next leaf together, and the windows of one leaf are scored as one product. A window ends where
+        its next leaf is strictly below its k-th score. Of rows of score ``low`` only those of an id below
+        ``ties`` count.
+        """
+        reach = self.reachable(queries, of, low, high)
+        queue = np.argsort(-reach, axis=1, kind="stable")
+        floor, found = low.copy(), [[] for _ in of]
+        active = np.arange(len(of))
+        for step in range(queue.shape[1]):
+            leaf = queue[active, step]
+            bound = reach[active, leaf]
+            going = (bound >= floor[active]) & (bound > -np.inf)
+            active, leaf = active[going], leaf[going]
+            if not len(active):
+                break
+            by_leaf = np.argsort(leaf, kind="stable")
+            cuts = np.flatnonzero(np.diff(leaf[by_leaf])) + 1
+            for group in np.split(by_leaf, cuts):
+                w, rows = active[group], self.rows[leaf[group[0]]]
+                scores = (self.vectors[rows] @ queries[of[w]].T).T
+                fit = (self.labels[rows][None, :] == own_labels[of[w]][:, None]) == same
+                fit &= (scores >= floor[w][:, None]) & (scores <= high[w][:, None]) & (self.ids[rows][None, :] != own_ids[of[w]][:, None])
+                fit &= (scores > low[w][:, None]) | (self.ids[rows][None, :] < ties[w][:, None])
+                at, row = np.nonzero(fit)
+                for i, score, id_ in zip(w[at].tolist(), scores[at, row].tolist(), self.ids[rows][row].tolist()):
+                    found[i].append((-int(score), id_))
+                for i in np.unique(w[at]).tolist():
+                    found[i] = sorted(found[i])[:k]
+                    if len(found[i]) == k:
+                        floor[i] = max(floor[i], -found[i][-1][0])
+        return found
 
 
 def _exact(vectors: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,27 +215,36 @@ def _filled(m: np.ndarray, width: int) -> np.ndarray:
     return np.pad(m, ((0, 0), (0, width - m.shape[1]))) if m.shape[1] < width else m
 
 
+MOST_ID = np.iinfo(np.int64).max
 _FOUND = "anchor_id long, key int, vec_id long, score long"
 
 
 def _searched(same: bool, k: int, at_home: bool):
     """The function of pages and anchors with their windows: the best rows of each window on each page."""
 
+    def bounds(xs: list, none: float, kind: type) -> np.ndarray:
+        # Doubles where they hold the products; whole numbers of Python (and infinities) where not.
+        return np.array([none if x is None else x for x in xs], kind)
+
     def run(pages_: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if pages_.num_rows and asked.num_rows:
-            q, asked = _matrix(asked["q"].combine_chunks()), asked.drop_columns(["q"]).to_pylist()
+            q, home = _matrix(asked["q"].combine_chunks()), asked["home"].to_numpy()
+            own_ids, own_labels = asked["anchor_id"].to_numpy(), asked["label"].to_numpy()
+            windows = asked["windows"].to_pylist()
             for row in pages_.to_pylist():
                 ids, labels, _, vectors = _opened(row)
+                here = np.flatnonzero((home == row["page"]) == at_home)
+                each = [(n, w) for n, i in enumerate(here.tolist()) for w in windows[i]]
+                if not each:
+                    continue
                 width = max(vectors.shape[1], q.shape[1])
-                vectors, queries = _exact(_filled(vectors, width), _filled(q, width))
-                tree = Tree(ids, labels, vectors)
-                least, most = tree.intervals(queries)
-                for i, a in enumerate(asked):
-                    if (a["home"] == row["page"]) == at_home:
-                        fits = lambda x, y, a=a: ((y == a["label"]) if same else (y != a["label"])) & (x != a["anchor_id"])
-                        windows = [(w["key"], w["low"], w["high"]) for w in a["windows"]]
-                        out += [(a["anchor_id"], *f) for f in tree.search(queries[i], least[i], most[i], fits, windows, k)]
+                vectors, queries = _exact(_filled(vectors, width), _filled(q[here], width))
+                of = np.array([n for n, _ in each])
+                low, high = bounds([w["low"] for _, w in each], -math.inf, vectors.dtype), bounds([w["high"] for _, w in each], math.inf, vectors.dtype)
+                ties = np.array([MOST_ID if w["tie"] is None else w["tie"] for _, w in each], np.int64)
+                found = Tree(ids, labels, vectors).search(queries, own_ids[here], own_labels[here], of, low, high, ties, same, k)
+                out += [(own_ids[here[n]], w["key"], id_, -score) for (n, w), rows in zip(each, found) for score, id_ in rows]
         columns = list(zip(*out)) or [()] * 4
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["anchor_id", "key", "vec_id", "score"])
@@ -239,12 +259,17 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 def search(stored: DataFrame, asked: DataFrame, same: bool, k: int, group: int = GROUP, block: int = BLOCK) -> DataFrame:
     """anchor_id, key, rank, vec_id, score: the k best rows of the same (or another) label in each window of
-    each anchor. asked: anchor_id, label, q, home and windows, an array of (key, low, high), null for no bound."""
+    each anchor. asked: anchor_id, label, q, home and windows, an array of (key, low, high), null for no bound.
+
+    The k-th row at home raises the low bound elsewhere; rows of its score count there if their id is below its own.
+    """
+    no_tie = F.transform("windows", lambda w: w.withField("tie", F.lit(None).cast("long")))
+    asked = asked.withColumn("windows", no_tie)
     at_home = stored.withColumn("home", F.col("page")).groupBy("home").cogroup(asked.groupBy("home")).applyInArrow(_searched(same, k, True), _FOUND)
     first = written(_best(at_home, k), "at-home")
-    kth = first.filter(F.col("rank") == k).select("anchor_id", "key", F.col("score").alias("kth"))
-    each = asked.select("anchor_id", F.explode("windows").alias("w")).select("anchor_id", "w.*").join(kth, ["anchor_id", "key"], "left")
-    raised = each.groupBy("anchor_id").agg(F.collect_list(F.struct("key", F.greatest("low", "kth").alias("low"), "high")).alias("windows"))
+    kth = first.filter(F.col("rank") == k).select("anchor_id", "key", F.col("score").alias("kth"), F.col("vec_id").alias("tie"))
+    each = asked.select("anchor_id", F.explode("windows").alias("w")).select("anchor_id", "w.key", "w.low", "w.high").join(kth, ["anchor_id", "key"], "left")
+    raised = each.groupBy("anchor_id").agg(F.collect_list(F.struct("key", F.greatest("low", "kth").alias("low"), "high", "tie")).alias("windows"))
     sizes = stored.agg(F.count("*").alias("pages"), F.max("nth").alias("nth")).first()
     # No more groups than pages; enough of them for every core, and for what a task may hold.
     groups = max(1, min(sizes.pages, max(math.ceil(sizes.pages / group), 2 * stored.sparkSession.sparkContext.defaultParallelism)))

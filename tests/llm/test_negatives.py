@@ -63,18 +63,18 @@ def test_small_and_empty_tables(spark):
     assert negatives.hard_negatives(df, F.lit(False)).count() == 0
 
 
-def test_intervals_hold_every_product_and_prune():
+def test_intervals_hold_every_product_and_prune(monkeypatch):
     rng = np.random.default_rng(1)
     v = np.sort(rng.integers(-200, 200, (500, 1)), axis=0) + rng.integers(-3, 4, (500, 5))
     tree = negatives.Tree(np.arange(500), np.zeros(500, int), v.astype(float), 16, 4)
     q = rng.integers(-50, 50, (20, 5)).astype(float)
-    least, most = tree.intervals(q)
+    least, most = tree.intervals(q, *tree.levels[0])
     for n, rows in enumerate(tree.rows):
         s = tree.vectors[rows] @ q.T
         assert (s >= least[:, n]).all() and (s <= most[:, n]).all()
-    opened = []
+    none = np.full(20, 2**62)
+    reach = tree.reachable(q, np.arange(20), np.full(20, 8000.0), np.full(20, 9000.0))
+    assert np.isneginf(reach).mean() > 0.5
+    got = tree.search(q, np.full(20, -1), np.zeros(20, int), np.arange(20), np.full(20, -np.inf), np.full(20, np.inf), none, True, 3)
     for i in range(20):
-        fits = lambda ids, labels: opened.append(len(ids)) or np.ones(len(ids), bool)
-        got = [(s, j) for _, j, s in tree.search(q[i], least[i], most[i], fits, [(0, None, None)], 3)]
-        assert got == sorted(zip((v @ q[i]).astype(int).tolist(), range(500)), key=lambda r: (-r[0], r[1]))[:3]
-    assert sum(opened) < 20 * 500 / 4
+        assert got[i] == sorted(zip((-(v @ q[i])).astype(int).tolist(), range(500)))[:3]
