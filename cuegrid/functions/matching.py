@@ -1,7 +1,8 @@
-"""Many words in texts at once: an automaton over a word list, which is broadcast if it is small.
+"""Many words in texts at once: automata over slices of a word list, each small enough to broadcast.
 
-The automaton reads a text once, however many words there are. Lists beyond ``MOST_WORDS`` are
-not broadcast; the operators then join texts' substrings of the words' lengths instead.
+An automaton reads a text once, however many words there are. A list of more than ``MOST_WORDS`` is
+cut into slices of so many in the order of rank; every slice reads the texts by itself, and what
+the slices find is put together. So no list is held whole anywhere, and no text is cut into pieces.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from functools import lru_cache
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
@@ -29,14 +30,10 @@ def _automaton(words: tuple[str, ...]) -> ahocorasick.Automaton:
 
 
 class Words:
-    """A word list on the driver, in order of rank, broadcast to the tasks."""
+    """A slice of a word list, in order of rank, broadcast to the tasks. Ranks within it are places."""
 
-    def __init__(self, rows: DataFrame, column: str, rank: str | None = None):
-        listed = rows.groupBy(column).agg(F.min(rank if rank else column).alias("_rank")).filter(F.col(column) != "")
-        some = listed.limit(MOST_WORDS + 1).toPandas()
-        self.fits = len(some) <= MOST_WORDS
-        words = tuple(some.sort_values(["_rank", column])[column]) if self.fits else ()
-        self.shared = rows.sparkSession.sparkContext.broadcast(words)
+    def __init__(self, spark: SparkSession, words: tuple[str, ...]):
+        self.shared = spark.sparkContext.broadcast(words)
 
     def udf(self, of: Callable[[Iterator[tuple[int, int, str]]], object], kind: DataType | str):
         """An Arrow function of texts: ``of`` gets (rank, end, word) of every place where a word ends."""
@@ -52,8 +49,28 @@ class Words:
         return run
 
 
+def in_slices(rows: DataFrame, order: list[str], most: int | None = None) -> Iterator[list[Row]]:
+    """The rows in the order of columns that identify them, as many at a time as may be on the driver; at least one list."""
+    most = MOST_WORDS if most is None else most
+    key = F.struct(*order)
+    part = rows.orderBy(*order).limit(most).collect()
+    yield part
+    while len(part) == most:
+        last = F.struct(*[F.lit(part[-1][c]).cast(rows.schema[c].dataType).alias(c) for c in order])
+        part = rows.filter(key > last).orderBy(*order).limit(most).collect()
+        if part:
+            yield part
+
+
+def word_slices(rows: DataFrame, column: str, rank: str | None = None) -> Iterator[Words]:
+    """The words of a column in slices, the least rank first."""
+    listed = rows.filter(F.col(column) != "").groupBy(F.col(column).alias("word")).agg(F.min(rank if rank else column).alias("rank"))
+    for part in in_slices(listed, ["rank", "word"]):
+        yield Words(rows.sparkSession, tuple(r.word for r in part))
+
+
 def substitution(spark: SparkSession, terms: list[tuple[str, str]]):
-    """An Arrow function that replaces the terms one after the other, wrapped in brackets.
+    """An Arrow function that replaces the terms of a slice one after the other, wrapped in brackets.
 
     Only the terms that a text holds are tried. Brackets part what was replaced from the rest, so
     no others can match later but those that hold a bracket or stand in a replacement.
@@ -92,16 +109,26 @@ def best_hit(hits: Iterator[tuple[int, int, str]]) -> str | None:
     return min(hits, default=(0, 0, None))[2]
 
 
-def longest_hits(hits: Iterator[tuple[int, int, str]]) -> list[dict]:
-    """The longest word at each place, without those that begin inside an earlier one."""
+def longest_at(hits: Iterator[tuple[int, int, str]]) -> list[dict]:
+    """The longest word at each place."""
     at: dict[int, str] = {}
     for _, end, word in hits:
         start = end + 1 - len(word)
         if len(word) > len(at.get(start, "")):
             at[start] = word
+    return [{"start": start, "word": at[start]} for start in sorted(at)]
+
+
+def uncovered(hits: list[dict]) -> list[dict]:
+    """Of the hits in order, those that do not begin inside an earlier one that stays."""
     out, free = [], 0
-    for start in sorted(at):
-        if start >= free:
-            out.append({"start": start, "word": at[start]})
-            free = start + len(at[start])
+    for h in hits:
+        if h["start"] >= free:
+            out.append({"start": h["start"], "word": h["word"]})
+            free = h["start"] + len(h["word"])
     return out
+
+
+def longest_hits(hits: Iterator[tuple[int, int, str]]) -> list[dict]:
+    """The longest word at each place, without those that begin inside an earlier one."""
+    return uncovered(longest_at(hits))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
@@ -24,6 +25,9 @@ REFUSAL = (
 HALF_MARKS, FULL_MARKS = ",!?;:~", "，！？；：～"
 # What counts as punctuation beside a quote.
 QUOTE_NEIGHBOUR = r"[\s，。、！？：；…—·,.!?;:~()（）\[\]{}「」『』\"']"
+# The brackets that straight quotes become.
+CORNERS = {'"': "「」", "'": "『』"}
+_NEIGHBOUR, _STRAIGHT = re.compile(QUOTE_NEIGHBOUR), re.compile("[\"']")
 
 
 @F.pandas_udf(StringType())
@@ -89,23 +93,32 @@ def full_width_punct(c: Column) -> Column:
     return out
 
 
+@F.pandas_udf(StringType())
+def _straight_quotes(s: pd.Series) -> pd.Series:
+    def word(c: str) -> bool:
+        return bool(c) and not c.isspace() and not _NEIGHBOUR.match(c)
+
+    def one(text: str | None) -> str | None:
+        opens = {'"': True, "'": True}
+
+        def mark(m: re.Match) -> str:
+            at, c = m.start(), m.group()
+            before, behind = word(text[at - 1 : at]), word(text[at + 1 : at + 2])
+            now = behind if before != behind else opens[c]
+            opens[c] = not now
+            return CORNERS[c][0 if now else 1]
+
+        return None if text is None else _STRAIGHT.sub(mark, text)
+
+    return s.map(one)
+
+
 def unify_quotes(c: Column) -> Column:
     """Curly and straight quotes to corner brackets. Straight ones close behind a word and open
-    before one; where neighbours do not tell they alternate."""
-    chars = F.split(F.translate(c, "“”‘’", "「」『』"), "")
-    chars = F.filter(chars, lambda x: x != "")
-    original = F.filter(F.split(c, ""), lambda x: x != "")
-    word = lambda x: F.coalesce((x != "") & ~x.rlike(QUOTE_NEIGHBOUR) & ~x.rlike("[“”‘’]") | x.rlike("[“”‘’]"), F.lit(False))
-    seen = F.transform(chars, lambda x, i: F.struct(x.alias("c"), word(F.get(original, i - 1)).alias("p"), word(F.get(original, i + 1)).alias("n")))
-    start = F.struct(F.lit("").alias("out"), F.lit(True).alias("d"), F.lit(True).alias("s"))
-
-    def step(a, x):
-        double, single = x["c"] == '"', x["c"] == "'"
-        opens = F.when(x["p"] & ~x["n"], False).when(x["n"] & ~x["p"], True).when(double, a["d"]).otherwise(a["s"])
-        mark = F.when(double, F.when(opens, "「").otherwise("」")).when(single, F.when(opens, "『").otherwise("』")).otherwise(x["c"])
-        return F.struct(F.concat(a["out"], mark).alias("out"), F.when(double, ~opens).otherwise(a["d"]).alias("d"), F.when(single, ~opens).otherwise(a["s"]).alias("s"))
-
-    return F.when(c.rlike("[\"']"), F.aggregate(seen, start, step, lambda a: a["out"])).otherwise(F.translate(c, "“”‘’", "「」『』"))
+    before one; where neighbours do not tell they alternate. Only the straight quotes of a text are
+    visited, and only texts that have any leave the JVM."""
+    curly = lambda x: F.translate(x, "“”‘’", "「」『』")
+    return F.when(c.rlike("[\"']"), curly(_straight_quotes(F.when(c.rlike("[\"']"), c)))).otherwise(curly(c))
 
 
 def substitute(c: Column, terms: Column, wrap: bool = True) -> Column:

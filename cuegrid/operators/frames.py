@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuegrid.operators.chunks import fold_in_chunks
+
 
 def _in_item():
     return Window.partitionBy("item_id").orderBy("frame_idx")
@@ -40,40 +44,62 @@ def seq_overlap(frame_sig: DataFrame) -> DataFrame:
     return rows.select("item_id", "frame_idx", *[c.alias(k) for k, c in _overlap("_prev", "sig").items() if k != "base"])
 
 
-def spans(diffs: DataFrame, threshold: float, max_run: int = 10, replaced: DataFrame | None = None) -> DataFrame:
+def spans(diffs: DataFrame, threshold: float, max_run: int = 10, replaced: DataFrame | None = None, settle_frames: int = 2) -> DataFrame:
     """item_id, span_no, start_idx, end_idx, key_idx.
 
     Changed frames run together; every max_run of them make a span, which ends before the next
-    one starts. The key is the last still frame after the run, or the chunk's last frame where
-    it is full. ``replaced`` (item_id, frame_idx) cuts runs where one text replaced another.
+    one starts. The key is the last frame before the next start, or the last of max_run. A changed
+    frame of ``replaced`` (item_id, frame_idx), where one text replaced another, ends an open span
+    and starts the next, whose run it does not count in; an open span outlives pauses of less than
+    settle_frames. All but these frames follows from windows: they are folded by themselves.
     """
-    rows = diffs.withColumn("changed", F.col("diff") >= threshold)
-    if replaced is not None:
-        rows = rows.join(replaced.select("item_id", "frame_idx", F.lit(True).alias("_cut")), ["item_id", "frame_idx"], "left")
+    place = (F.row_number().over(_in_item()) - 1).cast("long")
+    rows = diffs.select("item_id", "frame_idx", (F.col("diff") >= threshold).alias("changed"), place.alias("i"))
+    before = F.last(F.when(F.col("changed"), F.col("i")), ignorenulls=True).over(_in_item().rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("last", before)
+    if replaced is None:
+        rows = rows.withColumn("cut", F.lit(False))
     else:
-        rows = rows.withColumn("_cut", F.lit(None).cast("boolean"))
-    before = F.lag("changed").over(_in_item())
-    start = F.col("changed") & (~F.coalesce(before, F.lit(False)) | F.coalesce("_cut", F.lit(False)))
-    # Runs of equal state; a cut opens a new run of changed frames.
-    edge = start | (~F.col("changed") & F.coalesce(before, F.lit(True)))
-    rows = rows.withColumn("_edge", edge.cast("int")).withColumn("_run", F.sum("_edge").over(_in_item()))
-    in_run = Window.partitionBy("item_id", "_run").orderBy("frame_idx")
-    rows = rows.withColumn("_chunk", F.floor((F.row_number().over(in_run) - 1) / max_run))
-    runs = rows.groupBy("item_id", "_run", "changed").agg(F.max("frame_idx").alias("_last"))
-    still = runs.filter("NOT changed").select("item_id", (F.col("_run") - 1).alias("_run"), F.col("_last").alias("_still"))
-    chunks = rows.filter("changed").groupBy("item_id", "_run", "_chunk").agg(F.min("frame_idx").alias("start_idx"), F.max("frame_idx").alias("_end"), F.count("*").alias("_n"))
-    last_chunk = Window.partitionBy("item_id", "_run")
-    chunks = chunks.withColumn("_final", F.col("_chunk") == F.max("_chunk").over(last_chunk)).join(still, ["item_id", "_run"], "left")
-    ends = diffs.groupBy("item_id").agg(F.max("frame_idx").alias("_all"))
-    key = F.when(F.col("_final") & (F.col("_n") < max_run), F.coalesce("_still", "_end")).otherwise(F.col("_end"))
-    w = Window.partitionBy("item_id").orderBy("start_idx")
-    out = chunks.join(ends, "item_id").withColumn("key_idx", key)
-    return out.select("item_id", (F.row_number().over(w) - 1).alias("span_no"), "start_idx", (F.coalesce(F.lead("start_idx").over(w), F.col("_all") + 1) - 1).alias("end_idx"), "key_idx")
-
-
-def replacements(frame_sig: DataFrame) -> DataFrame:
+        cuts = replaced.select("item_id", "frame_idx", F.lit(True).alias("_cut")).distinct()
+        rows = rows.join(cuts, ["item_id", "frame_idx"], "left").withColumn("cut", F.col("changed") & F.coalesce("_cut", F.lit(False))).drop("_cut")
+    gap = F.col("i") - F.col("last")
+    # A run begins as after a closed span, unless a replacement begins it behind a short pause.
+    fresh = F.col("changed") & ((gap > 1) | gap.isNull()) & ~(F.col("cut") & F.coalesce(gap <= settle_frames, F.lit(False)))
+    rows = rows.withColumn("fresh", fresh).withColumn("base", F.when(F.col("fresh"), F.col("i") - 1))
+    if replaced is not None:
+        rows = rows.withColumn("stretch", F.sum(F.col("fresh").cast("int")).over(_in_item()))
+        first = F.max("base").over(Window.partitionBy("item_id", "stretch"))
+        asked = rows.withColumn("first", first).filter("cut AND NOT fresh").select("item_id", "stretch", "i", "last", "first")
+        found = fold_in_chunks(asked, ["item_id", "stretch"], ["i"], _counting(max_run), lambda state: [], "i long, base long").select("item_id", "i", F.col("base").alias("_base"))
+        rows = rows.join(found, ["item_id", "i"], "left").withColumn("base", F.coalesce("base", "_base"))
+    # n: the changed frames counted since the last start; a replacement that starts a span counts none.
+    rows = rows.withColumn("_n", F.when(F.col("changed"), F.col("i") - F.last("base", ignorenulls=True).over(_in_item())))
+    begins = (F.col("_n") == 0) | (F.col("base") == F.col("i") - 1) | ((F.col("_n") > 1) & ((F.col("_n") - 1) % max_run == 0))
+    rows = rows.withColumn("_span", F.sum(F.coalesce(begins, F.lit(False)).cast("int")).over(_in_item()))
+    full = F.max(F.when((F.col("_n") > 0) & (F.col("_n") % max_run == 0), F.col("frame_idx")))
+    out = rows.filter("_span > 0").groupBy("item_id", "_span").agg(F.min("frame_idx").alias("start_idx"), F.max("frame_idx").alias("end_idx"), full.alias("_full"))
+    return out.select("item_id", (F.col("_span") - 1).cast("int").alias("span_no"), "start_idx", "end_idx", F.coalesce("_full", "end_idx").alias("key_idx"))
+
+
+def _counting(max_run: int):
+    """The fold of replacements (place, last changed place before, base of the stretch) to the base that each
+    counts from: its own place if it ends an open span, the one before it if a full run had closed that span."""
+
+    def fold(state: list | None, rows: Iterator[tuple]) -> tuple[list[tuple], list]:
+        out, base = [], state[0] if state else None
+        for i, last, first in rows:
+            n = last - (first if base is None else base)
+            base = i - 1 if n > 0 and n % max_run == 0 else i
+            out.append((i, base))
+        return out, [base]
+
+    return fold
+
+
+def replacements(frame_sig: DataFrame, least_pixels: int = 800) -> DataFrame:
     """item_id, frame_idx where one text replaced another: most strokes gone and little overlap."""
-    return seq_overlap(frame_sig).filter("removed >= 0.5 AND removed_abs >= 1.5 AND prev_pixels >= 800 AND overlap < 0.35").select("item_id", "frame_idx")
+    gone = (F.col("removed") >= 0.5) & (F.col("removed_abs") >= 1.5) & (F.col("prev_pixels") >= least_pixels) & (F.col("overlap") < 0.35)
+    return seq_overlap(frame_sig).filter(gone).select("item_id", "frame_idx")
 
 
 def merge_spans(spans: DataFrame, frame_sig: DataFrame) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuegrid.functions import text as T
-from cuegrid.functions.matching import substitution
+from cuegrid.functions.matching import in_slices, substitution
 from cuegrid.functions.similarity import likeness
 from cuegrid.functions.times import in_window, shift_time
+from cuegrid.sources.storage import written
 
 # Hosts of file shares.
 FILE_SHARES = (
@@ -58,13 +59,23 @@ def quality_audit(segments: DataFrame) -> DataFrame:
 STEPS = ("terms", "marks", "punct", "quotes", "dots", "layout")
 
 
+def with_terms(segments: DataFrame, terms: DataFrame, source: str, target: str) -> DataFrame:
+    """segments with ``target``: the text of ``source`` with the terms (term, replacement; one row a term)
+    replaced one after the other, the longest first. A slice of terms at a time is on the driver and
+    broadcast; the next begins where it ends, on what it has written."""
+    ranked = terms.filter("term <> ''").select((-F.char_length("term")).alias("n"), "term", F.coalesce("replacement", F.lit("")).alias("replacement"))
+    rows = segments.withColumn(target, F.col(source))
+    for k, part in enumerate(in_slices(ranked, ["n", "term"])):
+        rows = written(rows, "replaced") if k else rows
+        rows = rows.withColumn(target, substitution(segments.sparkSession, [(r.term, r.replacement) for r in part])(F.col(target)))
+    return rows
+
+
 def clean_targets(segments: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Segments with cleaned tr, and step, changed. terms: one row, see memo.sorted_terms."""
-    listed = [(t.term, t.replacement) for row in terms.collect() for t in row.terms if t.term]
-    terms_in = substitution(segments.sparkSession, listed)
-    rows = segments.withColumn("_0", F.coalesce("tr", F.lit("")))
-    todo = (terms_in, T.strip_marks, T.full_width_punct, T.unify_quotes, T.shorten_dots, T.layout)
-    for k, step in enumerate(todo):
+    """Segments with cleaned tr, and step, changed. terms: term and replacement, one row a term."""
+    rows = with_terms(segments.withColumn("_0", F.coalesce("tr", F.lit(""))), terms, "_0", "_1")
+    todo = (T.strip_marks, T.full_width_punct, T.unify_quotes, T.shorten_dots, T.layout)
+    for k, step in enumerate(todo, 1):
         rows = rows.withColumn(f"_{k + 1}", step(F.col(f"_{k}")))
     changed = rows.agg(*[F.count_if(F.col(f"_{k}") != F.col(f"_{k + 1}")).alias(s) for k, s in enumerate(STEPS)])
     cleaned = rows.withColumn("tr", F.col(f"_{len(STEPS)}")).select(*segments.columns)

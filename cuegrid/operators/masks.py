@@ -5,14 +5,20 @@ Range joins cut every interval into the buckets of time it covers and join on it
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from cuegrid.functions.boxes import box, iou, overlap, span_box
-from cuegrid.functions.matching import Words, longest_hits
+from cuegrid.functions.matching import longest_at, longest_hits, uncovered, word_slices
 from cuegrid.functions.times import sample_times
-from cuegrid.sources.storage import shared_folder
+from cuegrid.operators.chunks import fold_in_chunks
+from cuegrid.sources.storage import discard, written
 
 BUCKET_S = 10.0
 MERGE_GAP_S = 1.0
@@ -77,48 +83,90 @@ def _rect_iou(a: tuple, b: tuple) -> float:
     return inter / union if inter and union else 0.0
 
 
-def _merge_island(masks: list[dict]) -> list[dict]:
-    kept: list[dict] = []
-    for m in sorted(masks, key=lambda m: [m[k] for k in ("start_s", "end_s", *"xywh")]):
-        place = tuple(m[k] for k in "xywh")
-        for o in kept:
-            apart = max(m["start_s"] - o["end_s"], o["start_s"] - m["end_s"])
-            if apart <= MERGE_GAP_S and _rect_iou(tuple(o[k] for k in "xywh"), place) >= SAME_PLACE:
-                o["start_s"], o["end_s"] = min(o["start_s"], m["start_s"]), max(o["end_s"], m["end_s"])
-                break
-        else:
-            kept.append(dict(m))
-    return kept
+class _Live:
+    """The kept masks that later ones can still join, by the size and the place of their boxes.
 
+    Boxes that share half of their union differ in each side by a factor of two at most and in their
+    centres by half the smaller side, so they are in the same class of sizes or the next, and in the
+    same cell of such a size or the next.
+    """
 
-def merge_masks(masks: DataFrame) -> DataFrame:
-    """Masks of one place and at most a second apart become one, which keeps the first box.
+    def __init__(self, kept: list[list]):
+        self.kept = {n: m for n, m in enumerate(kept)}
+        self.next = len(kept)
+        self.cells: dict[tuple, list[int]] = {}
+        for n, m in self.kept.items():
+            self._place(n, m)
+
+    @staticmethod
+    def _classes(m: list) -> tuple[int, int]:
+        return int(m[4]).bit_length(), int(m[5]).bit_length()
+
+    def _at(self, m: list, a: int, b: int) -> tuple[int, int]:
+        return (2 * m[2] + m[4]) >> (a + 1), (2 * m[3] + m[5]) >> (b + 1)
+
+    def _place(self, n: int, m: list) -> None:
+        a, b = self._classes(m)
+        self.cells.setdefault((a, b, *self._at(m, a, b)), []).append(n)
+
+    def add(self, m: list) -> None:
+        self.kept[self.next] = m
+        self._place(self.next, m)
+        self.next += 1
+
+    def first_near(self, m: list) -> list | None:
+        """The earliest kept mask of the place of m, no more than the gap before it."""
+        best, (p, q) = None, self._classes(m)
+        for a in (p - 1, p, p + 1):
+            for b in (q - 1, q, q + 1):
+                if a < 0 or b < 0:
+                    continue
+                x, y = self._at(m, a, b)
+                for cell in ((a, b, x + i, y + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
+                    for n in self.cells.get(cell, ()):
+                        o = self.kept[n]
+                        if (best is None or n < best) and m[0] - o[1] <= MERGE_GAP_S and _rect_iou(o[2:6], m[2:6]) >= SAME_PLACE:
+                            best = n
+        return None if best is None else self.kept[best]
+
+    def leave(self, now: float) -> list[list]:
+        """Take out the masks that end more than the gap before ``now``."""
+        gone = [n for n, m in self.kept.items() if now - m[1] > MERGE_GAP_S]
+        out = [self.kept.pop(n) for n in gone]
+        for n, m in zip(gone, out):
+            a, b = self._classes(m)
+            self.cells[(a, b, *self._at(m, a, b))].remove(n)
+        return out
+
+
+def _merge_live(state: list | None, rows: Iterator[tuple]) -> tuple[list[tuple], list]:
+    live, closed, at_most = _Live(state or []), [], 0
+    for row in rows:
+        # What has ended leaves when the live ones have doubled, so that leaving costs little a row.
+        if len(live.kept) > 2 * at_most + 64:
+            closed += map(tuple, live.leave(row[0]))
+            at_most = len(live.kept)
+        o = live.first_near(row)
+        if o is None:
+            live.add(list(row))
+        else:
+            o[1] = max(o[1], row[1])
+    return closed + [tuple(m) for m in live.leave(row[0])], list(live.kept.values())
 
-    Items are cut where no mask reaches within a second of the next; each such stretch is folded.
-    """
-    w = Window.partitionBy("item_id").orderBy("start_s", "end_s")
-    columns = ["item_id", "start_s", "end_s", "x", "y", "w", "h", "effect", "vol"]
-    reach = F.max("end_s").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = masks.select(*columns, F.coalesce(F.col("start_s") > reach + MERGE_GAP_S, F.lit(True)).cast("int").alias("_new")).withColumn("_island", F.sum("_new").over(w))
-    rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy("item_id", "_island")))
-    alone = rows.filter("_n = 1").select(*columns)
-    listed = rows.filter("_n > 1").groupBy("item_id", "_island").agg(F.collect_list(F.struct(*columns[1:])).alias("_rows"))
 
-    # Many islands to an Arrow batch: most hold a few masks.
-    @F.pandas_udf(listed.schema["_rows"].dataType)
-    def merged(islands: pd.Series) -> pd.Series:
-        return islands.map(_merge_island)
+_MASK = "start_s double, end_s double, x int, y int, w int, h int, effect string, vol double"
 
-    folded = listed.select("item_id", F.explode(merged("_rows")).alias("m")).select("item_id", "m.*")
-    return alone.unionByName(folded)
 
+def merge_masks(masks: DataFrame) -> DataFrame:
+    """Masks of one place and at most a second apart become one, which keeps the first box.
 
-def _durable(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that driver and executors share."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
-    return df.checkpoint()
+    In the order of time each mask joins the earliest kept one that it fits, which may have grown by
+    others before. Items are folded in chunks; the state are the masks still in reach. Candidates
+    are found by a grid over the sizes and places of their boxes.
+    """
+    names = [c.split()[0] for c in _MASK.split(", ")]
+    rows = masks.select("item_id", *[F.col(n).cast(t).alias(n) for n, t in (c.split() for c in _MASK.split(", "))])
+    return fold_in_chunks(rows, ["item_id"], names, _merge_live, lambda state: [tuple(m) for m in state or []], _MASK)
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -129,7 +177,7 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     and the edges left are those of each box to the least of its component.
     """
     pairs = edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi <> lo").distinct()
-    pairs = _durable(pairs)
+    pairs = written(pairs, "edges")
     digest = None
     while True:
         both = pairs.union(pairs.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
@@ -139,7 +187,8 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         # The small star: the others, and the box itself, go to the least smaller neighbour.
         low = large.groupBy("hi").agg(F.min("lo").alias("_m"))
         small = large.join(low, "hi").select(F.explode(F.array("hi", "lo")).alias("hi"), F.col("_m").alias("lo")).filter("hi <> lo").distinct()
-        pairs = _durable(small)
+        before, pairs = pairs, written(small, "edges")
+        discard(before)
         now = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("s")).first()
         if now == digest:
             break
@@ -151,72 +200,97 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def merge_tracks(boxes: DataFrame, edges: DataFrame, step_s: float, width: int, height: int, effect: str = "blur:20") -> DataFrame:
     """Masks of tracked boxes: the running union of a component's boxes in time, begun anew where it
-    would cover too much of the frame; unions too large from the start are dropped."""
+    would cover too much of the frame; unions too large from the start are dropped.
+
+    A component is folded in chunks of its boxes, so that it may be of any length.
+    """
     limit = MOST_OF_FRAME * width * height
-    rect = "struct<x0:long,y0:long,x1:long,y1:long,first:long,last:long>"
-    c = F.col
-    place = F.struct("frame_idx", "box_id", c("x").cast("long").alias("x0"), c("y").cast("long").alias("y0"), (c("x") + c("w")).cast("long").alias("x1"), (c("y") + c("h")).cast("long").alias("y1"))
-    tracks = boxes.join(components(edges, boxes), "box_id").groupBy("item_id", "track").agg(F.array_sort(F.collect_list(place)).alias("_boxes"))
-    own = lambda r: F.struct(*[r[k].alias(k) for k in ("x0", "y0", "x1", "y1")], r["frame_idx"].cast("long").alias("first"), r["frame_idx"].cast("long").alias("last"))
-    area = lambda r: (r["x1"] - r["x0"]) * (r["y1"] - r["y0"])
-    start = F.struct(F.lit(None).cast(rect).alias("now"), F.array().cast(f"array<{rect}>").alias("out"))
-
-    def step(a, r):
-        now = a["now"]
-        grown = F.struct(F.least(now["x0"], r["x0"]).alias("x0"), F.least(now["y0"], r["y0"]).alias("y0"), F.greatest(now["x1"], r["x1"]).alias("x1"), F.greatest(now["y1"], r["y1"]).alias("y1"), now["first"].alias("first"), r["frame_idx"].cast("long").alias("last"))
-        keep = F.struct(grown.alias("now"), a["out"].alias("out"))
-        anew = F.struct(own(r).alias("now"), F.when(now.isNull(), a["out"]).otherwise(F.array_append(a["out"], now)).alias("out"))
-        return F.when(now.isNotNull() & (area(grown) <= limit), keep).otherwise(anew)
-
-    spans = F.aggregate("_boxes", start, step, lambda a: F.when(area(a["now"]) <= limit, F.array_append(a["out"], a["now"])).otherwise(a["out"]))
-    rows = tracks.select("item_id", F.explode(spans).alias("r"))
-    r = c("r")
-    return rows.select("item_id", (r["first"] * step_s).alias("start_s"), ((r["last"] + 1) * step_s).alias("end_s"), r["x0"].alias("x"), r["y0"].alias("y"), (r["x1"] - r["x0"]).alias("w"), (r["y1"] - r["y0"]).alias("h"), F.lit(effect).alias("effect"), F.lit(1.0).alias("vol"))
 
+    def grow(state: list | None, rows: Iterator[tuple]) -> tuple[list[tuple], list]:
+        closed = []
+        for frame, _, x0, y0, x1, y1 in rows:
+            if state is not None:
+                a, b, c, d = min(state[0], x0), min(state[1], y0), max(state[2], x1), max(state[3], y1)
+                if (c - a) * (d - b) <= limit:
+                    state = [a, b, c, d, state[4], frame]
+                    continue
+                closed.append(tuple(state))
+            state = [x0, y0, x1, y1, frame, frame]
+        return closed, state
+
+    def last(state: list | None) -> list[tuple]:
+        return [tuple(state)] if state and (state[2] - state[0]) * (state[3] - state[1]) <= limit else []
+
+    c = lambda k: F.col(k).cast("long")
+    placed = boxes.join(components(edges, boxes), "box_id").select("item_id", "track", c("frame_idx").alias("frame_idx"), "box_id", c("x").alias("x0"), c("y").alias("y0"), (c("x") + c("w")).alias("x1"), (c("y") + c("h")).alias("y1"))
+    r = fold_in_chunks(placed, ["item_id", "track"], ["frame_idx", "box_id"], grow, last, "x0 long, y0 long, x1 long, y1 long, first long, last long")
+    return r.select("item_id", (r["first"] * step_s).alias("start_s"), ((r["last"] + 1) * step_s).alias("end_s"), r["x0"].alias("x"), r["y0"].alias("y"), (r["x1"] - r["x0"]).alias("w"), (r["y1"] - r["y0"]).alias("h"), F.lit(effect).alias("effect"), F.lit(1.0).alias("vol"))
 
-def find_words(texts: DataFrame, words: DataFrame) -> DataFrame:
-    """item_id, pos, start, word: exact hits, the longest at a place, none inside an earlier one."""
-    listed = Words(words, "word")
-    if listed.fits:
-        found = listed.udf(longest_hits, "array<struct<start:int,word:string>>")("text")
-        return texts.select("item_id", "pos", F.explode(found).alias("k")).select("item_id", "pos", "k.start", "k.word")
-    return _find_by_substrings(texts, words)
 
+_HITS = ArrayType(StructType([StructField("start", IntegerType()), StructField("word", StringType())]))
 
-def _find_by_substrings(texts: DataFrame, words: DataFrame) -> DataFrame:
-    """The same for lists too long to broadcast.
 
-    Every text is cut into the substrings of the lengths that words have, which meet the word
-    list by equality; what an earlier hit covers goes in one pass over the hits of a text.
+@F.pandas_udf(_HITS)
+def _uncovered(hits: pd.Series) -> pd.Series:
+    return pd.Series([uncovered(list(h)) for h in hits], dtype="object")
+
+
+def find_words(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """item_id, pos, start, word: exact hits, the longest at a place, none inside an earlier one.
+
+    With several slices of words, the longest hit of every place is taken over all of them first.
     """
-    lengths = words.select(F.char_length("word").alias("_len")).distinct().agg(F.array_sort(F.collect_list("_len")).alias("_lens"))
-    grams = texts.select("item_id", "pos", "text").join(F.broadcast(lengths)).select("item_id", "pos", "text", F.explode("_lens").alias("_len")).filter(F.char_length("text") >= F.col("_len"))
-    grams = grams.select("item_id", "pos", F.explode(F.transform(F.sequence(F.lit(0), F.char_length("text") - F.col("_len")), lambda i: F.struct(i.alias("start"), F.substring("text", i + 1, F.col("_len")).alias("word")))).alias("g"))
-    hits = grams.select("item_id", "pos", "g.start", "g.word").join(words.select("word").distinct(), "word")
-    longest = hits.groupBy("item_id", "pos", "start").agg(F.max_by("word", F.char_length("word")).alias("word"))
-    listed = longest.groupBy("item_id", "pos").agg(F.array_sort(F.collect_list(F.struct("start", "word"))).alias("_hits"))
-    none = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,word:string>>").alias("kept"))
-    keep = F.aggregate("_hits", none, lambda a, h: F.when(h["start"] >= a["end"], F.struct((h["start"] + F.char_length(h["word"])).alias("end"), F.array_append(a["kept"], h).alias("kept"))).otherwise(a), lambda a: a["kept"])
-    return listed.select("item_id", "pos", F.explode(keep).alias("k")).select("item_id", "pos", "k.start", "k.word")
+    slices = list(word_slices(words, "word"))
+    if len(slices) == 1:
+        found = texts.select("item_id", "pos", slices[0].udf(longest_hits, _HITS)("text").alias("ks"))
+    else:
+        each = reduce(DataFrame.unionByName, [texts.select("item_id", "pos", F.explode(s.udf(longest_at, _HITS)("text")).alias("k")) for s in slices])
+        longest = each.groupBy("item_id", "pos", "k.start").agg(F.max_by("k.word", F.char_length("k.word")).alias("word"))
+        found = longest.groupBy("item_id", "pos").agg(F.array_sort(F.collect_list(F.struct("start", "word"))).alias("ks")).withColumn("ks", _uncovered("ks"))
+    return found.select("item_id", "pos", F.explode("ks").alias("k")).select("item_id", "pos", "k.start", "k.word")
+
+
+def free_boxes(lines: list[int], caps: list[int]) -> list[int | None]:
+    """For lines of so many characters, in order, the first free of the boxes (sorted by capacity) that
+    holds n to 1.6 n. Each box knows the next that may be free, so that taken ones are passed over at once."""
+    after = list(range(len(caps) + 1))
+
+    def free(k: int) -> int:
+        while after[k] != k:
+            after[k] = after[after[k]]
+            k = after[k]
+        return k
+
+    out: list[int | None] = []
+    for n in lines:
+        k = free(bisect_left(caps, n))
+        found = k < len(caps) and caps[k] <= 1.6 * n
+        out.append(k if found else None)
+        if found:
+            after[k] = k + 1
+    return out
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _free_boxes(lines: pd.Series, caps: pd.Series) -> pd.Series:
+    return pd.Series([free_boxes(list(n), list(c)) for n, c in zip(lines, caps)], dtype="object")
 
 
 def lines_to_boxes(lines: DataFrame, boxes: DataFrame) -> DataFrame:
     """lines (item_id, t_s, line_no, line) each with one box (box_no, x, y, w, h) of its frame that
     holds n to 1.6 n characters, the smallest free one first; lines without a box are left out.
 
-    The options of a frame, in the order of lines and then of capacity, are taken one after the
-    other unless their line or their box is taken already.
+    The lines of a frame come in order and take its boxes in the order of capacity and number; the
+    two lists meet once, and no option is listed. Frames without lines or boxes give no rows.
     """
     n = F.char_length(F.regexp_replace("line", r"\s+", ""))
     cap = F.rint(F.col("w") / (0.9 * F.greatest("h", F.lit(1)))).cast("int")
-    fit = lines.withColumn("_n", n).filter("_n > 0").join(boxes.withColumn("cap", cap), ["item_id", "t_s"]).filter((F.col("cap") >= F.col("_n")) & (F.col("cap") <= 1.6 * F.col("_n")))
-    option = F.struct("line_no", "cap", "box_no")
-    frames = fit.groupBy("item_id", "t_s").agg(F.array_sort(F.collect_list(option)).alias("_options"))
-    kind = frames.schema["_options"].dataType.simpleString()
-    taken = lambda a, o: F.exists(a, lambda p: (p["line_no"] == o["line_no"]) | (p["box_no"] == o["box_no"]))
-    picks = F.aggregate("_options", F.array().cast(kind), lambda a, o: F.when(taken(a, o), a).otherwise(F.array_append(a, o)))
-    chosen = frames.select("item_id", "t_s", F.explode(picks).alias("p")).select("item_id", "t_s", "p.line_no", "p.box_no")
-    return fit.drop("_n", "cap").join(chosen, ["item_id", "t_s", "line_no", "box_no"])
+    said = lines.select("item_id", "t_s", F.struct("line_no", "line", n.cast("int").alias("n")).alias("l")).filter("l.n > 0").groupBy("item_id", "t_s").agg(F.array_sort(F.collect_list("l")).alias("ls"))
+    held = boxes.select("item_id", "t_s", F.struct(cap.alias("cap"), "box_no", *"xywh").alias("b")).groupBy("item_id", "t_s").agg(F.array_sort(F.collect_list("b")).alias("bs"))
+    met = said.join(held, ["item_id", "t_s"])
+    taken = met.withColumn("k", _free_boxes(F.transform("ls", lambda x: x["n"]), F.transform("bs", lambda x: x["cap"])))
+    pairs = taken.select("item_id", "t_s", "bs", F.explode(F.arrays_zip("ls", "k")).alias("p")).filter("p.k IS NOT NULL")
+    return pairs.select("item_id", "t_s", "p.ls.line_no", "p.ls.line", F.get("bs", F.col("p.k")).alias("b")).select("item_id", "t_s", "line_no", "line", "b.box_no", *[f"b.{k}" for k in "xywh"])
 
 
 def word_masks(segments: DataFrame, words: DataFrame, line_boxes: DataFrame, items: DataFrame, pad: float = 0.5, effect: str = "blur:20") -> DataFrame:

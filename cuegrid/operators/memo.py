@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuegrid.functions.matching import Words, any_hit, best_hit
+from cuegrid.functions.matching import any_hit, best_hit, word_slices
 from cuegrid.functions.text import UNTRANSLATED, bad_target, key_nfkc, symbol_only, untranslated
 
 
@@ -75,34 +77,23 @@ def expand(keyed: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def rule_lookup(items: DataFrame, rules: DataFrame) -> DataFrame:
-    """item_id, value: of the first rule (by rank) whose key occurs in the item's tags."""
-    keys = Words(rules, "key", "rank")
-    if keys.fits:
-        hit = items.withColumn("_key", keys.udf(best_hit, "string")("tags")).filter("_key IS NOT NULL")
-    else:
-        hit = _substrings(items.withColumnRenamed("tags", "_text"), "_text", rules, "key").withColumnRenamed("key", "_key")
+    """item_id, value: of the first rule (by rank) whose key occurs in the item's tags. Each slice of
+    keys gives its best, the first of all wins."""
+    hit = reduce(DataFrame.unionByName, [items.select("item_id", keys.udf(best_hit, "string")("tags").alias("_key")).filter("_key IS NOT NULL") for keys in word_slices(rules, "key", "rank")])
     met = hit.join(rules, hit["_key"] == rules["key"])
     return met.groupBy("item_id").agg(F.min_by("value", "rank").alias("value"))
 
 
 def split_risky(items: DataFrame, glossary: DataFrame) -> DataFrame:
-    """items with risky: does the text hold a glossary term. One pass over the items."""
-    terms = Words(glossary, "term")
-    if terms.fits:
-        return items.withColumn("risky", F.coalesce(terms.udf(any_hit, "boolean")("text"), F.lit(False)))
-    held = _substrings(items.select("text").distinct(), "text", glossary, "term").select("text").distinct()
+    """items with risky: does the text hold a glossary term. A pass over the texts for each slice of terms."""
+    slices = list(word_slices(glossary, "term"))
+    if len(slices) == 1:
+        return items.withColumn("risky", F.coalesce(slices[0].udf(any_hit, "boolean")("text"), F.lit(False)))
+    said = items.select("text").distinct()
+    held = reduce(DataFrame.unionByName, [said.filter(s.udf(any_hit, "boolean")("text")) for s in slices]).distinct()
     return items.join(held.withColumn("risky", F.lit(True)), "text", "left").withColumn("risky", F.coalesce("risky", F.lit(False))).select(*items.columns, "risky")
 
 
-def _substrings(rows: DataFrame, text: str, words: DataFrame, word: str) -> DataFrame:
-    """The rows with each word that their text holds, by equality of substrings: for lists too long to broadcast."""
-    known = words.select(word).filter(F.col(word) != "").distinct()
-    lengths = known.agg(F.collect_set(F.char_length(word)).alias("_lens"))
-    cut = rows.join(F.broadcast(lengths)).withColumn("_len", F.explode("_lens")).filter(F.char_length(text) >= F.col("_len"))
-    parts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(text) - F.col("_len") + 1), lambda i: F.substring(F.col(text), i, F.col("_len"))))
-    return cut.withColumn(word, F.explode(parts)).drop("_lens", "_len").join(known, word)
-
-
 def forget(memo: DataFrame, sources: DataFrame) -> DataFrame:
     return memo.join(sources.select("src").distinct(), "src", "left_anti")
 
@@ -123,12 +114,6 @@ def overlay(layers: DataFrame) -> DataFrame:
     return layers.groupBy("term").agg(F.max_by("replacement", F.struct("layer", "line_no")).alias("replacement"))
 
 
-def sorted_terms(glossary: DataFrame) -> DataFrame:
-    """One row: terms, an array of (term, replacement), longest first. A glossary is a small list."""
-    row = F.struct((-F.char_length("term")).alias("n"), "term", "replacement")
-    return glossary.agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: F.struct(r["term"].alias("term"), r["replacement"].alias("replacement"))).alias("terms"))
-
-
 # The characters stripped from the ends of names; a letter and a backslash are among them.
 _DECORATION = r"[\[\]\-一ー—\\s]"
 _SPACE = " \t\n\r\x0b\x0c　"

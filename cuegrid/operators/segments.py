@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,35 +12,57 @@ from pyspark.sql.types import ArrayType, StringType
 
 from cuegrid.functions.similarity import alike, typing_partial
 from cuegrid.functions.text import bad_target, key_nfkc
+from cuegrid.operators.chunks import fold_in_chunks
 
 # Sentence ends, quotes, and the particles that continue a sentence after a quote.
 ENDS, OPENS, CLOSES = "。！？!?", "「『", "」』"
 CONTINUES = "とだでをはがにのもっなかやゆりし"
 
 
-def fold_segments(rows: list[tuple[float, float, str]], frame_dur: float, threshold: float) -> list[list]:
-    """Runs (first time, last time, text) in order to segments [start, end, text]: alike or growing
-    texts become one, the longest kept; then texts caught while still being typed join the full one."""
-    first: list[list] = []
+def folding(frame_dur: float, threshold: float):
+    """The fold of runs (number, first time, last time, text) in order to segments (start, end, text), and its end.
+
+    Alike or growing texts become one, the longest kept; texts caught while still being typed then
+    join the full one. The state has a segment of either kind, still open.
+    """
     near = frame_dur * 1.5
-    for t, last, text in rows:
-        cur = first[-1] if first else None
-        if cur and t <= cur[1] + near and (text.startswith(cur[2]) or alike(cur[2], text, threshold)):
-            cur[1] = last + frame_dur
-            cur[2] = max(cur[2], text, key=len)
-        else:
-            first.append([t, last + frame_dur, text])
-    out: list[list] = []
-    for seg in first:
-        cur = out[-1] if out else None
+
+    def typed(cur: list | None, seg: list, closed: list[tuple]) -> list:
         close = cur is not None and seg[0] <= cur[1] + near
         if close and typing_partial(cur[2], seg[2]):
-            cur[1:] = seg[1:]
-        elif close and typing_partial(seg[2], cur[2]):
-            cur[1] = max(cur[1], seg[1])
-        else:
-            out.append(seg)
-    return out
+            return [cur[0], *seg[1:]]
+        if close and typing_partial(seg[2], cur[2]):
+            return [cur[0], max(cur[1], seg[1]), cur[2]]
+        if cur is not None:
+            closed.append(tuple(cur))
+        return seg
+
+    def fold(state: list | None, rows: Iterator[tuple]) -> tuple[list[tuple], list]:
+        closed: list[tuple] = []
+        now, full = state or (None, None)
+        for _, t, last, text in rows:
+            if now and t <= now[1] + near and (text.startswith(now[2]) or alike(now[2], text, threshold)):
+                now = [now[0], last + frame_dur, max(now[2], text, key=len)]
+            else:
+                full = typed(full, now, closed) if now else full
+                now = [t, last + frame_dur, text]
+        return closed, [now, full]
+
+    def finish(state: list | None) -> list[tuple]:
+        closed: list[tuple] = []
+        now, full = state or (None, None)
+        if now:
+            full = typed(full, now, closed)
+        return closed + ([tuple(full)] if full else [])
+
+    return fold, finish
+
+
+def fold_segments(rows: list[tuple[float, float, str]], frame_dur: float, threshold: float) -> list[list]:
+    """Runs (first time, last time, text) in order to segments [start, end, text]."""
+    fold, finish = folding(frame_dur, threshold)
+    closed, state = fold(None, ((k, *r) for k, r in enumerate(rows)))
+    return [list(s) for s in closed + finish(state)]
 
 
 def islands(frame_obs: DataFrame, frame_dur: float) -> DataFrame:
@@ -53,22 +78,14 @@ def islands(frame_obs: DataFrame, frame_dur: float) -> DataFrame:
 
 
 def build_segments(frame_obs: DataFrame, frame_dur: float, threshold: float = 0.85, quotes: bool = True) -> DataFrame:
-    """item_id, seg_no, start_s, end_s, text of frame_obs (item_id, frame_idx, t_s, text)."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("run")
-        segs = fold_segments(list(zip(pdf["t_s"], pdf["last_s"], pdf["text"])), frame_dur, threshold)
-        out = pd.DataFrame(segs, columns=["start_s", "end_s", "text"])
-        out.insert(0, "item_id", pdf["item_id"].iloc[0])
-        return out
-
+    """item_id, seg_no, start_s, end_s, text of frame_obs (item_id, frame_idx, t_s, text). Long islands are folded in chunks."""
     runs = islands(frame_obs, frame_dur)
     # An island of one run is its segment; only longer ones need the fold.
     alone = Window.partitionBy("item_id", "island")
     runs = runs.withColumn("_n", F.count("*").over(alone))
     single = runs.filter("_n = 1").select("item_id", F.col("t_s").alias("start_s"), (F.col("last_s") + frame_dur).alias("end_s"), "text")
-    kind = frame_obs.schema["item_id"].dataType.simpleString()
-    folded = runs.filter("_n > 1").groupBy("item_id", "island").applyInPandas(fold, f"item_id {kind}, start_s double, end_s double, text string")
+    rows = runs.filter("_n > 1").select("item_id", "island", "run", "t_s", "last_s", "text")
+    folded = fold_in_chunks(rows, ["item_id", "island"], ["run"], *folding(frame_dur, threshold), "start_s double, end_s double, text string").drop("island")
     segs = single.unionByName(folded)
     w = Window.partitionBy("item_id").orderBy("start_s", "end_s")
     segs = segs.withColumn("seg_no", F.row_number().over(w) - 1)
@@ -98,10 +115,13 @@ def split_sentences(text: str) -> list[str]:
     the next quotation mark opens, since then the closing one was lost.
     """
     last_close = max(map(text.rfind, CLOSES))
+    marks = deque(i for i, c in enumerate(text) if c in OPENS + CLOSES)
     out, start, depth = [], 0, 0
     for i, c in enumerate(text):
         follow = text[i + 1 : i + 2]
         cut = False
+        if marks and marks[0] <= i:
+            marks.popleft()
         if c in OPENS:
             depth += i < last_close
         elif c in CLOSES:
@@ -111,7 +131,7 @@ def split_sentences(text: str) -> list[str]:
             if depth <= 0:
                 cut = bool(follow) and follow not in ENDS + CLOSES
             else:
-                cut = next((m in OPENS for m in text[i + 1 :] if m in OPENS + CLOSES), False)
+                cut = bool(marks) and text[marks[0]] in OPENS
             depth = 0 if cut else depth
         if cut:
             out.append(text[start : i + 1])

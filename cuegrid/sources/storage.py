@@ -1,11 +1,11 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and tables written there between the steps of an operator."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -18,3 +18,26 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         root = tempfile.mkdtemp(prefix="cuegrid-")
         sc.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table of the shared folder, read back: lineage ends here. It goes with the application, or by ``discard``."""
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    df.write.parquet(path)
+    place, fs = _place(spark, path)
+    fs.deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table of ``written`` that nothing reads any more."""
+    spark = table.sparkSession
+    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        place, fs = _place(spark, folder)
+        fs.delete(place, True)

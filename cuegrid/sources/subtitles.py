@@ -6,10 +6,12 @@ Files are rows (file_id, content binary); texts are rows (file_id, text). Scans
 
 from __future__ import annotations
 
+import codecs
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from cuegrid.functions.times import ass_clock, parse_clock, srt_clock
 
@@ -21,21 +23,36 @@ BOM = "﻿"
 SKELETON = ["[Script Info]", "ScriptType: v4.00+", "", "[V4+ Styles]", "Format: Name, Fontname, Fontsize, Alignment", "Style: Default,Arial,20,2", "", "[Events]", f"Format: {DEFAULT_FORMAT}"]
 
 
-@F.pandas_udf(StringType())
-def _decoded(content: pd.Series, label: pd.Series) -> pd.Series:
-    return pd.Series([None if c is None else c.decode(e, "replace") for c, e in zip(content, label)], dtype="object")
+# What a character of each class is worth when a text is tried in an encoding.
+SCORES = (("[\u3040-\u30ff]", 2), ("\ufffd", -100), ("[\uff61-\uff9f]", -2), ("[\u4e00-\u9fff\uac00-\ud7a3]", 1))
+_WORTH = tuple((re.compile(f"{c}+"), n) for c, n in SCORES)
+
+
+def decoded(content: bytes, candidates: tuple[str, ...] = CANDIDATES) -> tuple[str, str]:
+    """Text and label. A byte order mark decides; else the candidate of the best score, the earlier if they tie."""
+    for mark, label in ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16le"), (codecs.BOM_UTF16_BE, "utf-16be")):
+        if content.startswith(mark):
+            return content.decode(label, "replace").removeprefix(BOM), label
+    best: tuple | None = None
+    for label in candidates:
+        text = content.decode(label, "replace")
+        score = sum(n * sum(len(m) for m in rule.findall(text)) for rule, n in _WORTH)
+        if best is None or score > best[0]:
+            best = (score, text, label)
+    return best[1].removeprefix(BOM), best[2]
 
 
 def detect_charset(files: DataFrame, candidates: tuple[str, ...] = CANDIDATES) -> DataFrame:
-    """file_id, text, label. A byte order mark decides; else the best score, ties to the earlier candidate."""
-    head = F.hex(F.substring("content", 1, 3))
-    bom = F.when(head == "EFBBBF", "utf-8").when(head.startswith("FFFE"), "utf-16le").when(head.startswith("FEFF"), "utf-16be")
-    tries = F.when(bom.isNotNull(), F.array(F.struct(F.lit(0).alias("rank"), bom.alias("label")))).otherwise(F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(c).alias("label")) for k, c in enumerate(candidates)]))
-    tried = files.select("file_id", "content", F.explode(tries).alias("t")).select("file_id", "t.rank", "t.label", _decoded("content", "t.label").alias("text"))
-    n = lambda p: F.regexp_count("text", F.lit(p))
-    score = n("[ぁ-ヿ぀]") * 2 - n("�") * 100 - n("[｡-ﾟ]") * 2 + n("[一-鿿가-힣]")
-    best = tried.groupBy("file_id").agg(F.max_by(F.struct("text", "label"), F.struct(score, -F.col("rank"))).alias("b"))
-    return best.select("file_id", F.regexp_replace("b.text", f"^{BOM}", "").alias("text"), F.col("b.label").alias("label"))
+    """file_id, text, label. A byte order mark decides; else the best score, ties to the earlier candidate.
+
+    Every file is tried in all candidates in one pass where it is read; nothing is shuffled.
+    """
+
+    @F.pandas_udf("text string, label string")
+    def found(content: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(None, None) if c is None else decoded(c, candidates) for c in content], columns=["text", "label"])
+
+    return files.select("file_id", found("content").alias("f")).select("file_id", "f.text", "f.label")
 
 
 def detect_format(texts: DataFrame) -> DataFrame:

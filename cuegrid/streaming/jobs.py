@@ -3,44 +3,42 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cuegrid.functions.text import untranslated
-from cuegrid.operators.segments import fold_segments
+from cuegrid.operators.segments import folding
+from cuegrid.streaming.memo_store import MemoStore
 
 
-def stream_memo(texts: DataFrame, memo_path: str, translate, checkpoint: str):
+def stream_memo(texts: DataFrame, memo_path: str, translate, checkpoint: str, buckets: int = 64, compact_every: int = 16):
     """Streaming query that asks ``translate(DataFrame of text) -> (src, dst)`` for new texts only.
 
-    Every batch is one folder of the memo named by its id, overwritten if the batch is replayed,
-    so the memo takes each answer once.
+    The memo is a store of hash buckets; a batch reads those that may hold its texts and adds one
+    entry. A batch that is replayed after it was added asks nothing.
     """
 
     def fill(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        store = MemoStore(batch.sparkSession, memo_path, buckets, compact_every)
+        if store.holds(batch_id):
+            return
         fresh = batch.select("text").filter("text <> ''").distinct()
-        known = read_memo(spark, memo_path, batch_id)
+        known = store.known(fresh)
         if known is not None:
             fresh = fresh.join(known.select(F.col("src").alias("text")), "text", "left_anti")
-        good = translate(fresh).filter(~untranslated(F.col("dst")))
-        good.select("src", "dst").write.mode("overwrite").parquet(f"{memo_path}/batch={batch_id}")
+        store.add(batch_id, translate(fresh).filter(~untranslated(F.col("dst"))).select("src", "dst"))
 
     return texts.writeStream.foreachBatch(fill).option("checkpointLocation", checkpoint)
 
 
-def read_memo(spark: SparkSession, memo_path: str, before: int | None = None) -> DataFrame | None:
-    """src, dst of all batches (of those before ``before``); None while there is none."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(memo_path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    rows = spark.read.schema("src string, dst string, batch long").parquet(memo_path)
-    return (rows if before is None else rows.filter(F.col("batch") < before)).select("src", "dst")
+def read_memo(spark: SparkSession, memo_path: str) -> DataFrame | None:
+    """src, dst of all batches; None while there is none."""
+    return MemoStore(spark, memo_path).rows()
 
 
 def stream_loudness(stream: DataFrame, watermark: str = "1 second", size: str = "250 milliseconds") -> DataFrame:
@@ -58,44 +56,85 @@ def stream_islands(stream: DataFrame, frame_dur: float, watermark: str = "1 seco
     return rows.select("item_id", F.col("w.start").alias("start"), "end", "n")
 
 
-def _closed(rows: list, frame_dur: float, until: float) -> tuple[list[list], list]:
-    """Islands of rows (t, text) in order that nothing up to ``until`` can extend, and the rows left."""
-    islands: list[list] = []
-    for t, text in rows:
-        if islands and t <= (islands[-1][-1][0] + frame_dur) + frame_dur * 1.5:
-            islands[-1].append((t, text))
-        else:
-            islands.append([(t, text)])
-    done = [i for i in islands if until > (i[-1][0] + frame_dur) + frame_dur * 1.5]
-    return done, [r for i in islands[len(done) :] for r in i]
+class SegmentProcessor(StatefulProcessor):
+    """Segments of one item: rows wait until the watermark has passed them and then go, in the order of
+    time, into the fold of the batch form, whose open segments are all that is kept of them.
 
+    State: the waiting rows in a map with a count each, the open segments, and the timer at which the
+    last row's segment can no longer grow. A batch writes its new rows and takes out those that it folds.
+    """
 
-def stream_segments(stream: DataFrame, frame_dur: float, watermark: str = "1 second", threshold: float = 0.85) -> DataFrame:
-    """item_id, start_s, end_s, text of rows (item_id, ts, t_s, text), text normalised and not empty.
+    def __init__(self, frame_dur: float, threshold: float):
+        self.frame_dur, self.threshold = frame_dur, threshold
 
-    ts is t_s as a timestamp. Rows wait in the state of their item until the watermark has passed
-    the gap that closes their island; the island is then folded in the order of time, as in batch.
-    """
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "t double, text string", "n int")
+        self.open = handle.getValueState("open", "segments string, last double")
+        self.timer = handle.getValueState("timer", "at long")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = [tuple(r) for r in json.loads(state.get[0])] if state.exists else []
+    def _put(self, batches: Iterator[pd.DataFrame]) -> float | None:
+        new = Counter()
         for pdf in batches:
-            rows += list(zip(pdf["t_s"].tolist(), pdf["text"].tolist()))
-        rows.sort()
-        passed = state.getCurrentWatermarkMs() / 1000
-        done, rest = _closed(rows, frame_dur, passed)
-        segs = [(key[0], *s) for island in done for s in fold_segments([(t, t, x) for t, x in island], frame_dur, threshold)]
-        if rest:
-            state.update((json.dumps(rest),))
-            state.setTimeoutTimestamp(max(int(passed * 1000), int((rest[-1][0] + 2.5 * frame_dur) * 1000)) + 1)
-        elif state.exists:
-            state.remove()
-        if segs:
-            yield pd.DataFrame(segs, columns=["item_id", "start_s", "end_s", "text"])
+            new.update(zip(pdf["t_s"].tolist(), pdf["text"].tolist()))
+        for row, n in new.items():
+            held = self.waiting.getValue(row)
+            self.waiting.updateValue(row, (n + (held[0] if held else 0),))
+        return max((t for t, _ in new), default=None)
+
+    def _advance(self, key: tuple, watermark_ms: int) -> Iterator[pd.DataFrame]:
+        passed = watermark_ms / 1000
+        due = sorted((tuple(r), n[0]) for r, n in self.waiting.iterator() if r[0] <= passed)
+        for row, _ in due:
+            self.waiting.removeKey(row)
+        held = self.open.get() if self.open.exists() else None
+        state, last = (json.loads(held[0]), held[1]) if held else (None, None)
+        fold, finish = folding(self.frame_dur, self.threshold)
+        closed, state = fold(state, ((0, t, t, text) for (t, text), n in due for _ in range(n)))
+        last = due[-1][0][0] if due else last
+        if last is not None and passed > (last + self.frame_dur) + self.frame_dur * 1.5:
+            closed, state = closed + finish(state), None
+        if state is None or state == [None, None]:
+            self.open.clear()
+        elif due:
+            self.open.update((json.dumps(state, ensure_ascii=False), last))
+        if closed:
+            yield pd.DataFrame([(key[0], *s) for s in closed], columns=["item_id", "start_s", "end_s", "text"])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        latest = self._put(rows)
+        if latest is not None:
+            at = int((latest + 2.5 * self.frame_dur) * 1000) + 2
+            before = self.timer.get()[0] if self.timer.exists() else None
+            if before is None or before < at:
+                if before is not None:
+                    self.handle.deleteTimer(before)
+                self.handle.registerTimer(at)
+                self.timer.update((at,))
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.timer.clear()
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
+#: Fixed value: the state store that state variables and timers need.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
+def stream_segments(stream: DataFrame, frame_dur: float, watermark: str = "1 second", threshold: float = 0.85) -> DataFrame:
+    """item_id, start_s, end_s, text of rows (item_id, ts, t_s, text), text normalised and not empty.
+
+    ts is t_s as a timestamp. A segment is given once the watermark has passed what could still change
+    it. Rows later than the watermark are dropped. Sets the session's state store to RocksDB.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     kind = stream.schema["item_id"].dataType.simpleString()
     keyed = stream.withWatermark("ts", watermark).groupBy("item_id")
-    return keyed.applyInPandasWithState(step, f"item_id {kind}, start_s double, end_s double, text string", "rows string", "append", GroupStateTimeout.EventTimeTimeout)
+    return keyed.transformWithStateInPandas(SegmentProcessor(frame_dur, threshold), f"item_id {kind}, start_s double, end_s double, text string", "Append", "EventTime")
 
 
 def stream_first_seen(stream: DataFrame, key: str, watermark: str = "10 minutes") -> DataFrame:

@@ -223,6 +223,20 @@ def test_streamed_segments_equal_batch(spark, tmp_path):
         assert got[f"i{i}"] == segments.fold_segments(own, 0.5, 0.85)
 
 
+def test_streamed_segments_repeat_drop_and_close(spark, tmp_path):
+    """Repeated rows count once more to no effect, rows behind the watermark are dropped, a silent item closes by its timer."""
+    batches = [[("a", 10.0, "x"), ("a", 10.0, "x"), ("b", 11.0, "y")], [("a", 10.5, "xy"), ("z", 40.0, "z")], [("a", 9.0, "late"), ("z", 60.0, "z")], [("z", 90.0, "z")]]
+    for k, part in enumerate(batches):
+        df = spark.createDataFrame(part, "item_id string, t_s double, text string").selectExpr("item_id", "timestamp_micros(cast(t_s * 1e6 as long)) AS ts", "t_s", "text")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(OBS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = streaming.stream_segments(stream, 0.5, "5 seconds").writeStream.format("memory").queryName("t4b").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    got = sorted(map(tuple, spark.sql("SELECT * FROM t4b").collect()))
+    assert got == [("a", 10.0, 11.0, "xy"), ("b", 11.0, 11.5, "y"), ("z", 40.0, 40.5, "z"), ("z", 60.0, 60.5, "z")]
+
+
 def test_streamed_islands_loudness_and_first_seen(spark, tmp_path):
     rows = _observations()
     stream = _stream(spark, tmp_path, rows, 3)
