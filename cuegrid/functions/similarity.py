@@ -74,6 +74,18 @@ def typing_partial(short: str, long: str) -> bool:
     return long.startswith(short) or alike(short, long[: len(short)], 0.7)
 
 
+@F.pandas_udf(BooleanType())
+def similar(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """Is the sequence ratio of a and b ``least`` or more; null texts are like nothing."""
+    return pd.Series([x is not None and y is not None and alike(x, y, t) for x, y, t in zip(a, b, least)], dtype="bool")
+
+
+@F.pandas_udf(BooleanType())
+def is_typing_partial(short: pd.Series, long: pd.Series) -> pd.Series:
+    """Is short a text caught while long was being typed."""
+    return pd.Series([bool(x and y) and typing_partial(x, y) for x, y in zip(short, long)], dtype="bool")
+
+
 @F.pandas_udf(StringType())
 def likeness(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
     """By which of the costly tests a and b are alike: ratio or related; else null."""

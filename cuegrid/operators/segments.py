@@ -44,7 +44,11 @@ def folding(frame_dur: float, threshold: float):
             if now and t <= now[1] + near and (text.startswith(now[2]) or alike(now[2], text, threshold)):
                 now = [now[0], last + frame_dur, max(now[2], text, key=len)]
             else:
-                full = typed(full, now, closed) if now else full
+                if now:
+                    full = typed(full, now, closed)
+                    if t > now[1] + near:
+                        closed.append(tuple(full))
+                        full = None
                 now = [t, last + frame_dur, text]
         return closed, [now, full]
 

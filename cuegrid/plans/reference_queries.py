@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cuegrid.functions import text, times
+from cuegrid.functions.boxes import span_box
+from cuegrid.functions.similarity import is_typing_partial, similar
 from cuegrid.functions.text import bad_target
 from cuegrid.operators import audio, cues, frames, jobs, masks, memo, protocol, segments, selection
 from cuegrid.plans.registry import query
@@ -653,12 +655,7 @@ def p1(spark, d):
     return jobs.text_variants(v(spark, d, "v_texts"))
 
 
-# Neighbours of the view are alike where one begins with the other, or not at all.
-@q(
-    "p2_near_pairs",
-    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY pos) AS i FROM v_cues)
-SELECT x.item_id, x.pos AS a, y.pos AS b, 'prefix' AS by FROM r x JOIN r y ON x.item_id = y.item_id AND y.i BETWEEN x.i + 1 AND x.i + 2 WHERE x.text <> '' AND y.text <> '' AND (starts_with(x.text, y.text) OR starts_with(y.text, x.text))""",
-)
+@q("p2_near_pairs")
 def p2(spark, d):
     return jobs.near_pairs(v(spark, d, "v_cues"), k=2)
 
@@ -955,6 +952,42 @@ def b_texts(spark, d):
     )
 
 
+@q(
+    "b_likeness",
+    """SELECT doc_id, n >= 1 AND 2.0 * n / (n + length(long)) >= 0.85 AS similar, n < length(long) AS typing, replace(replace(text, 'the', '⟦ t ⟧'), 'and', '⟦&⟧') AS replaced
+FROM (SELECT doc_id, text, substring(text, 1, 40) AS long, least(length(text), 20 + doc_id % 20) AS n FROM documents WHERE text <> '')""",
+)
+def b_likeness(spark, d):
+    # A text of up to 40 characters and its beginning; terms replaced one after the other.
+    docs = spark.read.parquet(f"{d}/documents.parquet").filter("text <> ''")
+    long, short = F.substring("text", 1, 40), F.expr("substring(text, 1, CAST(20 + doc_id % 20 AS INT))")
+    terms = F.array(*[F.struct(F.lit(a).alias("term"), F.lit(b).alias("replacement")) for a, b in (("the", " t "), ("and", "&"))])
+    return docs.select("doc_id", similar(short, long, F.lit(0.85)).alias("similar"), is_typing_partial(short, long).alias("typing"), text.substitute(F.col("text"), terms).alias("replaced"))
+
+
+@q(
+    "b31_span_boxes",
+    """SELECT doc_id, CAST(x + round_even(w * CAST(s AS DOUBLE) / n, 0) AS INT) AS x, CAST(greatest(3, round_even(w * CAST(s + 2 AS DOUBLE) / n, 0) - round_even(w * CAST(s AS DOUBLE) / n, 0)) AS INT) AS w, CAST(greatest(3, h) AS INT) AS h
+FROM (SELECT doc_id, doc_id % 100 AS x, doc_id % 900 AS w, doc_id % 40 AS h, greatest(1, length(text)) AS n, doc_id % 5 AS s FROM documents)""",
+)
+def b31(spark, d):
+    k = F.col("doc_id")
+    x, w, h = span_box((k % 100).cast("int"), (k % 900).cast("int"), (k % 40).cast("int"), F.col("text"), (k % 5).cast("int"), F.lit(2))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", x.cast("int").alias("x"), w.cast("int").alias("w"), h.cast("int").alias("h"))
+
+
+@q(
+    "j6_expand",
+    """WITH c AS (SELECT doc_id, lang || '-' || (n_chars % 50) AS coarse, text AS fine FROM documents), k AS (SELECT *, count(*) OVER (PARTITION BY coarse) AS n FROM c)
+SELECT doc_id, 'r' || min(doc_id) OVER (PARTITION BY coarse, CASE WHEN n > 1 THEN fine END) AS result FROM k""",
+)
+def j6_expand(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.concat("lang", F.lit("-"), F.col("n_chars") % 50).alias("coarse"), F.col("text").alias("fine"))
+    keyed = memo.representatives(docs, "coarse", "fine", "doc_id")
+    results = keyed.filter("is_first").select("key", F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("result"))
+    return memo.expand(keyed, results).select("doc_id", "result")
+
+
 @q(
     "b_times",
     """SELECT event_id, value_s AS clock, value_s AS clock_ms, value_s AS spoken, n FROM (SELECT event_id, CAST(event_id % 86400 AS DOUBLE) AS value_s, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 3 END AS n FROM events)""",
@@ -1025,14 +1058,14 @@ def t3(spark, d):
     return rows.select("item_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
-# No two kinds of events are alike; segments end at a change of kind or a gap, and are given once the watermark has passed that.
+# No two kinds of events are alike, so segments end at a change of kind or a gap. The last two before a gap wait for the watermark to pass it.
 @q(
     "t4_stream_segments",
-    f"""WITH {_SEEN}, e AS (SELECT user_id AS item_id, epoch_ms(ts) AS ms, event_type || 'text' AS text FROM events, w WHERE epoch_ms(ts) <= top - 1000),
-f AS (SELECT *, CASE WHEN ms <= lag(ms) OVER o + 4500000 AND text = lag(text) OVER o THEN 0 ELSE 1 END AS fresh FROM e WINDOW o AS (PARTITION BY item_id ORDER BY ms, text)),
-g AS (SELECT *, sum(fresh) OVER (PARTITION BY item_id ORDER BY ms, text ROWS UNBOUNDED PRECEDING) AS seg, max(ms) OVER (PARTITION BY item_id) AS final FROM f),
-m AS (SELECT item_id, seg, min(ms) AS a, max(ms) AS z, any_value(text) AS text, max(ms) = any_value(final) AND seg = max(seg) OVER (PARTITION BY item_id) AS last FROM g GROUP BY item_id, seg)
-SELECT item_id, a / CAST(1000 AS DOUBLE) AS start_s, z / CAST(1000 AS DOUBLE) + 1800 AS end_s, text FROM m, w WHERE NOT last OR top - 1000 > z + 4500000""",
+    f"""WITH w AS (SELECT max(epoch_us(ts) // 1000) AS top FROM events), e AS (SELECT user_id AS item_id, epoch_us(ts) // 1000 AS ms, event_type || 'text' AS text FROM events, w WHERE epoch_us(ts) // 1000 <= top - 1000),
+f AS (SELECT *, CASE WHEN ms <= lag(ms) OVER o + 4500000 THEN 0 ELSE 1 END AS broken, text = lag(text) OVER o AS same FROM e WINDOW o AS (PARTITION BY item_id ORDER BY ms, text)),
+g AS (SELECT *, sum(broken) OVER o AS island, sum(CASE WHEN broken = 0 AND same THEN 0 ELSE 1 END) OVER o AS seg, max(ms) OVER (PARTITION BY item_id) AS final FROM f WINDOW o AS (PARTITION BY item_id ORDER BY ms, text ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT *, max(island) OVER (PARTITION BY item_id) AS last, row_number() OVER (PARTITION BY item_id ORDER BY seg DESC) AS k FROM (SELECT item_id, seg, any_value(island) AS island, any_value(final) AS final, min(ms) AS a, max(ms) AS z, any_value(text) AS text FROM g GROUP BY item_id, seg))
+SELECT item_id, a / CAST(1000 AS DOUBLE) AS start_s, z / CAST(1000 AS DOUBLE) + 1800 AS end_s, text FROM m, w WHERE island < last OR k > 2 OR top - 1000 > final + 4500000""",
 )
 def t4(spark, d):
     rows = lambda e: e.select(F.col("user_id").alias("item_id"), "ts", F.unix_millis("ts").cast("double").alias("ms"), F.concat("event_type", F.lit("text")).alias("text")).select("item_id", "ts", (F.col("ms") / 1000).alias("t_s"), "text")

@@ -60,8 +60,8 @@ class SegmentProcessor(StatefulProcessor):
     """Segments of one item: rows wait until the watermark has passed them and then go, in the order of
     time, into the fold of the batch form, whose open segments are all that is kept of them.
 
-    State: the waiting rows in a map with a count each, the open segments, and the timer at which the
-    last row's segment can no longer grow. A batch writes its new rows and takes out those that it folds.
+    State: the waiting rows in a map with a count each, the open segments, and a timer for the next
+    waiting row, or for the end of what is open. A batch writes its new rows and takes out those that it folds.
     """
 
     def __init__(self, frame_dur: float, threshold: float):
@@ -73,18 +73,18 @@ class SegmentProcessor(StatefulProcessor):
         self.open = handle.getValueState("open", "segments string, last double")
         self.timer = handle.getValueState("timer", "at long")
 
-    def _put(self, batches: Iterator[pd.DataFrame]) -> float | None:
+    def _put(self, batches: Iterator[pd.DataFrame], passed: float) -> None:
+        # Spark lets rows through that are late by the newest watermark but not by the one before.
         new = Counter()
         for pdf in batches:
-            new.update(zip(pdf["t_s"].tolist(), pdf["text"].tolist()))
+            new.update((t, text) for t, text in zip(pdf["t_s"].tolist(), pdf["text"].tolist()) if t > passed)
         for row, n in new.items():
             held = self.waiting.getValue(row)
             self.waiting.updateValue(row, (n + (held[0] if held else 0),))
-        return max((t for t, _ in new), default=None)
 
-    def _advance(self, key: tuple, watermark_ms: int) -> Iterator[pd.DataFrame]:
-        passed = watermark_ms / 1000
-        due = sorted((tuple(r), n[0]) for r, n in self.waiting.iterator() if r[0] <= passed)
+    def _advance(self, key: tuple, passed: float) -> Iterator[pd.DataFrame]:
+        rows = sorted((tuple(r), n[0]) for r, n in self.waiting.iterator())
+        due = [r for r in rows if r[0][0] <= passed]
         for row, _ in due:
             self.waiting.removeKey(row)
         held = self.open.get() if self.open.exists() else None
@@ -93,29 +93,37 @@ class SegmentProcessor(StatefulProcessor):
         closed, state = fold(state, ((0, t, t, text) for (t, text), n in due for _ in range(n)))
         last = due[-1][0][0] if due else last
         if last is not None and passed > (last + self.frame_dur) + self.frame_dur * 1.5:
-            closed, state = closed + finish(state), None
-        if state is None or state == [None, None]:
+            closed, state, last = closed + finish(state), None, None
+        if last is None:
             self.open.clear()
         elif due:
             self.open.update((json.dumps(state, ensure_ascii=False), last))
+        # The watermark at which the next row is due, or else at which the open segments can no longer grow.
+        self._wake(rows[len(due)][0][0] if len(rows) > len(due) else None if last is None else last + 2.5 * self.frame_dur)
         if closed:
             yield pd.DataFrame([(key[0], *s) for s in closed], columns=["item_id", "start_s", "end_s", "text"])
 
+    def _wake(self, t: float | None) -> None:
+        before = self.timer.get()[0] if self.timer.exists() else None
+        at = None if t is None else int(t * 1000) + 2
+        if at == before:
+            return
+        if before is not None:
+            self.handle.deleteTimer(before)
+        if at is None:
+            self.timer.clear()
+        else:
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        latest = self._put(rows)
-        if latest is not None:
-            at = int((latest + 2.5 * self.frame_dur) * 1000) + 2
-            before = self.timer.get()[0] if self.timer.exists() else None
-            if before is None or before < at:
-                if before is not None:
-                    self.handle.deleteTimer(before)
-                self.handle.registerTimer(at)
-                self.timer.update((at,))
-        yield from self._advance(key, timerValues.getCurrentWatermarkInMs())
+        passed = timerValues.getCurrentWatermarkInMs() / 1000
+        self._put(rows, passed)
+        yield from self._advance(key, passed)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         self.timer.clear()
-        yield from self._advance(key, timerValues.getCurrentWatermarkInMs())
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs() / 1000)
 
     def close(self) -> None:
         pass

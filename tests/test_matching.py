@@ -112,3 +112,19 @@ def test_line_boxes_take_the_next_free_one():
             taken.add(k)
         assert masks.free_boxes(lines, caps) == want
     assert masks.free_boxes([5] * 3, [5] * 100_000) == [0, 1, 2]
+
+
+def test_near_pairs_are_the_plain_rule(spark):
+    from cuegrid.functions.similarity import alike, related
+
+    rng = random.Random(15)
+    pool = ["", "拓也が来た", "拓也が来た。走る", "全然違う文章だ", "全然違う文だ", "ab", "abcdefgh", "abcdxfgh", "xbcdefgh"]
+    data = [(f"i{i}", k * 2, rng.choice(pool)) for i in range(6) for k in range(25)]
+    got = {(r.item_id, r.a, r.b): r.by for r in jobs.near_pairs(spark.createDataFrame(data, "item_id string, pos int, text string"), 3, 0.8).collect()}
+    want = {}
+    for i, (item, a, x) in enumerate(data):
+        for other, b, y in data[i + 1 : i + 4]:
+            if other == item and x and y:
+                by = "prefix" if x.startswith(y) or y.startswith(x) else "ratio" if alike(x, y, 0.8) else "related" if related(x, y) else None
+                want |= {(item, a, b): by} if by else {}
+    assert got == want
