@@ -41,14 +41,16 @@ class Words:
 
         @F.pandas_udf(kind)
         def run(texts: pd.Series) -> pd.Series:
-            words = shared.value
-            found = _automaton(words)
-            hits = lambda t: ((k, end, words[k]) for end, k in found.iter(t)) if words and t else iter(())
-            return pd.Series([of(hits(t)) for t in texts], dtype="object")
+            return pd.Series([of(hits_of(t, shared.value)) for t in texts], dtype="object")
 
         return run
 
 
+def hits_of(text: str | None, words: tuple[str, ...]) -> Iterator[tuple[int, int, str]]:
+    """(rank, end, word) of every place of a text where a word ends."""
+    return ((k, end, words[k]) for end, k in _automaton(words).iter(text)) if words and text else iter(())
+
+
 def in_slices(rows: DataFrame, order: list[str], most: int | None = None) -> Iterator[list[Row]]:
     """The rows in the order of columns that identify them, as many at a time as may be on the driver; at least one list."""
     most = MOST_WORDS if most is None else most
@@ -109,26 +111,26 @@ def best_hit(hits: Iterator[tuple[int, int, str]]) -> str | None:
     return min(hits, default=(0, 0, None))[2]
 
 
-def longest_at(hits: Iterator[tuple[int, int, str]]) -> list[dict]:
-    """The longest word at each place."""
+def longest_at(hits: Iterator[tuple[int, int, str]]) -> list[tuple[int, str]]:
+    """Places in order, and the longest word at each."""
     at: dict[int, str] = {}
     for _, end, word in hits:
         start = end + 1 - len(word)
         if len(word) > len(at.get(start, "")):
             at[start] = word
-    return [{"start": start, "word": at[start]} for start in sorted(at)]
+    return sorted(at.items())
 
 
-def uncovered(hits: list[dict]) -> list[dict]:
+def uncovered(hits: list[tuple[int, str]]) -> list[tuple[int, str]]:
     """Of the hits in order, those that do not begin inside an earlier one that stays."""
     out, free = [], 0
-    for h in hits:
-        if h["start"] >= free:
-            out.append({"start": h["start"], "word": h["word"]})
-            free = h["start"] + len(h["word"])
+    for start, word in hits:
+        if start >= free:
+            out.append((start, word))
+            free = start + len(word)
     return out
 
 
-def longest_hits(hits: Iterator[tuple[int, int, str]]) -> list[dict]:
+def longest_hits(hits: Iterator[tuple[int, int, str]]) -> list[tuple[int, str]]:
     """The longest word at each place, without those that begin inside an earlier one."""
     return uncovered(longest_at(hits))

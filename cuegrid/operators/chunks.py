@@ -43,7 +43,6 @@ def _folded(chunks: DataFrame, key: list[str], fold: Fold, finish: Finish, kind:
     """key, part, entry, state, done and open: the chunks (with entry, a state) folded."""
     keys = [*key, "part", "entry"]
     names = chunks.schema["rows"].dataType.elementType.names
-    fields = StructType.fromDDL(kind).names
     listed = to_arrow_type(ArrayType(StructType.fromDDL(kind)))
     schema = ", ".join([f"`{c}` {chunks.schema[c].dataType.simpleString()}" for c in keys] + ["state string", f"done array<struct<{kind}>>", f"open array<struct<{kind}>>"])
 
@@ -56,8 +55,8 @@ def _folded(chunks: DataFrame, key: list[str], fold: Fold, finish: Finish, kind:
             for k, entry in enumerate(b["entry"].to_pylist()):
                 closed, state = fold(None if entry is None else json.loads(entry), zip(*(c[ends[k] : ends[k + 1]] for c in columns)))
                 states.append(None if state is None else json.dumps(state, ensure_ascii=False))
-                done.append([dict(zip(fields, r)) for r in closed])
-                open_.append([dict(zip(fields, r)) for r in finish(state)])
+                done.append(closed)
+                open_.append(finish(state))
             yield pa.RecordBatch.from_arrays([*(b[c] for c in keys), pa.array(states, pa.string()), pa.array(done, listed), pa.array(open_, listed)], names=[*keys, "state", "done", "open"])
 
     return chunks.select(*keys, "rows").mapInArrow(run, schema)
@@ -72,6 +71,9 @@ def fold_in_chunks(rows: DataFrame, key: list[str], order: list[str], fold: Fold
     rows = written(rows, "fold-rows")
     chunks = written(chunked(rows, key, order, size).withColumn("entry", F.lit(None).cast("string")), "chunks")
     done = written(_folded(chunks, key, fold, finish, kind), "folded")
+    if chunks.groupBy(*key).count().filter("count > 1").isEmpty():
+        discard(rows)
+        return done.select(*key, F.explode(F.concat("done", "open")).alias("r")).select(*key, "r.*")
     same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in (*key, "part")])
     along = Window.partitionBy(*key).orderBy("part")
     while True:

@@ -10,12 +10,13 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from cuegrid.functions.boxes import box, iou, overlap, span_box
-from cuegrid.functions.matching import longest_at, longest_hits, uncovered, word_slices
+from cuegrid.functions.matching import Words, hits_of, longest_at, longest_hits, uncovered, word_slices
 from cuegrid.functions.times import sample_times
 from cuegrid.operators.chunks import fold_in_chunks
 from cuegrid.sources.storage import discard, written
@@ -23,6 +24,8 @@ from cuegrid.sources.storage import discard, written
 BUCKET_S = 10.0
 MERGE_GAP_S = 1.0
 SAME_PLACE = 0.5
+#: Live masks that are looked through without the grid.
+FEW = 40
 #: A track's box may cover this share of the frame.
 MOST_OF_FRAME = 0.58
 
@@ -115,7 +118,10 @@ class _Live:
         self.next += 1
 
     def first_near(self, m: list) -> list | None:
-        """The earliest kept mask of the place of m, no more than the gap before it."""
+        """The earliest kept mask of the place of m, no more than the gap before it; few are looked through in order."""
+        fits = lambda o: m[0] - o[1] <= MERGE_GAP_S and _rect_iou(o[2:6], m[2:6]) >= SAME_PLACE
+        if len(self.kept) <= FEW:
+            return next((o for o in self.kept.values() if fits(o)), None)
         best, (p, q) = None, self._classes(m)
         for a in (p - 1, p, p + 1):
             for b in (q - 1, q, q + 1):
@@ -124,8 +130,7 @@ class _Live:
                 x, y = self._at(m, a, b)
                 for cell in ((a, b, x + i, y + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
                     for n in self.cells.get(cell, ()):
-                        o = self.kept[n]
-                        if (best is None or n < best) and m[0] - o[1] <= MERGE_GAP_S and _rect_iou(o[2:6], m[2:6]) >= SAME_PLACE:
+                        if (best is None or n < best) and fits(self.kept[n]):
                             best = n
         return None if best is None else self.kept[best]
 
@@ -227,12 +232,28 @@ def merge_tracks(boxes: DataFrame, edges: DataFrame, step_s: float, width: int,
     return r.select("item_id", (r["first"] * step_s).alias("start_s"), ((r["last"] + 1) * step_s).alias("end_s"), r["x0"].alias("x"), r["y0"].alias("y"), (r["x1"] - r["x0"]).alias("w"), (r["y1"] - r["y0"]).alias("h"), F.lit(effect).alias("effect"), F.lit(1.0).alias("vol"))
 
 
-_HITS = ArrayType(StructType([StructField("start", IntegerType()), StructField("word", StringType())]))
+def _hits(texts: DataFrame, words: Words, of) -> DataFrame:
+    """item_id, pos, start, word: what ``of`` makes of the hits of a slice of words in each text."""
+    shared = words.shared
+    kinds = {c: texts.schema[c].dataType.simpleString() for c in ("item_id", "pos")}
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of_row, starts, found = [], [], []
+            for k, text in enumerate(b["text"].to_pylist()):
+                for start, word in of(hits_of(text, shared.value)):
+                    of_row.append(k)
+                    starts.append(start)
+                    found.append(word)
+            at = pa.array(of_row, pa.int32())
+            yield pa.RecordBatch.from_arrays([b["item_id"].take(at), b["pos"].take(at), pa.array(starts, pa.int32()), pa.array(found, pa.string())], names=["item_id", "pos", "start", "word"])
 
-@F.pandas_udf(_HITS)
+    return texts.select("item_id", "pos", "text").mapInArrow(run, f"item_id {kinds['item_id']}, pos {kinds['pos']}, start int, word string")
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("start", IntegerType()), StructField("word", StringType())])))
 def _uncovered(hits: pd.Series) -> pd.Series:
-    return pd.Series([uncovered(list(h)) for h in hits], dtype="object")
+    return pd.Series([uncovered([(h["start"], h["word"]) for h in own]) for own in hits], dtype="object")
 
 
 def find_words(texts: DataFrame, words: DataFrame) -> DataFrame:
@@ -242,12 +263,11 @@ def find_words(texts: DataFrame, words: DataFrame) -> DataFrame:
     """
     slices = list(word_slices(words, "word"))
     if len(slices) == 1:
-        found = texts.select("item_id", "pos", slices[0].udf(longest_hits, _HITS)("text").alias("ks"))
-    else:
-        each = reduce(DataFrame.unionByName, [texts.select("item_id", "pos", F.explode(s.udf(longest_at, _HITS)("text")).alias("k")) for s in slices])
-        longest = each.groupBy("item_id", "pos", "k.start").agg(F.max_by("k.word", F.char_length("k.word")).alias("word"))
-        found = longest.groupBy("item_id", "pos").agg(F.array_sort(F.collect_list(F.struct("start", "word"))).alias("ks")).withColumn("ks", _uncovered("ks"))
-    return found.select("item_id", "pos", F.explode("ks").alias("k")).select("item_id", "pos", "k.start", "k.word")
+        return _hits(texts, slices[0], longest_hits)
+    each = reduce(DataFrame.unionByName, [_hits(texts, s, longest_at) for s in slices])
+    longest = each.groupBy("item_id", "pos", "start").agg(F.max_by("word", F.char_length("word")).alias("word"))
+    listed = longest.groupBy("item_id", "pos").agg(F.array_sort(F.collect_list(F.struct("start", "word"))).alias("ks"))
+    return listed.select("item_id", "pos", F.explode(_uncovered("ks")).alias("k")).select("item_id", "pos", "k.start", "k.word")
 
 
 def free_boxes(lines: list[int], caps: list[int]) -> list[int | None]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cuegrid.operators import chunks, frames, masks, segments
 
 
-@pytest.fixture(params=[7, 20_000])
+@pytest.fixture(params=[25, 20_000])
 def small(request, monkeypatch):
     """Chunks of a few rows, and the usual ones."""
     monkeypatch.setattr(chunks.fold_in_chunks, "__defaults__", (request.param,))
@@ -48,7 +48,9 @@ def plain_masks(rows, gap=1.0, same=0.5):
     return sorted(map(tuple, kept))
 
 
-def test_masks_of_one_long_item(spark, small):
+@pytest.mark.parametrize("few", [0, 40])
+def test_masks_of_one_long_item(spark, small, monkeypatch, few):
+    monkeypatch.setattr(masks, "FEW", few)
     rng = random.Random(8)
     rows = []
     for item in range(3):
