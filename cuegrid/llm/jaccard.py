@@ -10,9 +10,11 @@ First each node of a band is held against one leader, another in each band, so t
 of near copies costs about a comparison a band and member. Nodes of bands that this leaves apart
 meet by prefixes: with the shingles of a set in the order of how many such nodes hold them, rarest
 first, two sets of that similarity share one of the first fifth of each, and where the first shared
-one stands bounds what they can share in all. Pairs within the bound are verified in the task that finds them. It is exact,
-and what many texts hold (a frequent passage, the common part of loose copies) stands last and makes
-no pairs. Lists of a shingle are cut into blocks, whose pairs are searched by as many tasks.
+one stands bounds what they can share in all. What many texts hold (a frequent passage, the common
+part of loose copies) stands last and makes no pairs. A list of a shingle has ids, places and a
+sketch of parities of constant size, whose differing bits bound how far two sets differ; neither
+bound loses a pair. The pairs left are rows, verified like the others. Lists are cut into blocks,
+whose pairs are searched by as many tasks.
 
 Null and empty texts, and those without words, have no shingles and are linked to nothing. Texts
 under five words are one shingle. Repeated rows are one node. Null ids never name a group. An
@@ -37,6 +39,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 24
 ROWS = 4
+#: Bits of a sketch of parities. It parts sets of some thousand shingles; longer ones are parted by places and by themselves.
+SKETCH = 2048
 #: Nodes of a shingle's list that a task holds against as many others.
 BLOCK = 256
 _rng = np.random.default_rng(11)
@@ -120,15 +124,21 @@ def close_pairs(one: DataFrame, least: float) -> DataFrame:
     return pairs.filter(_comparable("size", "leader_size", least)).select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
 
 
+def sketch(h: np.ndarray, bits: int = SKETCH) -> bytes:
+    """The parities of how many of the hashes fall on each of so many bits."""
+    return np.packbits(np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
 def shingle_sets(apart: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, shingles: the set of each node."""
+    """node, shingles and sketch: the set of each node, and its parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            held = [shingles(t.as_py()).view(np.int64) for t in b["text"]]
-            yield pa.RecordBatch.from_arrays([b["node"], pa.array(held, pa.list_(pa.int64()))], names=["node", "shingles"])
+            held = [shingles(t.as_py()) for t in b["text"]]
+            columns = [b["node"], pa.array([h.view(np.int64) for h in held], pa.list_(pa.int64())), pa.array([sketch(h) for h in held], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "shingles", "sketch"])
 
-    return text_of(apart, nodes).mapInArrow(run, "node long, shingles array<long>")
+    return text_of(apart, nodes).mapInArrow(run, "node long, shingles array<long>, sketch binary")
 
 
 def prefixes(apart: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -143,30 +153,32 @@ def prefixes(apart: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return placed.select("s.shingle", "node", "root", "size", (F.col("alone") + F.col("k")).alias("place"))
 
 
-def _top(top: dict[int, int], root: int) -> int:
-    """The root that a root has been joined to."""
-    while root in top:
-        root = top[root]
-    return root
-
-
-def prefix_links(listed: DataFrame, sets: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """a, b: links of nodes of different roots that join all which are linked, directly or not.
+def prefix_lists(listed: DataFrame, sketches: DataFrame, block: int = BLOCK) -> DataFrame:
+    """members (node, root, size, place, sketch): the lists of the shingles, cut into blocks that meet two by two.
 
-    Pairs share a shingle at places which leave room for that similarity; a task reports those that join its nodes.
+    A node is in as many lists as its prefix is long, with a sketch of constant size in each, so
+    that what is moved grows with the length of its text.
     """
     counts = listed.groupBy("shingle").agg(F.count("*").alias("_n"), F.min("root").alias("_r"), F.max("root").alias("_s")).filter("_r <> _s").select("shingle", F.ceil(F.col("_n") / block).alias("_blocks"))
-    placed = listed.join(counts, "shingle").join(sets, "node").withColumn("_block", F.pmod(F.xxhash64("node", "shingle"), "_blocks"))
+    placed = listed.join(counts, "shingle").join(sketches.select("node", "sketch"), "node").withColumn("_block", F.pmod(F.xxhash64("node", "shingle"), "_blocks"))
     both = placed.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-    lists = both.groupBy("shingle", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j")).agg(F.collect_list(F.struct("node", "root", "size", "place", "shingles")).alias("members"))
+    lists = both.groupBy("shingle", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"))
+    return lists.agg(F.collect_list(F.struct("node", "root", "size", "place", "sketch")).alias("members")).select("members")
+
+
+def prefix_pairs(listed: DataFrame, sketches: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """a, b: nodes of different roots that may be as similar as that; no others are left out.
+
+    They share a shingle at places that leave room for it, and their parities differ in no more bits
+    than their sets may differ in shingles: every bit that differs is a shingle of one set alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            column = b["members"]
-            flat = column.flatten()
-            held = flat.field("shingles")
+            flat = b["members"].flatten()
             node, root, size, place = (flat.field(c).to_numpy() for c in ("node", "root", "size", "place"))
-            ends = np.asarray(column.offsets) - column.offsets[0].as_py()
+            bits = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint64).reshape(len(node), -1)
+            ends = np.append(0, np.cumsum(np.asarray(b["members"].value_lengths())))
             two = ends[:-1][np.diff(ends) == 2]
             candidates = [(two, two + 1)]
             for k in np.flatnonzero(np.diff(ends) > 2):
@@ -174,20 +186,20 @@ def prefix_links(listed: DataFrame, sets: DataFrame, least: float, block: int =
                     x, y = np.meshgrid(np.arange(i, min(i + 512, ends[k + 1])), np.arange(i + 1, ends[k + 1]), indexing="ij")
                     later = y > x
                     candidates.append((x[later], y[later]))
+            found = [np.empty((0, 2), np.int64)]
             for x, y in candidates:
-                room = np.minimum(size[x] - place[x], size[y] - place[y]) >= least / (1 + least) * (size[x] + size[y]) - 1e-6
-                room &= root[x] != root[y]
-                top: dict[int, int] = {}
-                found = []
-                for i, j in zip(x[room].tolist(), y[room].tolist()):
-                    p, q = _top(top, root[i].item()), _top(top, root[j].item())
-                    if p != q and similarity(held[i].values.to_numpy(), held[j].values.to_numpy()) >= least:
-                        top[max(p, q)] = min(p, q)
-                        found.append((max(node[i], node[j]), min(node[i], node[j])))
-                a, c = zip(*found) if found else ([], [])
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
+                together = size[x] + size[y]
+                room = (np.minimum(size[x] - place[x], size[y] - place[y]) >= least / (1 + least) * together - 1e-6) & (root[x] != root[y])
+                x, y, together = x[room], y[room], together[room]
+                for i in range(0, len(x), 16384):
+                    p, q = x[i : i + 16384], y[i : i + 16384]
+                    apart = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1, dtype=np.int64)
+                    close = apart <= (1 - least) / (1 + least) * together[i : i + 16384] + 1e-6
+                    found.append(np.sort(np.stack([node[p[close]], node[q[close]]], axis=1), axis=1))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1]), pa.array(pairs[:, 0])], names=["a", "b"])
 
-    return lists.select("members").mapInArrow(run, "a long, b long").distinct()
+    return prefix_lists(listed, sketches, block).mapInArrow(run, "a long, b long").distinct()
 
 
 def links(nodes: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -208,7 +220,8 @@ def links(nodes: DataFrame, least: float = SIMILARITY) -> DataFrame:
     apart = written(rooted.join(bands_apart, "band").select("node", "size", "root").distinct(), "apart")
     sets = written(shingle_sets(apart, nodes), "sets")
     listed = written(prefixes(apart, sets, least), "prefixes")
-    return near.unionByName(prefix_links(listed, sets, least))
+    last = written(prefix_pairs(listed, sets, least), "last")
+    return near.unionByName(verified(last, nodes, least))
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

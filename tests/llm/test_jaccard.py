@@ -70,21 +70,43 @@ def test_loose_copies_and_frequent_passages_against_brute_force(spark):
     assert sorted(r.doc_id for r in jaccard.representatives(df).collect()) == brute_kept(docs)
 
 
-def test_prefix_links_join_all_that_is_linked_in_blocks_too(spark):
+def test_prefix_pairs_hold_all_that_is_linked_in_blocks_too(spark):
     docs = loose_copies(60, 9)
     nodes = jaccard.marked(spark.createDataFrame(docs, "doc_id long, text string")).cache()
     apart = nodes.selectExpr("node", "size", "node AS root").distinct()
     held = jaccard.shingle_sets(apart, nodes).cache()
     listed = jaccard.prefixes(apart, held, 0.8).cache()
     text = {r.node: sets(r.text) for r in nodes.collect()}
-    first = {}
-    for r in nodes.collect():
-        first[r.node] = min(r.doc_id, first.get(r.node, r.doc_id))
+    linked = {(a, b) for a in text for b in text if a > b and len(text[a] & text[b]) / len(text[a] | text[b]) >= 0.8}
     for block in (7, 256):
-        found = jaccard.prefix_links(listed, held, 0.8, block).collect()
-        assert found and all(len(text[a] & text[b]) / len(text[a] | text[b]) >= 0.8 for a, b in found)
-        root = {n: n for n in text}
-        for _ in root:
-            for a, b in found:
-                root[a] = root[b] = min(root[a], root[b])
-        assert sorted({min(first[m] for m in root if root[m] == root[n]) for n in root}) == brute_kept(docs)
+        found = {tuple(r) for r in jaccard.prefix_pairs(listed, held, 0.8, block).collect()}
+        assert linked <= found and len(found) < 1.3 * len(linked) + 20
+        assert {tuple(r) for r in jaccard.verified(jaccard.prefix_pairs(listed, held, 0.8, block), nodes).collect()} == linked
+
+
+def test_what_is_moved_grows_with_the_length_of_texts(spark):
+    rng = random.Random(10)
+    moved = {}
+    for n in (1000, 8000):
+        base = [f"w{k}" for k in range(n)]
+        docs = []
+        for d in range(8):
+            w = list(base)
+            for k in rng.sample(range(n), n // 50):
+                w[k] = f"x{d}_{k}"
+            docs.append((d, " ".join(w)))
+        nodes = jaccard.marked(spark.createDataFrame(docs, "doc_id long, text string"))
+        apart = nodes.selectExpr("node", "size", "node AS root")
+        held = jaccard.shingle_sets(apart, nodes).cache()
+        lists = jaccard.prefix_lists(jaccard.prefixes(apart, held, 0.8), held)
+        moved[n] = lists.selectExpr("sum(aggregate(members, 0L, (s, m) -> s + length(m.sketch) + 24)) AS n").first().n
+    assert moved[1000] > 0 and moved[8000] < 9 * moved[1000]
+
+
+def test_a_very_long_text_and_its_copy(spark):
+    w = [f"w{k % 9000}x{k % 7}" for k in range(60_000)]
+    other = list(w)
+    for k in range(0, 60_000, 900):
+        other[k] = "other"
+    docs = [(3, " ".join(w)), (5, " ".join(other)), (7, " ".join(reversed(w)))]
+    assert sorted(r.doc_id for r in jaccard.representatives(spark.createDataFrame(docs, "doc_id long, text string")).collect()) == brute_kept(docs) == [3, 7]
