@@ -1,13 +1,13 @@
 """Operator 5: exact top-k by inner product over norm buckets.
 
-Vectors are grouped by length (each bucket spans a factor of ``ratio``) and cut into blocks;
-queries come in blocks as well. The longest vectors give every query a first threshold. A
-query block meets a vector block only if some query could still reach its threshold there. In
-a block, the threshold over the product of the query's and the block's greatest length is the
-local cosine threshold: above 1 the block is passed over; if it is high, vectors are pruned by
-their coordinates (those on which the query has most weight must lie within the range that a
-vector of that cosine can have); else by length alone. Survivors are verified by the exact
-product.
+Vectors are grouped by length (each bucket spans a factor of ``ratio``) and cut into blocks. The
+longest vectors give every query a first threshold. Then every block is read once by each set of
+``QUERIES`` queries: groups of blocks meet sets of queries, so that a vector moves once a set and a
+query once a group. In a block, the threshold over the product of the query's and the block's
+greatest length is the local cosine threshold: above 1 the block is passed over; if it is high,
+vectors are pruned by their coordinates (those on which the query has most weight must lie within
+the range that a vector of that cosine can have); else by length alone. Survivors are verified by
+the exact product.
 
 Vectors null, or holding null or non-finite components, take no part; of vectors of different
 size, the missing components count as zero. Null ids take no part. Repeated rows count each,
@@ -17,7 +17,7 @@ gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,8 @@ from cuegrid.llm.common import written
 SCALE = 256
 K = 5
 BLOCK = 1024
-QUERY_BLOCK = 256
+#: Queries of a set and blocks of a group at most: what a task holds.
+QUERIES, GROUP = 16384, 32
 RATIO = 1.05
 #: Vectors of the longest buckets that give the first thresholds, at least.
 SEED = 512
@@ -55,16 +56,20 @@ def _blocks(rows: DataFrame, bucket: str, size: int, salt: str) -> DataFrame:
     return placed.groupBy(bucket, "_part").agg(F.max("norm").alias("top"), F.collect_list(F.struct("norm", "vec_id", "q")).alias("rows"))
 
 
+def _filled(q: pa.ListArray, width: int = 0) -> np.ndarray:
+    """Vectors as rows of doubles, which hold these whole numbers, filled up with zeros."""
+    sizes = np.asarray(q.value_lengths())
+    out = np.zeros((len(q), max(width, int(sizes.max(initial=0)))))
+    out[np.arange(out.shape[1])[None, :] < sizes[:, None]] = q.flatten().to_numpy()
+    return out
+
+
 def _matrix(rows: pa.ListScalar, width: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ids, norms and vectors of a block, longest first; doubles, which hold these whole numbers."""
+    """ids, norms and vectors of a block, longest first."""
     s = rows.values
-    ids, norms, q = s.field("vec_id").to_numpy(), s.field("norm").to_numpy(), s.field("q")
-    sizes = np.asarray(q.value_lengths())
-    out = np.zeros((len(ids), max(width, int(sizes.max(initial=0)))))
-    at = np.arange(out.shape[1])[None, :] < sizes[:, None]
-    out[at] = q.flatten().to_numpy()
+    ids, norms = s.field("vec_id").to_numpy(), s.field("norm").to_numpy()
     order = np.lexsort((ids, -norms))
-    return ids[order], norms[order], out[order]
+    return ids[order], norms[order], _filled(s.field("q"), width)[order]
 
 
 def _exact(vectors: np.ndarray, query: np.ndarray, bound: float) -> np.ndarray:
@@ -94,27 +99,32 @@ def candidates(norms: np.ndarray, vectors: np.ndarray, units: np.ndarray, query:
     return np.flatnonzero(near.all(axis=1))
 
 
-def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for queries, limits, rows in zip(b["queries"], b["limits"], b["rows"]):
-            ids, norms, vectors = _matrix(rows)
-            units = vectors / np.maximum(norms, 1e-300)[:, None]
-            floor = dict(limits.as_py() or [])
-            out = []
-            qids, lengths, qs = _matrix(queries, vectors.shape[1])
-            if qs.shape[1] > vectors.shape[1]:
-                pad = ((0, 0), (0, qs.shape[1] - vectors.shape[1]))
-                vectors, units = np.pad(vectors, pad), np.pad(units, pad)
-            for qid, length, q in zip(qids.tolist(), lengths.tolist(), qs):
-                least = floor.get(qid)
-                at = np.arange(len(ids)) if least is None else candidates(norms, vectors, units, q, length, float(least))
-                at = at[ids[at] != qid]
-                if len(at):
-                    score = _exact(vectors[at], q, length * norms[0])
-                    best = np.lexsort((ids[at], -score))[:k]
-                    out += [(qid, int(ids[at[i]]), int(score[i])) for i in best if least is None or score[i] >= least]
-            cols = list(zip(*out)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
+def _searched(k: int):
+    """The function of a group of blocks and a set of queries: the k best of each block that reach the query's threshold."""
+
+    def run(blocks: pa.Table, asked: pa.Table) -> pa.Table:
+        out: list[tuple[int, int, int]] = []
+        if blocks.num_rows and asked.num_rows:
+            qids, lengths, least = asked["vec_id"].to_pylist(), asked["norm"].to_pylist(), asked["least"].to_pylist()
+            qs = _filled(asked["q"].combine_chunks())
+            for rows, top in zip(blocks["rows"], blocks["top"].to_pylist()):
+                needed = [i for i, n in enumerate(least) if n is None or lengths[i] * top * (1 + _SLACK) >= n]
+                if not needed:
+                    continue
+                ids, norms, vectors = _matrix(rows, qs.shape[1])
+                units = vectors / np.maximum(norms, 1e-300)[:, None]
+                queries = np.pad(qs, ((0, 0), (0, vectors.shape[1] - qs.shape[1])))
+                for i in needed:
+                    at = np.arange(len(ids)) if least[i] is None else candidates(norms, vectors, units, queries[i], lengths[i], float(least[i]))
+                    at = at[ids[at] != qids[i]]
+                    if len(at):
+                        score = _exact(vectors[at], queries[i], lengths[i] * norms[0])
+                        best = np.lexsort((ids[at], -score))[:k]
+                        out += [(qids[i], int(ids[at[j]]), int(score[j])) for j in best if least[i] is None or score[j] >= least[i]]
+        cols = list(zip(*out)) or [()] * 3
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
+
+    return run
 
 
 def _best(scored: DataFrame, k: int) -> DataFrame:
@@ -128,33 +138,25 @@ def top_k(embeddings: DataFrame, is_query=None, k: int = K, block: int = BLOCK,
     rows = quantised(embeddings, scale)
     bucket = F.when(F.col("norm") > 0, F.floor(F.log("norm") / float(np.log(ratio)))).otherwise(F.lit(-1)).cast("long")
     stored = written(_blocks(rows.withColumn("bucket", bucket), "bucket", block, "rows"), "vector-blocks")
-    asked = written(_blocks(rows.filter(is_query).withColumn("bucket", F.lit(0).cast("long")), "bucket", QUERY_BLOCK, "queries").withColumnRenamed("rows", "queries").drop("bucket", "top"), "query-blocks")
+    asked = written(rows.filter(is_query), "queries")
     # Buckets are as many as lengths have factors of ``ratio``: some thousands at most.
     sizes = stored.groupBy("bucket").agg(F.sum(F.size("rows")).alias("n"))
     reached = F.sum("n").over(Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1))
-    seeds = stored.join(F.broadcast(sizes.withColumn("_before", F.coalesce(reached, F.lit(0))).filter(F.col("_before") < SEED).select("bucket")), "bucket").filter("_part = 0").select("bucket", "_part")
-    none = F.lit(None).cast("map<long,long>")
-
-    first = _pairs(asked.select("_part").withColumn("need", F.lit(0.0)), stored.join(seeds, ["bucket", "_part"], "left_semi").select("bucket", "_part", "top"))
-    seeded = written(_best(_run(first, asked.withColumn("limits", none), stored, k), k), "seeded")
-    lasts = seeded.filter(F.col("rank") == k).select("query_id", "score")
-
-    members = asked.select("_part", F.explode("queries").alias("m")).select("_part", F.col("m.vec_id").alias("query_id"), F.col("m.norm").alias("norm"))
-    limited = members.join(lasts.withColumnRenamed("score", "least"), "query_id", "left")
-    # The greatest length that a block must have to matter to some query of the part; none known: 0.
-    need = F.when(F.col("least") > 0, F.col("least") / F.col("norm")).otherwise(0.0)
-    limits = limited.groupBy("_part").agg(F.min(need).alias("need"), F.map_from_entries(F.array_distinct(F.collect_list(F.when(F.col("least").isNotNull(), F.struct("query_id", "least"))))).alias("limits"))
-    limits = written(limits, "limits")
-    others = stored.join(seeds, ["bucket", "_part"], "left_anti").select("bucket", "_part", "top")
-    more = _run(_pairs(limits.select("_part", "need"), others), asked.join(limits.select("_part", "limits"), "_part"), stored, k)
+    longest = F.broadcast(sizes.withColumn("_before", F.coalesce(reached, F.lit(0))).filter(F.col("_before") < SEED).select("bucket"))
+    seeds = stored.filter("_part = 0").join(longest, "bucket", "left_semi")
+    seeded = written(_best(_run(seeds, asked.withColumn("least", F.lit(None).cast("long")), k), k), "seeded")
+    lasts = seeded.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
+    others = stored.filter("_part > 0").unionByName(stored.filter("_part = 0").join(longest, "bucket", "left_anti"))
+    more = _run(others, asked.join(lasts.distinct(), "vec_id", "left"), k)
     return _best(seeded.select("query_id", "vec_id", "score").unionByName(more), k).select("query_id", "rank", "vec_id", "score")
 
 
-def _pairs(parts: DataFrame, blocks: DataFrame) -> DataFrame:
-    """The pairs of a query block and a vector block that may matter, by numbers and lengths alone."""
-    return blocks.join(parts.withColumnRenamed("_part", "_queries"), F.col("top") * (1 + _SLACK) >= F.col("need"))
-
-
-def _run(pairs: DataFrame, asked: DataFrame, stored: DataFrame, k: int) -> DataFrame:
-    met = pairs.select("bucket", "_part", "_queries").join(stored, ["bucket", "_part"]).join(asked.withColumnRenamed("_part", "_queries"), "_queries")
-    return met.select("queries", "limits", "rows").mapInArrow(lambda batches: _search(batches, k), "query_id long, vec_id long, score long")
+def _run(blocks: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score: every block against every query (vec_id, q, norm, least), in groups of blocks and sets of queries."""
+    n = blocks.count()
+    groups = max(1, min(n, max(math.ceil(n / GROUP), 2 * blocks.sparkSession.sparkContext.defaultParallelism)))
+    sets = max(1, math.ceil(asked.count() / QUERIES))
+    numbers = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = blocks.select("top", "rows", F.pmod(F.xxhash64("bucket", "_part"), F.lit(groups)).cast("int").alias("group")).withColumn("set", numbers(sets))
+    right = asked.select("vec_id", "norm", "q", "least", F.pmod(F.xxhash64("vec_id"), F.lit(sets)).cast("int").alias("set")).withColumn("group", numbers(groups))
+    return left.groupBy("group", "set").cogroup(right.groupBy("group", "set")).applyInArrow(_searched(k), "query_id long, vec_id long, score long")
