@@ -81,14 +81,11 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _largest(options: list[tuple[int, tuple]], low: int, high: int):
-    """Of options sorted by length, the longest with low < length <= high."""
-    k = bisect_right(options, high, key=lambda x: x[0]) - 1
-    return options[k] if k >= 0 and options[k][0] > low else None
+Options = tuple[list[int], list[tuple]]
 
 
-def _ones_and_twos(items: list[int], lengths: list[int]) -> list[tuple[int, tuple]]:
-    """One item of each length, and one pair of each sum of two of the distinct lengths."""
+def _ones_and_twos(items: list[int], lengths: list[int]) -> Options:
+    """One item of each length, and one pair of each sum of two of the distinct lengths: the lengths in order, and the items."""
     one: dict[int, list[int]] = {}
     for i in items:
         one.setdefault(lengths[i], []).append(i)
@@ -100,20 +97,22 @@ def _ones_and_twos(items: list[int], lengths: list[int]) -> list[tuple[int, tupl
                 out.setdefault(a + b, (one[a][0], one[b][0]))
             elif len(one[a]) > 1:
                 out.setdefault(a + b, tuple(one[a][:2]))
-    return sorted(out.items())
+    order = sorted(out)
+    return order, [out[n] for n in order]
 
 
-def _step(give: list[tuple[int, tuple]], take: list[tuple[int, tuple]], space: int):
+def _step(give: Options, take: Options, space: int):
     """What to move from one bin to another and back, so that the other fills most; None if nothing does."""
-    best = None
-    for back, theirs in [(0, ()), *take]:
-        found = _largest(give, back, back + space)
-        if found and not (len(theirs) == 2 and len(found[1]) == 2):
-            gain = found[0] - back
-            if best is None or gain > best[0]:
-                best = (gain, found[1], theirs)
-                if gain == space:
-                    break
+    sums, ours = give
+    best, most = None, 0
+    for back, theirs in zip((0, *take[0]), ((), *take[1])):
+        # The longest that fits the space and what comes back.
+        k = bisect_right(sums, back + space) - 1
+        gain = sums[k] - back if k >= 0 else 0
+        if gain > most and not (len(theirs) == 2 and len(ours[k]) == 2):
+            best, most = (gain, ours[k], theirs), gain
+            if gain == space:
+                break
     return best
 
 
@@ -124,9 +123,9 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int, offer
     sequence of steps empties it. Bins of very many items offer their ``offer`` longest.
     """
     fill = [sum(lengths[i] for i in b) for b in bins]
-    options: dict[int, list] = {}
+    options: dict[int, Options] = {}
 
-    def offers(k: int) -> list[tuple[int, tuple]]:
+    def offers(k: int) -> Options:
         if k not in options:
             options[k] = _ones_and_twos(sorted(bins[k], key=lambda i: -lengths[i])[:offer], lengths)
         return options[k]
