@@ -2,6 +2,8 @@
 
 Null text counts as empty and gives no ids. Long texts are cut before the library sees them,
 at places where the split pattern always ends a match, so the ids are those of the whole text.
+Repeated rows are encoded each, null ids like others; an empty table gives no rows. Other columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -19,7 +19,7 @@ their counts (at most twice the tokens over a bucket, or ``MOST_HOT``) are broad
 
 The model is the tables of tokens, occurrences and weights. Null text counts as empty: the end
 alone. Every row is scored by itself, those of null or repeated ids too; null ids are trained
-on. An empty table gives no rows.
+on. A very long text is whole in one chunk. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cuegrid.llm.rules import EVENTS, LOW, MEASURES, MIN_DOCS, MIN_WORDS, REACH, WEIGHTS
+from cuegrid.llm.rules import GAP, LOW, MEASURES, MIN_DOCS, MIN_WORDS, REACH
 
 TOP_K = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
@@ -19,14 +19,27 @@ _RATES = {
     "capitals": "1000 * n_capitals // greatest(word_chars, 1)",
     "word_length": "100 * word_chars // greatest(n_words, 1)",
 }
-_SIZES = sorted({size for size in MEASURES.values() if size})
-_DECILES = """SELECT {keys} measure, max(a) AS n_docs, min(cell) FILTER (WHERE 10 * t >= 2 * a) AS low, min(cell) FILTER (WHERE 10 * t >= 5 * a) AS mid, min(cell) FILTER (WHERE 10 * t >= 8 * a) AS high
-  FROM (SELECT {keys} measure, cell, sum(n) OVER (PARTITION BY {keys} measure ORDER BY cell) AS t, sum(n) OVER (PARTITION BY {keys} measure) AS a
-    FROM (SELECT {keys} measure, cell, sum(n) AS n FROM sk GROUP BY ALL)) GROUP BY ALL"""
-_LEVEL = ", ".join(f"CASE WHEN o.n_docs >= {MIN_DOCS} THEN o.{k} WHEN l.n_docs >= {MIN_DOCS} THEN l.{k} ELSE a.{k} END AS {k}" for k in ("low", "mid", "high"))
-_SIZE_OF = "CASE measure " + " ".join(f"WHEN '{name}' THEN '{size}'" for name, size in MEASURES.items() if size) + " END"
-_WEIGHT = "CASE c.measure " + " ".join(f"WHEN '{name}' THEN {n}" for name, n in WEIGHTS.items()) + " ELSE 1 END"
-_WITHIN = " AND ".join(f"(SELECT {rate} BETWEEN {'f.least' if name in LOW else '-1'} AND f.most FROM fences f WHERE f.lang = m.lang AND f.source = m.source AND f.measure = '{name}')" for name, rate in _RATES.items())
+_COUNTS = {name: count.replace("div", "//") for name, count in MEASURES.items() if count}
+_DECILES = """SELECT {keys} measure, max(a) AS n_docs, min(cell) FILTER (WHERE 10 * t >= 2 * a) AS low, min(cell) FILTER (WHERE 10 * t >= 5 * a) AS mid, min(cell) FILTER (WHERE 10 * t >= 8 * a) AS high,
+    min(cell) FILTER (WHERE cell > 0 AND 10 * (t - z) >= a - z) AS some, CAST(pow(2, min(o) FILTER (WHERE 20 * below <= above AND 5 * above <= a AND o - """ + str(GAP) + """ > middle) - 1) - 1 AS BIGINT) AS most
+  FROM (SELECT *, min(CASE WHEN 2 * t >= a THEN o END) OVER (PARTITION BY {keys} measure) AS middle FROM (SELECT {keys} measure, cell, o, sum(n) OVER (PARTITION BY {keys} measure ORDER BY cell) AS t, sum(n) OVER (PARTITION BY {keys} measure) AS a,
+      sum(CASE WHEN cell = 0 THEN n ELSE 0 END) OVER (PARTITION BY {keys} measure) AS z, coalesce(sum(n) OVER (PARTITION BY {keys} measure ORDER BY o RANGE BETWEEN """ + str(GAP) + """ PRECEDING AND 1 PRECEDING), 0) AS below,
+      sum(n) OVER (PARTITION BY {keys} measure ORDER BY o RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS above
+    FROM (SELECT {keys} measure, cell, CASE WHEN cell = 0 THEN 0 ELSE length(bin(cell)) END AS o, sum(n) AS n FROM sk GROUP BY ALL))) GROUP BY ALL"""
+_LEVEL = ", ".join(f"CASE WHEN o.n_docs >= {MIN_DOCS} THEN o.{k} WHEN l.n_docs >= {MIN_DOCS} THEN l.{k} ELSE a.{k} END AS {k}" for k in ("low", "mid", "high", "some", "most"))
+_FENCE = "(SELECT {0} FROM c WHERE c.lang = m.lang AND c.source = m.source AND c.measure = '{1}')"
+_HIGH = f"c.high + {REACH} * (c.high - c.mid)"
+
+
+def _offends(name: str) -> str:
+    rate = _RATES[name]
+    if name in _COUNTS:
+        high = _FENCE.format(f"greatest({_HIGH}, coalesce(c.some, 0) // {REACH})", name)
+        return f"({rate} > {high} AND coalesce({_COUNTS[name]} > {_FENCE.format('c.most', name + '#')}, false))"
+    low = f" OR {rate} < {_FENCE.format(f'c.low - {REACH} * (c.mid - c.low)', name)}" if name in LOW else ""
+    return f"({rate} > {_FENCE.format(_HIGH, name)}{low})"
+
+
 RULES = f"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
 b AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
@@ -34,14 +47,12 @@ g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SE
 r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) CROSS JOIN (VALUES (0), (1), (2)) v(k) WHERE c > 1 GROUP BY doc_id),
 m AS (SELECT b.doc_id, lang, source, len(w) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
   length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM b LEFT JOIN r USING (doc_id)),
-x AS ({" UNION ALL ".join([f"SELECT lang, source, '{name}' AS measure, {rate} AS v FROM m" for name, rate in _RATES.items()] + [f"SELECT lang, source, '{z}', {z} FROM m" for z in _SIZES])}),
+x AS ({" UNION ALL ".join([f"SELECT lang, source, '{name}' AS measure, {rate} AS v FROM m" for name, rate in _RATES.items()] + [f"SELECT lang, source, '{name}#', {count} FROM m" for name, count in _COUNTS.items()])}),
 sk AS (SELECT lang, source, measure, CASE WHEN v < 128 THEN v ELSE (v >> (length(bin(v)) - 7)) << (length(bin(v)) - 7) END AS cell, count(*) AS n FROM x GROUP BY ALL),
 own AS ({_DECILES.format(keys="lang, source,")}), lng AS ({_DECILES.format(keys="lang,")}), al AS ({_DECILES.format(keys="")}),
-c AS (SELECT o.lang, o.source, measure, {_LEVEL} FROM own o JOIN lng l USING (lang, measure) JOIN al a USING (measure)),
-fences AS (SELECT c.lang, c.source, c.measure, c.low - {REACH} * (c.mid - c.low) AS least, c.high + {REACH} * (c.high - c.mid) + coalesce({EVENTS * 1000} * {_WEIGHT} // greatest(z.mid, 1), 0) AS most
-  FROM (SELECT *, {_SIZE_OF} AS size FROM c) c LEFT JOIN c z ON z.lang = c.lang AND z.source = c.source AND z.measure = c.size)
+c AS (SELECT o.lang, o.source, measure, {_LEVEL} FROM own o JOIN lng l USING (lang, measure) JOIN al a USING (measure))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AND {_WITHIN} AS kept FROM m
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AND NOT ({" OR ".join(map(_offends, _RATES))}) AS kept FROM m
 """
 
 _ODD = "'</s>[INST] ok [/INST]'"

@@ -4,14 +4,21 @@ Every document is measured; per language and source, each measure is counted in
 quantile sketch (whole numbers below 128 exactly, beyond that 7 leading bits, so within 1 %).
 Sketches merge by adding counts: those of a language are the sums of its sources, used where a
 source has few documents, and those of all documents where the language has few too.
-A document passes if each measure lies within the fences of its group. These come from the
-sketch alone: the eighth decile of the group (up to a fifth of it may be noise), ``reach`` times its distance from the median, and
-what ``events`` single things weigh in a document of the group's median size, so that where most
-documents have none one or two are no offence. Word length has a low fence as well, by the second
-decile. The table of fences is broadcast if it is small, and joined with salted keys if not.
+A document passes if each measure lies within the fences of its group, which come from the sketch
+alone. A rate's fence is the eighth decile (up to a fifth of a group may be noise) and ``reach``
+times its distance from the median; word length has a low fence as well, by the second decile.
+Symbols, repeated lines and repeated windows are single things, which most documents have none of:
+their sketches are of two parts, the share of zeros and the rest. There the rate's fence is at least
+a ``reach``-th of the lower decile of the rest, and a document fails only if its count stands apart too: it is
+as large as that of a cluster of a fifth of the documents at most, with three octaves of counts
+below it, above the median's, that are empty but for a twentieth of the cluster. So where counts
+fall off one by one, as genuine ones do, none is an offence, and where nobody has any up to a jump,
+those beyond it are. The table of fences is broadcast if it is small, and joined with salted keys
+if not.
 
 Null text has no words and fails the base rules; null language or source form a group of
-their own. Repeated rows count as often as they occur; an empty table gives no rows.
+their own. Texts of any length are measured whole, in one row each. Repeated rows count as often as
+they occur; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,12 +33,10 @@ SYMBOLS = "#*$%&|<>"
 #: Groups of fewer documents use the sketch of their language, and then that of all.
 MIN_DOCS = 100
 REACH = 8
-#: Things more than its group's in a document of median size.
-EVENTS = 6
-#: Measure: the size that its rate is of, sketched as well (none: it is no rate of single things).
-MEASURES = {"symbols": "n_words", "dup_lines": "n_lines", "repeats": "n_words", "capitals": "word_chars", "word_length": None}
-#: What one thing counts where it is more than one: a window met twice has six words under it.
-WEIGHTS = {"repeats": 6}
+#: Measures, and what those count that are rates of single things: a window met twice has six words under it.
+MEASURES = {"symbols": "n_symbols", "dup_lines": "n_dup_lines", "repeats": "n_repeat_words div 6", "capitals": None, "word_length": None}
+#: Octaves of counts that are empty below a cluster that stands apart.
+GAP = 3
 #: Measures with a low fence.
 LOW = ("word_length",)
 #: Groups whose fences are broadcast at most, and the parts that keys are salted into beyond it.
@@ -106,8 +111,8 @@ def _rates() -> dict[str, Column]:
 
 
 def sketch(measured: DataFrame) -> DataFrame:
-    """lang, source, measure, cell, n: the mergeable counts of each measure, and of the sizes."""
-    values = _rates() | {size: F.col(size) for size in MEASURES.values() if size}
+    """lang, source, measure, cell, n: the mergeable counts of each rate, and of the counts behind them (``symbols#``)."""
+    values = _rates() | {f"{name}#": F.expr(count) for name, count in MEASURES.items() if count}
     long = measured.select("lang", "source", F.explode(F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*values.values()))).alias("measure", "value"))
     cell = F.expr("CASE WHEN value < 128 THEN value ELSE shiftleft(shiftright(value, length(bin(value)) - 7), length(bin(value)) - 7) END")
     return long.groupBy("lang", "source", "measure", cell.alias("cell")).agg(F.count("*").alias("n"))
@@ -119,44 +124,66 @@ def merge(sketches: DataFrame, *keys: str) -> DataFrame:
 
 
 def deciles(sketches: DataFrame, *keys: str) -> DataFrame:
-    """keys, measure, n_docs, low, mid, high: the cells that two, five and eight tenths reach."""
+    """keys, measure, n_docs, low, mid, high: the cells that two, five and eight tenths reach; some: the one
+    that a tenth of what is not zero reaches; most: the count below a cluster that stands apart, null if none does."""
     group = Window.partitionBy(*keys, "measure")
-    up_to = F.sum("n").over(group.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = sketches.select(*keys, "measure", "cell", up_to.alias("_to"), F.sum("n").over(group).alias("_all"))
+    up = group.orderBy("cell")
+    octave = F.when(F.col("cell") == 0, 0).otherwise(F.length(F.bin("cell")))
+    ranked = sketches.select(*keys, "measure", "cell", "n", octave.alias("_o"), F.sum("n").over(up.rowsBetween(Window.unboundedPreceding, 0)).alias("_to"), F.sum("n").over(group).alias("_all"), F.sum(F.when(F.col("cell") == 0, F.col("n")).otherwise(0)).over(group).alias("_zero"))
+    by_octave = group.orderBy("_o")
+    below, above = F.coalesce(F.sum("n").over(by_octave.rangeBetween(-GAP, -1)), F.lit(0)), F.sum("n").over(by_octave.rangeBetween(0, Window.unboundedFollowing))
+    middle = F.min(F.when(2 * F.col("_to") >= F.col("_all"), F.col("_o"))).over(group)
+    ranked = ranked.select("*", below.alias("_below"), above.alias("_above"), middle.alias("_middle"))
+    apart = (20 * F.col("_below") <= F.col("_above")) & (5 * F.col("_above") <= F.col("_all")) & (F.col("_o") - GAP > F.col("_middle"))
     at = lambda k: F.min(F.when(10 * F.col("_to") >= k * F.col("_all"), F.col("cell")))
-    return ranked.groupBy(*keys, "measure").agg(F.max("_all").alias("n_docs"), at(2).alias("low"), at(5).alias("mid"), at(8).alias("high"))
+    some = F.min(F.when((F.col("cell") > 0) & (10 * (F.col("_to") - F.col("_zero")) >= F.col("_all") - F.col("_zero")), F.col("cell")))
+    first = F.min(F.when(apart, F.col("_o")))
+    out = ranked.groupBy(*keys, "measure").agg(F.max("_all").alias("n_docs"), at(2).alias("low"), at(5).alias("mid"), at(8).alias("high"), some.alias("some"), first.alias("_first"))
+    return out.withColumn("most", F.expr("shiftleft(1L, _first - 1) - 1")).drop("_first")
 
 
-def thresholds(sketches: DataFrame, min_docs: int = MIN_DOCS, reach: int = REACH, events: int = EVENTS) -> DataFrame:
-    """lang, source, and for each measure its high_ (and low_) fence."""
+_LEVELS = ("low", "mid", "high", "some", "most")
+
+
+def thresholds(sketches: DataFrame, min_docs: int = MIN_DOCS, reach: int = REACH) -> DataFrame:
+    """lang, source, and for each measure its high_ (and low_) fence of the rate and most_, the fence of its count."""
     own = deciles(sketches, "lang", "source")
-    of_lang = deciles(merge(sketches, "lang"), "lang").select("lang", "measure", F.struct("low", "mid", "high", "n_docs").alias("_lang"))
-    of_all = deciles(merge(sketches)).select("measure", F.struct("low", "mid", "high").alias("_all"))
+    of_lang = deciles(merge(sketches, "lang"), "lang").select("lang", "measure", F.struct(*_LEVELS, "n_docs").alias("_lang"))
+    of_all = deciles(merge(sketches)).select("measure", F.struct(*_LEVELS).alias("_all"))
     joined = own.join(of_lang, ["lang", "measure"]).join(F.broadcast(of_all), "measure")
     q = lambda k: F.when(F.col("n_docs") >= min_docs, F.col(k)).when(F.col("_lang.n_docs") >= min_docs, F.col(f"_lang.{k}")).otherwise(F.col(f"_all.{k}"))
-    level = joined.select("lang", "source", "measure", *[q(k).alias(k) for k in ("low", "mid", "high")])
-    # A group has a row for each measure and size: a dozen.
-    wide = level.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, F.struct("low", "mid", "high"))).alias(f"_{m}") for m in (*MEASURES, *sorted({s for s in MEASURES.values() if s}))])
+    level = joined.select("lang", "source", "measure", *[q(k).alias(k) for k in _LEVELS])
+    # A group has a row for each measure and count: eight.
+    named = {m.replace("#", "_count"): m for m in (*MEASURES, *[f"{m}#" for m, count in MEASURES.items() if count])}
+    wide = level.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, F.struct(*_LEVELS))).alias(f"_{name}") for name, m in named.items()])
     columns = []
-    for name, size in MEASURES.items():
-        low, mid, high = (F.col(f"_{name}.{k}") for k in ("low", "mid", "high"))
-        extra = F.expr(f"{events * WEIGHTS.get(name, 1)} * 1000 div greatest(_{size}.mid, 1)") if size else F.lit(0)
-        columns.append((high + reach * (high - mid) + extra).alias(f"high_{name}"))
+    for name, count in MEASURES.items():
+        low, mid, high, some = (F.col(f"_{name}.{k}") for k in ("low", "mid", "high", "some"))
+        fence = high + reach * (high - mid)
+        columns.append((F.greatest(fence, F.floor(F.coalesce(some, F.lit(0)) / reach)) if count else fence).alias(f"high_{name}"))
+        if count:
+            columns.append(F.col(f"_{name}_count.most").alias(f"most_{name}"))
         if name in LOW:
             columns.append((low - reach * (mid - low)).alias(f"low_{name}"))
     return wide.select("lang", "source", *columns)
 
 
-def judge(docs: DataFrame, min_words: int = MIN_WORDS, min_docs: int = MIN_DOCS, reach: int = REACH, events: int = EVENTS) -> DataFrame:
+def offends(name: str) -> Column:
+    """Does a measure lie beyond its fences."""
+    rate, count = _rates()[name], MEASURES[name]
+    out = rate > F.col(f"high_{name}")
+    if count:
+        out &= F.coalesce(F.expr(count) > F.col(f"most_{name}"), F.lit(False))
+    return out | (rate < F.col(f"low_{name}")) if name in LOW else out
+
+
+def judge(docs: DataFrame, min_words: int = MIN_WORDS, min_docs: int = MIN_DOCS, reach: int = REACH) -> DataFrame:
     """The measures of every document, the fences of its group, base_failed and kept."""
     measured = written(measure(docs), "measured")
-    fences = written(thresholds(written(sketch(measured), "sketch"), min_docs, reach, events), "fences")
-    rates = _rates()
+    fences = written(thresholds(written(sketch(measured), "sketch"), min_docs, reach), "fences")
     within = ~base_failed(min_words)
     for name in MEASURES:
-        within &= rates[name] <= F.col(f"high_{name}")
-        if name in LOW:
-            within &= rates[name] >= F.col(f"low_{name}")
+        within &= ~offends(name)
     if fences.count() <= MOST_GROUPS:
         joined = measured.join(F.broadcast(fences), ["lang", "source"])
     else:

@@ -2,6 +2,8 @@
 
 Null text counts as empty, of length 0. For a limit L the documents longer than L, the tokens
 of all documents cut at L, and any quantile of the lengths follow from one row of the result.
+Texts of any length are encoded whole. Repeated rows count each, null ids like others; an empty table
+gives no rows.
 """
 
 from __future__ import annotations

@@ -55,6 +55,49 @@ def test_rules_measures(spark, sf, odd):
     assert rules.judge(odd.limit(0)).count() == 0
 
 
+def prose(rng, n, lines=12):
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n)]
+    return "\n".join(" ".join(words[k::lines]) for k in range(lines))
+
+
+def test_rules_judge_one_text_by_its_source(spark):
+    """Symbols that stand apart in a source of prose are usual in a source of code."""
+    rng = random.Random(31)
+    noisy = lambda t, share: " ".join(w + "#$" if rng.random() < share else w for w in t.split(" "))
+    rows = [(k, prose(rng, 150), "en", "prose") for k in range(300)] + [(1000 + k, noisy(prose(rng, 150), 0.3), "en", "code") for k in range(300)]
+    same = noisy(prose(rng, 150), 0.35)
+    rows += [(2000, same, "en", "prose"), (2001, same, "en", "code"), (2002, prose(rng, 150) + " a# b#", "en", "prose")]
+    kept = {r.doc_id: r.kept for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not kept[2000] and kept[2001] and kept[2002]
+    assert sum(not v for k, v in kept.items() if k < 2000) == 0
+
+
+def test_every_rule_can_reject_and_leaves_what_falls_off_alone(spark):
+    rng = random.Random(32)
+    rows = []
+    for k in range(300):
+        t = prose(rng, 200, 40)
+        lines = t.split("\n")
+        # Repeated lines and windows as they come: some have one, few have two or three.
+        for _ in range(rng.choice([0] * 24 + [1, 1, 2, 3])):
+            lines.append(rng.choice(lines))
+        rows.append((k, "\n".join(lines), "en", "s"))
+    far = prose(rng, 200, 40).split("\n")
+    window = " ".join(far[0].split()[:3])
+    odd = {
+        "dup_lines": "\n".join(far + [far[k % 5] for k in range(38)]),
+        "repeats": " ".join(f"{prose(rng, 5, 1)} {window}" for _ in range(200)),
+        "capitals": prose(rng, 300).upper(),
+        "word_length": " ".join(w * 6 for w in prose(rng, 200).split()),
+        "symbols": " ".join(w + "|$" for w in prose(rng, 200).split()),
+    }
+    assert set(odd) == set(rules.MEASURES)
+    for name, text in odd.items():
+        judged = rules.judge(spark.createDataFrame([*rows, (1000, text, "en", "s")], "doc_id long, text string, lang string, source string"))
+        bad = {r.doc_id for r in judged.filter(rules.offends(name)).collect()}
+        assert bad == {1000}, name
+
+
 def test_rules_keep_good_documents_and_drop_symbol_noise(spark):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
