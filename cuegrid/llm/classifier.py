@@ -11,7 +11,8 @@ evidence to the rate of the document's path, without its own share.
 
 Without labels of both classes nothing is rejected. Null text counts as empty; null hosts and
 paths form groups of their own; null ids are classified like others. Labels with nulls are
-not learned from. Repeated rows count each; an empty table gives no rows.
+not learned from. Texts of any length are read whole. Repeated rows count each; an empty table gives
+no rows.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ bound loses a pair. The pairs left are rows, verified like the others. Lists are
 whose pairs are searched by as many tasks.
 
 Null and empty texts, and those without words, have no shingles and are linked to nothing. Texts
-under five words are one shingle. Repeated rows are one node. Null ids never name a group. An
+under five words are one shingle; texts of any length are compared by all their shingles. Repeated
+rows are one node. Null ids never name a group. An
 empty table gives no rows.
 """
 

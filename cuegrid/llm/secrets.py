@@ -11,7 +11,8 @@ score, with one added, gives how many candidates would by chance; the threshold
 score at which these are no more than the accepted share of the candidates that reach it. So
 short runs, whose tests are weak, need more, and a class of few candidates or decoys accepts none.
 
-Null text counts as empty: no spans. Repeated rows are scanned each; an empty table gives none.
+Null text counts as empty: no spans. Texts of any length are scanned whole, in one row each. Repeated
+rows are scanned each; an empty table gives none.
 """
 
 from __future__ import annotations
