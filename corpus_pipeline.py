@@ -3,6 +3,8 @@
 Each stage works on all its predecessor kept; all but the last return the columns of
 documents. Null and empty texts pass the line dedup, the near-dedup and the secret scan as they
 are, the classifier if it does not reject them, and are packed as empty documents.
+Rows that repeat an id and a text are judged, shortened and scanned each; of copies the near-dedup keeps
+the row of the least id, or all rows of that id. An empty table gives no rows in every stage.
 """
 
 from __future__ import annotations
