@@ -23,9 +23,9 @@ def iou(a: Box, b: Box) -> Column:
     return F.when((inter > 0) & (union > 0), inter / union).otherwise(0.0)
 
 
-def span_box(x: Column, w: Column, h: Column, text: Column, start: Column, length: Column) -> tuple[Column, Column, Column]:
-    """x, w and h of the characters from start on, by their share of the line's width, 3 px at least."""
-    n = F.greatest(F.lit(1), F.char_length(text))
+def span_box(x: Column, w: Column, h: Column, chars: Column, start: Column, length: Column) -> tuple[Column, Column, Column]:
+    """x, w and h of the characters from start on, by their share of the width of a line of ``chars``, 3 px at least."""
+    n = F.greatest(F.lit(1), chars)
     left = x + F.rint(w * start / n).cast("int")
     right = x + F.rint(w * (start + length) / n).cast("int")
     return left, F.greatest(F.lit(3), right - left), F.greatest(F.lit(3), h)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from cuegrid.functions.boxes import box, iou, overlap, span_box
-from cuegrid.functions.matching import Words, hits_of, longest_at, longest_hits, uncovered, word_slices
+from cuegrid.functions.matching import Words, any_hit, hits_of, longest_at, longest_hits, uncovered, word_slices
 from cuegrid.functions.times import sample_times
 from cuegrid.operators.chunks import fold_in_chunks
 from cuegrid.sources.storage import discard, written
@@ -171,6 +171,9 @@ def merge_masks(masks: DataFrame) -> DataFrame:
     """
     names = [c.split()[0] for c in _MASK.split(", ")]
     rows = masks.select("item_id", *[F.col(n).cast(t).alias(n) for n, t in (c.split() for c in _MASK.split(", "))])
+    # A mask equal to the one before joins what that one joined, or that one, and changes nothing; one that covers nothing joins none.
+    times = F.expr("IF(w > 0 AND h > 0 AND end_s >= start_s, 1L, n)")
+    rows = rows.groupBy("item_id", *names).agg(F.count("*").alias("n")).withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), times))).drop("n", "_k")
     return fold_in_chunks(rows, ["item_id"], names, _merge_live, lambda state: [tuple(m) for m in state or []], _MASK)
 
 
@@ -261,7 +264,10 @@ def find_words(texts: DataFrame, words: DataFrame) -> DataFrame:
 
     With several slices of words, the longest hit of every place is taken over all of them first.
     """
-    slices = list(word_slices(words, "word"))
+    return _found(texts, list(word_slices(words, "word")))
+
+
+def _found(texts: DataFrame, slices: list[Words]) -> DataFrame:
     if len(slices) == 1:
         return _hits(texts, slices[0], longest_hits)
     each = reduce(DataFrame.unionByName, [_hits(texts, s, longest_at) for s in slices])
@@ -320,19 +326,22 @@ def word_masks(segments: DataFrame, words: DataFrame, line_boxes: DataFrame, ite
     items: item_id, width, height, duration. Known lines serve first; only times without any
     are matched by capacity.
     """
-    at = segments.select("item_id", "seg_no", "start_s", "end_s", "text", F.explode(sample_times(F.col("start_s"), F.col("end_s"))).alias("t_s"))
-    hit = find_words(segments.select("item_id", F.col("seg_no").alias("pos"), "text"), words).select("item_id", F.col("pos").alias("seg_no")).distinct()
-    at = at.join(hit, ["item_id", "seg_no"], "left_semi")
+    slices = list(word_slices(words, "word"))
+    told = reduce(lambda a, b: a | b, [F.coalesce(s.udf(any_hit, "boolean")("text"), F.lit(False)) for s in slices])
+    at = segments.filter(told).select("item_id", "start_s", "end_s", "text", F.explode(sample_times(F.col("start_s"), F.col("end_s"))).alias("t_s"))
     known = at.select("item_id", "t_s").join(line_boxes.filter("line IS NOT NULL"), ["item_id", "t_s"])
     bare = line_boxes.filter("line IS NULL").drop("line").join(known.select("item_id", "t_s").distinct(), ["item_id", "t_s"], "left_anti")
     said = at.select("item_id", "t_s", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     matched = lines_to_boxes(said, bare)
-    columns = ["item_id", "t_s", "box_no", "x", "y", "w", "h", "line"]
-    lines = known.select(*columns).unionByName(matched.select(*columns)).withColumn("pos", F.struct("t_s", "box_no"))
-    found = find_words(lines.select("item_id", "pos", F.col("line").alias("text")), words)
-    spans = at.select("item_id", "t_s", "start_s", "end_s")
-    rows = found.join(lines, ["item_id", "pos"]).join(spans, ["item_id", "t_s"]).join(items, "item_id")
-    x, w, h = span_box(F.col("x"), F.col("w"), F.col("h"), F.col("line"), F.col("start"), F.char_length("word"))
+    columns = ["item_id", "t_s", "x", "y", "w", "h", "line"]
+    lines = known.select(*columns).unionByName(matched.select(*columns))
+    # The times of a segment mostly show one line at one place: it is read once, and its hits carry the numbers of its place.
+    spans = at.select("item_id", "t_s", "start_s", "end_s").distinct()
+    shown = lines.join(spans, ["item_id", "t_s"]).drop("t_s").distinct().join(items, "item_id")
+    place = F.struct("start_s", "end_s", "x", "y", "w", "h", "width", "height", "duration", F.char_length("line").alias("n"))
+    found = _found(shown.select("item_id", place.alias("pos"), F.col("line").alias("text")), slices)
+    rows = found.select("item_id", "pos.*", "start", F.char_length("word").alias("length"))
+    x, w, h = span_box(F.col("x"), F.col("w"), F.col("h"), F.col("n"), F.col("start"), F.col("length"))
     rows = rows.select(
         "item_id",
         F.greatest(F.col("start_s") - pad, F.lit(0.0)).alias("start_s"),
