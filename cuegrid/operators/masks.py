@@ -26,6 +26,8 @@ MERGE_GAP_S = 1.0
 SAME_PLACE = 0.5
 #: Live masks that are looked through without the grid.
 FEW = 40
+#: Nodes that a task holds before it hands its sets on.
+HELD = 1_000_000
 #: A track's box may cover this share of the frame.
 MOST_OF_FRAME = 0.58
 
@@ -177,9 +179,70 @@ def merge_masks(masks: DataFrame) -> DataFrame:
     return fold_in_chunks(rows, ["item_id"], names, _merge_live, lambda state: [tuple(m) for m in state or []], _MASK)
 
 
+def _roots(edges: DataFrame) -> DataFrame:
+    """node and root: the edges of a task joined into sets, each node with the least of its set; the least has a row too.
+
+    A task hands its sets on when it holds ``HELD`` nodes, so a node may come again with another root.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(n: int) -> int:
+            top = up.setdefault(n, n)
+            while (above := up[top]) != top:
+                up[top] = up[above]
+                top = up[top]
+            up[n] = top
+            return top
+
+        def rows() -> pa.RecordBatch:
+            nodes = list(up)
+            tops = [root(n) for n in nodes]
+            up.clear()
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(tops, pa.int64())], names=["node", "root"])
+
+        for b in batches:
+            for a, z in zip(b["a"].to_pylist(), b["b"].to_pylist()):
+                p, q = root(a), root(z)
+                if p < q:
+                    up[q] = p
+                elif q < p:
+                    up[p] = q
+            if len(up) >= HELD:
+                yield rows()
+        if up:
+            yield rows()
+
+    return edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).mapInArrow(run, "node long, root long")
+
+
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """box_id, track: the least box id of each connected component.
 
+    Edges are ranged over the tasks by item (if they have one) and end, and each task joins its own; of
+    that, a row a node is left. Where a node has several roots, these are linked, and stars of the links
+    are contracted: mostly few, as only items on the edge of a range are in several tasks.
+    """
+    by = ["item_id", "a"] if "item_id" in edges.columns else ["a"]
+    edges = written(edges.select(*by, "b").filter("a IS NOT NULL AND b IS NOT NULL"), "edges")
+    roots = written(_roots(edges.repartitionByRange(*by)), "roots")
+    discard(edges)
+    first = written(roots.groupBy("node").agg(F.min("root").alias("root"), F.max("root").alias("_most")), "first-roots")
+    torn = first.filter("root < _most").select("node", F.col("root").alias("a"))
+    links = written(roots.join(torn, "node").filter("root <> a").select("a", F.col("root").alias("b")), "links")
+    discard(roots)
+    found = first.select("node", F.col("root").alias("track"))
+    if not links.isEmpty():
+        stars = contracted(links)
+        found = first.join(stars, first["root"] == stars["hi"], "left").select("node", F.coalesce("track", "root").alias("track"))
+    ids = nodes.select("box_id").distinct()
+    return ids.join(found, ids["box_id"] == found["node"], "left").select("box_id", F.coalesce("track", "box_id").alias("track"))
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """hi, track: of each node of the edges (a, b) but the least of a component, that least.
+
     Stars are contracted until no edge changes: every box tells its greater neighbours of the
     least one it knows, then its smaller ones; both rounds keep components and shrink their depth,
     and the edges left are those of each box to the least of its component.
@@ -201,9 +264,7 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         if now == digest:
             break
         digest = now
-    found = pairs.groupBy("hi").agg(F.min("lo").alias("track"))
-    ids = nodes.select("box_id").distinct()
-    return ids.join(found, ids["box_id"] == found["hi"], "left").select("box_id", F.coalesce("track", "box_id").alias("track"))
+    return pairs.groupBy("hi").agg(F.min("lo").alias("track"))
 
 
 def merge_tracks(boxes: DataFrame, edges: DataFrame, step_s: float, width: int, height: int, effect: str = "blur:20") -> DataFrame:
