@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import count
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -56,12 +59,17 @@ def stream_islands(stream: DataFrame, frame_dur: float, watermark: str = "1 seco
     return rows.select("item_id", F.col("w.start").alias("start"), "end", "n")
 
 
+#: Waiting rows of an item to one entry of its state.
+RUN = 64
+
+
 class SegmentProcessor(StatefulProcessor):
     """Segments of one item: rows wait until the watermark has passed them and then go, in the order of
     time, into the fold of the batch form, whose open segments are all that is kept of them.
 
-    State: the waiting rows in a map with a count each, the open segments, and a timer for the next
-    waiting row, or for the end of what is open. A batch writes its new rows and takes out those that it folds.
+    State: the waiting rows in runs of ``RUN`` at most, by their first time, the open segments, and a timer
+    for the next waiting row, or for the end of what is open. A batch adds its new rows as runs, takes out
+    those that are due and cuts those that are due in part; every other run is known by its first time alone.
     """
 
     def __init__(self, frame_dur: float, threshold: float):
@@ -69,29 +77,40 @@ class SegmentProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "t double, text string", "n int")
+        self.waiting = handle.getMapState("waiting", "t double, k int", "t array<double>, text array<string>, n array<int>")
         self.open = handle.getValueState("open", "segments string, last double")
         self.timer = handle.getValueState("timer", "at long")
 
     def _put(self, batches: Iterator[pd.DataFrame], passed: float) -> None:
         # Spark lets rows through that are late by the newest watermark but not by the one before.
-        new = Counter()
-        for pdf in batches:
-            new.update((t, text) for t, text in zip(pdf["t_s"].tolist(), pdf["text"].tolist()) if t > passed)
-        for row, n in new.items():
-            held = self.waiting.getValue(row)
-            self.waiting.updateValue(row, (n + (held[0] if held else 0),))
+        said = Counter((t, text) for pdf in batches for t, text in zip(pdf["t_s"].tolist(), pdf["text"].tolist()) if t > passed)
+        new = sorted((*row, n) for row, n in said.items())
+        taken = {tuple(key) for key in self.waiting.keys()} if new else set()
+        for i in range(0, len(new), RUN):
+            self._keep(new[i : i + RUN], taken)
+
+    def _keep(self, run: list[tuple[float, str, int]], taken: set[tuple]) -> None:
+        key = next((run[0][0], k) for k in count() if (run[0][0], k) not in taken)
+        taken.add(key)
+        self.waiting.updateValue(key, tuple(map(list, zip(*run))))
 
     def _advance(self, key: tuple, passed: float) -> Iterator[pd.DataFrame]:
-        rows = sorted((tuple(r), n[0]) for r, n in self.waiting.iterator())
-        due = [r for r in rows if r[0][0] <= passed]
-        for row, _ in due:
-            self.waiting.removeKey(row)
+        runs = {tuple(run) for run in self.waiting.keys()}
+        due = []
+        for run in sorted(r for r in runs if r[0] <= passed):
+            rows = list(zip(*self.waiting.getValue(run)))
+            at = bisect_right(rows, passed, key=itemgetter(0))
+            due += rows[:at]
+            self.waiting.removeKey(run)
+            runs.remove(run)
+            if at < len(rows):
+                self._keep(rows[at:], runs)
+        due.sort()
         held = self.open.get() if self.open.exists() else None
         state, last = (json.loads(held[0]), held[1]) if held else (None, None)
         fold, finish = folding(self.frame_dur, self.threshold)
-        closed, state = fold(state, ((0, t, t, text) for (t, text), n in due for _ in range(n)))
-        last = due[-1][0][0] if due else last
+        closed, state = fold(state, ((0, t, t, text) for t, text, n in due for _ in range(n)))
+        last = due[-1][0] if due else last
         if last is not None and passed > (last + self.frame_dur) + self.frame_dur * 1.5:
             closed, state, last = closed + finish(state), None, None
         if last is None:
@@ -99,7 +118,7 @@ class SegmentProcessor(StatefulProcessor):
         elif due:
             self.open.update((json.dumps(state, ensure_ascii=False), last))
         # The watermark at which the next row is due, or else at which the open segments can no longer grow.
-        self._wake(rows[len(due)][0][0] if len(rows) > len(due) else None if last is None else last + 2.5 * self.frame_dur)
+        self._wake(min(runs)[0] if runs else None if last is None else last + 2.5 * self.frame_dur)
         if closed:
             yield pd.DataFrame([(key[0], *s) for s in closed], columns=["item_id", "start_s", "end_s", "text"])
 

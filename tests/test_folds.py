@@ -2,6 +2,8 @@
 
 import random
 
+import pandas as pd
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -237,6 +239,54 @@ def test_streamed_segments_repeat_drop_and_close(spark, tmp_path):
     assert got == [("a", 10.0, 11.0, "xy"), ("b", 11.0, 11.5, "y"), ("z", 40.0, 40.5, "z"), ("z", 60.0, 60.5, "z")]
 
 
+def test_waiting_rows_are_few_entries_of_state():
+    """Rows of an item go into the state in runs, not one by one, and come out in the order of time."""
+
+    class Map(dict):
+        calls = 0
+
+        def updateValue(self, k, v):  # noqa: N802
+            Map.calls += 1
+            self[k] = v
+
+        def removeKey(self, k):  # noqa: N802
+            Map.calls += 1
+            del self[k]
+
+        getValue = dict.get  # noqa: N815
+
+    class Value:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, v):
+            self.held = v
+
+        def clear(self):
+            self.held = None
+
+    p = streaming.SegmentProcessor(0.5, 0.85)
+    p.waiting, p.open, p.timer = Map(), Value(), Value()
+    p.handle = type("Handle", (), {"registerTimer": lambda self, at: None, "deleteTimer": lambda self, at: None})()
+    rng = random.Random(5)
+    rows = [(rng.randrange(4000) / 4, rng.choice("abc") * 3) for _ in range(1000)] + [(7.0, "aaa")] * 5
+    rng.shuffle(rows)
+    got = []
+    for k in range(4):
+        p._put([pd.DataFrame(rows[k::4], columns=["t_s", "text"])], 0.0)
+    assert Map.calls < 40
+    for passed in (100.0, 100.1, 555.0, 2000.0):
+        for pdf in p._advance((1,), passed):
+            got += pdf[["start_s", "end_s", "text"]].values.tolist()
+    assert not p.waiting and not p.open.exists() and Map.calls < 120
+    assert got == segments.fold_segments([(t, t, x) for t, x in sorted(r for r in rows if r[0] > 0)], 0.5, 0.85)
+
+
 def test_streamed_islands_loudness_and_first_seen(spark, tmp_path):
     rows = _observations()
     stream = _stream(spark, tmp_path, rows, 3)
