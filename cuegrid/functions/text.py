@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -30,6 +31,13 @@ CORNERS = {'"': "「」", "'": "『』"}
 _NEIGHBOUR, _STRAIGHT = re.compile(QUOTE_NEIGHBOUR), re.compile("[\"']")
 
 
+def few_rows(parts: Iterator[pd.Series], rows: int = 256) -> Iterator[pd.Series]:
+    """Arrow batches in smaller ones, so that what a task makes of whole texts at once stays small."""
+    for s in parts:
+        for k in range(0, len(s), rows):
+            yield s.iloc[k : k + rows]
+
+
 @F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))

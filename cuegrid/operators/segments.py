@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from cuegrid.functions.similarity import alike, typing_partial
-from cuegrid.functions.text import bad_target, key_nfkc
+from cuegrid.functions.text import bad_target, few_rows, key_nfkc
 from cuegrid.operators.chunks import fold_in_chunks
 
 # Sentence ends, quotes, and the particles that continue a sentence after a quote.
@@ -144,8 +144,9 @@ def split_sentences(text: str) -> list[str]:
 
 
 @F.pandas_udf(ArrayType(StringType()))
-def sentences_of(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: None if t is None else split_sentences(t))
+def sentences_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in few_rows(parts):
+        yield s.map(lambda t: None if t is None else split_sentences(t))
 
 
 def explode_sentences(texts: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Long lists in slices give what one automaton gives; texts of any length in linear time."""
 
+import pandas as pd
 import random
 import time
 
@@ -128,3 +129,11 @@ def test_near_pairs_are_the_plain_rule(spark):
                 by = "prefix" if x.startswith(y) or y.startswith(x) else "ratio" if alike(x, y, 0.8) else "related" if related(x, y) else None
                 want |= {(item, a, b): by} if by else {}
     assert got == want
+
+
+def test_sentences_are_made_for_a_few_rows_at_a_time():
+    from cuegrid.operators.segments import sentences_of
+
+    texts = pd.Series(["a。b", None, "c"] * 400)
+    parts = list(sentences_of.func(iter([texts, texts[:0]])))
+    assert max(map(len, parts)) <= 256 and [list(x) if x else x for p in parts for x in p] == [["a。", "b"], None, ["c"]] * 400
