@@ -41,14 +41,21 @@ class Words:
 
         @F.pandas_udf(kind)
         def run(texts: pd.Series) -> pd.Series:
-            return pd.Series([of(hits_of(t, shared.value)) for t in texts], dtype="object")
+            hits = finder(shared.value)
+            return pd.Series([of(hits(t)) for t in texts], dtype="object")
 
         return run
 
 
+def finder(words: tuple[str, ...]) -> Callable[[str | None], Iterator[tuple[int, int, str]]]:
+    """Of a text, (rank, end, word) of every place where a word ends. To be made once a batch: looking
+    up the automaton reads the whole list."""
+    found = _automaton(words)
+    return lambda text: ((k, end, words[k]) for end, k in found.iter(text)) if words and text else iter(())
+
+
 def hits_of(text: str | None, words: tuple[str, ...]) -> Iterator[tuple[int, int, str]]:
-    """(rank, end, word) of every place of a text where a word ends."""
-    return ((k, end, words[k]) for end, k in _automaton(words).iter(text)) if words and text else iter(())
+    return finder(words)(text)
 
 
 def in_slices(rows: DataFrame, order: list[str], most: int | None = None) -> Iterator[list[Row]]:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from cuegrid.functions.boxes import box, iou, overlap, span_box
-from cuegrid.functions.matching import Words, any_hit, hits_of, longest_at, longest_hits, uncovered, word_slices
+from cuegrid.functions.matching import Words, any_hit, finder, longest_at, longest_hits, uncovered, word_slices
 from cuegrid.functions.times import sample_times
 from cuegrid.operators.chunks import fold_in_chunks
 from cuegrid.sources.storage import discard, written
@@ -302,10 +302,11 @@ def _hits(texts: DataFrame, words: Words, of) -> DataFrame:
     kinds = {c: texts.schema[c].dataType.simpleString() for c in ("item_id", "pos")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits = finder(shared.value)
         for b in batches:
             of_row, starts, found = [], [], []
             for k, text in enumerate(b["text"].to_pylist()):
-                for start, word in of(hits_of(text, shared.value)):
+                for start, word in of(hits(text)):
                     of_row.append(k)
                     starts.append(start)
                     found.append(word)

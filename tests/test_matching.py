@@ -1,9 +1,9 @@
 """Long lists in slices give what one automaton gives; texts of any length in linear time."""
 
-import pandas as pd
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,3 +137,11 @@ def test_sentences_are_made_for_a_few_rows_at_a_time():
     texts = pd.Series(["a。b", None, "c"] * 400)
     parts = list(sentences_of.func(iter([texts, texts[:0]])))
     assert max(map(len, parts)) <= 256 and [list(x) if x else x for p in parts for x in p] == [["a。", "b"], None, ["c"]] * 400
+
+
+def test_the_automaton_is_looked_up_once_a_batch(spark, monkeypatch):
+    calls, found = [], matching._automaton
+    monkeypatch.setattr(matching, "_automaton", lambda words: calls.append(1) or found(words))
+    of = matching.Words(spark, ("ab", "b")).udf(matching.any_hit, "boolean")
+    assert of.func(pd.Series(["xab", None, "c"] * 50)).tolist() == [True, False, False] * 50
+    assert len(calls) == 1
