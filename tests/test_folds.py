@@ -148,6 +148,12 @@ def test_otsu_of_two_levels(spark):
     assert -60 < got["a"] < -20 and got["b"] is None
 
 
+def test_otsu_takes_the_first_of_equal_variances(spark):
+    """Mirrored levels: two cuts are as good, but for the last bits of their sums."""
+    rows = [(1, x) for x in (0.0, 0.0, 2.5, 3.0, 3.75, 4.125, 4.875, 5.375, 8.0, 8.0)]
+    assert audio.otsu(spark.createDataFrame(rows, "item_id int, db double")).first().th == 3.125
+
+
 def test_mask_merge_equals_one_fold(spark):
     rng = random.Random(6)
     data = [(f"i{i}", round(rng.uniform(0, 60), 1), 0.0, rng.choice([0, 5, 100]), 0, 50, 50, "blur:20", 1.0) for i in range(30) for _ in range(25)]
