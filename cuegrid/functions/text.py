@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import StringType
 
 UNTRANSLATED = "[[未译]]"
 # Small kana and the full-size kana they are compared as.
@@ -28,6 +29,8 @@ HALF_MARKS, FULL_MARKS = ",!?;:~", "，！？；：～"
 QUOTE_NEIGHBOUR = r"[\s，。、！？：；…—·,.!?;:~()（）\[\]{}「」『』\"']"
 # The brackets that straight quotes become.
 CORNERS = {'"': "「」", "'": "『』"}
+# The first wide character.
+WIDE_FROM = 0x1100
 _NEIGHBOUR, _STRAIGHT = re.compile(QUOTE_NEIGHBOUR), re.compile("[\"']")
 
 
@@ -38,9 +41,43 @@ def few_rows(parts: Iterator[pd.Series], rows: int = 256) -> Iterator[pd.Series]
             yield s.iloc[k : k + rows]
 
 
-@F.pandas_udf(StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+def _chars(holds: Callable[[str], bool], end: int = 0x110000) -> str:
+    """What stands in a regular expression's brackets for the characters below ``end`` that ``holds`` is true of."""
+    out, k = [], 0
+    while k < end:
+        first = k
+        while k < end and not 0xD800 <= k < 0xE000 and holds(chr(k)):
+            k += 1
+        if k > first:
+            out.append(rf"\x{{{first:x}}}-\x{{{k - 1:x}}}")
+        k += 1
+    return "".join(out)
+
+
+@lru_cache(maxsize=1)
+def _may_change() -> str:
+    """A character that NFKC may change. Those below the combining marks that it keeps are kept in every text of them alone.
+    The class has many ranges; no character up to U+009F needs to be tried against them."""
+    return rf"(?=[^\x00-\x9f])[^{_chars(lambda c: unicodedata.normalize('NFKC', c) == c, 0x300)}]"
+
+
+@lru_cache(maxsize=1)
+def _narrow() -> str:
+    """Characters that are not wide; none is wide below ``WIDE_FROM``."""
+    return rf"[\x00-\x{{{WIDE_FROM - 1:x}}}]+|[^{_chars(lambda c: unicodedata.east_asian_width(c) in 'WF')}]"
+
+
+@F.arrow_udf(StringType())
+def _nfkc(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for s in parts:
+        for k in range(0, len(s), 256):
+            yield pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in s.slice(k, 256).to_pylist()], pa.string())
+
+
+def nfkc(c: Column) -> Column:
+    """Only texts that it may change leave the JVM, and tasks hold 256 of them as Python's at a time."""
+    changes = c.rlike(_may_change())
+    return F.when(changes, _nfkc(F.when(changes, c))).otherwise(c)
 
 
 def key_nfkc(c: Column) -> Column:
@@ -86,10 +123,10 @@ def shorten_dots(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"\.{6,}", "......"), "…{3,}", "……")
 
 
-@F.pandas_udf(DoubleType())
-def display_width(s: pd.Series) -> pd.Series:
+def display_width(c: Column) -> Column:
     """Wide characters count 1, others one half."""
-    return s.map(lambda t: None if t is None else sum(1.0 if unicodedata.east_asian_width(c) in "WF" else 0.5 for c in t))
+    wide = F.char_length(F.regexp_replace(c, _narrow(), ""))
+    return (F.char_length(c) + F.when(c.rlike(rf"[\x{{{WIDE_FROM:x}}}-\x{{10ffff}}]"), wide).otherwise(0)) / 2
 
 
 def full_width_punct(c: Column) -> Column:
