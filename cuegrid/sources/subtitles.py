@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuegrid.functions.times import ass_clock, parse_clock, srt_clock
+from cuegrid.sources.storage import written
 
 # Candidate encodings in the order that breaks ties.
 CANDIDATES = ("utf-8", "gb18030", "shift_jis", "euc-kr", "big5")
@@ -121,9 +122,11 @@ def read_txt(texts: DataFrame) -> DataFrame:
 
 
 def read_cues(texts: DataFrame) -> DataFrame:
-    """Cues of files of any of the three formats."""
-    marked = detect_format(texts)
-    scans = (("srt", read_srt), ("ass", read_ass), ("txt", read_txt))
+    """Cues of files of any of the three formats. Texts are written once, so that what they come from
+    runs once and not for every format; only formats that occur are scanned."""
+    marked = written(detect_format(texts.select("file_id", "text")), "texts")
+    found = {r.fmt for r in marked.select("fmt").distinct().collect()}
+    scans = [(fmt, scan) for fmt, scan in (("srt", read_srt), ("ass", read_ass), ("txt", read_txt)) if fmt in found or not found]
     out = None
     for fmt, scan in scans:
         part = scan(marked.filter(F.col("fmt") == fmt)).withColumn("fmt", F.lit(fmt))
