@@ -135,7 +135,9 @@ def read_cues(texts: DataFrame) -> DataFrame:
 
 
 def _joined(cues: DataFrame, piece: Column, sep: str, lead: str = "", tail: str = "") -> DataFrame:
-    rows = cues.withColumn("_n", F.row_number().over(Window.partitionBy("item_id").orderBy("pos"))).withColumn("_piece", piece)
+    # Cues are small when shuffled and large as texts: a fixed number of parts keeps Spark from putting them all into one task.
+    parts = int(cues.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cues.repartition(parts, "item_id").withColumn("_n", F.row_number().over(Window.partitionBy("item_id").orderBy("pos"))).withColumn("_piece", piece)
     listed = rows.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("_n", "_piece"))).alias("_rows"))
     return listed.select("item_id", F.concat(F.lit(lead), F.array_join(F.transform("_rows", lambda r: r["_piece"]), sep), F.lit(tail)).alias("text"))
 

@@ -1,5 +1,7 @@
 """How often tables are read, shuffled and parted between the steps of an operator."""
 
+from pyspark.sql import functions as F
+
 from cuegrid.sources import subtitles
 
 
@@ -17,3 +19,9 @@ def test_read_cues_reads_its_texts_once(spark):
     assert sorted((r.item_id, r.fmt, r.text) for r in found) == [(1, "srt", "a"), (2, "ass", "b"), (3, "txt", "c")]
     assert read.value == 3
     assert subtitles.read_cues(df.filter("file_id < 0")).collect() == []
+
+
+def test_small_cues_do_not_become_one_task(spark):
+    cues = spark.range(400).select((F.col("id") % 40).alias("item_id"), F.col("id").alias("pos"), F.col("id").cast("double").alias("start_s"), (F.col("id") + 0.5).cast("double").alias("end_s"), F.lit("a").alias("text"))
+    parts = subtitles.to_srt(cues).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts == int(spark.conf.get("spark.sql.shuffle.partitions"))
