@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuegrid.operators.chunks import fold_in_chunks
+from cuegrid.sources.storage import written
 
 
 def _in_item():
@@ -117,9 +118,13 @@ def merge_spans(spans: DataFrame, frame_sig: DataFrame) -> DataFrame:
 def strip_static(features: DataFrame, ratio: float = 0.8) -> DataFrame:
     """Rows (item_id, pos, feature) without the features that more than ``ratio`` of an item's rows have.
     Items of fewer than two rows stay whole."""
-    n = features.groupBy("item_id").agg(F.countDistinct("pos").alias("_n")).filter("_n >= 2")
-    common = features.groupBy("item_id", "feature").agg(F.countDistinct("pos").alias("_k")).join(n, "item_id").filter(F.col("_k") > ratio * F.col("_n"))
-    return features.join(common.select("item_id", "feature"), ["item_id", "feature"], "left_anti")
+    # Rows go to their item and feature once. Counts of rows, one an item, are written, so that Spark knows how large they are.
+    n = written(features.groupBy("item_id").agg(F.countDistinct("pos").alias("_n")).filter("_n >= 2"), "row-counts")
+    w = Window.partitionBy("item_id", "feature")
+    new = F.col("pos").isNotNull() & ~F.lag("pos").over(w.orderBy("pos")).eqNullSafe(F.col("pos"))
+    rows = features.withColumn("_new", new.cast("int")).withColumn("_k", F.sum("_new").over(w)).join(n, "item_id", "left")
+    common = F.col("feature").isNotNull() & F.col("_n").isNotNull() & (F.col("_k") > ratio * F.col("_n"))
+    return rows.filter(~common).select(*features.columns)
 
 
 def bands(profile: DataFrame, threshold: int, min_height: int = 4, max_height: int | None = None) -> DataFrame:

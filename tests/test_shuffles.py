@@ -1,10 +1,26 @@
 """How often tables are read, shuffled and parted between the steps of an operator."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
+from cuegrid.operators import frames
 from cuegrid.sources import subtitles
 
 
+def test_strip_static_shuffles_its_rows_once(spark, capsys):
+    rows = [(k % 3, k % 7, f"w{k * k % 11}") for k in range(200)] + [(1, None, "w1"), (1, 2, None), (None, 1, "w1"), (9, 1, "alone"), (9, None, "w1")]
+    df = spark.createDataFrame(rows, "item_id int, pos int, feature string")
+    n = Counter(i for i, p in {(i, p) for i, p, _ in rows if p is not None})
+    k = Counter((i, f) for i, p, f in set(rows) if p is not None)
+    kept = [r for r in rows if r[0] is None or r[2] is None or n[r[0]] < 2 or not k[r[0], r[2]] > 0.5 * n[r[0]]]
+    out = frames.strip_static(df, 0.5)
+    capsys.readouterr()
+    out.explain()
+    assert capsys.readouterr().out.count("hashpartitioning(item_id") == 1
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(kept, key=repr) != sorted(rows, key=repr)
+
+
 def test_read_cues_reads_its_texts_once(spark):
     read = spark.sparkContext.accumulator(0)
 
