@@ -176,7 +176,7 @@ def stream_usage(stream: DataFrame, prices: dict[str, float]) -> DataFrame:
 
 
 def stream_log_counts(stream: DataFrame, watermark: str = "1 minute") -> DataFrame:
-    """stage, evt, minute, n of log lines (value): ``[ts] {json}``."""
-    rule = r"^\[([^\]]+)\]\s*(\{.*\})\s*$"
+    """stage, evt, minute, n of log lines (value): ``[ts] {json}``. Only a newline ends a line."""
+    rule = r"(?d)^\[([^\]]+)\]\s*(\{.*\})\s*$"
     rows = stream.filter(F.col("value").rlike(rule)).select(F.regexp_extract("value", rule, 1).try_cast("timestamp").alias("ts"), F.from_json(F.regexp_extract("value", rule, 2), "stage string, evt string").alias("p"))
     return rows.withWatermark("ts", watermark).groupBy(F.window("ts", "1 minute").alias("minute"), "p.stage", "p.evt").agg(F.count("*").alias("n"))
