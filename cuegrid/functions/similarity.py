@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -13,8 +14,8 @@ from pyspark.sql.types import BooleanType, StringType
 from cuegrid.functions.text import BIG_KANA, SMALL_KANA
 
 _KANA = str.maketrans(SMALL_KANA, BIG_KANA)
-#: Pairs of more cells than this are not compared by subsequence.
-MOST_CELLS = 5_000_000
+#: Characters between two looks at whether a comparison is decided.
+STEP = 256
 
 
 def ratio(a: str, b: str) -> float:
@@ -31,18 +32,35 @@ def compare_key(t: str) -> str:
     return re.sub(r"\.{2,}", "...", unicodedata.normalize("NFKC", t)).translate(_KANA)
 
 
-def subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, with a bit for every character of a."""
-    if not a or not b or len(a) * len(b) > MOST_CELLS:
-        return 0
-    where: dict[str, int] = {}
+def has_subsequence(a: str, b: str, least: int) -> bool:
+    """Have a and b a common subsequence of ``least`` characters, with a bit for every character of a.
+
+    Texts of any length are compared; what opens or ends both is in it, and only characters of both can be.
+    """
+    for ends in (False, True):
+        pairs = zip(reversed(a), reversed(b)) if ends else zip(a, b)
+        k = next((i for i, (x, y) in enumerate(pairs) if x != y), min(len(a), len(b)))
+        a, b = (a[: len(a) - k], b[: len(b) - k]) if ends else (a[k:], b[k:])
+        least -= k
+    both = Counter(a) & Counter(b)
+    if least <= 0 or both.total() < least:
+        return least <= 0
+    a, b = ("".join(c for c in t if c in both) for t in (a, b))
+    bits = {c: bytearray(len(a) // 8 + 1) for c in both}
     for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << i
+        bits[c][i >> 3] |= 1 << (i & 7)
+    where = {c: int.from_bytes(x, "little") for c, x in bits.items()}
     free = everything = (1 << len(a)) - 1
-    for c in b:
-        met = free & where.get(c, 0)
-        free = ((free + met) | (free - met)) & everything
-    return len(a) - free.bit_count()
+    for at in range(0, len(b), STEP):
+        for c in b[at : at + STEP]:
+            met = free & where[c]
+            free = ((free + met) | (free - met)) & everything
+        found = len(a) - free.bit_count()
+        if found >= least:
+            return True
+        if found + len(b) - at - STEP < least:
+            return False
+    return False
 
 
 def prefix_like(short: str, long: str) -> bool:
@@ -56,7 +74,7 @@ def prefix_like(short: str, long: str) -> bool:
 
 def subsequence_like(short: str, long: str) -> bool:
     n = len(short)
-    return n >= 3 and len(long) >= n and subsequence(short, long) >= n - int(n * 0.15)
+    return n >= 3 and len(long) >= n and has_subsequence(short, long, n - int(n * 0.15))
 
 
 def related(a: str, b: str) -> bool:
